@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from sparkloom.llm import simhash
+from sparkloom.llm import decontaminate, simhash
 
-QUERIES = {"op1_simhash_near_dedup": simhash.op1_simhash_near_dedup}
-ORACLE_SQL: dict[str, str] = {}
+QUERIES = {
+    "op1_simhash_near_dedup": simhash.op1_simhash_near_dedup,
+    "op6_decontamination": decontaminate.op6_decontamination,
+}
+ORACLE_SQL: dict[str, str] = {"op6_decontamination": decontaminate.OP6_SQL}
