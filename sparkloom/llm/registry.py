@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from sparkloom.llm import decontaminate, simhash
+from sparkloom.llm import bpe, decontaminate, simhash
 
 QUERIES = {
     "op1_simhash_near_dedup": simhash.op1_simhash_near_dedup,
+    "op8_byte_bpe": bpe.op8_byte_bpe,
     "op6_decontamination": decontaminate.op6_decontamination,
 }
 ORACLE_SQL: dict[str, str] = {"op6_decontamination": decontaminate.OP6_SQL}
