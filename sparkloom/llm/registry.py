@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from sparkloom.llm import bpe, decontaminate, simhash
+from sparkloom.llm import bpe, decontaminate, simhash, tokenfiles
 
 QUERIES = {
     "op1_simhash_near_dedup": simhash.op1_simhash_near_dedup,
     "op8_byte_bpe": bpe.op8_byte_bpe,
+    "op4_token_files": tokenfiles.op4_token_files,
     "op6_decontamination": decontaminate.op6_decontamination,
 }
 ORACLE_SQL: dict[str, str] = {"op6_decontamination": decontaminate.OP6_SQL}
