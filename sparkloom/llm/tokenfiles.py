@@ -38,7 +38,8 @@ from sparkloom.llm.pretokens import pretokens
 from sparkloom.session import scratch_dir, stored
 
 MAGIC = b"LOOMTOK1"
-KEPT = 1 << 20  # pretokens that a worker remembers
+KEPT = 1 << 19  # pretokens that a worker remembers
+LINE = 2_000  # new words that are encoded as one text
 
 
 def open_fs(uri: str) -> tuple[pafs.FileSystem, str]:
@@ -63,20 +64,46 @@ class TextTokenizer:
         pre, added = made.get("pre_tokenizer") or {}, made.get("added_tokens") or []
         self.by_pretoken = pre.get("type") == "ByteLevel" and pre.get("use_regex", True) and not pre.get("add_prefix_space") and not made.get("normalizer") and not made.get("truncation") and not made.get("padding") and all(t.get("special") for t in added)
         self.known: dict[str, bytes] = {}
+        if self.by_pretoken:  # a character of a token's name is a byte
+            self.lengths = np.zeros(max(self.tokenizer.get_vocab().values()) + 1, np.int64)
+            for token, i in self.tokenizer.get_vocab().items():
+                self.lengths[i] = len(token)
+
+    def ids_of(self, texts: list[str], kind: str) -> list[np.ndarray]:
+        return [np.array(e.ids, kind) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def learn(self, new: list[str], kind: str) -> None:
+        """Encode pretokens. Words go many to a text, with line ends between them, at which the pattern
+        splits as well; the lengths of the tokens then tell which are whose."""
+        known = self.known
+        words = [p for p in new if p.lstrip(" ").isalpha()]
+        rest = [p for p in new if not p.lstrip(" ").isalpha()]
+        lines = [words[at : at + LINE] for at in range(0, len(words), LINE)]
+        for at in range(0, len(lines), 8):
+            part = lines[at : at + 8]
+            for own, ids in zip(part, self.ids_of(["\n".join(x) for x in part], kind)):
+                ends = np.cumsum([len(p.encode()) + 1 for p in own]) - 1  # in bytes, the line end left out
+                until = np.cumsum(self.lengths[ids])
+                stop = np.searchsorted(until, ends)
+                if not (until[stop] == ends).all():
+                    raise ValueError("the tokenizer joined words across a line end")
+                start = np.concatenate(([0], stop[:-1] + 2))  # past the line end's own token
+                known.update(zip(own, [ids[a : b + 1].tobytes() for a, b in zip(start.tolist(), stop.tolist())]))
+        for at in range(0, len(rest), 10_000):
+            part = rest[at : at + 10_000]
+            known.update(zip(part, [ids.tobytes() for ids in self.ids_of(part, kind)]))
 
     def encode(self, texts: list[str], kind: str) -> list[bytes]:
-        pack = lambda own: [np.array(e.ids, kind).tobytes() for e in self.tokenizer.encode_batch_fast(own, add_special_tokens=False)]
         if not self.by_pretoken:
-            return pack(texts)
+            return [ids.tobytes() for ids in self.ids_of(texts, kind)]
         known = self.known
         split = [pretokens(t) for t in texts]
         new = list({p for own in split for p in own if p not in known})
         if len(known) + len(new) > KEPT:
-            known.clear()
-            new = list({p for own in split for p in own})
-        for at in range(0, len(new), 10_000):
-            part = new[at : at + 10_000]
-            known.update(zip(part, pack(part)))
+            now = {p for own in split for p in own}
+            for p in [p for p in known if p not in now]:
+                del known[p]
+        self.learn(new, kind)
         return [b"".join(map(known.__getitem__, own)) for own in split]
 
 
@@ -179,10 +206,11 @@ def write_token_files(docs: DataFrame, folder: str, tokenizer: str, id_col: str
             key_type = batch.column(0).type
             keys, texts, at = batch.column(0).to_pylist(), ["" if t is None else t for t in batch.column(1).to_pylist()], 0
             writer = writer or ShardWriter(uri, kind)
-            for group in text_groups(texts):
+            for group in text_groups(texts, 2_000_000):
                 for ids in coder.encode(group, kind):
                     writer.add(keys[at], ids + end)
                     at += 1
+        pa.default_memory_pool().release_unused()
         if writer is not None:
             writer.close()
             there = [k for k in writer.keys[:1] + writer.keys[-1:] if k is not None]
