@@ -21,7 +21,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sparkloom.llm.arrow import byte_values
@@ -51,16 +51,16 @@ def fingerprint_of(text: bytes, width: int = 4, seed: int = 42) -> int:
     return int(np.packbits(counts * 2 > n, bitorder="little").view("<u8")[0])
 
 
-def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 4, seed: int = 42) -> DataFrame:
-    """``(id, fp)`` of each row; ``fp`` is the fingerprint as a signed long. Null text counts as empty."""
+def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 4, seed: int = 42, also: dict[str, Column] | None = None) -> DataFrame:
+    """``(id, fp)`` of each row, and the columns ``also``; ``fp`` is the fingerprint as a signed long. Null text counts as empty."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = np.array([fingerprint_of(x, width, seed) for x in byte_values(batch.column(1))], np.uint64)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found.view(np.int64))], ["id", "fp"])
+            found = np.array([fingerprint_of(x, width, seed) for x in byte_values(batch.column(0))], np.uint64)
+            yield pa.RecordBatch.from_arrays([*batch.columns[1:], pa.array(found.view(np.int64))], [*batch.schema.names[1:], "fp"])
 
-    kind = docs.schema[id_col].dataType.simpleString()
-    return docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(run, f"id {kind}, fp bigint")
+    rows = docs.select(F.col(text_col).alias("text"), F.col(id_col).alias("id"), *[c.alias(name) for name, c in (also or {}).items()])
+    return rows.mapInArrow(run, ", ".join([*(f"{f.name} {f.dataType.simpleString()}" for f in rows.schema[1:]), "fp bigint"]))
 
 
 def segment_counts(fp: Column) -> Column:
@@ -125,6 +125,15 @@ def near_duplicate_classes(fps: DataFrame, k: int = 4) -> DataFrame:
     return one.join(merged, one["class"] == merged.node, "left").select("fp", F.coalesce("component", "class").alias("root"))
 
 
+def _classed(docs: DataFrame, id_col: str, text_col: str, width: int, k: int, seed: int, also: dict[str, Column] | None = None) -> tuple[DataFrame, DataFrame]:
+    """The rows of :func:`fingerprints`, and ``(fp, root, component_id)`` of each distinct fingerprint."""
+    rows = stored(fingerprints(docs, id_col, text_col, width, seed, also), "fingerprints")
+    least = stored(rows.groupBy("fp").agg(F.min("id").alias("least")), "least")
+    classes = stored(near_duplicate_classes(least, k).join(least, "fp"), "classes")
+    first = classes.groupBy("root").agg(F.min("least").alias("component_id"))
+    return rows, classes.join(first, "root").select("fp", "root", "component_id")
+
+
 def simhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 4, k: int = 4, seed: int = 42) -> DataFrame:
     """``(id_col, fingerprint, component_id)`` for each row of ``docs``.
 
@@ -133,13 +142,28 @@ def simhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     linked like any other; rows with a null id take part, but name a component only if all its ids are
     null. Repeated rows give repeated results; other columns are ignored; an empty table gives none.
     """
-    rows = stored(fingerprints(docs, id_col, text_col, width, seed), "fingerprints")
-    least = stored(rows.groupBy("fp").agg(F.min("id").alias("least")), "least")
-    classes = stored(near_duplicate_classes(least, k).join(least, "fp"), "classes")
-    first = classes.groupBy("root").agg(F.min("least").alias("component_id"))
-    named = classes.join(first, "root").select("fp", "component_id")
+    rows, named = _classed(docs, id_col, text_col, width, k, seed)
     return rows.join(named, "fp").select(F.col("id").alias(id_col), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 4, k: int = 4, seed: int = 42) -> DataFrame:
+    """``docs`` without near duplicates: of each component the row with the smallest id stays, null ids last.
+
+    Rows with that id and different texts are told apart by a hash of the text; of rows with the same id
+    and text one stays. All columns stay. Only the rows that go are joined to ``docs``.
+    """
+    mark = F.xxhash64(text_col)
+    rows, named = _classed(docs, id_col, text_col, width, k, seed, {"mark": mark})
+    keyed = rows.groupBy("fp", "id", "mark").agg(F.count("*").alias("n")).join(named.select("fp", "root"), "fp")
+    keyed = stored(keyed.select("root", F.struct(F.col("id").isNull().alias("none"), "id", "mark").alias("key"), "n"), "keyed")
+    first = keyed.groupBy("root").agg(F.min("key").alias("first"))
+    gone = stored(keyed.join(first, "root").where(F.col("key") != F.col("first")).select(F.col("key.id").alias("_gone_id"), F.col("key.mark").alias("_gone_mark")), "gone")
+    kept = docs.join(gone, F.col(id_col).eqNullSafe(F.col("_gone_id")) & (mark == F.col("_gone_mark")), "left_anti")
+    if keyed.where("n > 1").limit(1).count():
+        number = F.row_number().over(Window.partitionBy(F.col(id_col), F.col("_mark")).orderBy(F.col("_mark")))
+        kept = kept.withColumn("_mark", mark).withColumn("_number", number).where("_number = 1").drop("_mark", "_number")
+    return kept
+
+
 def op1_simhash_near_dedup(spark, sf_dir: str) -> DataFrame:
     return simhash_components(spark.read.parquet(f"{sf_dir}/documents.parquet"))
