@@ -2,7 +2,7 @@
 
 Documents are packed into blocks: a block's distinct words as 64-bit hashes and its texts as word numbers.
 For each order a block's n-grams (hashes chained over word hashes) are counted within the block and cut
-into buckets by hash. A count table, partitioned by these buckets, sums all blocks' rows; joined back to
+into buckets by ranges of the hash. A count table, partitioned by these buckets, sums all blocks' rows; joined back to
 the exploded n-grams of each block it gives every n-gram its corpus count, and a block's scores are summed
 per document. Rows of these tables are arrays of sorted keys and counts rather than single n-grams: a
 row per n-gram and document would take several times the disk and time.
@@ -87,41 +87,62 @@ class Block:
             before[:1] = 0
             self.grams.append(_mixed(before, word))
 
-    def keys(self, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Distinct ``k``-grams in order, where each place's is among them, and their counts here."""
-        return np.unique(self.grams[k - 1][self.place >= k - 1], return_inverse=True, return_counts=True)
+    def keys(self, k: int) -> tuple[np.ndarray, np.ndarray]:
+        """Distinct ``k``-grams in order, and their counts here."""
+        return np.unique(self.grams[k - 1][self.place >= k - 1], return_counts=True)
+
+
+def packed_keys(keys: np.ndarray) -> bytes:
+    """Sorted keys as differences, byte by byte of all: the high bytes are zero and compress to nothing."""
+    return np.ascontiguousarray(np.diff(keys, prepend=np.uint64(0)).view(np.uint8).reshape(-1, 8).T).tobytes()
+
+
+def unpacked_keys(raw: bytes) -> np.ndarray:
+    return np.cumsum(np.ascontiguousarray(np.frombuffer(raw, np.uint8).reshape(8, -1).T).view(np.uint64).ravel(), dtype=np.uint64)
+
+
+def packed_counts(counts: np.ndarray) -> bytes:
+    """Counts in the narrowest unsigned type that holds them all, after a byte that tells its width."""
+    kind = np.min_scalar_type(int(counts.max(initial=0)))
+    return bytes([kind.itemsize]) + counts.astype(kind).tobytes()
+
+
+def unpacked_counts(raw: bytes) -> np.ndarray:
+    return np.frombuffer(raw, f"<u{raw[0]}", offset=1)
+
+
+def bucket_cuts(keys: np.ndarray, buckets: int) -> list[tuple[int, int, int]]:
+    """``(bucket, from, to)`` of the buckets, ranges of the key, that have some of the sorted ``keys``."""
+    bucket = ((keys >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int64)
+    cuts = np.concatenate(([0], np.flatnonzero(np.diff(bucket)) + 1, [len(keys)])).tolist()
+    return [(int(bucket[a]), a, b) for a, b in zip(cuts, cuts[1:]) if b > a]
 
 
 def count_tables(blocks: DataFrame, order: int, buckets: int) -> DataFrame:
     """``(block, k, bucket, totals)``: the corpus counts of a block's distinct ``k``-grams in that bucket, by key."""
 
-    def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kinds = [pa.int64(), pa.int32(), pa.int32(), pa.binary(), pa.binary()]
         for batch in batches:
-            for row in batch.itertuples(index=False):
-                block, out = Block(row.sizes, row.vocab, row.words, order), []
+            for name, *parts in zip(*(batch.column(i).to_pylist() for i in range(4))):
+                block = Block(*parts, order)
                 for k in range(1, order + 1):
-                    keys, _, counts = block.keys(k)
-                    bucket = (keys % np.uint64(buckets)).astype(np.int64)
-                    by = np.argsort(bucket, kind="stable")
-                    ends = np.cumsum(np.bincount(bucket, minlength=buckets))
-                    for b, (s, e) in enumerate(zip([0, *ends[:-1]], ends)):
-                        if e > s:
-                            out.append((row.block, k, b, keys[by[s:e]].tobytes(), counts[by[s:e]].astype(np.uint32).tobytes()))
-                yield pd.DataFrame(out, columns=["block", "k", "bucket", "keys", "counts"])
+                    keys, counts = block.keys(k)
+                    out = [(name, k, b, packed_keys(keys[s:e]), packed_counts(counts[s:e])) for b, s, e in bucket_cuts(keys, buckets)]
+                    if out:
+                        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), kinds)], ["block", "k", "bucket", "keys", "counts"])
 
     def total(rows: pd.DataFrame) -> pd.DataFrame:
-        keys = np.concatenate([np.frombuffer(x, np.uint64) for x in rows["keys"]])
-        counts = np.concatenate([np.frombuffer(x, np.uint32) for x in rows["counts"]])
-        _, where = np.unique(keys, return_inverse=True)
-        totals = np.bincount(where, weights=counts)[where].astype(np.uint64)
-        cuts = np.cumsum([len(x) // 8 for x in rows["keys"]])[:-1]
-        return pd.DataFrame({"block": rows["block"], "k": rows["k"], "bucket": rows["bucket"], "totals": [x.tobytes() for x in np.split(totals, cuts)]})
-
-    cuts = blocks.select("block", "sizes", "vocab", "words").mapInPandas(cut, "block bigint, k int, bucket int, keys binary, counts binary")
+        each = [unpacked_keys(x) for x in rows["keys"]]
+        _, where = np.unique(np.concatenate(each), return_inverse=True)
+        totals = np.bincount(where, weights=np.concatenate([unpacked_counts(x) for x in rows["counts"]]))[where].astype(np.uint64)
+        return pd.DataFrame({"block": rows["block"], "k": rows["k"], "bucket": rows["bucket"], "totals": [packed_counts(x) for x in np.split(totals, np.cumsum([len(x) for x in each])[:-1])]})
+
+    cuts = blocks.select("block", "sizes", "vocab", "words").mapInArrow(cut, "block bigint, k int, bucket int, keys binary, counts binary")
     return cuts.groupBy("k", "bucket").applyInPandas(total, "block bigint, k int, bucket int, totals binary")
 
 
-def lm_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", order: int = 2, alpha: float = 0.4, min_count: int = 2, block_words: int = 1_000_000, bucket_keys: int = 1_000_000) -> DataFrame:
+def lm_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", order: int = 2, alpha: float = 0.4, min_count: int = 2, block_words: int = 5_000_000, bucket_keys: int = 1_000_000) -> DataFrame:
     """``(id_col, n_words, score)`` of each row; ``score`` is the sum of its words' natural log scores.
 
     A word's score is f(its k-gram) / f(the k-gram without its last word) for the longest k of at most
@@ -143,14 +164,11 @@ def lm_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", o
         n = len(block.place)
         before, s = np.zeros(n), np.zeros(n)
         for k in range(1, order + 1):
-            keys, where, _ = block.keys(k)
-            bucket = (keys % np.uint64(buckets)).astype(np.int64)
-            by = np.argsort(bucket, kind="stable")
-            count = np.empty(len(keys))
-            count[by] = np.concatenate([np.frombuffer(held[k, b], np.uint64) for b in np.unique(bucket).tolist()]) if len(keys) else 0
+            keys, _ = block.keys(k)
+            count = np.concatenate([np.zeros(0), *(unpacked_counts(held[k, b]) for b, _, _ in bucket_cuts(keys, buckets))])
             f = np.zeros(n)
             here = block.place >= k - 1
-            f[here] = count[where]
+            f[here] = count[np.searchsorted(keys, block.grams[k - 1][here])]
             if k == 1:
                 s = f / max(1, words)
             else:
