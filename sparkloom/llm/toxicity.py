@@ -161,7 +161,7 @@ def fit_model(rows: list[tuple[int, np.ndarray, list[np.ndarray]]], ridge: float
     return ToxicityModel(float(w[k]), {int(key): float(v) for key, v in zip(kept, w[:k]) if v})
 
 
-def train_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", max_rows: int = 12_000, kinds=IDENTITY_TERMS, **fit) -> ToxicityModel:
+def train_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", max_rows: int = 8_000, kinds=IDENTITY_TERMS, **fit) -> ToxicityModel:
     """Fit on at most ``max_rows`` labelled rows outside the held-out fold, taken by hash of the id.
 
     Null labels and labels other than 0 and 1, null ids and labels without a document are left out. A
