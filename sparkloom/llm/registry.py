@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from sparkloom.llm import bpe, decontaminate, lm, simhash, tokenfiles, toxicity, warc
+from sparkloom.llm import bpe, decontaminate, html, lm, simhash, tokenfiles, toxicity, warc
 
 QUERIES = {
     "op1_simhash_near_dedup": simhash.op1_simhash_near_dedup,
@@ -11,6 +11,7 @@ QUERIES = {
     "op5_warc": warc.op5_warc,
     "op10_lm_scoring": lm.op10_lm_scoring,
     "op7_toxicity": toxicity.op7_toxicity,
+    "op3_html_extraction": html.op3_html_extraction,
     "op6_decontamination": decontaminate.op6_decontamination,
 }
 ORACLE_SQL: dict[str, str] = {"op5_warc": warc.OP5_SQL, "op6_decontamination": decontaminate.OP6_SQL, "op10_lm_scoring": lm.OP10_SQL}
