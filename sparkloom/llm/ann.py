@@ -84,7 +84,7 @@ class CentroidGraph:
         while len(rows):
             waiting = np.where(done[rows], np.inf, dist[rows])
             best = waiting.argmin(1)
-            bound = np.maximum(dist[rows].min(1) * (1 + ratio) * 1.02, np.partition(dist[rows], least - 1, axis=1)[:, least - 1])
+            bound = np.maximum(dist[rows].min(1) * (1 + ratio) * 1.1, np.partition(dist[rows], least - 1, axis=1)[:, least - 1])
             go = waiting[np.arange(len(rows)), best] <= bound
             go &= np.isfinite(waiting[np.arange(len(rows)), best])
             rows, best = rows[go], best[go]

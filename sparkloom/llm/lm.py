@@ -41,7 +41,7 @@ def block_table(docs: DataFrame, id_col: str, text_col: str, block_words: int) -
         def close() -> pa.RecordBatch:
             vocab = np.fromiter((xxhash.xxh3_64_intdigest(w) for w in number), np.uint64, len(number))
             words = np.concatenate(texts) if texts else np.zeros(0, np.uint32)
-            values = [[part << 32 | seq], [ids], [np.array(sizes, np.uint32).tobytes()], [vocab.tobytes()], [words.tobytes()], [len(words)]]
+            values = [[part << 32 | seq], [ids], [np.array(sizes, np.uint32).tobytes()], [vocab.tobytes()], [packed_words(words)], [len(words)]]
             kinds = [pa.int64(), pa.list_(pa.string()), pa.binary(), pa.binary(), pa.binary(), pa.int64()]
             return pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip(values, kinds)], ["block", "ids", "sizes", "vocab", "words", "n"])
 
@@ -72,24 +72,30 @@ def _mixed(before: np.ndarray, word: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(32))
 
 
-class Block:
-    """The n-grams of one block: for each order, a hash at each place and whether an n-gram ends there."""
+def packed_words(words: np.ndarray) -> bytes:
+    """Word numbers byte by byte of all: frequent words have low numbers, so the high bytes compress well."""
+    return np.ascontiguousarray(words.astype("<u4").view(np.uint8).reshape(-1, 4).T).tobytes()
 
-    def __init__(self, sizes: bytes, vocab: bytes, words: bytes, order: int):
-        self.sizes = np.frombuffer(sizes, np.uint32).astype(np.int64)
-        word = np.frombuffer(vocab, np.uint64)[np.frombuffer(words, np.uint32)]
-        starts = np.concatenate(([0], np.cumsum(self.sizes)[:-1])) if len(self.sizes) else np.zeros(0, np.int64)
-        self.place = np.arange(len(word)) - np.repeat(starts, self.sizes)  # in its document
-        self.grams = [word]
-        for _ in range(1, order):
-            before = np.empty_like(word)
-            before[1:] = self.grams[-1][:-1]
-            before[:1] = 0
-            self.grams.append(_mixed(before, word))
 
-    def keys(self, k: int) -> tuple[np.ndarray, np.ndarray]:
-        """Distinct ``k``-grams in order, and their counts here."""
-        return np.unique(self.grams[k - 1][self.place >= k - 1], return_counts=True)
+def unpacked_words(raw: bytes) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(raw, np.uint8).reshape(4, -1).T).view("<u4").ravel()
+
+
+def gram_places(sizes: bytes, vocab: bytes, words: bytes, order: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """For k from 1: the hash of the ``k``-gram that ends at each place of a block, and the places where its
+    document is that long yet. An order's arrays go before the next one's come."""
+    word = np.frombuffer(vocab, np.uint64)[unpacked_words(words)]
+    size = np.frombuffer(sizes, np.uint32).astype(np.int64)
+    starts = np.concatenate((np.zeros(1, np.int64), np.cumsum(size)))[:-1]
+    gram, here = word, np.ones(len(word), bool)
+    for k in range(1, order + 1):
+        if k > 1:
+            before = np.empty_like(gram)
+            before[1:], before[:1] = gram[:-1], 0
+            gram = _mixed(before, word)
+            del before
+            here[starts[size >= k - 1] + k - 2] = False
+        yield k, gram, here
 
 
 def packed_keys(keys: np.ndarray) -> bytes:
@@ -125,9 +131,8 @@ def count_tables(blocks: DataFrame, order: int, buckets: int) -> DataFrame:
         kinds = [pa.int64(), pa.int32(), pa.int32(), pa.binary(), pa.binary()]
         for batch in batches:
             for name, *parts in zip(*(batch.column(i).to_pylist() for i in range(4))):
-                block = Block(*parts, order)
-                for k in range(1, order + 1):
-                    keys, counts = block.keys(k)
+                for k, gram, here in gram_places(*parts, order):
+                    keys, counts = np.unique(gram[here], return_counts=True)
                     out = [(name, k, b, packed_keys(keys[s:e]), packed_counts(counts[s:e])) for b, s, e in bucket_cuts(keys, buckets)]
                     if out:
                         yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), kinds)], ["block", "k", "bucket", "keys", "counts"])
@@ -142,7 +147,7 @@ def count_tables(blocks: DataFrame, order: int, buckets: int) -> DataFrame:
     return cuts.groupBy("k", "bucket").applyInPandas(total, "block bigint, k int, bucket int, totals binary")
 
 
-def lm_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", order: int = 2, alpha: float = 0.4, min_count: int = 2, block_words: int = 5_000_000, bucket_keys: int = 1_000_000) -> DataFrame:
+def lm_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", order: int = 2, alpha: float = 0.4, min_count: int = 2, block_words: int = 3_000_000, bucket_keys: int = 1_000_000) -> DataFrame:
     """``(id_col, n_words, score)`` of each row; ``score`` is the sum of its words' natural log scores.
 
     A word's score is f(its k-gram) / f(the k-gram without its last word) for the longest k of at most
@@ -159,25 +164,26 @@ def lm_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", o
 
     def score(rows: pd.DataFrame, totals: pd.DataFrame) -> pd.DataFrame:
         row = rows.iloc[0]
-        block = Block(row["sizes"], row["vocab"], row["words"], order)
         held = {(k, b): x for k, b, x in zip(totals["k"], totals["bucket"], totals["totals"])}
-        n = len(block.place)
-        before, s = np.zeros(n), np.zeros(n)
-        for k in range(1, order + 1):
-            keys, _ = block.keys(k)
-            count = np.concatenate([np.zeros(0), *(unpacked_counts(held[k, b]) for b, _, _ in bucket_cuts(keys, buckets))])
-            f = np.zeros(n)
-            here = block.place >= k - 1
-            f[here] = count[np.searchsorted(keys, block.grams[k - 1][here])]
+        before = s = None
+        for k, gram, here in gram_places(row["sizes"], row["vocab"], row["words"], order):
+            keys = np.unique(gram[here])
+            count = np.concatenate([np.zeros(0, np.uint64), *(unpacked_counts(held[k, b]).astype(np.uint64) for b, _, _ in bucket_cuts(keys, buckets))])
+            f = np.zeros(len(gram))
+            for at in range(0, len(gram), 1 << 19):  # in parts, for the sake of memory
+                part = slice(at, at + (1 << 19))
+                f[part][here[part]] = count[np.searchsorted(keys, gram[part][here[part]])]
             if k == 1:
                 s = f / max(1, words)
             else:
-                context = np.concatenate(([1.0], before[:-1]))
-                s = np.where(here, np.where(f >= min_count, f / np.where(here, context, 1.0), alpha * s), s)
+                seen = here & (f >= min_count)
+                s[here & ~seen] *= alpha
+                at = np.flatnonzero(seen)
+                s[at] = f[at] / before[at - 1]
             before = f
-        logs, ends = np.log(s), np.cumsum(block.sizes).tolist()
-        scores = [float(logs[e - z : e].sum()) for e, z in zip(ends, block.sizes.tolist())]
-        return pd.DataFrame({"id": pd.Series(list(row["ids"]), dtype=object), "n_words": block.sizes, "score": scores})
+        logs, size = np.log(s), np.frombuffer(row["sizes"], np.uint32).astype(np.int64)
+        scores = [float(logs[e - z : e].sum()) for e, z in zip(np.cumsum(size).tolist(), size.tolist())]
+        return pd.DataFrame({"id": pd.Series(list(row["ids"]), dtype=object), "n_words": size, "score": scores})
 
     packed = blocks.select("block", "ids", "sizes", "vocab", "words").groupBy("block")
     found = packed.cogroup(totals.groupBy("block")).applyInPandas(score, "id string, n_words bigint, score double")
