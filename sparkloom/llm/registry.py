@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from sparkloom.llm import ann, bpe, decontaminate, html, lm, simhash, tokenfiles, toxicity, warc
+from sparkloom.llm import ann, bpe, decontaminate, html, license, lm, simhash, tokenfiles, toxicity, warc
 
 QUERIES = {
     "op1_simhash_near_dedup": simhash.op1_simhash_near_dedup,
@@ -13,6 +13,7 @@ QUERIES = {
     "op7_toxicity": toxicity.op7_toxicity,
     "op3_html_extraction": html.op3_html_extraction,
     "op2_ann_search": ann.op2_ann_search,
+    "op9_license_scan": license.op9_license_scan,
     "op6_decontamination": decontaminate.op6_decontamination,
 }
 ORACLE_SQL: dict[str, str] = {"op5_warc": warc.OP5_SQL, "op6_decontamination": decontaminate.OP6_SQL, "op10_lm_scoring": lm.OP10_SQL}
