@@ -18,6 +18,7 @@ from __future__ import annotations
 import bisect
 import json
 import os
+import re
 import struct
 import uuid
 import zlib
@@ -27,19 +28,22 @@ from functools import lru_cache
 import numpy as np
 import public_tokenizers
 import pyarrow as pa
+import pyarrow.compute as pc
 import pyarrow.fs as pafs
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from sparkloom.llm.arrow import release_memory
 from sparkloom.llm.bpe import text_groups
 from sparkloom.llm.mphf import PerfectHash, key_hashes
-from sparkloom.llm.pretokens import pretokens
 from sparkloom.session import scratch_dir, stored
 
 MAGIC = b"LOOMTOK1"
-KEPT = 1 << 19  # pretokens that a worker remembers
-LINE = 2_000  # new words that are encoded as one text
+KEPT = 750_000  # chunks that a worker remembers
+LINE = 2_000  # new chunks that are encoded as one text
+_runs = re.compile(r"(\s{2,})")
+_odd_space = re.compile("[\x1c-\x1f]")
 
 
 def open_fs(uri: str) -> tuple[pafs.FileSystem, str]:
@@ -48,7 +52,12 @@ def open_fs(uri: str) -> tuple[pafs.FileSystem, str]:
 
 class TextTokenizer:
     """A tokenizer of the tokenizers library. Where it splits texts by the byte-level pattern and nothing
-    before that changes or spans pretokens, each pretoken is encoded once and remembered, up to a bound."""
+    before that changes them, what stands between single blanks is encoded once and remembered, up to a bound.
+
+    The pattern gives a blank to the word after it, so a text without two white spaces in a row is its first
+    chunk and then ' ' with each further chunk, each encoded by itself. Of a longer run of white space the
+    last one counts so, and those before it are one pretoken.
+    """
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -62,9 +71,10 @@ class TextTokenizer:
         self.size = self.tokenizer.get_vocab_size()
         made = json.loads(spec)
         pre, added = made.get("pre_tokenizer") or {}, made.get("added_tokens") or []
-        self.by_pretoken = pre.get("type") == "ByteLevel" and pre.get("use_regex", True) and not pre.get("add_prefix_space") and not made.get("normalizer") and not made.get("truncation") and not made.get("padding") and all(t.get("special") for t in added)
-        self.known: dict[str, bytes] = {}
-        if self.by_pretoken:  # a character of a token's name is a byte
+        self.by_chunk = pre.get("type") == "ByteLevel" and pre.get("use_regex", True) and not pre.get("add_prefix_space") and not made.get("normalizer") and not made.get("truncation") and not made.get("padding") and all(t.get("special") for t in added)
+        self.first: dict[str, bytes] = {}  # ids of a chunk
+        self.further: dict[str, bytes] = {}  # ids of a blank and a chunk
+        if self.by_chunk:  # a character of a token's name is a byte
             self.lengths = np.zeros(max(self.tokenizer.get_vocab().values()) + 1, np.int64)
             for token, i in self.tokenizer.get_vocab().items():
                 self.lengths[i] = len(token)
@@ -72,39 +82,97 @@ class TextTokenizer:
     def ids_of(self, texts: list[str], kind: str) -> list[np.ndarray]:
         return [np.array(e.ids, kind) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def learn(self, new: list[str], kind: str) -> None:
-        """Encode pretokens. Words go many to a text, with line ends between them, at which the pattern
-        splits as well; the lengths of the tokens then tell which are whose."""
-        known = self.known
-        words = [p for p in new if p.lstrip(" ").isalpha()]
-        rest = [p for p in new if not p.lstrip(" ").isalpha()]
-        lines = [words[at : at + LINE] for at in range(0, len(words), LINE)]
+    def learn(self, chunks: set[str], kind: str) -> None:
+        """Encode new chunks after a blank. They go many to a text, with line ends between them, at which the
+        pattern splits as well; the lengths of the tokens then tell which are whose. A comma or full stop
+        after letters is a pretoken of its own."""
+        known = self.further
+        chunks = {c for c in chunks if c not in known}
+        marks = {c: self.ids_of([c], kind)[0].tobytes() for c in ".,"}
+        marked = [c for c in chunks if c[-1:] in marks and c[:-1].isalpha()]
+        stems = {c[:-1] for c in marked}
+        new = [c for c in (chunks - set(marked)) | stems if c not in known]
+        plain = [c for c in new if c and not c[0].isspace() and not c[-1].isspace()]
+        rest = [c for c in new if not c or c[0].isspace() or c[-1].isspace()]
+        lines = [plain[at : at + LINE] for at in range(0, len(plain), LINE)]
         for at in range(0, len(lines), 8):
             part = lines[at : at + 8]
-            for own, ids in zip(part, self.ids_of(["\n".join(x) for x in part], kind)):
-                ends = np.cumsum([len(p.encode()) + 1 for p in own]) - 1  # in bytes, the line end left out
+            for own, ids in zip(part, self.ids_of([" " + "\n ".join(x) for x in part], kind)):
+                ends = np.cumsum([len(c.encode()) + 2 for c in own]) - 1  # in bytes, with the blank, without the line end
                 until = np.cumsum(self.lengths[ids])
                 stop = np.searchsorted(until, ends)
                 if not (until[stop] == ends).all():
                     raise ValueError("the tokenizer joined words across a line end")
-                start = np.concatenate(([0], stop[:-1] + 2))  # past the line end's own token
-                known.update(zip(own, [ids[a : b + 1].tobytes() for a, b in zip(start.tolist(), stop.tolist())]))
-        for at in range(0, len(rest), 10_000):
-            part = rest[at : at + 10_000]
-            known.update(zip(part, [ids.tobytes() for ids in self.ids_of(part, kind)]))
+                start = [0, *(stop[:-1] + 2).tolist()]  # past the line end's own token
+                raw, width = ids.tobytes(), ids.itemsize
+                known.update(zip(own, [raw[a * width : (b + 1) * width] for a, b in zip(start, stop.tolist())]))
+        for c, ids in zip(rest, self.ids_of([" " + c for c in rest], kind) if rest else ()):
+            known[c] = ids.tobytes()
+        for c in marked:
+            known[c] = known[c[:-1]] + marks[c[-1]]
+
+    def pieces(self, text: str) -> list[tuple[bool, list[str]]]:
+        """The text as parts: whether their chunks follow a blank each, and the chunks."""
+        first, *rest = text.split(" ")
+        if _runs.search(text) is None:
+            return [(False, [first]), (True, rest)]
+        if _odd_space.search(text):  # here engines differ on what is white space
+            return [(False, [text])]
+        parts: list[tuple[bool, list[str]]] = []
+        blank, cut = False, _runs.split(text)
+        for own, run in zip(cut[::2], [*cut[1::2], ""]):
+            if own:
+                first, *rest = own.split(" ")
+                parts += [(blank, [first]), (True, rest)]
+            if run:
+                blank = run[-1] == " "
+                parts.append((False, [run[:-1]] if blank else [run[:-1], run[-1]]))
+        if cut[-1] == "":  # at the end a run is one pretoken
+            parts[-1] = (False, [cut[-2]])
+        return parts
 
     def encode(self, texts: list[str], kind: str) -> list[bytes]:
-        if not self.by_pretoken:
+        if not self.by_chunk:
             return [ids.tobytes() for ids in self.ids_of(texts, kind)]
-        known = self.known
-        split = [pretokens(t) for t in texts]
-        new = list({p for own in split for p in own if p not in known})
-        if len(known) + len(new) > KEPT:
-            now = {p for own in split for p in own}
-            for p in [p for p in known if p not in now]:
-                del known[p]
-        self.learn(new, kind)
-        return [b"".join(map(known.__getitem__, own)) for own in split]
+        split = [None if _runs.search(t) is None else self.pieces(t) for t in texts]
+        firsts = [t.partition(" ")[0] for t in texts]
+        # chunks of texts without runs are cut, numbered and put together as arrays
+        rest = pa.array([t[len(f) + 1 :] if s is None and len(f) < len(t) else None for t, f, s in zip(texts, firsts, split)], pa.string())
+        lists = pc.split_pattern(rest, " ")
+        coded = lists.flatten().dictionary_encode()
+        chunks = coded.dictionary.to_pylist()
+        new = ({f for f, s in zip(firsts, split) if s is None}, set(chunks))
+        for parts in split:
+            for after, own in parts or ():
+                new[after].update(own)
+        if len(self.first) + len(self.further) > KEPT:
+            for have, now in zip((self.first, self.further), new):
+                for c in [c for c in have if c not in now]:
+                    del have[c]
+        broken = [c for c in new[1] if "\n" in c and c not in self.further]
+        for c in broken:  # no other white space is beside the line end, so it is a pretoken
+            head, *tail = c.split("\n")
+            new[1].discard(c)
+            new[1].add(head)
+            new[0].update(("\n", *tail))
+        self.learn(new[1], kind)
+        missing = [c for c in new[0] if c not in self.first]
+        for c, ids in zip(missing, self.ids_of(missing, kind) if missing else ()):
+            self.first[c] = ids.tobytes()
+        for c in broken:
+            head, *tail = c.split("\n")
+            self.further[c] = self.further[head] + b"".join(self.first["\n"] + self.first[t] for t in tail)
+        known = (self.first, self.further)
+        each = [self.further[c] for c in chunks]
+        ids = np.frombuffer(b"".join(each), kind)
+        sizes = np.fromiter(map(len, each), np.int64, len(each)) // np.dtype(kind).itemsize
+        place = coded.indices.to_numpy(zero_copy_only=False).astype(np.int64)
+        n = sizes[place]
+        ends = np.cumsum(n)
+        total = int(ends[-1]) if len(ends) else 0
+        flat = ids[np.repeat((np.cumsum(sizes) - sizes)[place] - (ends - n), n) + np.arange(total)]
+        upto = np.concatenate(([0], ends))[np.concatenate(([0], np.cumsum(pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False))))].tolist()
+        return [self.first[f] + flat[a:b].tobytes() if s is None else b"".join([x for after, own in s for x in map(known[after].__getitem__, own)]) for f, s, a, b in zip(firsts, split, upto, upto[1:])]
 
 
 @lru_cache(maxsize=2)
@@ -210,7 +278,7 @@ def write_token_files(docs: DataFrame, folder: str, tokenizer: str, id_col: str
                 for ids in coder.encode(group, kind):
                     writer.add(keys[at], ids + end)
                     at += 1
-        pa.default_memory_pool().release_unused()
+        release_memory()
         if writer is not None:
             writer.close()
             there = [k for k in writer.keys[:1] + writer.keys[-1:] if k is not None]
