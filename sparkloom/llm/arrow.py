@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+
 import pyarrow as pa
 
 
@@ -9,3 +11,12 @@ def byte_values(column: pa.Array) -> list[bytes]:
     """UTF-8 bytes of a string column, without decoding; null is empty."""
     kind = pa.large_binary() if pa.types.is_large_string(column.type) else pa.binary()
     return [b"" if x is None else x for x in column.cast(kind).to_pylist()]
+
+
+def release_memory() -> None:
+    """Give freed memory back to the system: workers live on after their task."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except AttributeError:  # another C library
+        pass

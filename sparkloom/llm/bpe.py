@@ -21,11 +21,12 @@ import pyarrow.fs as pafs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from sparkloom.llm.arrow import release_memory
 from sparkloom.llm.pretokens import pretokens
 
 NONE = 1 << 40  # above any rank
 WIDEST = 32  # bytes of the pretokens that go many at a time
-KEPT = 1 << 20  # pretokens that a worker remembers
+KEPT = 400_000  # pretokens that a task remembers
 
 
 class RankTable:
@@ -192,7 +193,6 @@ class Encoder:
         return b"".join(map(self.table.parts.__getitem__, np.frombuffer(ids, "<u4").tolist()))
 
 
-@lru_cache(maxsize=2)
 def encoder(path: str) -> Encoder:
     return Encoder(rank_table(path))
 
@@ -231,6 +231,8 @@ def encoded(docs: DataFrame, path: str, text_col: str = "text", ids_col: str = "
                     out.append({"n_tokens": len(ids) // 4, "ids_sha256": hashlib.sha256(ids).hexdigest(), "decoded_sha256": hashlib.sha256(coder.decode(ids)).hexdigest()} if as_digests else ids)
             kind = pa.struct([("n_tokens", pa.int64()), ("ids_sha256", pa.string()), ("decoded_sha256", pa.string())]) if as_digests else pa.binary()
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out, kind)], [*batch.schema.names, ids_col])
+        del coder
+        release_memory()
 
     return docs.select(*[F.col(f"`{c}`") for c in kept]).mapInArrow(run, schema)
 

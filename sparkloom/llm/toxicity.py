@@ -33,7 +33,7 @@ IDENTITY_TERMS = (
     ("immigrants", "refugees", "foreigners", "natives"),
     ("disabled", "blind", "deaf", "elderly", "young"),
 )
-KEPT = 1 << 20  # words whose weight a worker remembers
+KEPT = 1 << 18  # words whose weight a task remembers
 
 
 def word_key(word: bytes) -> int:
