@@ -40,9 +40,11 @@ from sparkloom.llm.mphf import PerfectHash, key_hashes
 from sparkloom.session import scratch_dir, stored
 
 MAGIC = b"LOOMTOK1"
-KEPT = 750_000  # chunks that a worker remembers
-LINE = 2_000  # new chunks that are encoded as one text
+KEPT = 1_000_000  # chunks that a worker remembers
+LINE = 2_000  # new words that are encoded as one text
 _runs = re.compile(r"(\s{2,})")
+_shown = [*range(33, 127), *range(161, 173), *range(174, 256)]  # bytes that name themselves, the others follow from 256 on
+_names = {b: chr(b) for b in _shown} | {b: chr(256 + i) for i, b in enumerate(b for b in range(256) if b not in _shown)}
 _odd_space = re.compile("[\x1c-\x1f]")
 
 
@@ -75,6 +77,8 @@ class TextTokenizer:
         self.first: dict[str, bytes] = {}  # ids of a chunk
         self.further: dict[str, bytes] = {}  # ids of a blank and a chunk
         if self.by_chunk:  # a character of a token's name is a byte
+            made["pre_tokenizer"] = {"type": "WhitespaceSplit"}
+            self.spelled = Tokenizer.from_str(json.dumps(made | {"added_tokens": []}))
             self.lengths = np.zeros(max(self.tokenizer.get_vocab().values()) + 1, np.int64)
             for token, i in self.tokenizer.get_vocab().items():
                 self.lengths[i] = len(token)
@@ -82,34 +86,52 @@ class TextTokenizer:
     def ids_of(self, texts: list[str], kind: str) -> list[np.ndarray]:
         return [np.array(e.ids, kind) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def learn(self, chunks: set[str], kind: str) -> None:
-        """Encode new chunks after a blank. They go many to a text, with line ends between them, at which the
-        pattern splits as well; the lengths of the tokens then tell which are whose. A comma or full stop
-        after letters is a pretoken of its own."""
-        known = self.further
-        chunks = {c for c in chunks if c not in known}
-        marks = {c: self.ids_of([c], kind)[0].tobytes() for c in ".,"}
-        marked = [c for c in chunks if c[-1:] in marks and c[:-1].isalpha()]
-        stems = {c[:-1] for c in marked}
-        new = [c for c in (chunks - set(marked)) | stems if c not in known]
-        plain = [c for c in new if c and not c[0].isspace() and not c[-1].isspace()]
-        rest = [c for c in new if not c or c[0].isspace() or c[-1].isspace()]
-        lines = [plain[at : at + LINE] for at in range(0, len(plain), LINE)]
+    def word_ids(self, words: list[str], kind: str) -> list[bytes]:
+        """Ids of single pretokens of letters, after a blank or not. They go many to a text, spelled in the
+        names of bytes and apart by blanks, past the pattern; the lengths of the tokens tell which are whose."""
+        out: list[bytes] = []
+        lines = [words[at : at + LINE] for at in range(0, len(words), LINE)]
         for at in range(0, len(lines), 8):
             part = lines[at : at + 8]
-            for own, ids in zip(part, self.ids_of([" " + "\n ".join(x) for x in part], kind)):
-                ends = np.cumsum([len(c.encode()) + 2 for c in own]) - 1  # in bytes, with the blank, without the line end
+            texts = ["\n".join(own).encode().decode("latin-1").translate(_names) for own in part]
+            for text, e in zip(texts, self.spelled.encode_batch_fast([t.replace(_names[10], " ") for t in texts], add_special_tokens=False)):
+                ids = np.array(e.ids, kind)
+                ends = np.cumsum(np.fromiter(map(len, text.split(_names[10])), np.int64))
                 until = np.cumsum(self.lengths[ids])
                 stop = np.searchsorted(until, ends)
                 if not (until[stop] == ends).all():
-                    raise ValueError("the tokenizer joined words across a line end")
-                start = [0, *(stop[:-1] + 2).tolist()]  # past the line end's own token
-                raw, width = ids.tobytes(), ids.itemsize
-                known.update(zip(own, [raw[a * width : (b + 1) * width] for a, b in zip(start, stop.tolist())]))
-        for c, ids in zip(rest, self.ids_of([" " + c for c in rest], kind) if rest else ()):
-            known[c] = ids.tobytes()
-        for c in marked:
-            known[c] = known[c[:-1]] + marks[c[-1]]
+                    raise ValueError("the tokenizer joined words")
+                raw, cuts = ids.tobytes(), ((stop + 1) * ids.itemsize).tolist()
+                out += [raw[i:j] for i, j in zip([0, *cuts], cuts)]
+        return out
+
+    def learn(self, first: set[str], further: set[str], kind: str) -> None:
+        """Encode new chunks, ``further`` ones after a blank. A comma or full stop after letters is a pretoken
+        of its own, and so is a line end that no other white space is next to."""
+        known, marks = self.further, {c: self.ids_of([c], kind)[0].tobytes() for c in ".,\n"}
+        words, marked, broken, rest = [], [], [], []
+        for c in further:
+            if c.isalpha():
+                words.append(c)
+            elif c[-1:] in ".," and c[:-1].isalpha():
+                marked.append(c)
+            elif "\n" in c and not _runs.search(f" {c}"):
+                broken.append(c)
+            else:
+                rest.append(c)
+        pieces = [c.split("\n") for c in broken]
+        first = {*first, *(t for p in pieces for t in p[1:] if t not in self.first)}
+        heads = {p[0] for p in pieces if p[0] not in known}
+        rest += [c for c in heads if not c.isalpha()]
+        words = [*{*words, *(c for c in heads if c.isalpha()), *(c[:-1] for c in marked if c[:-1] not in known)}]
+        known.update(zip(words, self.word_ids([" " + c for c in words], kind)))
+        known.update([(c, known[c[:-1]] + marks[c[-1]]) for c in marked])
+        known.update([(c, ids.tobytes()) for c, ids in zip(rest, self.ids_of([" " + c for c in rest], kind) if rest else ())])
+        alone = [c for c in first if c.isalpha()]
+        others = [c for c in first if not c.isalpha()]
+        self.first.update(zip(alone, self.word_ids(alone, kind)))
+        self.first.update([(c, ids.tobytes()) for c, ids in zip(others, self.ids_of(others, kind) if others else ())])
+        known.update([(c, known[p[0]] + b"".join([marks["\n"] + self.first[t] for t in p[1:]])) for c, p in zip(broken, pieces)])
 
     def pieces(self, text: str) -> list[tuple[bool, list[str]]]:
         """The text as parts: whether their chunks follow a blank each, and the chunks."""
@@ -141,29 +163,18 @@ class TextTokenizer:
         lists = pc.split_pattern(rest, " ")
         coded = lists.flatten().dictionary_encode()
         chunks = coded.dictionary.to_pylist()
-        new = ({f for f, s in zip(firsts, split) if s is None}, set(chunks))
+        have = (self.first, self.further)
+        if len(self.first) + len(self.further) > KEPT:
+            now = ({*firsts}, {*chunks})
+            for own, used in zip(have, now):
+                for c in [c for c in own if c not in used]:
+                    del own[c]
+        new = ({f for f, s in zip(firsts, split) if s is None and f not in self.first}, {c for c in chunks if c not in self.further})
         for parts in split:
             for after, own in parts or ():
-                new[after].update(own)
-        if len(self.first) + len(self.further) > KEPT:
-            for have, now in zip((self.first, self.further), new):
-                for c in [c for c in have if c not in now]:
-                    del have[c]
-        broken = [c for c in new[1] if "\n" in c and c not in self.further]
-        for c in broken:  # no other white space is beside the line end, so it is a pretoken
-            head, *tail = c.split("\n")
-            new[1].discard(c)
-            new[1].add(head)
-            new[0].update(("\n", *tail))
-        self.learn(new[1], kind)
-        missing = [c for c in new[0] if c not in self.first]
-        for c, ids in zip(missing, self.ids_of(missing, kind) if missing else ()):
-            self.first[c] = ids.tobytes()
-        for c in broken:
-            head, *tail = c.split("\n")
-            self.further[c] = self.further[head] + b"".join(self.first["\n"] + self.first[t] for t in tail)
-        known = (self.first, self.further)
-        each = [self.further[c] for c in chunks]
+                new[after].update([c for c in own if c not in have[after]])
+        self.learn(*new, kind)
+        each = list(map(self.further.__getitem__, chunks))
         ids = np.frombuffer(b"".join(each), kind)
         sizes = np.fromiter(map(len, each), np.int64, len(each)) // np.dtype(kind).itemsize
         place = coded.indices.to_numpy(zero_copy_only=False).astype(np.int64)
@@ -172,7 +183,7 @@ class TextTokenizer:
         total = int(ends[-1]) if len(ends) else 0
         flat = ids[np.repeat((np.cumsum(sizes) - sizes)[place] - (ends - n), n) + np.arange(total)]
         upto = np.concatenate(([0], ends))[np.concatenate(([0], np.cumsum(pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False))))].tolist()
-        return [self.first[f] + flat[a:b].tobytes() if s is None else b"".join([x for after, own in s for x in map(known[after].__getitem__, own)]) for f, s, a, b in zip(firsts, split, upto, upto[1:])]
+        return [self.first[f] + flat[a:b].tobytes() if s is None else b"".join([x for after, own in s for x in map(have[after].__getitem__, own)]) for f, s, a, b in zip(firsts, split, upto, upto[1:])]
 
 
 @lru_cache(maxsize=2)
@@ -274,7 +285,7 @@ def write_token_files(docs: DataFrame, folder: str, tokenizer: str, id_col: str
             key_type = batch.column(0).type
             keys, texts, at = batch.column(0).to_pylist(), ["" if t is None else t for t in batch.column(1).to_pylist()], 0
             writer = writer or ShardWriter(uri, kind)
-            for group in text_groups(texts, 2_000_000):
+            for group in text_groups(texts):
                 for ids in coder.encode(group, kind):
                     writer.add(keys[at], ids + end)
                     at += 1
