@@ -197,7 +197,7 @@ def encoder(path: str) -> Encoder:
     return Encoder(rank_table(path))
 
 
-def text_groups(texts: list[str], limit: int = 4_000_000) -> Iterator[list[str]]:
+def text_groups(texts: list[str], limit: int = 2_000_000) -> Iterator[list[str]]:
     """Runs of texts of about ``limit`` characters, so that memory follows the limit and the longest text."""
     own, chars = [], 0
     for t in texts:
@@ -210,27 +210,32 @@ def text_groups(texts: list[str], limit: int = 4_000_000) -> Iterator[list[str]]
         yield own
 
 
-def encoded(docs: DataFrame, path: str, text_col: str = "text", ids_col: str = "ids", as_digests: bool = False) -> DataFrame:
+def encoded(docs: DataFrame, path: str, text_col: str = "text", ids_col: str = "ids", as_digests: bool = False, check: bool = False) -> DataFrame:
     """``docs`` with the ids of each whole text, as packed little-endian unsigned 32-bit integers.
 
     Null and empty texts have no ids. All rows and all other columns stay, repeated rows too; a column
     already named like the new one is replaced. ``as_digests``: instead of the ids themselves, a struct of
-    their number, their SHA-256 and the SHA-256 of the bytes they decode to.
+    their number, their SHA-256 and the SHA-256 of the bytes they decode to. ``check``: the ids are decoded
+    again, and the job fails if they do not give the text.
     """
     kept = [c for c in docs.columns if c != ids_col]
     shape = "struct<n_tokens:bigint,ids_sha256:string,decoded_sha256:string>" if as_digests else "binary"
     schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema if f.name in kept), f"`{ids_col}` {shape}"])
+    kind = pa.struct([("n_tokens", pa.int64()), ("ids_sha256", pa.string()), ("decoded_sha256", pa.string())]) if as_digests else pa.binary()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = encoder(path)
         for batch in batches:
-            texts = ["" if t is None else t for t in batch.column(batch.schema.get_field_index(text_col)).to_pylist()]
-            out = []
-            for group in text_groups(texts):
-                for ids in coder.encode(group):
-                    out.append({"n_tokens": len(ids) // 4, "ids_sha256": hashlib.sha256(ids).hexdigest(), "decoded_sha256": hashlib.sha256(coder.decode(ids)).hexdigest()} if as_digests else ids)
-            kind = pa.struct([("n_tokens", pa.int64()), ("ids_sha256", pa.string()), ("decoded_sha256", pa.string())]) if as_digests else pa.binary()
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out, kind)], [*batch.schema.names, ids_col])
+            at, column = 0, batch.schema.get_field_index(text_col)
+            for group in text_groups(["" if t is None else t for t in batch.column(column).to_pylist()]):
+                out = coder.encode(group)
+                if check and any(coder.decode(ids) != t.encode() for ids, t in zip(out, group)):
+                    raise ValueError("ids do not decode to their text")
+                if as_digests:
+                    out = [{"n_tokens": len(ids) // 4, "ids_sha256": hashlib.sha256(ids).hexdigest(), "decoded_sha256": hashlib.sha256(coder.decode(ids)).hexdigest()} for ids in out]
+                part = batch.slice(at, len(group))
+                at += len(group)
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(out, kind)], [*batch.schema.names, ids_col])
         del coder
         release_memory()
 
@@ -244,8 +249,10 @@ def decoded(rows: DataFrame, path: str, ids_col: str = "ids", bytes_col: str = "
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = encoder(path)
         for batch in batches:
-            got = [None if x is None else coder.decode(x) for x in batch.column(batch.schema.get_field_index(ids_col)).to_pylist()]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(got, pa.binary())], [*batch.schema.names, bytes_col])
+            for at in range(0, len(batch), 500):
+                part = batch.slice(at, 500)
+                got = [None if x is None else coder.decode(x) for x in part.column(batch.schema.get_field_index(ids_col)).to_pylist()]
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(got, pa.binary())], [*batch.schema.names, bytes_col])
 
     return rows.select(*[F.col(f"`{c}`") for c in rows.columns if c != bytes_col]).mapInArrow(run, schema)
 

@@ -25,7 +25,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sparkloom.llm.arrow import byte_values
+from sparkloom.llm.arrow import byte_values, release_memory
 from sparkloom.session import stored
 
 #: Lower-cases A-Z, keeps 0-9, a-z and all bytes of characters beyond ASCII, and turns the rest into blanks.
@@ -42,7 +42,7 @@ def item_windows(words: list, size: int) -> list[tuple]:
     return [tuple(words[i : i + size]) for i in range(max(1, len(words) - size + 1))] if words else []
 
 
-def positional_index(docs: DataFrame, terms: dict[bytes, int], id_col: str, text_col: str, shard_words: int = 4_000_000) -> DataFrame:
+def positional_index(docs: DataFrame, terms: dict[bytes, int], id_col: str, text_col: str, shard_words: int = 2_000_000) -> DataFrame:
     """Rows ``(shard, term, n, postings)``, and for each shard a row of term -1 with its ids and word counts."""
     sent = docs.sparkSession.sparkContext.broadcast(terms)
 
@@ -56,7 +56,7 @@ def positional_index(docs: DataFrame, terms: dict[bytes, int], id_col: str, text
 
         def close() -> pa.RecordBatch:
             term = np.concatenate(found) if found else np.zeros(0, np.int32)
-            place = np.concatenate(places) if places else np.zeros(0, np.int64)
+            place = np.concatenate(places) if places else np.zeros(0, np.int32)
             order = np.argsort(term, kind="stable")
             term, place = term[order], place[order]
             cuts = np.flatnonzero(np.diff(term)) + 1
@@ -80,7 +80,7 @@ def positional_index(docs: DataFrame, terms: dict[bytes, int], id_col: str, text
                 terms_here = np.fromiter(map(get, words, repeat(-1)), np.int32, len(words))
                 at = np.flatnonzero(terms_here >= 0)
                 found.append(terms_here[at])
-                places.append(at + base)
+                places.append((at + base).astype(np.int32))
                 ids.append(key)
                 sizes.append(len(words))
                 base += len(words) + 1  # a free place between documents
@@ -89,6 +89,8 @@ def positional_index(docs: DataFrame, terms: dict[bytes, int], id_col: str, text
                     ids, sizes, found, places, base, seq = [], [], [], [], 0, seq + 1
         if ids:
             yield close()
+        del found, places
+        release_memory()
 
     rows = docs.select(F.col(id_col).cast("string").alias("id"), F.col(text_col).alias("text"))  # a list of text stays whole where one of numbers with nulls would not
     return rows.mapInArrow(run, "shard bigint, term int, n bigint, postings binary, ids array<string>")
@@ -178,7 +180,7 @@ def _merged(lists):
     return F.aggregate(runs, empty, step)
 
 
-def decontaminate(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", size: int = 10, slop: int = 0, block_chars: int = 8_000_000, shard_words: int = 4_000_000) -> DataFrame:
+def decontaminate(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", size: int = 10, slop: int = 0, block_chars: int = 8_000_000, shard_words: int = 2_000_000) -> DataFrame:
     """One row per row of ``docs``: ``(id_col, n_words, n_hit, spans, items, contaminated)``.
 
     ``spans``: runs of words hit, as [start, end) word numbers, in order; ``n_hit`` is their total length.

@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from sparkloom.llm.arrow import byte_values
+from sparkloom.llm.arrow import byte_values, release_memory
 from sparkloom.operators.components import connected_components
 from sparkloom.session import stored
 
@@ -58,6 +58,7 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         for batch in batches:
             found = np.array([fingerprint_of(x, width, seed) for x in byte_values(batch.column(0))], np.uint64)
             yield pa.RecordBatch.from_arrays([*batch.columns[1:], pa.array(found.view(np.int64))], [*batch.schema.names[1:], "fp"])
+        release_memory()
 
     rows = docs.select(F.col(text_col).alias("text"), F.col(id_col).alias("id"), *[c.alias(name) for name, c in (also or {}).items()])
     return rows.mapInArrow(run, ", ".join([*(f"{f.name} {f.dataType.simpleString()}" for f in rows.schema[1:]), "fp bigint"]))

@@ -18,7 +18,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sparkloom.llm.arrow import byte_values
+from sparkloom.llm.arrow import byte_values, release_memory
 from sparkloom.llm.decontaminate import words_of
 
 #: Identity terms by kind; terms of one kind are swapped for one another.
@@ -184,6 +184,8 @@ def with_toxicity(docs: DataFrame, model: ToxicityModel, text_col: str = "text",
             texts = byte_values(batch.column(batch.schema.get_field_index(text_col)))
             scores = [model.score(words_of(t), known) for t in texts]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(scores, pa.float64())], [*batch.schema.names, score_col])
+        del known
+        release_memory()
 
     schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in kept), f"`{score_col}` double"])
     return docs.select(*[F.col(f"`{f.name}`") for f in kept]).mapInArrow(run, schema)
