@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from sparkloom.plans import stats, temporal  # noqa: F401  they register queries
+from sparkloom.plans import pairs, stats, temporal  # noqa: F401  they register queries
 from sparkloom.plans.registry import ORACLE_SQL, QUERIES
 
 __all__ = ["ORACLE_SQL", "QUERIES"]
