@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from sparkloom.functions.scalars import set_digest
 from sparkloom.operators import pairs as pr
-from sparkloom.plans.registry import query
+from sparkloom.plans.registry import digest_sql, query
 
 
 def lines(t):
@@ -171,10 +172,10 @@ def _(t):
     return a.join(b, "s_nationkey").where("first < second").select("first", "second", F.round(F.col("y") - F.col("x"), 4).alias("offset"))
 
 
-@query("j20_override_digest", "SELECT sha256(string_agg(s_name || ':' || coalesce(n_name, '-'), ',' ORDER BY s_name)) AS digest, count(n_name) AS overridden FROM supplier LEFT JOIN nation ON s_suppkey = n_nationkey")
+@query("j20_override_digest", f"SELECT {digest_sql("(s_name || ':' || coalesce(n_name, '-'))")} AS digest, count(n_name) AS overridden FROM supplier LEFT JOIN nation ON s_suppkey = n_nationkey")
 def _(t):
     j = t.supplier.join(t.nation, F.col("s_suppkey") == F.col("n_nationkey"), "left").select(F.concat_ws(":", "s_name", F.coalesce("n_name", F.lit("-"))).alias("x"), "n_name")
-    return j.agg(F.sha2(F.array_join(F.array_sort(F.collect_list("x")), ","), 256).alias("digest"), F.count("n_name").alias("overridden"))
+    return j.agg(set_digest(F.col("x")).alias("digest"), F.count("n_name").alias("overridden"))
 
 
 @query("u1_union_first", """WITH x AS (SELECT 0 AS l, l_suppkey AS a, l_partkey % 100 AS b, l_orderkey AS o FROM lineitem WHERE l_linenumber = 1 UNION ALL SELECT 1, l_partkey % 100, l_suppkey, l_orderkey FROM lineitem WHERE l_linenumber > 1)

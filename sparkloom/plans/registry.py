@@ -32,3 +32,9 @@ def query(name: str, sql: str | None = None) -> Callable:
         return build
 
     return add
+
+
+def digest_sql(text: str) -> str:
+    """SQL of :func:`sparkloom.functions.scalars.set_digest`."""
+    part = lambda at: f"sum(('0x' || substr(md5({text}), {at}, 8))::BIGINT)::BIGINT"
+    return f"sha256(count(*) || ':' || {part(1)} || ':' || {part(9)})"

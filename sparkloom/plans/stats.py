@@ -4,8 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from sparkloom.functions.scalars import set_digest
 from sparkloom.operators import stats as st
-from sparkloom.plans.registry import query
+from sparkloom.plans.registry import digest_sql, query
 
 
 def auc_sql(source: str, by: str, thresholds: str) -> str:
@@ -153,18 +154,17 @@ def _(t):
     return st.kernel_density(rows, "g", "k", "x", "y", 1.0, 1.5).withColumn("density", F.round("density", 6))
 
 
-@query("a22_match_summary", "SELECT l_suppkey, count(*) AS matches, count(DISTINCT l_partkey) AS parts, sha256(string_agg(l_partkey || ':' || l_orderkey, ',' ORDER BY l_partkey, l_orderkey)) AS digest FROM lineitem WHERE l_quantity > 45 GROUP BY 1")
+@query("a22_match_summary", f"SELECT l_suppkey, count(*) AS matches, count(DISTINCT l_partkey) AS parts, {digest_sql("(l_partkey || ':' || l_orderkey)")} AS digest FROM lineitem WHERE l_quantity > 45 GROUP BY 1")
 def _(t):
     rows = t.lineitem.where("l_quantity > 45").groupBy("l_suppkey")
-    pairs = F.array_sort(F.collect_list(F.struct("l_partkey", "l_orderkey")))
-    text = F.array_join(F.transform(pairs, lambda p: F.concat_ws(":", p["l_partkey"].cast("string"), p["l_orderkey"].cast("string"))), ",")
-    return rows.agg(F.count("*").alias("matches"), F.count_distinct("l_partkey").alias("parts"), F.sha2(text, 256).alias("digest"))
+    text = F.concat_ws(":", F.col("l_partkey").cast("string"), F.col("l_orderkey").cast("string"))
+    return rows.agg(F.count("*").alias("matches"), F.count_distinct("l_partkey").alias("parts"), set_digest(text).alias("digest"))
 
 
-@query("a23_track_summary", "WITH n AS (SELECT l_orderkey, count(*) AS n FROM lineitem GROUP BY 1) SELECT n AS track_length, count(*) AS tracks, sha256(string_agg(l_orderkey::VARCHAR, ',' ORDER BY l_orderkey)) AS digest FROM n GROUP BY 1")
+@query("a23_track_summary", f"WITH n AS (SELECT l_orderkey, count(*) AS n FROM lineitem GROUP BY 1) SELECT n AS track_length, count(*) AS tracks, {digest_sql('l_orderkey::VARCHAR')} AS digest FROM n GROUP BY 1")
 def _(t):
     n = t.lineitem.groupBy("l_orderkey").agg(F.count("*").alias("track_length"))
-    return n.groupBy("track_length").agg(F.count("*").alias("tracks"), F.sha2(F.array_join(F.array_sort(F.collect_list("l_orderkey")), ","), 256).alias("digest"))
+    return n.groupBy("track_length").agg(F.count("*").alias("tracks"), set_digest(F.col("l_orderkey").cast("string")).alias("digest"))
 
 
 @query("a24_scale_stats", "SELECT count(*) AS n, round(min(r), 6) AS min, round(max(r), 6) AS max, round(avg(r), 6) AS mean, round(median(r), 6) AS median FROM (SELECT l_extendedprice / l_quantity AS r FROM lineitem WHERE l_quantity > 0)")
