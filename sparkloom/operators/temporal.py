@@ -37,7 +37,8 @@ def bracket(source: DataFrame, target: DataFrame, by: str, at: str, bucket: int
     prev, nxt = F.last("_t", True).over(up), F.last("_t", True).over(down)
     if bucket:
         prev, nxt = F.coalesce(prev, "_before"), F.coalesce(nxt, "_after")
-    out = rows.withColumn("prev", prev).withColumn("next", nxt).where("_k = 1")
+    timed = F.col("_s").isNotNull() & F.col(by).isNotNull()
+    out = rows.withColumn("prev", F.when(timed, prev)).withColumn("next", F.when(timed, nxt)).where("_k = 1")
     fraction = F.when(F.col("prev").isNull() & F.col("next").isNotNull(), 0.0).when(F.col("prev") == F.col("next"), 0.0).otherwise((F.col("_s") - F.col("prev")) / (F.col("next") - F.col("prev")))
     return out.select(*cols, "prev", "next", fraction.alias("fraction"))
 
