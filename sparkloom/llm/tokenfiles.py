@@ -285,7 +285,7 @@ def write_token_files(docs: DataFrame, folder: str, tokenizer: str, id_col: str
             key_type = batch.column(0).type
             keys, texts, at = batch.column(0).to_pylist(), ["" if t is None else t for t in batch.column(1).to_pylist()], 0
             writer = writer or ShardWriter(uri, kind)
-            for group in text_groups(texts):
+            for group in text_groups(texts, 8_000_000):
                 for ids in coder.encode(group, kind):
                     writer.add(keys[at], ids + end)
                     at += 1
