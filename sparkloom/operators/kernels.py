@@ -173,3 +173,18 @@ def spline(rows: DataFrame, by: str, at: str, value: str, between: int) -> DataF
         return pd.DataFrame({by: g[by].iloc[0], at: np.append(x, t[-1]), value: np.append(v, y[-1])})
 
     return rows.select(by, at, value).groupBy(by).applyInPandas(run, schema)
+
+
+def alignments(pairs: DataFrame, group: str, with_scale: bool = True) -> DataFrame:
+    """``(group, scale, tx, ty, tz, rmse)`` of the similarity that takes each group's ``ex, ey, ez`` to ``gx, gy, gz``; nulls under three rows."""
+    schema = f"{group} {pairs.schema[group].dataType.simpleString()}, scale double, tx double, ty double, tz double, rmse double"
+
+    def run(g: pd.DataFrame) -> pd.DataFrame:
+        e, t = g[["ex", "ey", "ez"]].to_numpy(float), g[["gx", "gy", "gz"]].to_numpy(float)
+        if len(g) < 3:
+            return pd.DataFrame([[g[group].iloc[0], None, None, None, None, None]], columns=[group, "scale", "tx", "ty", "tz", "rmse"])
+        s, r, shift = umeyama(e, t, with_scale)
+        rmse = float(np.sqrt((((s * e @ r.T + shift) - t) ** 2).sum(1).mean()))
+        return pd.DataFrame([[g[group].iloc[0], s, *shift.tolist(), rmse]], columns=[group, "scale", "tx", "ty", "tz", "rmse"])
+
+    return pairs.select(group, "ex", "ey", "ez", "gx", "gy", "gz").groupBy(group).applyInPandas(run, schema)

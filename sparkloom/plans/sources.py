@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from sparkloom.plans.registry import query
 from sparkloom.session import scratch_dir
 from sparkloom.sources import readers as rd
+from sparkloom.sources.artifacts import completed_cases, read_artifact, write_artifact
 
 
 def frames(t):
@@ -52,6 +53,21 @@ def _(t):
     return m.join(own, ["img1", "img2"]).groupBy("img1", "img2", "reversed").agg(F.count("*").alias("n"), F.sum(F.when(F.col("reversed"), F.col("feat1")).otherwise(F.col("feat2"))).alias("total")).drop("reversed")
 
 
+@query("s6_s7_c2_c3_artifacts", "SELECT l_suppkey, count(*) AS n FROM lineitem GROUP BY 1")
+def _(t):
+    path, config = f"{scratch_dir(t.spark)}/counts", {"least": 1, "workers": 4}
+    write_artifact(t.lineitem.groupBy("l_suppkey").agg(F.count("*").alias("n")), path, config, ("workers",))
+    return read_artifact(t.spark, path, "l_suppkey bigint, n bigint", {"least": 1, "workers": 8}, ("workers",))
+
+
+@query("c4_completed_cases", "SELECT DISTINCT o_orderpriority AS scene, 'default' AS mode, o_orderstatus AS testset FROM orders")
+def _(t):
+    path = f"{scratch_dir(t.spark)}/metrics"
+    m = t.orders.groupBy(F.col("o_orderpriority").alias("scene"), F.col("o_orderstatus").alias("testset")).agg(F.avg("o_totalprice").alias("value"))
+    rd.write_metrics(m.select("scene", F.lit("default").alias("mode"), "testset", F.lit("ate").alias("metric"), "value"), path)
+    return completed_cases(t.spark, path)
+
+
 @query("s8_pair_lists", "SELECT DISTINCT 's' || l_suppkey AS first, 'p' || l_partkey AS second FROM lineitem")
 def _(t):
     path = f"{scratch_dir(t.spark)}/pairs"

@@ -257,3 +257,26 @@ def test_cache_plan_is_optimal_on_a_small_case(spark):
     df = spark.createDataFrame(uses, "s bigint, t bigint, n string")
     got = [r.hit for r in topk.cache_plan(df, "s", "t", "n", 2).orderBy("t").collect()]
     assert sum(got) == 4
+
+
+def test_artifacts(spark, tmp_path):
+    from sparkloom.sources.artifacts import read_artifact, write_artifact
+
+    df = spark.createDataFrame([(1, "a"), (2, None)], "k bigint, v string")
+    at = f"file://{tmp_path}/a"
+    write_artifact(df, at, {"x": 1, "threads": 2}, ("threads",))
+    assert read_artifact(spark, at, "k bigint, v string", {"x": 1, "threads": 9}, ("threads",)).count() == 2
+    with pytest.raises(ValueError, match="configuration"):
+        read_artifact(spark, at, "k bigint, v string", {"x": 2}, ("threads",))
+    df.limit(1).write.mode("append").parquet(f"{at}/data")
+    with pytest.raises(ValueError, match="content"):
+        read_artifact(spark, at, "k bigint, v string", {"x": 1}, ("threads",))
+    write_artifact(df.where("false"), at, {"x": 1})
+    assert read_artifact(spark, at, "k bigint, v string", {"x": 1}).count() == 0
+
+
+def test_image_listing(spark, tmp_path):
+    for name in ("a.jpg", "b.PNG", "c.txt"):
+        (tmp_path / name).write_bytes(b"xy")
+    got = readers.list_images(spark, f"file://{tmp_path}").collect()
+    assert sorted(r.path.rpartition("/")[2] for r in got) == ["a.jpg", "b.PNG"] and {r.length for r in got} == {2}
