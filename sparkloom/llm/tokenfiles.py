@@ -40,8 +40,9 @@ from sparkloom.llm.mphf import PerfectHash, key_hashes
 from sparkloom.session import scratch_dir, stored
 
 MAGIC = b"LOOMTOK1"
-KEPT = 1_000_000  # chunks that a worker remembers
+KEPT = 1_400_000  # chunks that a worker remembers
 LINE = 2_000  # new words that are encoded as one text
+_edge = re.compile(r"^$|^\s|\s$|\s\s")
 _runs = re.compile(r"(\s{2,})")
 _shown = [*range(33, 127), *range(161, 173), *range(174, 256)]  # bytes that name themselves, the others follow from 256 on
 _names = {b: chr(b) for b in _shown} | {b: chr(256 + i) for i, b in enumerate(b for b in range(256) if b not in _shown)}
@@ -86,36 +87,36 @@ class TextTokenizer:
     def ids_of(self, texts: list[str], kind: str) -> list[np.ndarray]:
         return [np.array(e.ids, kind) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def word_ids(self, words: list[str], kind: str) -> list[bytes]:
-        """Ids of single pretokens of letters, after a blank or not. They go many to a text, spelled in the
+    def word_ids(self, words: list[str], blank: str, kind: str) -> list[bytes]:
+        """Ids of pretokens of letters, after ``blank`` or nothing. They go many to a text, spelled in the
         names of bytes and apart by blanks, past the pattern; the lengths of the tokens tell which are whose."""
         out: list[bytes] = []
-        lines = [words[at : at + LINE] for at in range(0, len(words), LINE)]
-        for at in range(0, len(lines), 8):
-            part = lines[at : at + 8]
-            texts = ["\n".join(own).encode().decode("latin-1").translate(_names) for own in part]
-            for text, e in zip(texts, self.spelled.encode_batch_fast([t.replace(_names[10], " ") for t in texts], add_special_tokens=False)):
+        for at in range(0, len(words), 8 * LINE):
+            raw = [(blank + f"\n{blank}".join(words[i : i + LINE])).encode() for i in range(at, min(at + 8 * LINE, len(words)), LINE)]
+            texts = [x.decode("latin-1").translate(_names).replace(_names[10], " ") for x in raw]
+            for x, e in zip(raw, self.spelled.encode_batch_fast(texts, add_special_tokens=False)):
                 ids = np.array(e.ids, kind)
-                ends = np.cumsum(np.fromiter(map(len, text.split(_names[10])), np.int64))
-                until = np.cumsum(self.lengths[ids])
-                stop = np.searchsorted(until, ends)
+                ends = np.flatnonzero(np.frombuffer(x + b"\n", np.uint8) == 10)
+                ends -= np.arange(len(ends))
+                stop = np.searchsorted(until := np.cumsum(self.lengths[ids]), ends)
                 if not (until[stop] == ends).all():
                     raise ValueError("the tokenizer joined words")
-                raw, cuts = ids.tobytes(), ((stop + 1) * ids.itemsize).tolist()
-                out += [raw[i:j] for i, j in zip([0, *cuts], cuts)]
+                packed, cuts = ids.tobytes(), ((stop + 1) * ids.itemsize).tolist()
+                out += [packed[i:j] for i, j in zip([0, *cuts], cuts)]
         return out
 
     def learn(self, first: set[str], further: set[str], kind: str) -> None:
         """Encode new chunks, ``further`` ones after a blank. A comma or full stop after letters is a pretoken
         of its own, and so is a line end that no other white space is next to."""
         known, marks = self.further, {c: self.ids_of([c], kind)[0].tobytes() for c in ".,\n"}
-        words, marked, broken, rest = [], [], [], []
-        for c in further:
-            if c.isalpha():
-                words.append(c)
-            elif c[-1:] in ".," and c[:-1].isalpha():
+        words = {c for c in further if c.isalpha()}
+        marked, stems, broken, rest = [], [], [], []
+        for c in further - words:
+            stem = c[:-1]
+            if c[-1:] in ".," and stem.isalpha():
                 marked.append(c)
-            elif "\n" in c and not _runs.search(f" {c}"):
+                stems.append(stem)
+            elif "\n" in c:
                 broken.append(c)
             else:
                 rest.append(c)
@@ -123,21 +124,20 @@ class TextTokenizer:
         first = {*first, *(t for p in pieces for t in p[1:] if t not in self.first)}
         heads = {p[0] for p in pieces if p[0] not in known}
         rest += [c for c in heads if not c.isalpha()]
-        words = [*{*words, *(c for c in heads if c.isalpha()), *(c[:-1] for c in marked if c[:-1] not in known)}]
-        known.update(zip(words, self.word_ids([" " + c for c in words], kind)))
-        known.update([(c, known[c[:-1]] + marks[c[-1]]) for c in marked])
+        words.update([c for c in heads if c.isalpha()])
+        words.update([c for c in stems if c not in known])
+        own = list(words)
+        known.update(zip(own, self.word_ids(own, " ", kind)))
+        known.update([(c, known[stem] + marks[c[-1]]) for c, stem in zip(marked, stems)])
         known.update([(c, ids.tobytes()) for c, ids in zip(rest, self.ids_of([" " + c for c in rest], kind) if rest else ())])
         alone = [c for c in first if c.isalpha()]
         others = [c for c in first if not c.isalpha()]
-        self.first.update(zip(alone, self.word_ids(alone, kind)))
+        self.first.update(zip(alone, self.word_ids(alone, "", kind)))
         self.first.update([(c, ids.tobytes()) for c, ids in zip(others, self.ids_of(others, kind) if others else ())])
         known.update([(c, known[p[0]] + b"".join([marks["\n"] + self.first[t] for t in p[1:]])) for c, p in zip(broken, pieces)])
 
     def pieces(self, text: str) -> list[tuple[bool, list[str]]]:
-        """The text as parts: whether their chunks follow a blank each, and the chunks."""
-        first, *rest = text.split(" ")
-        if _runs.search(text) is None:
-            return [(False, [first]), (True, rest)]
+        """A text with runs of white space as parts: whether their chunks follow a blank each, and the chunks."""
         if _odd_space.search(text):  # here engines differ on what is white space
             return [(False, [text])]
         parts: list[tuple[bool, list[str]]] = []
@@ -145,7 +145,8 @@ class TextTokenizer:
         for own, run in zip(cut[::2], [*cut[1::2], ""]):
             if own:
                 first, *rest = own.split(" ")
-                parts += [(blank, [first]), (True, rest)]
+                parts.append((False, [" " + first if blank else first]))
+                parts += [(False, [" " + c]) if _edge.search(c) else (True, [c]) for c in rest] if any(map(_edge.search, rest)) else [(True, rest)]
             if run:
                 blank = run[-1] == " "
                 parts.append((False, [run[:-1]] if blank else [run[:-1], run[-1]]))
@@ -156,34 +157,41 @@ class TextTokenizer:
     def encode(self, texts: list[str], kind: str) -> list[bytes]:
         if not self.by_chunk:
             return [ids.tobytes() for ids in self.ids_of(texts, kind)]
-        split = [None if _runs.search(t) is None else self.pieces(t) for t in texts]
+        # all texts are cut at blanks, and chunks numbered and put together, as arrays
         firsts = [t.partition(" ")[0] for t in texts]
-        # chunks of texts without runs are cut, numbered and put together as arrays
-        rest = pa.array([t[len(f) + 1 :] if s is None and len(f) < len(t) else None for t, f, s in zip(texts, firsts, split)], pa.string())
+        rest = pa.array([t[len(f) + 1 :] if len(f) < len(t) else None for t, f in zip(texts, firsts)], pa.string())
         lists = pc.split_pattern(rest, " ")
         coded = lists.flatten().dictionary_encode()
         chunks = coded.dictionary.to_pylist()
         have = (self.first, self.further)
         if len(self.first) + len(self.further) > KEPT:
-            now = ({*firsts}, {*chunks})
-            for own, used in zip(have, now):
+            for own, used in zip(have, ({*firsts}, {*chunks})):
                 for c in [c for c in own if c not in used]:
                     del own[c]
-        new = ({f for f, s in zip(firsts, split) if s is None and f not in self.first}, {c for c in chunks if c not in self.further})
-        for parts in split:
-            for after, own in parts or ():
+        further = {c for c in chunks if c not in self.further}
+        edgy = {c for c in further if not c.isalpha() and _edge.search(c)}  # beside white space; such chunks are never kept as further ones
+        place = coded.indices.to_numpy(zero_copy_only=False).astype(np.int32)
+        many = pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False)
+        odd = {i for i, f in enumerate(firsts) if f and (f[-1].isspace() or _runs.search(f))}
+        if edgy:
+            flags = np.zeros(len(chunks), bool)
+            flags[[i for i, c in enumerate(chunks) if c in edgy]] = True
+            odd.update(np.unique(np.repeat(np.arange(len(texts)), many)[flags[place]]).tolist())
+        split = {i: self.pieces(texts[i]) for i in odd}
+        new = ({f for i, f in enumerate(firsts) if f not in self.first and i not in odd}, further - edgy)
+        for parts in split.values():
+            for after, own in parts:
                 new[after].update([c for c in own if c not in have[after]])
         self.learn(*new, kind)
-        each = list(map(self.further.__getitem__, chunks))
+        each = [self.further.get(c, b"") for c in chunks] if edgy else list(map(self.further.__getitem__, chunks))
         ids = np.frombuffer(b"".join(each), kind)
-        sizes = np.fromiter(map(len, each), np.int64, len(each)) // np.dtype(kind).itemsize
-        place = coded.indices.to_numpy(zero_copy_only=False).astype(np.int64)
+        sizes = np.fromiter(map(len, each), np.int32, len(each)) // np.dtype(kind).itemsize
         n = sizes[place]
-        ends = np.cumsum(n)
+        ends = np.cumsum(n, dtype=np.int32)
         total = int(ends[-1]) if len(ends) else 0
-        flat = ids[np.repeat((np.cumsum(sizes) - sizes)[place] - (ends - n), n) + np.arange(total)]
-        upto = np.concatenate(([0], ends))[np.concatenate(([0], np.cumsum(pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False))))].tolist()
-        return [self.first[f] + flat[a:b].tobytes() if s is None else b"".join([x for after, own in s for x in map(have[after].__getitem__, own)]) for f, s, a, b in zip(firsts, split, upto, upto[1:])]
+        flat = ids[np.repeat((np.cumsum(sizes, dtype=np.int32) - sizes)[place] - (ends - n), n) + np.arange(total, dtype=np.int32)]
+        upto = np.concatenate(([0], ends))[np.concatenate(([0], np.cumsum(many)))].tolist()
+        return [b"".join([x for after, own in split[i] for x in map(have[after].__getitem__, own)]) if i in odd else self.first[f] + flat[a:b].tobytes() for i, (f, a, b) in enumerate(zip(firsts, upto, upto[1:]))]
 
 
 @lru_cache(maxsize=2)
@@ -344,7 +352,7 @@ def read_token_files(manifest: DataFrame, keys: DataFrame, id_col: str = "doc_id
         if reader is not None:
             reader.close()
 
-    return keys.select(id_col).distinct().repartitionByRange(id_col).sortWithinPartitions(id_col).mapInArrow(run, schema)
+    return keys.select(id_col).distinct().repartitionByRange(max(1, len(shards)), id_col).sortWithinPartitions(id_col).mapInArrow(run, schema)
 
 
 def op4_token_files(spark, sf_dir: str) -> DataFrame:
