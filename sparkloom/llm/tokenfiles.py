@@ -40,7 +40,7 @@ from sparkloom.llm.mphf import PerfectHash, key_hashes
 from sparkloom.session import scratch_dir, stored
 
 MAGIC = b"LOOMTOK1"
-KEPT = 1_400_000  # chunks that a worker remembers
+KEPT = 500_000  # chunks that a task remembers from one group of texts to the next
 LINE = 2_000  # new words that are encoded as one text
 _edge = re.compile(r"^$|^\s|\s$|\s\s")
 _runs = re.compile(r"(\s{2,})")
@@ -84,6 +84,10 @@ class TextTokenizer:
             for token, i in self.tokenizer.get_vocab().items():
                 self.lengths[i] = len(token)
 
+    def forget(self) -> None:
+        self.first.clear()
+        self.further.clear()
+
     def ids_of(self, texts: list[str], kind: str) -> list[np.ndarray]:
         return [np.array(e.ids, kind) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
@@ -293,10 +297,11 @@ def write_token_files(docs: DataFrame, folder: str, tokenizer: str, id_col: str
             key_type = batch.column(0).type
             keys, texts, at = batch.column(0).to_pylist(), ["" if t is None else t for t in batch.column(1).to_pylist()], 0
             writer = writer or ShardWriter(uri, kind)
-            for group in text_groups(texts, 8_000_000):
+            for group in text_groups(texts, 24_000_000):
                 for ids in coder.encode(group, kind):
                     writer.add(keys[at], ids + end)
                     at += 1
+        coder.forget()
         release_memory()
         if writer is not None:
             writer.close()
@@ -345,7 +350,8 @@ def read_token_files(manifest: DataFrame, keys: DataFrame, id_col: str = "doc_id
                 for k, numbers in zip(wanted, reader.find(wanted)):
                     for i in numbers:
                         ids = reader.read(i).astype("<u4").tobytes()
-                        for column, x in zip(out, (k, base[uri] + int(reader.offsets[i]), len(ids) // 4, zlib.crc32(ids), ids)):
+                        row = (k, base[uri] + int(reader.offsets[i]), len(ids) // 4, zlib.crc32(ids), ids)
+                        for column, x in zip(out, row):
                             column.append(x)
             kinds = [batch.column(0).type, pa.int64(), pa.int64(), pa.int64(), pa.binary()]
             yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(out, kinds)], [id_col, "start", "n_tokens", "ids_crc32", "ids"][: len(out)])
