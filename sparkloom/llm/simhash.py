@@ -70,6 +70,11 @@ def segment_counts(fp: Column) -> Column:
     return fp.bitwiseOR(up).bitwiseAND(F.lit(LOW)).bitwiseOR(F.shiftleft(fp.bitwiseAND(up).bitwiseAND(F.lit(LOW)), 1))
 
 
+def spread(fps: DataFrame) -> DataFrame:
+    """A small table dealt out by fingerprint before its rows are multiplied; a given number of parts is not merged again."""
+    return fps.repartition(int(fps.sparkSession.conf.get("spark.sql.shuffle.partitions")), "fp")
+
+
 def _signed(x: int) -> int:
     return x - (1 << 64) if x >> 63 else x
 
@@ -91,7 +96,7 @@ def _cells(fps: DataFrame, k: int) -> DataFrame:
         c = e["cell"]
         return F.shiftrightunsigned(c, 1).bitwiseAND(F.lit(LOW)).bitwiseAND(F.bitwise_not(c)) == 0
 
-    return fps.select("fp", "class", F.explode(F.filter(F.concat(*lists), valid)).alias("e")).select("fp", "class", "e.block", "e.cell")
+    return spread(fps.select("fp", "class")).select("fp", "class", F.explode(F.filter(F.concat(*lists), valid)).alias("e")).select("fp", "class", "e.block", "e.cell")
 
 
 def links_between(fps: DataFrame, k: int) -> DataFrame:
@@ -109,7 +114,7 @@ def _stars(fps: DataFrame, k: int) -> DataFrame:
     """Edges from each fingerprint to the least one that agrees with it outside a window of ``k`` bits."""
     masks = [_signed(((1 << 64) - 1) ^ (((1 << 64) - 1) & (((1 << k) - 1) << at))) for at in range(0, 64, k)]
     keys = F.array(*[F.struct(F.lit(i).alias("w"), F.col("fp").bitwiseAND(F.lit(m)).alias("rest")) for i, m in enumerate(masks)])
-    rows = fps.select("fp", F.explode(keys).alias("key")).select("fp", "key.w", "key.rest")
+    rows = spread(fps.select("fp")).select("fp", F.explode(keys).alias("key")).select("fp", "key.w", "key.rest")
     least = rows.groupBy("w", "rest").agg(F.min("fp").alias("dst"), F.max("fp").alias("top")).where("dst < top").drop("top")
     return rows.join(least, ["w", "rest"]).where("fp <> dst").select(F.col("fp").alias("src"), "dst").distinct()
 
