@@ -40,7 +40,8 @@ from sparkloom.llm.mphf import PerfectHash, key_hashes
 from sparkloom.session import scratch_dir, stored
 
 MAGIC = b"LOOMTOK1"
-KEPT = 500_000  # chunks that a task remembers from one group of texts to the next
+KEPT = 2_000_000  # chunks that a worker remembers, at about 30 bytes
+FIRST_KEPT = 200_000  # and those that follow no blank
 LINE = 2_000  # new words that are encoded as one text
 _edge = re.compile(r"^$|^\s|\s$|\s\s")
 _runs = re.compile(r"(\s{2,})")
@@ -53,6 +54,31 @@ def open_fs(uri: str) -> tuple[pafs.FileSystem, str]:
     return pafs.FileSystem.from_uri(uri) if "://" in uri or uri.startswith("file:") else (pafs.LocalFileSystem(), uri)
 
 
+class ChunkStore:
+    """Ids of chunks, in three arrays: the chunks, all their ids, and where each one's begin."""
+
+    def __init__(self, kind: str):
+        self.kind = kind
+        self.clear()
+
+    def clear(self) -> None:
+        self.chunks = pa.array([], pa.string())
+        self.ids = np.zeros(0, self.kind)
+        self.starts = np.zeros(1, np.int64)
+
+    def find(self, chunks: pa.Array) -> np.ndarray:
+        """The number of each chunk, -1 where it is not there."""
+        return pc.fill_null(pc.index_in(chunks, value_set=self.chunks), -1).to_numpy(zero_copy_only=False).astype(np.int64)
+
+    def get(self, number: int) -> bytes:
+        return self.ids[self.starts[number] : self.starts[number + 1]].tobytes()
+
+    def add(self, chunks: list[str], ids: list[bytes]) -> None:
+        self.chunks = pa.concat_arrays([self.chunks, pa.array(chunks, pa.string())])
+        self.starts = np.concatenate((self.starts, self.starts[-1] + np.cumsum(np.fromiter(map(len, ids), np.int64, len(ids)) // np.dtype(self.kind).itemsize)))
+        self.ids = np.concatenate((self.ids, np.frombuffer(b"".join(ids), self.kind)))
+
+
 class TextTokenizer:
     """A tokenizer of the tokenizers library. Where it splits texts by the byte-level pattern and nothing
     before that changes them, what stands between single blanks is encoded once and remembered, up to a bound.
@@ -76,7 +102,7 @@ class TextTokenizer:
         pre, added = made.get("pre_tokenizer") or {}, made.get("added_tokens") or []
         self.by_chunk = pre.get("type") == "ByteLevel" and pre.get("use_regex", True) and not pre.get("add_prefix_space") and not made.get("normalizer") and not made.get("truncation") and not made.get("padding") and all(t.get("special") for t in added)
         self.first: dict[str, bytes] = {}  # ids of a chunk
-        self.further: dict[str, bytes] = {}  # ids of a blank and a chunk
+        self.stores: dict[str, ChunkStore] = {}  # ids of a blank and a chunk, by type
         if self.by_chunk:  # a character of a token's name is a byte
             made["pre_tokenizer"] = {"type": "WhitespaceSplit"}
             self.spelled = Tokenizer.from_str(json.dumps(made | {"added_tokens": []}))
@@ -84,10 +110,6 @@ class TextTokenizer:
             for token, i in self.tokenizer.get_vocab().items():
                 self.lengths[i] = len(token)
 
-    def forget(self) -> None:
-        self.first.clear()
-        self.further.clear()
-
     def ids_of(self, texts: list[str], kind: str) -> list[np.ndarray]:
         return [np.array(e.ids, kind) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
@@ -109,36 +131,41 @@ class TextTokenizer:
                 out += [packed[i:j] for i, j in zip([0, *cuts], cuts)]
         return out
 
-    def learn(self, first: set[str], further: set[str], kind: str) -> None:
-        """Encode new chunks, ``further`` ones after a blank. A comma or full stop after letters is a pretoken
-        of its own, and so is a line end that no other white space is next to."""
-        known, marks = self.further, {c: self.ids_of([c], kind)[0].tobytes() for c in ".,\n"}
-        words = {c for c in further if c.isalpha()}
-        marked, stems, broken, rest = [], [], [], []
-        for c in further - words:
-            stem = c[:-1]
-            if c[-1:] in ".," and stem.isalpha():
-                marked.append(c)
-                stems.append(stem)
+    def learn(self, chunks: list[str], known: dict[str, bytes], kind: str) -> dict[str, bytes]:
+        """Ids of new chunks after a blank; ``known`` has those of other chunks. A comma or full stop after letters is a
+        pretoken of its own, and so is a line end that no other white space is next to."""
+        marks = {c: self.ids_of([c], kind)[0].tobytes() for c in ".,\n"}
+        words = {c for c in chunks if c.isalpha()}
+        marked, broken, rest = [], [], []
+        for c in chunks:
+            if c in words:
+                continue
+            if c[-1:] in ".," and c[:-1].isalpha():
+                marked.append((c, c[:-1]))
             elif "\n" in c:
-                broken.append(c)
+                broken.append((c, c.split("\n")))
             else:
                 rest.append(c)
-        pieces = [c.split("\n") for c in broken]
-        first = {*first, *(t for p in pieces for t in p[1:] if t not in self.first)}
-        heads = {p[0] for p in pieces if p[0] not in known}
+        heads = {p[0] for _, p in broken if p[0] not in known}
         rest += [c for c in heads if not c.isalpha()]
         words.update([c for c in heads if c.isalpha()])
-        words.update([c for c in stems if c not in known])
+        words.update([stem for _, stem in marked if stem not in known])
         own = list(words)
-        known.update(zip(own, self.word_ids(own, " ", kind)))
-        known.update([(c, known[stem] + marks[c[-1]]) for c, stem in zip(marked, stems)])
-        known.update([(c, ids.tobytes()) for c, ids in zip(rest, self.ids_of([" " + c for c in rest], kind) if rest else ())])
-        alone = [c for c in first if c.isalpha()]
-        others = [c for c in first if not c.isalpha()]
+        out = dict(zip(own, self.word_ids(own, " ", kind)))
+        out.update([(c, ids.tobytes()) for c, ids in zip(rest, self.ids_of([" " + c for c in rest], kind) if rest else ())])
+        of = lambda c: out[c] if c in out else known[c]
+        out.update([(c, of(stem) + marks[c[-1]]) for c, stem in marked])
+        self.learn_first({t for _, p in broken for t in p[1:]}, kind)
+        out.update([(c, of(p[0]) + b"".join([marks["\n"] + self.first[t] for t in p[1:]])) for c, p in broken])
+        return out
+
+    def learn_first(self, chunks: set[str], kind: str) -> None:
+        """Encode new chunks that follow no blank."""
+        new = [c for c in chunks if c not in self.first]
+        alone = [c for c in new if c.isalpha()]
+        others = [c for c in new if not c.isalpha()]
         self.first.update(zip(alone, self.word_ids(alone, "", kind)))
         self.first.update([(c, ids.tobytes()) for c, ids in zip(others, self.ids_of(others, kind) if others else ())])
-        known.update([(c, known[p[0]] + b"".join([marks["\n"] + self.first[t] for t in p[1:]])) for c, p in zip(broken, pieces)])
 
     def pieces(self, text: str) -> list[tuple[bool, list[str]]]:
         """A text with runs of white space as parts: whether their chunks follow a blank each, and the chunks."""
@@ -161,41 +188,59 @@ class TextTokenizer:
     def encode(self, texts: list[str], kind: str) -> list[bytes]:
         if not self.by_chunk:
             return [ids.tobytes() for ids in self.ids_of(texts, kind)]
-        # all texts are cut at blanks, and chunks numbered and put together, as arrays
+        # all texts are cut at blanks, and chunks numbered, looked up and put together, as arrays
         firsts = [t.partition(" ")[0] for t in texts]
         rest = pa.array([t[len(f) + 1 :] if len(f) < len(t) else None for t, f in zip(texts, firsts)], pa.string())
         lists = pc.split_pattern(rest, " ")
         coded = lists.flatten().dictionary_encode()
-        chunks = coded.dictionary.to_pylist()
-        have = (self.first, self.further)
-        if len(self.first) + len(self.further) > KEPT:
-            for own, used in zip(have, ({*firsts}, {*chunks})):
-                for c in [c for c in own if c not in used]:
-                    del own[c]
-        further = {c for c in chunks if c not in self.further}
-        edgy = {c for c in further if not c.isalpha() and _edge.search(c)}  # beside white space; such chunks are never kept as further ones
+        store = self.stores.setdefault(kind, ChunkStore(kind))
+        if len(store.chunks) > KEPT:
+            store.clear()
+        if len(self.first) > FIRST_KEPT:
+            self.first.clear()
+        chunks = coded.dictionary
+        ends = pc.match_substring_regex(chunks, "[.,]$")
+        breaks = pc.match_substring(chunks, "\n")
+        stems = pc.utf8_slice_codeunits(chunks.filter(ends), 0, -1)
+        heads = pc.list_element(pc.split_pattern(chunks.filter(breaks), "\n", max_splits=1), 0)
+        asked = pa.concat_arrays([chunks, stems, heads])
+        number = store.find(asked)
+        number, other = number[: len(chunks)], number[len(chunks) :]
+        held = np.flatnonzero(other >= 0)
+        known = {c: store.get(n) for c, n in zip(asked.take(pa.array(held + len(chunks))).to_pylist(), other[held].tolist())} if (number < 0).any() else {}
+        unseen = np.flatnonzero(number < 0)
+        new = chunks.take(pa.array(unseen)).to_pylist()
+        edgy = {i for i, c in zip(unseen.tolist(), new) if not c.isalpha() and _edge.search(c)}  # beside white space; never stored
         place = coded.indices.to_numpy(zero_copy_only=False).astype(np.int32)
         many = pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False)
         odd = {i for i, f in enumerate(firsts) if f and (f[-1].isspace() or _runs.search(f))}
         if edgy:
             flags = np.zeros(len(chunks), bool)
-            flags[[i for i, c in enumerate(chunks) if c in edgy]] = True
+            flags[list(edgy)] = True
             odd.update(np.unique(np.repeat(np.arange(len(texts)), many)[flags[place]]).tolist())
-        split = {i: self.pieces(texts[i]) for i in odd}
-        new = ({f for i, f in enumerate(firsts) if f not in self.first and i not in odd}, further - edgy)
-        for parts in split.values():
-            for after, own in parts:
-                new[after].update([c for c in own if c not in have[after]])
-        self.learn(*new, kind)
-        each = [self.further.get(c, b"") for c in chunks] if edgy else list(map(self.further.__getitem__, chunks))
-        ids = np.frombuffer(b"".join(each), kind)
-        sizes = np.fromiter(map(len, each), np.int32, len(each)) // np.dtype(kind).itemsize
+        fresh = [c for i, c in zip(unseen.tolist(), new) if i not in edgy]
+        learnt = self.learn(fresh, known, kind)
+        before = len(store.chunks)
+        store.add(fresh, [learnt[c] for c in fresh])
+        number[[i for i in unseen.tolist() if i not in edgy]] = np.arange(before, len(store.chunks))
+        self.learn_first({f for i, f in enumerate(firsts) if i not in odd}, kind)
+        out: dict[int, bytes] = {}
+        if odd:  # texts with runs of white space, chunk by chunk
+            split = {i: self.pieces(texts[i]) for i in odd}
+            more = sorted({c for parts in split.values() for after, own in parts if after for c in own})
+            at = store.find(pa.array(more, pa.string()))
+            here = {c: store.get(n) for c, n in zip(more, at.tolist()) if n >= 0}
+            here |= self.learn([c for c in more if c not in here], here, kind)
+            self.learn_first({c for parts in split.values() for after, own in parts if not after for c in own}, kind)
+            out = {i: b"".join([here[c] if after else self.first[c] for after, own in parts for c in own]) for i, parts in split.items()}
+        begin = np.where(number >= 0, store.starts[:-1][number] if len(store.chunks) else 0, 0)
+        sizes = np.where(number >= 0, np.diff(store.starts)[number] if len(store.chunks) else 0, 0).astype(np.int32)
         n = sizes[place]
         ends = np.cumsum(n, dtype=np.int32)
         total = int(ends[-1]) if len(ends) else 0
-        flat = ids[np.repeat((np.cumsum(sizes, dtype=np.int32) - sizes)[place] - (ends - n), n) + np.arange(total, dtype=np.int32)]
+        flat = store.ids[np.repeat(begin[place] - (ends - n), n) + np.arange(total, dtype=np.int32)]
         upto = np.concatenate(([0], ends))[np.concatenate(([0], np.cumsum(many)))].tolist()
-        return [b"".join([x for after, own in split[i] for x in map(have[after].__getitem__, own)]) if i in odd else self.first[f] + flat[a:b].tobytes() for i, (f, a, b) in enumerate(zip(firsts, upto, upto[1:]))]
+        return [out[i] if i in out else self.first[f] + flat[a:b].tobytes() for i, (f, a, b) in enumerate(zip(firsts, upto, upto[1:]))]
 
 
 @lru_cache(maxsize=2)
@@ -297,11 +342,10 @@ def write_token_files(docs: DataFrame, folder: str, tokenizer: str, id_col: str
             key_type = batch.column(0).type
             keys, texts, at = batch.column(0).to_pylist(), ["" if t is None else t for t in batch.column(1).to_pylist()], 0
             writer = writer or ShardWriter(uri, kind)
-            for group in text_groups(texts, 24_000_000):
+            for group in text_groups(texts, 8_000_000):
                 for ids in coder.encode(group, kind):
                     writer.add(keys[at], ids + end)
                     at += 1
-        coder.forget()
         release_memory()
         if writer is not None:
             writer.close()
