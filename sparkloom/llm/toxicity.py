@@ -1,7 +1,7 @@
 """Toxicity scores by a counterfactual-regularised classifier over the words of whole texts.
 
-Fitting takes a bounded sample of labelled documents. Words whose presence goes with the label beyond
-chance are kept, and a ridge logistic regression is fitted on them by Newton's method. Each labelled
+Fitting takes a bounded sample of labelled documents. Words, and beginnings of words, whose presence goes with the label
+beyond chance are kept, and a ridge logistic regression is fitted on them by Newton's method. Each labelled
 document that names identity groups is rewritten with the terms swapped for others of the same kind; the
 squared difference of the two scores (before the sigmoid) is part of the loss. A group name that happens
 to be frequent in toxic sentences so gets no score of its own, and neutral mentions stay low.
@@ -41,28 +41,41 @@ def word_key(word: bytes) -> int:
     return xxhash.xxh3_64_intdigest(word) >> 1
 
 
+def features_of(word: bytes) -> list[int]:
+    """The word, and for longer ones its first four and five bytes: inflected forms share them."""
+    own = [word_key(word)]
+    return own + [word_key(b"\1" + word[:4]), word_key(b"\1" + word[:5])] if len(word) > 5 else own
+
+
+def feature_array(words: set[bytes]) -> np.ndarray:
+    return np.array(sorted({k for w in words for k in features_of(w)}), np.int64)
+
+
 def swapped_terms(kinds=IDENTITY_TERMS) -> dict[bytes, list[bytes]]:
     return {t.encode(): [x.encode() for x in kind if x != t] for kind in kinds for t in kind}
 
 
 @dataclass(frozen=True)
 class ToxicityModel:
-    """``bias`` and weights by word key; the score of a text is the sigmoid of bias plus the weights of its words."""
+    """``bias`` and weights by feature; the score of a text is the sigmoid of bias plus the weights of its features, each once."""
 
     bias: float
     weights: dict[int, float] = field(default_factory=dict)
 
-    def score(self, words: list[bytes], known: dict[bytes, float] | None = None) -> float:
+    def score(self, words: list[bytes], known: dict[bytes, tuple[int, ...]] | None = None) -> float:
+        """``known`` remembers which features of a word have weights, from one text to the next."""
         known = {} if known is None else known
-        x = self.bias
+        active: set[int] = set()
         for w in set(words):
-            weight = known.get(w)
-            if weight is None:
-                weight = self.weights.get(word_key(w), 0.0)
+            keys = known.get(w)
+            if keys is None:
+                keys = tuple(k for k in features_of(w) if k in self.weights)
                 if len(known) >= KEPT:
                     known.clear()
-                known[w] = weight
-            x += weight
+                known[w] = keys
+            if keys:
+                active.update(keys)
+        x = self.bias + sum(self.weights[k] for k in sorted(active))
         return float(1 / (1 + np.exp(-np.clip(x, -40, 40))))
 
 
@@ -85,11 +98,11 @@ def labelled_features(docs: DataFrame, labels: DataFrame, id_col: str, text_col:
             for text in byte_values(batch.column(2)):
                 words = set(words_of(text))
                 there = sorted(w for w in words if w in swaps)
-                own.append(np.fromiter(map(word_key, words), np.int64, len(words)).tobytes())
+                own.append(feature_array(words).tobytes())
                 rewritten = []
                 for turn in range(max((len(swaps[w]) for w in there), default=0)):
                     form = (words - set(there)) | {swaps[w][turn % len(swaps[w])] for w in there}
-                    rewritten.append(np.fromiter(map(word_key, form), np.int64, len(form)).tobytes())
+                    rewritten.append(feature_array(form).tobytes())
                 forms.append(rewritten)
             yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.string()), batch.column(1), pa.array(own, pa.binary()), pa.array(forms, pa.list_(pa.binary()))], ["id", "label", "words", "forms"])
 
@@ -161,7 +174,7 @@ def fit_model(rows: list[tuple[int, np.ndarray, list[np.ndarray]]], ridge: float
     return ToxicityModel(float(w[k]), {int(key): float(v) for key, v in zip(kept, w[:k]) if v})
 
 
-def train_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", max_rows: int = 8_000, kinds=IDENTITY_TERMS, **fit) -> ToxicityModel:
+def train_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", max_rows: int = 5_000, kinds=IDENTITY_TERMS, **fit) -> ToxicityModel:
     """Fit on at most ``max_rows`` labelled rows outside the held-out fold, taken by hash of the id.
 
     Null labels and labels other than 0 and 1, null ids and labels without a document are left out. A
