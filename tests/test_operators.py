@@ -280,3 +280,21 @@ def test_image_listing(spark, tmp_path):
         (tmp_path / name).write_bytes(b"xy")
     got = readers.list_images(spark, f"file://{tmp_path}").collect()
     assert sorted(r.path.rpartition("/")[2] for r in got) == ["a.jpg", "b.PNG"] and {r.length for r in got} == {2}
+
+
+def test_smoothing_spline_and_table_hash(spark):
+    df = spark.createDataFrame([(1, t, float(v)) for t, v in enumerate([0, 4, 1, 3])], "s bigint, t bigint, v double")
+    a = 1 - math.exp(-1 / 2.0)
+    ahead = [0.0]
+    for v in (4, 1, 3):
+        ahead.append(ahead[-1] + a * (v - ahead[-1]))
+    back = [3.0]
+    for v in (1, 4, 0):
+        back.append(back[-1] + a * (v - back[-1]))
+    got = [r.smoothed for r in kernels.smoothed(df, "s", "t", "v", 2.0).orderBy("t").collect()]
+    assert got == pytest.approx([(x + y) / 2 for x, y in zip(ahead, back[::-1])])
+    curve_rows = {round(r.t, 6): r.v for r in kernels.spline(df, "s", "t", "v", 2).collect()}
+    assert [curve_rows[t] for t in (0.0, 1.0, 2.0, 3.0)] == pytest.approx([0, 4, 1, 3]) and len(curve_rows) == 7
+    one = sc.table_hash(df, ["s"], ["t", "v"]).first().digest
+    assert one == sc.table_hash(df.orderBy(F.desc("t")).repartition(3), ["s"], ["t", "v"]).first().digest
+    assert one != sc.table_hash(df.withColumn("v", F.col("v") + (F.col("t") == 2).cast("int")), ["s"], ["t", "v"]).first().digest
