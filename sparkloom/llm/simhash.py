@@ -152,15 +152,15 @@ def simhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     return rows.join(named, "fp").select(F.col("id").alias(id_col), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 4, k: int = 4, seed: int = 42) -> DataFrame:
-    """``docs`` without near duplicates: of each component the row with the smallest id stays, null ids last.
+def first_of_each(docs: DataFrame, rows: DataFrame, classes: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """Of each class the row of ``docs`` with the smallest id stays, null ids last.
 
-    Rows with that id and different texts are told apart by a hash of the text; of rows with the same id
-    and text one stays. All columns stay. Only the rows that go are joined to ``docs``.
+    ``rows``: ``(id, mark, fp)`` of each row of ``docs``, where ``mark`` is ``xxhash64`` of its text;
+    ``classes``: ``(fp, root)``. Rows with that id and different texts are told apart by the mark; of rows
+    with the same id and text one stays. All columns stay. Only the rows that go are joined to ``docs``.
     """
     mark = F.xxhash64(text_col)
-    rows, named = _classed(docs, id_col, text_col, width, k, seed, {"mark": mark})
-    keyed = rows.groupBy("fp", "id", "mark").agg(F.count("*").alias("n")).join(named.select("fp", "root"), "fp")
+    keyed = rows.groupBy("fp", "id", "mark").agg(F.count("*").alias("n")).join(classes, "fp")
     keyed = stored(keyed.select("root", F.struct(F.col("id").isNull().alias("none"), "id", "mark").alias("key"), "n"), "keyed")
     first = keyed.groupBy("root").agg(F.min("key").alias("first"))
     gone = stored(keyed.join(first, "root").where(F.col("key") != F.col("first")).select(F.col("key.id").alias("_gone_id"), F.col("key.mark").alias("_gone_mark")), "gone")
@@ -171,5 +171,11 @@ def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     return kept
 
 
+def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 4, k: int = 4, seed: int = 42) -> DataFrame:
+    """``docs`` without near duplicates by fingerprint: of each component one row stays, as in :func:`first_of_each`."""
+    rows, named = _classed(docs, id_col, text_col, width, k, seed, {"mark": F.xxhash64(text_col)})
+    return first_of_each(docs, rows, named.select("fp", "root"), id_col, text_col)
+
+
 def op1_simhash_near_dedup(spark, sf_dir: str) -> DataFrame:
     return simhash_components(spark.read.parquet(f"{sf_dir}/documents.parquet"))
