@@ -8,7 +8,7 @@ nest along the paths of their elements into the host's template. The class of to
 page is its skeleton: what lies between them are slots, and blocks that recur on the host's pages are the
 template's own text. Extraction walks a page once more, leaves out the parts named as menus, headers,
 footers, sidebars, notices, adverts, forms, scripts, styles and comments, and takes the article's slots:
-the declared article where there is one, else the slot with most text of the page's own.
+the declared article where there is one, else the slots in the container of that with most text of the page's own.
 """
 
 from __future__ import annotations
@@ -32,6 +32,8 @@ INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font
 CLOSES_P = frozenset("address article aside blockquote center details dialog dir div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr main menu nav ol p pre section table ul".split())
 SELF_CLOSING = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",)}
 BARRIER = frozenset(("article", "main", "body", "table", "ul", "ol", "dl"))
+#: Elements that are a part of an article, not its container.
+PARTS = frozenset("p ul ol li dl dd dt table thead tbody tfoot tr td th blockquote pre section figure figcaption details h1 h2 h3 h4 h5 h6".split())
 HEADINGS = frozenset(("h1", "h2", "h3", "h4", "h5", "h6"))
 #: Elements, roles and words of class or id that name what is not the article.
 APART = frozenset("head nav footer aside form button select dialog menu".split())
@@ -182,12 +184,13 @@ def page_tokens(pages: DataFrame, url_col: str, html_col: str) -> DataFrame:
 def deduce_templates(pages: DataFrame, url_col: str = "url", html_col: str = "html", least_share: float = 0.5, least_pages: int = 3) -> DataFrame:
     """The valid equivalence classes of each host: ``(host, pages, class, parent, support, once, paths, texts)``.
 
-    ``support``: pages that have the class's tokens; valid from ``least_share`` of the host's pages on.
+    Equal pages of a host count as one. ``support``: pages that have the class's tokens; valid from ``least_share`` of the host's pages on.
     ``once``: its tokens are once on each page. ``paths``: its elements; ``texts``: its text tokens, known
     only on hosts of ``least_pages`` pages or more. ``parent``: the class of the element around its
     outermost one, null at the top. Tokens are summed per host before anything is grouped; a class has no
     more tokens than a page has.
     """
+    pages = pages.select(html_col, url_col, host_of(F.col(url_col)).alias("_host"), F.xxhash64(html_col).alias("_mark")).dropDuplicates(["_host", "_mark"])
     page = F.xxhash64("page", "count")
     marks = stored(page_tokens(pages, url_col, html_col).groupBy("host", "token").agg(
         F.max("path").alias("path"), F.first("is_text").alias("is_text"), F.count("*").alias("support"), F.sum("count").alias("total"),
@@ -225,8 +228,11 @@ def main_text(page: str, skeleton: set[int], own_text: set[int], known: dict | N
     if not sizes:
         return ""
     best = max(sizes, key=lambda s: (sizes[s], s))
-    first = next(i for i, b in enumerate(there) if slot(b.container) == best)
-    return "\n\n".join(b.text for i, b in enumerate(there) if slot(b.container) == best or i < first and b.path.rpartition(">")[2].startswith("h1"))
+    while best.rpartition(">")[2].partition(".")[0] in PARTS:
+        best = best.rpartition(">")[0]
+    kept = [slot(b.container) == best or f"{slot(b.container)}>".startswith(f"{best}>") for b in there]
+    first = kept.index(True)
+    return "\n\n".join(b.text for i, b in enumerate(there) if kept[i] or i < first and b.path.rpartition(">")[2].startswith("h1"))
 
 
 def extract_main_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:

@@ -71,3 +71,17 @@ def test_given_pages_against_a_plain_reading(spark):
     want = {r.page_id: plain(r.html) for r in spark.read.parquet(f"{sf}/pages.parquet").collect()}
     got = {r.page_id: (r.text, r.n_chars) for r in h.op3_html_extraction(spark, sf).collect()}
     assert got == {k: (v, len(v)) for k, v in want.items()}
+
+
+def test_copies_of_an_article_are_not_template_text(spark):
+    text = ["The same long article is told on this page and on its copy.", "It has another paragraph with words of its own."]
+    page = lambda ts: "<body><div class='top'>Site name</div><div class='text'>" + "".join(f"<p>{t}</p>" for t in ts) + "</div></body>"
+    rows = [(1, "http://h.example/1", page(text)), (2, "http://h.example/2", page(text)), (3, "http://h.example/3", page(["Quite another story, of cats and of dogs."])), (4, "http://h.example/4", page(["And a fourth one, about rain in the hills."]))]
+    got = {r.page_id: r.text for r in h.extract_main_text(spark.createDataFrame(rows, "page_id bigint, url string, html string")).collect()}
+    assert got[1] == got[2] == "\n\n".join(text) and got[3] == "Quite another story, of cats and of dogs."
+
+
+def test_lists_quotations_and_tables_stay_with_their_article(spark):
+    page = "<body><div class='text'><p>First the story in plain words.</p><ul><li>one thing, long enough to be more than the story itself</li><li>another</li></ul><blockquote><p>quoted words</p></blockquote><table><tr><td>cell</td></tr></table><section><p>last part</p></section></div></body>"
+    got = h.extract_main_text(spark.createDataFrame([(1, "http://one.example/", page)], "page_id bigint, url string, html string")).first().text
+    assert got.split("\n\n") == ["First the story in plain words.", "one thing, long enough to be more than the story itself", "another", "quoted words", "cell", "last part"]
