@@ -85,3 +85,47 @@ def test_lists_quotations_and_tables_stay_with_their_article(spark):
     page = "<body><div class='text'><p>First the story in plain words.</p><ul><li>one thing, long enough to be more than the story itself</li><li>another</li></ul><blockquote><p>quoted words</p></blockquote><table><tr><td>cell</td></tr></table><section><p>last part</p></section></div></body>"
     got = h.extract_main_text(spark.createDataFrame([(1, "http://one.example/", page)], "page_id bigint, url string, html string")).first().text
     assert got.split("\n\n") == ["First the story in plain words.", "one thing, long enough to be more than the story itself", "another", "quoted words", "cell", "last part"]
+
+
+def one(spark, page):
+    return h.extract_main_text(spark.createDataFrame([(1, "http://one.example/", page)], "page_id bigint, url string, html string")).first().text
+
+
+def test_words_inside_attribute_values_are_no_names(spark):
+    page = """<article><h1>T</h1><p>One.</p><div style="overflow:hidden"><p>Two</p></div><p title="hidden gem">Three</p>
+    <p data-hidden="false">Four</p><p width="id=ad">Five</p><p data-id="ad">Six</p><div class="x" class="ad"><p>Seven</p></div><p hidden>no</p></article>"""
+    assert one(spark, page).split("\n\n") == ["T", "One.", "Two", "Three", "Four", "Five", "Six", "Seven"]
+
+
+def test_an_articles_own_sections_stay_and_adverts_in_it_go(spark):
+    page = """<article><p>One.</p><section id="reply"><p>The reply of the king.</p></section><div class="form"><p>On form.</p></div>
+    <div class="search-results"><p>What was found.</p></div><div class="ad-slot"><p>Buy!</p></div><div id="comments"><p>me too</p></div></article>"""
+    assert one(spark, page).split("\n\n") == ["One.", "The reply of the king.", "On form.", "What was found."]
+
+
+def test_an_article_in_two_containers(spark):
+    for page in (
+        "<body><div class=a><p>First slot.</p></div><div class=b><p>Second slot.</p></div></body>",
+        "<body><div class=a><article><p>First slot.</p></article></div><div class=b><article><p>Second slot.</p></article></div></body>",
+        "<body><div class=a>First slot.</div><div class=b>Second slot.</div></body>",
+    ):
+        assert one(spark, page) == "First slot.\n\nSecond slot."
+
+
+def test_site_text_inside_a_declared_article_goes(spark):
+    page = lambda i: f"<body><article><h1>Title {i}</h1><p>{'Own words of page ' + str(i) + '. '} {'They go on. ' * 9}</p><p>Follow us on every channel</p></article></body>"
+    rows = [(i, "http://h.example/", page(i)) for i in range(6)]
+    got = {r.page_id: r.text for r in h.extract_main_text(spark.createDataFrame(rows, "page_id bigint, url string, html string")).collect()}
+    assert all(got[i].startswith(f"Title {i}\n\nOwn words") and "Follow" not in got[i] for i in range(6))
+
+
+def test_given_pages_without_telling_names(spark):
+    """The template finds the same text where nothing is named: the article, the menu, the advert and the footer are all plain divs."""
+    sf = "/root/testdata/sf0.01"
+    if not pathlib.Path(sf).exists():
+        pytest.skip("no test tables")
+    pages = spark.read.parquet(f"{sf}/pages.parquet")
+    want = {r.page_id: r.text for r in h.extract_main_text(pages).collect()}
+    plain = pages.selectExpr("page_id", "url", r"""regexp_replace(regexp_replace(html, '<(/?)(article|nav|footer)>', '<$1div>'), ' class="ad"', '') AS html""")
+    got = {r.page_id: r.text for r in h.extract_main_text(plain).collect()}
+    assert sum(got[k] == v for k, v in want.items()) >= 0.98 * len(want)
