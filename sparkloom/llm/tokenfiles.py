@@ -40,8 +40,9 @@ from sparkloom.llm.mphf import PerfectHash, key_hashes
 from sparkloom.session import scratch_dir, stored
 
 MAGIC = b"LOOMTOK1"
-KEPT = 2_000_000  # chunks that a worker remembers, at about 30 bytes
-FIRST_KEPT = 200_000  # and those that follow no blank
+KEPT_BYTES = 96 << 20  # of the chunks that a worker remembers, with their ids
+FIRST_BYTES = 24 << 20  # and of those that follow no blank
+LONGEST = 1_000  # bytes of a chunk that is worth remembering; a text with a longer one goes to the library whole
 LINE = 2_000  # new words that are encoded as one text
 _edge = re.compile(r"^$|^\s|\s$|\s\s")
 _runs = re.compile(r"(\s{2,})")
@@ -66,6 +67,10 @@ class ChunkStore:
         self.ids = np.zeros(0, self.kind)
         self.starts = np.zeros(1, np.int64)
 
+    @property
+    def held(self) -> int:
+        return self.chunks.nbytes + self.ids.nbytes + self.starts.nbytes
+
     def find(self, chunks: pa.Array) -> np.ndarray:
         """The number of each chunk, -1 where it is not there."""
         return pc.fill_null(pc.index_in(chunks, value_set=self.chunks), -1).to_numpy(zero_copy_only=False).astype(np.int64)
@@ -96,16 +101,19 @@ class TextTokenizer:
         with fs.open_input_stream(at) as f:
             spec = f.read().decode()
         self.tokenizer = Tokenizer.from_str(spec)
-        self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
         self.size = self.tokenizer.get_vocab_size()
         made = json.loads(spec)
         pre, added = made.get("pre_tokenizer") or {}, made.get("added_tokens") or []
-        self.by_chunk = pre.get("type") == "ByteLevel" and pre.get("use_regex", True) and not pre.get("add_prefix_space") and not made.get("normalizer") and not made.get("truncation") and not made.get("padding") and all(t.get("special") for t in added)
+        self.by_chunk = pre.get("type") == "ByteLevel" and pre.get("use_regex", True) and not pre.get("add_prefix_space") and not made.get("normalizer") and not made.get("truncation") and not made.get("padding")
+        # the library looks for added tokens in a text before anything else, so texts that hold one go to it whole
+        self.added = re.compile("|".join(sorted((re.escape(t["content"]) for t in added), reverse=True))) if added else None
+        self.by_chunk = self.by_chunk and not any(t.get("normalized") for t in added)
         self.first: dict[str, bytes] = {}  # ids of a chunk
+        self.first_held = 0
         self.stores: dict[str, ChunkStore] = {}  # ids of a blank and a chunk, by type
         if self.by_chunk:  # a character of a token's name is a byte
-            made["pre_tokenizer"] = {"type": "WhitespaceSplit"}
-            self.spelled = Tokenizer.from_str(json.dumps(made | {"added_tokens": []}))
+            spelled = made | {"pre_tokenizer": {"type": "WhitespaceSplit"}, "added_tokens": []}
+            self.spelled = Tokenizer.from_str(json.dumps(spelled))
             self.lengths = np.zeros(max(self.tokenizer.get_vocab().values()) + 1, np.int64)
             for token, i in self.tokenizer.get_vocab().items():
                 self.lengths[i] = len(token)
@@ -166,6 +174,7 @@ class TextTokenizer:
         others = [c for c in new if not c.isalpha()]
         self.first.update(zip(alone, self.word_ids(alone, "", kind)))
         self.first.update([(c, ids.tobytes()) for c, ids in zip(others, self.ids_of(others, kind) if others else ())])
+        self.first_held += sum(150 + 2 * len(c) + len(self.first[c]) for c in new)
 
     def pieces(self, text: str) -> list[tuple[bool, list[str]]]:
         """A text with runs of white space as parts: whether their chunks follow a blank each, and the chunks."""
@@ -188,17 +197,32 @@ class TextTokenizer:
     def encode(self, texts: list[str], kind: str) -> list[bytes]:
         if not self.by_chunk:
             return [ids.tobytes() for ids in self.ids_of(texts, kind)]
+        if self.added is not None and (marked := [i for i, t in enumerate(texts) if self.added.search(t)]):
+            own = dict(zip(marked, self.ids_of([texts[i] for i in marked], kind)))
+            rest = iter(self.encode([t for i, t in enumerate(texts) if i not in own], kind))
+            return [own[i].tobytes() if i in own else next(rest) for i in range(len(texts))]
         # all texts are cut at blanks, and chunks numbered, looked up and put together, as arrays
         firsts = [t.partition(" ")[0] for t in texts]
         rest = pa.array([t[len(f) + 1 :] if len(f) < len(t) else None for t, f in zip(texts, firsts)], pa.string())
         lists = pc.split_pattern(rest, " ")
         coded = lists.flatten().dictionary_encode()
         store = self.stores.setdefault(kind, ChunkStore(kind))
-        if len(store.chunks) > KEPT:
+        if store.held > KEPT_BYTES:
             store.clear()
-        if len(self.first) > FIRST_KEPT:
+        if self.first_held > FIRST_BYTES:
             self.first.clear()
+            self.first_held = 0
         chunks = coded.dictionary
+        many = pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False)
+        place = coded.indices.to_numpy(zero_copy_only=False).astype(np.int32)
+        long = pc.greater(pc.binary_length(chunks), LONGEST).to_numpy(zero_copy_only=False)
+        whole = {i for i, f in enumerate(firsts) if len(f) > LONGEST}
+        if long.any():
+            whole.update(np.unique(np.repeat(np.arange(len(texts)), many)[long[place]]).tolist())
+        if whole:
+            own = dict(zip(sorted(whole), self.ids_of([texts[i] for i in sorted(whole)], kind)))
+            rest = iter(self.encode([t for i, t in enumerate(texts) if i not in own], kind))
+            return [own[i].tobytes() if i in own else next(rest) for i in range(len(texts))]
         ends = pc.match_substring_regex(chunks, "[.,]$")
         breaks = pc.match_substring(chunks, "\n")
         stems = pc.utf8_slice_codeunits(chunks.filter(ends), 0, -1)
@@ -211,8 +235,6 @@ class TextTokenizer:
         unseen = np.flatnonzero(number < 0)
         new = chunks.take(pa.array(unseen)).to_pylist()
         edgy = {i for i, c in zip(unseen.tolist(), new) if not c.isalpha() and _edge.search(c)}  # beside white space; never stored
-        place = coded.indices.to_numpy(zero_copy_only=False).astype(np.int32)
-        many = pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False)
         odd = {i for i, f in enumerate(firsts) if f and (f[-1].isspace() or _runs.search(f))}
         if edgy:
             flags = np.zeros(len(chunks), bool)
@@ -259,11 +281,13 @@ class ShardWriter:
         self.kind, self.width = kind, np.dtype(kind).itemsize
         self.keys: list = []
         self.sizes: list[int] = []
+        self.written = 0
 
     def add(self, key, ids: bytes) -> None:
         if self.keys and key != self.keys[-1] and (key is None or (self.keys[-1] is not None and key < self.keys[-1])):
             raise ValueError("keys must come in ascending order")
         self.file.write(ids)
+        self.written += len(ids)
         self.keys.append(key)
         self.sizes.append(len(ids) // self.width)
 
@@ -324,40 +348,56 @@ class ShardReader:
         self.file.close()
 
 
-def write_token_files(docs: DataFrame, folder: str, tokenizer: str, id_col: str = "doc_id", text_col: str = "text", end_id: int = 2) -> DataFrame:
+def write_token_files(
+    docs: DataFrame, folder: str, tokenizer: str, id_col: str = "doc_id", text_col: str = "text", end_id: int = 2, shard_bytes: int = 1 << 30
+) -> DataFrame:
     """Encode whole texts and write them as shards in ascending key order; the manifest, a row per shard.
 
     Each document's ids end with ``end_id``; null and empty texts have that one alone. Rows with equal keys
     follow each other in text order and share a look-up; null keys come first. Other columns are ignored.
+    A shard is closed once it has ``shard_bytes`` of ids; rows of one key may be dealt to several tasks and shards.
     Manifest: ``(shard, uri, documents, ids, least, greatest, has_null)``, shards numbered in key order.
     """
     kind_of_key = docs.schema[id_col].dataType.simpleString()
+    names = ["shard", "uri", "documents", "ids", "least", "greatest", "has_null"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = text_tokenizer(tokenizer)
         kind = "<u2" if max(coder.size - 1, end_id) < 1 << 16 else "<u4"
         end = np.array([end_id], kind).tobytes()
-        writer, uri, key_type = None, f"{folder}/shard-{TaskContext.get().partitionId():06d}-{uuid.uuid4().hex[:12]}.tok", None
+        part, name, seq = TaskContext.get().partitionId(), uuid.uuid4().hex[:12], 0
+        writer, uri, done, key_type = None, "", [], None
+
+        def close() -> tuple:
+            writer.close()
+            there = [k for k in writer.keys if k is not None]
+            least, greatest = (there[0], there[-1]) if there else (None, None)
+            return part << 32 | seq, uri, len(writer.keys), sum(writer.sizes), least, greatest, writer.keys[0] is None
+
         for batch in batches:
             key_type = batch.column(0).type
             keys, texts, at = batch.column(0).to_pylist(), ["" if t is None else t for t in batch.column(1).to_pylist()], 0
-            writer = writer or ShardWriter(uri, kind)
             for group in text_groups(texts, 8_000_000):
                 for ids in coder.encode(group, kind):
+                    if writer is None:
+                        uri = f"{folder}/shard-{part:06d}-{seq:04d}-{name}.tok"
+                        writer = ShardWriter(uri, kind)
                     writer.add(keys[at], ids + end)
                     at += 1
+                    if writer.written >= shard_bytes:
+                        done.append(close())
+                        writer, seq = None, seq + 1
         release_memory()
         if writer is not None:
-            writer.close()
-            there = [k for k in writer.keys[:1] + writer.keys[-1:] if k is not None]
-            least = next((k for k in writer.keys if k is not None), None)
-            row = [TaskContext.get().partitionId(), uri, len(writer.keys), sum(writer.sizes), least, there[-1] if there else None, writer.keys[0] is None]
-            kinds = [pa.int32(), pa.string(), pa.int64(), pa.int64(), key_type, key_type, pa.bool_()]
-            yield pa.RecordBatch.from_arrays([pa.array([x], k) for x, k in zip(row, kinds)], ["shard", "uri", "documents", "ids", "least", "greatest", "has_null"])
+            done.append(close())
+        if done:
+            kinds = [pa.int64(), pa.string(), pa.int64(), pa.int64(), key_type, key_type, pa.bool_()]
+            yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*done), kinds)], names)
 
-    rows = docs.select(F.col(id_col).alias("key"), F.col(text_col).alias("text")).repartitionByRange("key").sortWithinPartitions("key", "text")
-    schema = f"shard int, uri string, documents bigint, ids bigint, least {kind_of_key}, greatest {kind_of_key}, has_null boolean"
-    return stored(rows.mapInArrow(run, schema), "manifest")
+    rows = docs.select(F.col(id_col).alias("key"), F.col(text_col).alias("text"))
+    dealt = rows.repartitionByRange("key", F.substring("text", 1, 64)).sortWithinPartitions("key", "text")
+    schema = f"shard bigint, uri string, documents bigint, ids bigint, least {kind_of_key}, greatest {kind_of_key}, has_null boolean"
+    return stored(dealt.mapInArrow(run, schema), "manifest")
 
 
 def read_token_files(manifest: DataFrame, keys: DataFrame, id_col: str = "doc_id", with_ids: bool = False) -> DataFrame:
@@ -368,8 +408,8 @@ def read_token_files(manifest: DataFrame, keys: DataFrame, id_col: str = "doc_id
     shard and goes to every task; keys are dealt by range, so that a task opens few shards.
     """
     shards = manifest.orderBy("shard").collect()
-    bounds = [s.least for s in shards if s.least is not None]
-    named = [s.uri for s in shards if s.least is not None]
+    named = [s for s in shards if s.least is not None]
+    bounds, tops, uris = [s.least for s in named], [s.greatest for s in named], [s.uri for s in named]
     nulls = [s.uri for s in shards if s.has_null]
     base, total = {}, 0
     for s in shards:
@@ -377,28 +417,41 @@ def read_token_files(manifest: DataFrame, keys: DataFrame, id_col: str = "doc_id
         total += s.ids
     schema = f"`{id_col}` {keys.schema[id_col].dataType.simpleString()}, start bigint, n_tokens bigint, ids_crc32 bigint" + ", ids binary" * with_ids
 
+    def shards_of(key) -> list[str]:
+        if key is None:
+            return nulls
+        to = bisect.bisect_right(bounds, key)
+        at = to
+        while at and tops[at - 1] >= key:
+            at -= 1
+        return uris[at:to]
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        reader, at = None, None
+        reader, opened = None, None
+        kinds = [pa.int64(), pa.int64(), pa.int64(), pa.binary()]
+        names = [id_col, "start", "n_tokens", "ids_crc32", "ids"][: 4 + with_ids]
         for batch in batches:
-            out: list[list] = [[] for _ in range(4 + with_ids)]
             own: dict[str, list] = {}
             for k in batch.column(0).to_pylist():
-                i = bisect.bisect_right(bounds, k) - 1 if k is not None else -1
-                for uri in nulls if k is None else [named[i]] if i >= 0 else []:
+                for uri in shards_of(k):
                     own.setdefault(uri, []).append(k)
+            out: list[tuple] = []
+            held = 0
             for uri, wanted in own.items():
-                if uri != at:
+                if uri != opened:
                     if reader is not None:
                         reader.close()
-                    reader, at = ShardReader(uri), uri
+                    reader, opened = ShardReader(uri), uri
                 for k, numbers in zip(wanted, reader.find(wanted)):
                     for i in numbers:
                         ids = reader.read(i).astype("<u4").tobytes()
-                        row = (k, base[uri] + int(reader.offsets[i]), len(ids) // 4, zlib.crc32(ids), ids)
-                        for column, x in zip(out, row):
-                            column.append(x)
-            kinds = [batch.column(0).type, pa.int64(), pa.int64(), pa.int64(), pa.binary()]
-            yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(out, kinds)], [id_col, "start", "n_tokens", "ids_crc32", "ids"][: len(out)])
+                        out.append((k, base[uri] + int(reader.offsets[i]), len(ids) // 4, zlib.crc32(ids), ids if with_ids else None)[: 4 + with_ids])
+                        held += len(ids) if with_ids else 1
+                        if held > 1 << 24:
+                            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out), [batch.column(0).type, *kinds])], names)
+                            out, held = [], 0
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out), [batch.column(0).type, *kinds])], names)
         if reader is not None:
             reader.close()
 

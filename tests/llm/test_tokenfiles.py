@@ -17,9 +17,7 @@ PATH = P.path("byte_bpe_50k.json")
 
 @pytest.fixture(scope="module")
 def library():
-    t = Tokenizer.from_file(PATH)
-    t.encode_special_tokens = True
-    return t
+    return Tokenizer.from_file(PATH)
 
 
 @pytest.mark.parametrize("n", [0, 1, 2, 3, 70, 5000])
@@ -43,7 +41,7 @@ def test_keys_that_are_not_there(tmp_path):
 
 
 @settings(max_examples=400, deadline=None)
-@given(st.one_of(st.text(max_size=80), st.text("ab.,' \n\t\r\x1c\x85\xa01_é", max_size=40)))
+@given(st.one_of(st.text(max_size=80), st.lists(st.sampled_from(["<|endoftext|>", "x", " ", "\n", "<|", "of", "日本"]), max_size=9).map("".join), st.text("ab.,' \n\t\r\x1c\x85\xa01_é", max_size=40)))
 def test_cached_encoding_is_the_library_s(library, text):
     got = np.frombuffer(tf.text_tokenizer(PATH).encode([text], "<u2")[0], "<u2").tolist()
     assert got == library.encode(text, add_special_tokens=False).ids
@@ -69,3 +67,30 @@ def test_empty_table(spark):
     df = spark.createDataFrame([], "doc_id bigint, text string")
     manifest = tf.write_token_files(df, f"{scratch_dir(spark)}/t", PATH)
     assert tf.read_token_files(manifest, df).collect() == []
+
+
+def test_special_strings_long_words_and_scripts_without_blanks(library, monkeypatch):
+    cjk = "".join(chr(0x4E00 + i * 7 % 5000) for i in range(30_000))
+    texts = ["x<|endoftext|>y", "<|endoftext|>", "a b <|endoftext|> c", cjk, f"one {cjk[:400]} two {cjk}", "q" * 200_000, "Zm9v" * 50_000 + " end", "plain words"]
+    coder = tf.TextTokenizer(PATH)
+    for group in (texts, texts[::-1], texts[:1]):
+        got = [np.frombuffer(x, "<u2").tolist() for x in coder.encode(group, "<u2")]
+        assert got == [library.encode(t, add_special_tokens=False).ids for t in group]
+    assert coder.first_held < 10_000 and all(len(c) <= tf.LONGEST for c in coder.first)
+    monkeypatch.setattr(tf, "KEPT_BYTES", 10)
+    monkeypatch.setattr(tf, "FIRST_BYTES", 10)
+    for t in ("some words here", "and other words, too", "some words here"):
+        assert np.frombuffer(coder.encode([t], "<u2")[0], "<u2").tolist() == library.encode(t, add_special_tokens=False).ids
+
+
+def test_one_key_over_several_shards(spark, library):
+    df = spark.createDataFrame([(k, f"text number {i:04d}") for i in range(400) for k in ([5] if i % 4 else [i])], "doc_id bigint, text string")
+    manifest = tf.write_token_files(df.repartition(4), f"{scratch_dir(spark)}/t", PATH, shard_bytes=300)
+    assert manifest.where("least <= 5 and greatest >= 5").count() > 3
+    got = sorted((r.start, r.doc_id, r.n_tokens) for r in tf.read_token_files(manifest, df).collect())
+    want, start = [], 0
+    for k, t in sorted((r.doc_id, r.text) for r in df.collect()):
+        n = len(library.encode(t, add_special_tokens=False).ids) + 1
+        want.append((start, k, n))
+        start += n
+    assert got == want
