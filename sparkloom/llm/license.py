@@ -1,9 +1,11 @@
-"""Licence scan: notices found by TF-IDF cosine to templates, and inheritance from the nearest directory above.
+"""Licence scan: headers and licence files found by TF-IDF cosine to templates, and inheritance from the nearest directory above.
 
-Texts are cut into lines and sentences. A unit and a template are sparse vectors of word counts times
-inverse document frequency, which is counted over all files; units are scored against all templates. A unit
-without any of a template's weightiest words cannot reach the threshold, so most are passed over at once.
-Files that mostly consist of a notice are licence files of their directory; files without a notice of their
+A text is compared as sparse vectors of word counts times inverse document frequency, which is counted over
+all files: the whole file with full licence texts, its first words with the openings of long ones, its leading comment,
+with comment marks removed and lines joined, with full texts and standard headers, and its lines and sentences,
+also those wrapped over several lines, with one-sentence notices. A unit without any of a template's weightiest
+words cannot reach the threshold, so most are passed over at once.
+Licence files, and files that mostly consist of a notice, stand for their directory; files without a notice of their
 own take the licence of the nearest directory above them that has such a file, found by joins on paths.
 """
 
@@ -21,6 +23,7 @@ from pyspark.sql import functions as F
 
 from sparkloom.llm.arrow import byte_values
 from sparkloom.llm.decontaminate import words_of
+from sparkloom.llm.license_texts import HEADERS, OPENINGS, TEXTS
 from sparkloom.session import stored
 
 #: Licence names and the notices that announce them.
@@ -49,7 +52,40 @@ TEMPLATES = (
     ("ISC", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted"),
     ("Unlicense", "This is free and unencumbered software released into the public domain"),
 )
-_cut = re.compile(rb"[\r\n]+|(?<=[.!?])[ \t]+")
+#: Words that turn a notice into its opposite.
+NEGATIONS = frozenset(b"not no never neither nor isn aren wasn weren cannot".split())
+_lines = re.compile(rb"[\r\n]+")
+_sentence = re.compile(rb"(?<=[.!?])[ \t]+")
+_blank = re.compile(rb"\r?\n[ \t]*(?:\r?\n[ \t]*)+")
+_marks = re.compile(rb"""^[ \t]*(?:/\*+|\*+/?|//+!?|#+!?|--+|;+|%+|<!--|"{3}|'{3})?[ \t]*|[ \t]*(?:\*+/|-->)[ \t]*$""")
+_comment = re.compile(
+    rb"""\A\s*(?:#![^\n]*\n\s*)?(/\*.*?\*/|<!--.*?-->|"{3}.*?"{3}|'{3}.*?'{3}|(?:[ \t]*(?://|#|--|;|%)[^\n]*(?:\n|\Z))+)""", re.S
+)
+
+
+def header_of(text: bytes) -> bytes:
+    """The leading comment of a file, without its marks; empty if there is none."""
+    found = _comment.match(text)
+    return b" ".join(_marks.sub(b"", line) for line in found[1].splitlines()) if found else b""
+
+
+def units_of(text: bytes) -> Iterator[tuple[int, int, bytes]]:
+    """``(from, to, text)`` of the units in turn, by number of line part: each sentence in a line,
+    then, of each paragraph, each sentence that runs over several lines, without comment marks."""
+    number = 0
+    for paragraph in _blank.split(text):
+        parts: list[tuple[int, bytes]] = []  # (number, part of a line)
+        for line in _lines.split(paragraph):
+            for part in _sentence.split(line):
+                yield number, number + 1, part
+                parts.append((number, part))
+                number += 1
+        begin = 0
+        for i, (_, part) in enumerate(parts):
+            if i + 1 == len(parts) or part.rstrip().endswith((b".", b"!", b"?", b":")):
+                if i > begin:
+                    yield parts[begin][0], parts[i][0] + 1, b" ".join(_marks.sub(b"", p) for _, p in parts[begin : i + 1])
+                begin = i + 1
 
 
 @dataclass(frozen=True)
@@ -58,6 +94,8 @@ class LicenseMatcher:
 
     names: list[str]
     vectors: list[dict[bytes, float]]
+    sizes: list[int]  # words
+    denied: list[int]  # negations
     idf: dict[bytes, float]
     other: float
     threshold: float
@@ -65,11 +103,12 @@ class LicenseMatcher:
 
     @classmethod
     def build(cls, templates, files: int, counts: dict[bytes, int], threshold: float) -> LicenseMatcher:
-        vocab = {w for _, text in templates for w in words_of(text.encode())}
-        idf = {w: math.log((1 + files) / (1 + counts.get(w, 0))) + 1 for w in sorted(vocab)}
+        split = [words_of(text.encode()) for _, text in templates]
+        idf = {w: math.log((1 + files) / (1 + counts.get(w, 0))) + 1 for w in sorted({w for words in split for w in words})}
+        other = math.log(1 + files) + 1
         vectors, needed = [], set()
-        for _, text in templates:
-            raw = {w: n * idf[w] for w, n in Counter(words_of(text.encode())).items()}
+        for words in split:
+            raw = {w: n * idf[w] for w, n in Counter(words).items()}
             norm = math.sqrt(sum(x * x for x in raw.values()))
             vector = {w: x / norm for w, x in raw.items()}
             vectors.append(vector)
@@ -79,32 +118,67 @@ class LicenseMatcher:
                     break
                 needed.add(w)
                 rest -= vector[w] ** 2
-        return cls([n for n, _ in templates], vectors, idf, math.log(1 + files) + 1, threshold, frozenset(needed))
+        denied = [sum(w in NEGATIONS for w in words) for words in split]
+        return cls([n for n, _ in templates], vectors, [len(w) for w in split], denied, idf, other, threshold, frozenset(needed))
 
-    def unit(self, words: list[bytes]) -> tuple[float, str] | None:
-        """The best score and name, ties to the name that sorts first; none below the threshold."""
-        raw = {w: n * self.idf.get(w, self.other) for w, n in Counter(words).items()}
+    def best(self, words: list[bytes]) -> tuple[float, str] | None:
+        """The best score and name, ties to the name that sorts first; none below the threshold. A unit
+        of at most 60 words must not hold more negations than the template."""
+        if self.needed.isdisjoint(words):
+            return None
+        counts = Counter(words)
+        raw = {w: n * self.idf.get(w, self.other) for w, n in counts.items()}
         norm = math.sqrt(sum(x * x for x in raw.values()))
-        best = None
-        for name, vector in zip(self.names, self.vectors):
+        denied = sum(n for w, n in counts.items() if w in NEGATIONS) if len(words) <= 60 else 0
+        found = None
+        for name, vector, own in zip(self.names, self.vectors, self.denied):
+            if denied > own:
+                continue
             score = sum(x * raw[w] for w, x in vector.items() if w in raw) / norm
-            if score >= self.threshold - 1e-12 and (best is None or (-score, name) < (-best[0], best[1])):
-                best = (score, name)
-        return best
-
-    def scan(self, text: bytes) -> tuple[list[tuple[int, str, float]], float]:
-        """``(unit number, licence, score)`` of the notices in a text, and their share of its word characters."""
-        if self.needed.isdisjoint(words_of(text)):
-            return [], 0.0
-        found, own, total = [], 0, 0
-        for i, unit in enumerate(_cut.split(text)):
+            if score >= self.threshold - 1e-12 and (found is None or (-score, name) < (-found[0], found[1])):
+                found = (score, name)
+        return found
+
+
+@dataclass(frozen=True)
+class LicenseScanner:
+    """The matchers of one-sentence notices, of headers, of whole files and of openings."""
+
+    notices: LicenseMatcher
+    headers: LicenseMatcher
+    texts: LicenseMatcher
+    openings: LicenseMatcher
+    file_share: float
+
+    def whole(self, words: list[bytes]) -> tuple[float, str] | None:
+        """The best match of the whole file with a full text, or of its first words with an opening, if it is thrice as long or more."""
+        found = [self.texts.best(words)]
+        found += [self.openings.best(words[:n]) for n in sorted(set(self.openings.sizes)) if len(words) >= 3 * n]
+        return min((x for x in found if x), key=lambda x: (-x[0], x[1]), default=None)
+
+    def scan(self, text: bytes) -> tuple[list[tuple[int, str, float]], tuple[float, str] | None, bool]:
+        """``(unit number, licence, score)`` of the notices in a text, the best match, and whether the file stands for its directory."""
+        words = words_of(text)
+        there = set(words)
+        if all(m.needed.isdisjoint(there) for m in (self.notices, self.headers, self.texts, self.openings)):
+            return [], None, False
+        whole = self.whole(words)
+        found, own, total, taken = [], 0, 0, set()
+        for begin, end, unit in units_of(text):
             words = words_of(unit)
             size = sum(map(len, words))
-            total += size
-            if words and not self.needed.isdisjoint(words) and (best := self.unit(words)):
-                found.append((i, best[1], best[0]))
+            if end == begin + 1:
+                total += size
+            if words and taken.isdisjoint(range(begin, end)) and (best := self.notices.best(words)):
+                found.append((begin, best[1], best[0]))
+                taken.update(range(begin, end))
                 own += size
-        return found, own / total if total else 0.0
+        words = words_of(header_of(text))
+        header = self.headers.best(words) if words else None
+        share = max(own, sum(map(len, words)) if header else 0) / total if total else 0.0
+        matches = [whole] if whole else [(s, n) for _, n, s in found] + ([header] if header else [])
+        best = min(matches, key=lambda x: (-x[0], x[1]), default=None)
+        return sorted(found), best, bool(whole) or best is not None and share >= self.file_share
 
 
 def term_counts(files: DataFrame, text_col: str, vocab: frozenset[bytes]) -> tuple[int, dict[bytes, int]]:
@@ -123,36 +197,45 @@ def term_counts(files: DataFrame, text_col: str, vocab: frozenset[bytes]) -> tup
     return counts.pop(b"", 0), counts
 
 
-def scan_licenses(files: DataFrame, id_col: str = "file_id", path_col: str = "path", text_col: str = "text", templates=TEMPLATES, threshold: float = 0.75, file_share: float = 0.5) -> DataFrame:
+def scan_licenses(
+    files: DataFrame, id_col: str = "file_id", path_col: str = "path", text_col: str = "text", templates=TEMPLATES, headers=HEADERS, texts=TEXTS,
+    openings=OPENINGS, threshold: float = 0.75, text_threshold: float = 0.85, file_share: float = 0.5,
+) -> DataFrame:
     """One row per row of ``files``: ``(id_col, path_col, notices, license, score, how, from_path)``.
 
-    ``notices``: units with a cosine of ``threshold`` or more, as (unit, license, score). ``license``: that of
-    the best one, ties to the name that sorts first; ``how`` is then 'header', or 'file' where notices make
-    up ``file_share`` or more of the words: such a file stands for its directory. Rows without a notice
+    ``notices``: units with a cosine of ``threshold`` or more to a notice, as (unit, license, score); a unit with more
+    negations than the notice is none. A file whose whole words have a cosine of ``text_threshold`` or more to a full text, or
+    whose first words have it to an opening, is a licence file (``how`` 'file'). Else ``license`` is that of the best
+    notice or leading comment, ties to the name that sorts first; ``how`` is then 'header', or 'file' where these make
+    up ``file_share`` or more of the words. Licence files stand for their directory. Rows without a match
     inherit from the nearest directory at or above their own that has such a file (``how`` 'inherited',
     ``from_path`` the file; of several the best score, then the least path); else all three are null.
     Null and empty texts have no notice; a null path has no directory and neither gives nor takes.
     Repeated rows give repeated results; other columns are ignored; an empty table gives none.
     """
-    vocab = frozenset(w for _, text in templates for w in words_of(text.encode()))
+    vocab = frozenset(w for _, text in (*templates, *headers, *texts, *openings) for w in words_of(text.encode()))
     total, counts = term_counts(files, text_col, vocab)
-    sent = files.sparkSession.sparkContext.broadcast(LicenseMatcher.build(templates, total, counts, threshold))
+    kinds = ((templates, threshold), ((*headers, *texts), threshold), (texts, text_threshold), (openings, text_threshold))
+    scanner = LicenseScanner(*(LicenseMatcher.build(t, total, counts, least) for t, least in kinds), file_share)
+    sent = files.sparkSession.sparkContext.broadcast(scanner)
     kind = files.schema[id_col].dataType.simpleString()
     notice = pa.list_(pa.struct([("unit", pa.int64()), ("license", pa.string()), ("score", pa.float64())]))
+    match = pa.struct([("s", pa.float64()), ("license", pa.string())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        matcher = sent.value
+        scanner = sent.value
         for batch in batches:
-            found = [matcher.scan(t) for t in byte_values(batch.column(2))]
-            notices = pa.array([[{"unit": i, "license": n, "score": s} for i, n, s in own] for own, _ in found], notice)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), notices, pa.array([s for _, s in found], pa.float64())], ["id", "path", "notices", "share"])
+            found = [scanner.scan(t) for t in byte_values(batch.column(2))]
+            notices = pa.array([[{"unit": i, "license": n, "score": s} for i, n, s in own] for own, _, _ in found], notice)
+            best = pa.array([x and {"s": -x[0], "license": x[1]} for _, x, _ in found], match)
+            stands = pa.array([x for _, _, x in found], pa.bool_())
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), notices, best, stands], ["id", "path", "notices", "best", "stands"])
 
     rows = files.select(F.col(id_col).alias("id"), F.col(path_col).cast("string").alias("path"), F.col(text_col).alias("text"))
-    scanned = rows.mapInArrow(run, f"id {kind}, path string, notices array<struct<unit:bigint,license:string,score:double>>, share double")
-    best = F.array_min(F.transform("notices", lambda n: F.struct((-n["score"]).alias("s"), n["license"].alias("license"))))
-    scanned = stored(scanned.withColumn("best", best).withColumn("dir", F.regexp_replace("path", "/?[^/]*$", "")), "scanned")
+    schema = f"id {kind}, path string, notices array<struct<unit:bigint,license:string,score:double>>, best struct<s:double,license:string>, stands boolean"
+    scanned = stored(rows.mapInArrow(run, schema).withColumn("dir", F.regexp_replace("path", "/?[^/]*$", "")), "scanned")
 
-    own = scanned.where(F.col("best").isNotNull() & F.col("path").isNotNull() & (F.col("share") >= file_share))
+    own = scanned.where(F.col("path").isNotNull() & F.col("stands"))
     holders = own.groupBy("dir").agg(F.min(F.struct(F.col("best.s").alias("s"), "path", F.col("best.license").alias("license"))).alias("by"))
     dirs = scanned.where(F.col("dir").isNotNull()).select("dir").distinct()
     steps = F.split("dir", "/")  # a directory and those above it, to the root
@@ -166,7 +249,7 @@ def scan_licenses(files: DataFrame, id_col: str = "file_id", path_col: str = "pa
         F.col("id").alias(id_col), F.col("path").alias(path_col), "notices",
         F.when(has, F.col("best.license")).otherwise(F.col("by.license")).alias("license"),
         F.when(has, -F.col("best.s")).otherwise(-F.col("by.s")).alias("score"),
-        F.when(has & (F.col("share") >= file_share), "file").when(has, "header").when(F.col("by").isNotNull(), "inherited").alias("how"),
+        F.when(F.col("stands"), "file").when(has, "header").when(F.col("by").isNotNull(), "inherited").alias("how"),
         F.when(~has, F.col("by.path")).alias("from_path"),
     )
 
