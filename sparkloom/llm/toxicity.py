@@ -1,14 +1,16 @@
 """Toxicity scores by a counterfactual-regularised classifier over the words of whole texts.
 
 Fitting takes a bounded sample of labelled documents. Words, and beginnings of words, whose presence goes with the label
-beyond chance are kept, and a ridge logistic regression is fitted on them by Newton's method. Each labelled
+beyond chance are kept, and a ridge logistic regression is fitted on them by Newton's method. Each sentence of a labelled
 document that names identity groups is rewritten with the terms swapped for others of the same kind; the
-squared difference of the two scores (before the sigmoid) is part of the loss. A group name that happens
+squared difference of the document's two scores (before the sigmoid) is part of the loss. A group name that happens
 to be frequent in toxic sentences so gets no score of its own, and neutral mentions stay low.
 """
 
 from __future__ import annotations
 
+import re
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -21,7 +23,7 @@ from pyspark.sql import functions as F
 from sparkloom.llm.arrow import byte_values, release_memory
 from sparkloom.llm.decontaminate import words_of
 
-#: Identity terms by kind; terms of one kind are swapped for one another.
+#: Identity terms by kind, in English, German, French and Spanish; terms of one kind are swapped for one another.
 IDENTITY_TERMS = (
     ("women", "men"),
     ("woman", "man"),
@@ -32,7 +34,35 @@ IDENTITY_TERMS = (
     ("gay", "straight", "lesbian", "bisexual", "transgender"),
     ("immigrants", "refugees", "foreigners", "natives"),
     ("disabled", "blind", "deaf", "elderly", "young"),
+    ("frauen", "männer"),
+    ("frau", "mann"),
+    ("mädchen", "jungen"),
+    ("muslime", "christen", "juden", "hindus", "buddhisten", "atheisten"),
+    ("muslimisch", "christlich", "jüdisch", "hinduistisch", "buddhistisch"),
+    ("schwarze", "weiße", "asiaten", "araber", "türken"),
+    ("schwule", "lesben", "heterosexuelle", "bisexuelle"),
+    ("einwanderer", "flüchtlinge", "ausländer", "einheimische"),
+    ("behinderte", "blinde", "gehörlose", "alte", "junge"),
+    ("femmes", "hommes"),
+    ("femme", "homme"),
+    ("filles", "garçons"),
+    ("musulmans", "chrétiens", "juifs", "hindous", "bouddhistes", "athées"),
+    ("musulman", "chrétien", "juif", "hindou", "bouddhiste", "athée"),
+    ("noirs", "blancs", "asiatiques", "arabes"),
+    ("gays", "lesbiennes", "hétérosexuels", "bisexuels"),
+    ("immigrés", "réfugiés", "étrangers", "autochtones"),
+    ("handicapés", "aveugles", "sourds", "âgés", "jeunes"),
+    ("mujeres", "hombres"),
+    ("mujer", "hombre"),
+    ("niñas", "niños"),
+    ("musulmanes", "cristianos", "judíos", "hindúes", "budistas", "ateos"),
+    ("musulmán", "cristiano", "judío", "hindú", "budista", "ateo"),
+    ("negros", "blancos", "asiáticos", "árabes", "latinos"),
+    ("gais", "lesbianas", "heterosexuales", "bisexuales"),
+    ("inmigrantes", "refugiados", "extranjeros", "nativos"),
+    ("discapacitados", "ciegos", "sordos", "ancianos", "jóvenes"),
 )
+SENTENCE = re.compile(rb"[.!?\n]+")
 KEPT = 1 << 18  # words whose weight a task remembers
 
 
@@ -52,7 +82,34 @@ def feature_array(words: set[bytes]) -> np.ndarray:
 
 
 def swapped_terms(kinds=IDENTITY_TERMS) -> dict[bytes, list[bytes]]:
-    return {t.encode(): [x.encode() for x in kind if x != t] for kind in kinds for t in kind}
+    """The terms that each term is swapped for; one that is in several kinds is swapped within all of them."""
+    out: dict[bytes, list[bytes]] = {}
+    for kind in kinds:
+        for t in kind:
+            own = out.setdefault(t.encode(), [])
+            own += [x.encode() for x in kind if x != t and x.encode() not in own]
+    return out
+
+
+def rewritten(text: bytes, swaps: dict[bytes, list[bytes]]) -> dict[tuple[bytes, bytes], int]:
+    """What changes in a text's features where one of its sentences has its identity terms swapped: ``(features gone,
+    features new)``, packed, and how many rewritten sentences change it so. A sentence gives as many forms as its terms have swaps at most."""
+    sentences = [set(words_of(s)) for s in SENTENCE.split(text)]
+    forms: dict[tuple[bytes, bytes], int] = {}
+    if all(map(swaps.keys().isdisjoint, sentences)):
+        return forms
+    held = Counter(w for s in sentences for w in s)
+    features = Counter(k for w in held for k in set(features_of(w)))
+    for sentence in sentences:
+        there = sorted(sentence & swaps.keys())
+        for turn in range(max((len(swaps[w]) for w in there), default=0)):
+            after = {swaps[w][turn % len(swaps[w])] for w in there}
+            lost = Counter(k for w in there if held[w] == 1 and w not in after for k in set(features_of(w)))
+            new = {k for w in after if w not in held for k in features_of(w)}
+            gone = {k for k, n in lost.items() if features[k] == n} - new
+            change = (np.array(sorted(gone), np.int64).tobytes(), np.array(sorted(new - features.keys()), np.int64).tobytes())
+            forms[change] = forms.get(change, 0) + 1
+    return forms
 
 
 @dataclass(frozen=True)
@@ -84,34 +141,37 @@ def in_fold(id_col: Column, folds: int = 5) -> Column:
     return F.crc32(F.coalesce(id_col.cast("string"), F.lit("")).cast("binary")) % folds == 0
 
 
-def labelled_features(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_col: str, max_rows: int, kinds) -> list[tuple[int, np.ndarray, list[np.ndarray]]]:
-    """``(label, features, features of each rewritten form)`` of the sampled rows; at most ``max_rows``."""
+Row = tuple[int, np.ndarray, list[tuple[np.ndarray, np.ndarray, int]]]
+
+
+def labelled_features(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_col: str, max_rows: int, kinds) -> list[Row]:
+    """``(label, features, forms)`` of the sampled rows, at most ``max_rows``; a form is ``(features gone, features new, how often)``."""
     order = F.xxhash64(F.col("id").cast("string"), F.col("label"))
-    marked = labels.select(F.col(id_col).alias("id"), F.col(label_col).cast("int").alias("label")).where(F.col("label").isin(0, 1) & F.col("id").isNotNull() & ~in_fold(F.col("id")))
+    marked = labels.select(F.col(id_col).alias("id"), F.col(label_col).cast("int").alias("label"))
+    marked = marked.where(F.col("label").isin(0, 1) & F.col("id").isNotNull() & ~in_fold(F.col("id")))
     sample = marked.orderBy(order, "id", "label").limit(max_rows)  # bounded, so it may be broadcast
     joined = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(F.broadcast(sample), "id").select("id", "label", "text")
     swaps = swapped_terms(kinds)
+    form = pa.list_(pa.struct([("gone", pa.binary()), ("new", pa.binary()), ("n", pa.int64())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            own, forms = [], []
-            for text in byte_values(batch.column(2)):
-                words = set(words_of(text))
-                there = sorted(w for w in words if w in swaps)
-                own.append(feature_array(words).tobytes())
-                rewritten = []
-                for turn in range(max((len(swaps[w]) for w in there), default=0)):
-                    form = (words - set(there)) | {swaps[w][turn % len(swaps[w])] for w in there}
-                    rewritten.append(feature_array(form).tobytes())
-                forms.append(rewritten)
-            yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.string()), batch.column(1), pa.array(own, pa.binary()), pa.array(forms, pa.list_(pa.binary()))], ["id", "label", "words", "forms"])
-
-    found = joined.mapInArrow(run, "id string, label int, words binary, forms array<binary>")
-    rows = found.orderBy(F.xxhash64("id", "words"), "id", "label").limit(max_rows).select("label", "words", "forms").collect()  # rows repeated in docs do not lift the bound
-    return [(r.label, np.frombuffer(r.words, np.int64), [np.frombuffer(x, np.int64) for x in r.forms]) for r in rows]
-
-
-def fit_model(rows: list[tuple[int, np.ndarray, list[np.ndarray]]], ridge: float = 1.0, fairness: float = 1.0, least_z: float = 4.0, max_features: int = 1000, kinds=IDENTITY_TERMS) -> ToxicityModel:
+            texts = byte_values(batch.column(2))
+            own = [feature_array(set(words_of(t))).tobytes() for t in texts]
+            forms = [[{"gone": a, "new": b, "n": n} for (a, b), n in rewritten(t, swaps).items()] for t in texts]
+            columns = [batch.column(0).cast(pa.string()), batch.column(1), pa.array(own, pa.binary()), pa.array(forms, form)]
+            yield pa.RecordBatch.from_arrays(columns, ["id", "label", "words", "forms"])
+
+    found = joined.mapInArrow(run, "id string, label int, words binary, forms array<struct<gone:binary,new:binary,n:bigint>>")
+    # rows repeated in docs do not lift the bound
+    rows = found.orderBy(F.xxhash64("id", "words"), "id", "label").limit(max_rows).select("label", "words", "forms").collect()
+    keys = lambda x: np.frombuffer(x, np.int64)
+    return [(r.label, keys(r.words), [(keys(f["gone"]), keys(f["new"]), f["n"]) for f in r.forms]) for r in rows]
+
+
+def fit_model(
+    rows: list[Row], ridge: float = 1.0, fairness: float = 1.0, least_z: float = 4.0, max_features: int = 1000, kinds=IDENTITY_TERMS
+) -> ToxicityModel:
     """Fit the classifier; ``fairness`` weighs the squared score changes of rewritten forms, 0 leaves them out.
 
     Kept are words with a z value of ``least_z`` or more, and identity terms; at most ``max_features``.
@@ -137,12 +197,6 @@ def fit_model(rows: list[tuple[int, np.ndarray, list[np.ndarray]]], ridge: float
     at = {int(k): i for i, k in enumerate(kept)}
     k = len(kept)
 
-    def vector(words: np.ndarray) -> np.ndarray:
-        v = np.zeros(k + 1)
-        v[k] = 1
-        v[[at[w] for w in words[np.isin(words, kept)].tolist()]] = 1
-        return v
-
     x = np.zeros((n, k + 1), np.float32)
     x[:, k] = 1
     slot = np.full(len(keys), -1)
@@ -150,10 +204,12 @@ def fit_model(rows: list[tuple[int, np.ndarray, list[np.ndarray]]], ridge: float
     there = slot[where] >= 0
     x[of[there], slot[where[there]]] = 1
     change = np.zeros((k + 1, k + 1))
-    for i, (_, words, forms) in enumerate(rows):
-        for form in forms:
-            d = x[i] - vector(form)
-            change += np.outer(d, d) / len(forms)
+    for _, _, forms in rows:
+        for gone, new, many in forms:
+            d = np.zeros(k + 1)
+            d[[at[f] for f in gone.tolist() if f in at]] = 1
+            d[[at[f] for f in new.tolist() if f in at]] = -1
+            change += np.outer(d, d) * many / sum(f[2] for f in forms)
     penalty = ridge * np.eye(k + 1)
     penalty[k, k] = 1e-6
     penalty += 2 * fairness * change

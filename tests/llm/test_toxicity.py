@@ -1,3 +1,4 @@
+import math
 import random
 import zlib
 
@@ -15,8 +16,8 @@ def rows_of(texts):
     key = lambda ws: np.array(sorted(map(tx.word_key, ws)), np.int64)
     for y, t in texts:
         words = set(words_of(t.encode()))
-        forms = [(words - {w}) | {o} for w in sorted(words) if w in swaps for o in swaps[w]]
-        out.append((y, key(words), [key(f) for f in forms]))
+        forms = [(key({w}), key({o} - words), 1) for w in sorted(words) if w in swaps for o in swaps[w]]
+        out.append((y, key(words), forms))
     return out
 
 
@@ -67,13 +68,88 @@ def test_training_leaves_the_fold_out_and_scores_all(spark):
     assert tx.with_toxicity(docs.where("false"), model).count() == 0
 
 
+def test_sentences_are_rewritten_one_by_one():
+    swaps = tx.swapped_terms()
+    text = "Die Frauen singen. Men and women sing! No one here.\nMuslims again".encode()
+    whole = set(words_of(text))
+    want = {}
+    sentences = [words_of(x) for x in (b"Die Frauen singen", b"Men and women sing", b"No one here", b"Muslims again")]
+    for i, s in enumerate(sentences):
+        there = sorted(set(s) & swaps.keys())
+        for turn in range(max((len(swaps[w]) for w in there), default=0)):
+            put = {w: swaps[w][turn % len(swaps[w])] for w in there}
+            after = {put.get(w, w) if j == i else w for j, x in enumerate(sentences) for w in x}
+            f = lambda ws: set(tx.feature_array(ws).tolist())
+            change = (tuple(sorted(f(whole) - f(after))), tuple(sorted(f(after) - f(whole))))
+            want[change] = want.get(change, 0) + 1
+    import numpy as np
+
+    unpack = lambda x: tuple(np.frombuffer(x, np.int64).tolist())
+    assert {(unpack(a), unpack(b)): n for (a, b), n in tx.rewritten(text, swaps).items()} == want and len(want) >= 3
+    assert tx.rewritten(b"no group is named here", swaps) == {}
+
+
+def test_the_fit_is_where_the_loss_has_no_slope():
+    import numpy as np
+
+    rows = rows_of(biased_texts(3, 400))
+    model = tx.fit_model(rows)
+    keys = sorted(model.weights)
+    w0 = np.array([model.bias, *(model.weights[k] for k in keys)])
+
+    def loss(w):
+        weight = dict(zip(keys, w[1:]))
+        total = 0.5e-6 * w[0] ** 2 + 0.5 * (w[1:] ** 2).sum()
+        for y, words, forms in rows:
+            x = w[0] + sum(weight.get(k, 0) for k in words.tolist())
+            total += np.logaddexp(0, -x if y else x)
+            for gone, new, n in forms:
+                change = sum(weight.get(k, 0) for k in gone.tolist()) - sum(weight.get(k, 0) for k in new.tolist())
+                total += change**2 * n / sum(f[2] for f in forms)
+        return total
+
+    for i in range(len(w0)):
+        step = np.zeros(len(w0))
+        step[i] = 1e-4
+        assert abs(loss(w0 + step) - loss(w0 - step)) / 2e-4 < 1e-2
+
+
+def tables(spark, tmp_path, texts):
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t or "")) for i, (_, t) in enumerate(texts)], "doc_id bigint, text string, lang string, source string, n_chars bigint")
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(i, 1, y) for i, (y, _) in enumerate(texts) if y is not None], "doc_id bigint, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    return str(tmp_path)
+
+
+def test_the_query_on_texts_that_name_groups(spark, tmp_path):
+    """Neutral mentions of a group that is named mostly in toxic texts stay clean, as they do not without the counterfactual term;
+    scores equal a plain sum of weights, and rows without text score the bias."""
+    neutral = [(None, f"the muslims of town {i} w{i} sing") for i in range(20)]
+    texts = biased_texts(4) + neutral + [(None, None), (None, ""), (None, "idiot " * 100_000)]
+    sf = tables(spark, tmp_path, texts)
+    got = {r.doc_id: r for r in tx.op7_toxicity(spark, sf).collect()}
+    assert len(got) == len(texts)
+    docs, labels = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet")
+    fair, unfair = tx.train_toxicity(docs, labels), tx.train_toxicity(docs, labels, fairness=0.0)
+    plain = lambda m, t: 1 / (1 + math.exp(-(m.bias + sum(m.weights.get(k, 0.0) for k in {k for w in set(words_of((t or "").encode())) for k in tx.features_of(w)}))))
+    for i, (_, t) in enumerate(texts):
+        assert got[i].score == pytest.approx(plain(fair, t), abs=1e-12)
+        assert got[i].predicted == (got[i].score >= 0.5) and got[i].held_out == (zlib.crc32(str(i).encode()) % 5 == 0)
+    first = len(texts) - len(neutral) - 3
+    assert all(got[i].predicted == 0 for i in range(first, first + 20)) and got[len(texts) - 1].predicted == 1
+    mean = lambda m: sum(plain(m, t) for _, t in neutral) / len(neutral)
+    assert mean(fair) < 0.6 * mean(unfair)
+    assert tx.counterfactual_gap(fair, [t for _, t in neutral]) < 0.2 * tx.counterfactual_gap(unfair, [t for _, t in neutral])
+
+
 def test_held_out_quality_on_the_given_table(spark):
     import pathlib
 
-    sf = "/root/testdata/sf0.01"
+    sf = "/root/testdata/sf0.1"
     if not pathlib.Path(sf).exists():
         pytest.skip("no test tables")
     got = tx.op7_toxicity(spark, sf).join(spark.read.parquet(f"{sf}/labels.parquet"), "doc_id").where("held_out and toxic is not null").collect()
     pos, neg = [r.score for r in got if r.toxic], [r.score for r in got if not r.toxic]
     auc = sum((p > q) + 0.5 * (p == q) for p in pos for q in neg) / (len(pos) * len(neg))
-    assert auc > 0.65, auc
+    assert auc > 0.9, auc
+    assert sum(p >= 0.5 for p in pos) >= 0.8 * len(pos) and sum(q >= 0.5 for q in neg) <= 0.01 * len(neg)
