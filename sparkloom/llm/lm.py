@@ -7,11 +7,15 @@ the exploded n-grams of each block it gives every n-gram its corpus count, and a
 per document. Rows of these tables are arrays of sorted keys and counts rather than single n-grams: a
 row per n-gram and document would take several times the disk and time.
 
+An n-gram is on the corpus often enough to be scored only if both shorter ones in it are. So 1- and 2-grams
+are counted in full, and of each higher order those that the order below leaves.
+
 No key is hot: a block sends one row per bucket and order, with each n-gram once.
 """
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -23,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sparkloom.llm.arrow import byte_values
-from sparkloom.session import stored
+from sparkloom.session import scratch_dir, stored
 
 
 def block_table(docs: DataFrame, id_col: str, text_col: str, block_words: int) -> DataFrame:
@@ -124,30 +128,104 @@ def bucket_cuts(keys: np.ndarray, buckets: int) -> list[tuple[int, int, int]]:
     return [(int(bucket[a]), a, b) for a, b in zip(cuts, cuts[1:]) if b > a]
 
 
-def count_tables(blocks: DataFrame, order: int, buckets: int) -> DataFrame:
-    """``(block, k, bucket, totals)``: the corpus counts of a block's distinct ``k``-grams in that bucket, by key."""
+def survivors(here: np.ndarray, before: np.ndarray | None, least: int) -> np.ndarray:
+    """Places whose ``k``-gram can be on the corpus ``least`` times: both ``k - 1``-grams in it are, by their counts ``before``."""
+    if before is None:
+        return here.copy()
+    often = before >= least
+    out = here & often
+    out[1:] &= often[:-1]
+    return out
+
+
+def counts_at(gram: np.ndarray, there: np.ndarray, held: dict, k: int, buckets: int) -> np.ndarray:
+    """The corpus count of the ``k``-gram at each place of ``there``, 0 elsewhere; ``held`` has packed totals by (k, bucket)."""
+    keys = np.unique(gram[there])
+    cuts = bucket_cuts(keys, buckets) if len(keys) else []
+    count = np.concatenate([np.zeros(0, np.uint64), *(unpacked_counts(held[k, b]).astype(np.uint64) for b, _, _ in cuts)])
+    f = np.zeros(len(gram))
+    for at in range(0, len(gram), 1 << 19):  # in parts, for the sake of memory
+        part = slice(at, at + (1 << 19))
+        f[part][there[part]] = count[np.searchsorted(keys, gram[part][there[part]])]
+    return f
+
+
+def counted_orders(row, held: dict, upto: int, least: int, buckets: int) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """``(k, gram, here, counted, f)`` of a block for k up to ``upto``: which places' n-grams were counted, and their corpus counts."""
+    before = None
+    for k, gram, here in gram_places(row["sizes"], row["vocab"], row["words"], upto):
+        there = survivors(here, before if k > 2 else None, least)
+        f = counts_at(gram, there, held, k, buckets)
+        yield k, gram, here, there, f
+        before = f
+
+
+def _rows_of(name: int, k: int, gram: np.ndarray, buckets: int) -> list[tuple]:
+    keys, counts = np.unique(gram, return_counts=True)
+    return [(name, k, b, packed_keys(keys[s:e]), packed_counts(counts[s:e])) for b, s, e in bucket_cuts(keys, buckets)] if len(keys) else []
+
+
+CUT = "block bigint, k int, bucket int, keys binary, counts binary"
+
+
+def first_cuts(blocks: DataFrame, order: int, buckets: int) -> DataFrame:
+    """The 1- and 2-grams of each block, all of them, cut into buckets."""
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kinds = [pa.int64(), pa.int32(), pa.int32(), pa.binary(), pa.binary()]
         for batch in batches:
             for name, *parts in zip(*(batch.column(i).to_pylist() for i in range(4))):
-                for k, gram, here in gram_places(*parts, order):
-                    keys, counts = np.unique(gram[here], return_counts=True)
-                    out = [(name, k, b, packed_keys(keys[s:e]), packed_counts(counts[s:e])) for b, s, e in bucket_cuts(keys, buckets)]
-                    if out:
+                for k, gram, here in gram_places(*parts, min(order, 2)):
+                    if out := _rows_of(name, k, gram[here], buckets):
                         yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), kinds)], ["block", "k", "bucket", "keys", "counts"])
 
+    return blocks.select("block", "sizes", "vocab", "words").mapInArrow(cut, CUT)
+
+
+def next_cuts(blocks: DataFrame, totals: DataFrame, k: int, least: int, buckets: int) -> DataFrame:
+    """The ``k``-grams of each block that can be there ``least`` times, by the totals of all shorter ones, cut into buckets."""
+
+    def cut(rows: pd.DataFrame, totals: pd.DataFrame) -> pd.DataFrame:
+        row = rows.iloc[0]
+        held = dict(zip(zip(totals["k"], totals["bucket"]), totals["totals"]))
+        before = None
+        for *_, f in counted_orders(row, held, k - 1, least, buckets):
+            before = f
+        for n, gram, here in gram_places(row["sizes"], row["vocab"], row["words"], k):
+            if n == k:
+                out = _rows_of(row["block"], k, gram[survivors(here, before, least)], buckets)
+        return pd.DataFrame(out, columns=["block", "k", "bucket", "keys", "counts"])
+
+    return blocks.groupBy("block").cogroup(totals.groupBy("block")).applyInPandas(cut, CUT)
+
+
+def count_table(cuts: DataFrame) -> DataFrame:
+    """``(block, k, bucket, totals)``: the corpus counts of a block's distinct n-grams in that bucket, by key."""
+
     def total(rows: pd.DataFrame) -> pd.DataFrame:
         each = [unpacked_keys(x) for x in rows["keys"]]
         _, where = np.unique(np.concatenate(each), return_inverse=True)
-        totals = np.bincount(where, weights=np.concatenate([unpacked_counts(x) for x in rows["counts"]]))[where].astype(np.uint64)
-        return pd.DataFrame({"block": rows["block"], "k": rows["k"], "bucket": rows["bucket"], "totals": [packed_counts(x) for x in np.split(totals, np.cumsum([len(x) for x in each])[:-1])]})
+        sums = np.bincount(where, weights=np.concatenate([unpacked_counts(x) for x in rows["counts"]]))[where].astype(np.uint64)
+        own = np.split(sums, np.cumsum([len(x) for x in each])[:-1])
+        return pd.DataFrame({"block": rows["block"], "k": rows["k"], "bucket": rows["bucket"], "totals": [packed_counts(x) for x in own]})
 
-    cuts = blocks.select("block", "sizes", "vocab", "words").mapInArrow(cut, "block bigint, k int, bucket int, keys binary, counts binary")
     return cuts.groupBy("k", "bucket").applyInPandas(total, "block bigint, k int, bucket int, totals binary")
 
 
-def lm_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", order: int = 2, alpha: float = 0.4, min_count: int = 2, block_words: int = 3_000_000, bucket_keys: int = 1_000_000) -> DataFrame:
+def bucketed(blocks: DataFrame) -> DataFrame:
+    """``blocks`` written so that its rows are dealt out by ``block`` already: it is joined by block several times, and never shuffled."""
+    spark = blocks.sparkSession
+    name, parts = f"loom_blocks_{uuid.uuid4().hex}", 2 * int(spark.conf.get("spark.sql.shuffle.partitions"))
+    blocks.write.option("compression", "zstd").option("path", f"{scratch_dir(spark)}/blocks").bucketBy(parts, "block").sortBy("block").saveAsTable(name)
+    table = spark.table(name)
+    spark.sql(f"DROP TABLE {name}")  # its files stay, and so does the reading plan
+    return table
+
+
+def lm_scores(
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", order: int = 3, alpha: float = 0.4, min_count: int = 2,
+    block_words: int = 3_000_000, bucket_keys: int = 1_000_000,
+) -> DataFrame:
     """``(id_col, n_words, score)`` of each row; ``score`` is the sum of its words' natural log scores.
 
     A word's score is f(its k-gram) / f(the k-gram without its last word) for the longest k of at most
@@ -155,28 +233,29 @@ def lm_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", o
     ``min_count``, it is ``alpha`` times the score at k - 1. At 1 it is f(word) / all words. Counts f are
     over all rows of ``docs``. Null and empty texts have no words and score 0. Repeated rows count and
     score each for itself; other columns are ignored; an empty table gives none.
+
+    N-grams are told apart by 64-bit hashes: of n distinct ones, each shares its hash with another with a
+    probability of n / 2**64, which is 5e-8 for 10**12 of them.
     """
-    kind = docs.schema[id_col].dataType.simpleString()
-    blocks = stored(block_table(docs, id_col, text_col, block_words), "blocks")
+    least = max(1, min_count)
+    blocks = bucketed(block_table(docs, id_col, text_col, block_words))
     words = blocks.agg(F.sum("n")).first()[0] or 0
-    buckets = max(1, -(-words * order // bucket_keys))
-    totals = count_tables(blocks, order, buckets)
+    buckets = max(1, -(-words * min(order, 2) // bucket_keys))
+    packed = blocks.select("block", "ids", "sizes", "vocab", "words")
+    totals = stored(count_table(first_cuts(blocks, order, buckets)), "totals")
+    for k in range(3, order + 1):
+        cuts = next_cuts(packed, totals, k, least, buckets)
+        totals = totals.unionByName(stored(count_table(cuts), "totals"))
 
     def score(rows: pd.DataFrame, totals: pd.DataFrame) -> pd.DataFrame:
         row = rows.iloc[0]
-        held = {(k, b): x for k, b, x in zip(totals["k"], totals["bucket"], totals["totals"])}
+        held = dict(zip(zip(totals["k"], totals["bucket"]), totals["totals"]))
         before = s = None
-        for k, gram, here in gram_places(row["sizes"], row["vocab"], row["words"], order):
-            keys = np.unique(gram[here])
-            count = np.concatenate([np.zeros(0, np.uint64), *(unpacked_counts(held[k, b]).astype(np.uint64) for b, _, _ in bucket_cuts(keys, buckets))])
-            f = np.zeros(len(gram))
-            for at in range(0, len(gram), 1 << 19):  # in parts, for the sake of memory
-                part = slice(at, at + (1 << 19))
-                f[part][here[part]] = count[np.searchsorted(keys, gram[part][here[part]])]
+        for k, _, here, counted, f in counted_orders(row, held, order, least, buckets):
             if k == 1:
                 s = f / max(1, words)
             else:
-                seen = here & (f >= min_count)
+                seen = counted & (f >= min_count)
                 s[here & ~seen] *= alpha
                 at = np.flatnonzero(seen)
                 s[at] = f[at] / before[at - 1]
@@ -185,8 +264,8 @@ def lm_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", o
         scores = [float(logs[e - z : e].sum()) for e, z in zip(np.cumsum(size).tolist(), size.tolist())]
         return pd.DataFrame({"id": pd.Series(list(row["ids"]), dtype=object), "n_words": size, "score": scores})
 
-    packed = blocks.select("block", "ids", "sizes", "vocab", "words").groupBy("block")
-    found = packed.cogroup(totals.groupBy("block")).applyInPandas(score, "id string, n_words bigint, score double")
+    kind = docs.schema[id_col].dataType.simpleString()
+    found = packed.groupBy("block").cogroup(totals.groupBy("block")).applyInPandas(score, "id string, n_words bigint, score double")
     return found.select(F.col("id").cast(kind).alias(id_col), "n_words", "score")
 
 
@@ -199,10 +278,13 @@ OP10_SQL = """
 WITH d AS (SELECT row_number() OVER () AS r, doc_id,
            regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x20\\x09-\\x0D]+') AS w FROM documents),
 t AS (SELECT r, unnest(w) AS w, unnest(range(1, len(w) + 1)) AS p FROM d),
-g AS (SELECT r, p, w, lag(w) OVER (PARTITION BY r ORDER BY p) AS v FROM t),
+g AS (SELECT r, p, w, lag(w) OVER (PARTITION BY r ORDER BY p) AS v, lag(w, 2) OVER (PARTITION BY r ORDER BY p) AS x FROM t),
 u AS (SELECT w, count(*) AS n FROM t GROUP BY w),
 b AS (SELECT v, w, count(*) AS n FROM g WHERE v IS NOT NULL GROUP BY v, w),
-s AS (SELECT g.r, ln(CASE WHEN b.n >= 2 THEN b.n / c.n ELSE CASE WHEN g.v IS NULL THEN 1.0 ELSE 0.4 END::DOUBLE * u.n / (SELECT count(*) FROM t) END) AS x
-      FROM g JOIN u ON g.w = u.w LEFT JOIN b ON g.v = b.v AND g.w = b.w LEFT JOIN u AS c ON g.v = c.w)
-SELECT doc_id, len(d.w)::BIGINT AS n_words, round(coalesce(x, 0), 4) AS lm_score FROM d LEFT JOIN (SELECT r, sum(x) AS x FROM s GROUP BY r) USING (r)
+c AS (SELECT x, v, w, count(*) AS n FROM g WHERE x IS NOT NULL GROUP BY x, v, w),
+s AS (SELECT g.r, ln(CASE WHEN c.n >= 2 THEN c.n / bb.n ELSE CASE WHEN g.x IS NULL THEN 1.0 ELSE 0.4 END::DOUBLE
+             * CASE WHEN b.n >= 2 THEN b.n / uu.n ELSE CASE WHEN g.v IS NULL THEN 1.0 ELSE 0.4 END::DOUBLE * u.n / (SELECT count(*) FROM t) END END) AS l
+      FROM g JOIN u ON g.w = u.w LEFT JOIN b ON g.v = b.v AND g.w = b.w LEFT JOIN u AS uu ON g.v = uu.w
+      LEFT JOIN c ON g.x = c.x AND g.v = c.v AND g.w = c.w LEFT JOIN b AS bb ON g.x = bb.v AND g.v = bb.w)
+SELECT doc_id, len(d.w)::BIGINT AS n_words, round(coalesce(l, 0), 4) AS lm_score FROM d LEFT JOIN (SELECT r, sum(l) AS l FROM s GROUP BY r) USING (r)
 """
