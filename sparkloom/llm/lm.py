@@ -138,26 +138,32 @@ def survivors(here: np.ndarray, before: np.ndarray | None, least: int) -> np.nda
     return out
 
 
-def counts_at(gram: np.ndarray, there: np.ndarray, held: dict, k: int, buckets: int) -> np.ndarray:
-    """The corpus count of the ``k``-gram at each place of ``there``, 0 elsewhere; ``held`` has packed totals by (k, bucket)."""
-    keys = np.unique(gram[there])
+def counts_of(keys: np.ndarray, held: dict, k: int, buckets: int) -> np.ndarray:
+    """The corpus counts of sorted distinct ``keys``; ``held`` has packed totals by (k, bucket)."""
     cuts = bucket_cuts(keys, buckets) if len(keys) else []
-    count = np.concatenate([np.zeros(0, np.uint64), *(unpacked_counts(held[k, b]).astype(np.uint64) for b, _, _ in cuts)])
+    return np.concatenate([np.zeros(0), *(unpacked_counts(held[k, b]) for b, _, _ in cuts)])
+
+
+def counts_at(gram: np.ndarray, there: np.ndarray, held: dict, k: int, buckets: int) -> np.ndarray:
+    """The corpus count of the ``k``-gram at each place of ``there``, 0 elsewhere."""
+    own = gram[there]
+    order = np.argsort(own)
+    own = own[order]
+    first = np.ones(len(own), bool)
+    first[1:] = own[1:] != own[:-1]
+    count = counts_of(own[first], held, k, buckets)
+    found = np.empty(len(own))
+    found[order] = count[np.cumsum(first) - 1] if len(count) else 0.0
     f = np.zeros(len(gram))
-    for at in range(0, len(gram), 1 << 19):  # in parts, for the sake of memory
-        part = slice(at, at + (1 << 19))
-        f[part][there[part]] = count[np.searchsorted(keys, gram[part][there[part]])]
+    f[there] = found
     return f
 
 
-def counted_orders(row, held: dict, upto: int, least: int, buckets: int) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
-    """``(k, gram, here, counted, f)`` of a block for k up to ``upto``: which places' n-grams were counted, and their corpus counts."""
-    before = None
-    for k, gram, here in gram_places(row["sizes"], row["vocab"], row["words"], upto):
-        there = survivors(here, before if k > 2 else None, least)
-        f = counts_at(gram, there, held, k, buckets)
-        yield k, gram, here, there, f
-        before = f
+def word_counts(row, held: dict, buckets: int) -> np.ndarray:
+    """The corpus count of the word at each place."""
+    vocab = np.frombuffer(row["vocab"], np.uint64)
+    keys, at = np.unique(vocab, return_inverse=True)
+    return counts_of(keys, held, 1, buckets)[at][unpacked_words(row["words"])]
 
 
 def _rows_of(name: int, k: int, gram: np.ndarray, buckets: int) -> list[tuple]:
@@ -188,12 +194,13 @@ def next_cuts(blocks: DataFrame, totals: DataFrame, k: int, least: int, buckets:
     def cut(rows: pd.DataFrame, totals: pd.DataFrame) -> pd.DataFrame:
         row = rows.iloc[0]
         held = dict(zip(zip(totals["k"], totals["bucket"]), totals["totals"]))
-        before = None
-        for *_, f in counted_orders(row, held, k - 1, least, buckets):
-            before = f
+        before, out = None, []
         for n, gram, here in gram_places(row["sizes"], row["vocab"], row["words"], k):
+            there = survivors(here, before, least)
             if n == k:
-                out = _rows_of(row["block"], k, gram[survivors(here, before, least)], buckets)
+                out = _rows_of(row["block"], k, gram[there], buckets)
+            elif n > 1:  # counts of words leave nothing out
+                before = counts_at(gram, there, held, n, buckets)
         return pd.DataFrame(out, columns=["block", "k", "bucket", "keys", "counts"])
 
     return blocks.groupBy("block").cogroup(totals.groupBy("block")).applyInPandas(cut, CUT)
@@ -251,10 +258,13 @@ def lm_scores(
         row = rows.iloc[0]
         held = dict(zip(zip(totals["k"], totals["bucket"]), totals["totals"]))
         before = s = None
-        for k, _, here, counted, f in counted_orders(row, held, order, least, buckets):
+        for k, gram, here in gram_places(row["sizes"], row["vocab"], row["words"], order):
             if k == 1:
+                f = word_counts(row, held, buckets)
                 s = f / max(1, words)
             else:
+                counted = survivors(here, before if k > 2 else None, least)
+                f = counts_at(gram, counted, held, k, buckets)
                 seen = counted & (f >= min_count)
                 s[here & ~seen] *= alpha
                 at = np.flatnonzero(seen)
