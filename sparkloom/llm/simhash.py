@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from sparkloom.llm.arrow import byte_values, release_memory
+from sparkloom.llm.arrow import byte_values, free_names, release_memory
 from sparkloom.operators.components import connected_components
 from sparkloom.session import stored
 
@@ -160,14 +160,16 @@ def first_of_each(docs: DataFrame, rows: DataFrame, classes: DataFrame, id_col:
     with the same id and text one stays. All columns stay. Only the rows that go are joined to ``docs``.
     """
     mark = F.xxhash64(text_col)
+    gone_id, gone_mark, own_mark, number = free_names(docs, "gone_id", "gone_mark", "mark", "number")
     keyed = rows.groupBy("fp", "id", "mark").agg(F.count("*").alias("n")).join(classes, "fp")
     keyed = stored(keyed.select("root", F.struct(F.col("id").isNull().alias("none"), "id", "mark").alias("key"), "n"), "keyed")
     first = keyed.groupBy("root").agg(F.min("key").alias("first"))
-    gone = stored(keyed.join(first, "root").where(F.col("key") != F.col("first")).select(F.col("key.id").alias("_gone_id"), F.col("key.mark").alias("_gone_mark")), "gone")
-    kept = docs.join(gone, F.col(id_col).eqNullSafe(F.col("_gone_id")) & (mark == F.col("_gone_mark")), "left_anti")
+    gone = keyed.join(first, "root").where(F.col("key") != F.col("first"))
+    gone = stored(gone.select(F.col("key.id").alias(gone_id), F.col("key.mark").alias(gone_mark)), "gone")
+    kept = docs.join(gone, F.col(id_col).eqNullSafe(F.col(gone_id)) & (mark == F.col(gone_mark)), "left_anti")
     if keyed.where("n > 1").limit(1).count():
-        number = F.row_number().over(Window.partitionBy(F.col(id_col), F.col("_mark")).orderBy(F.col("_mark")))
-        kept = kept.withColumn("_mark", mark).withColumn("_number", number).where("_number = 1").drop("_mark", "_number")
+        at = F.row_number().over(Window.partitionBy(F.col(id_col), F.col(own_mark)).orderBy(F.col(own_mark)))
+        kept = kept.withColumn(own_mark, mark).withColumn(number, at).where(F.col(number) == 1).drop(own_mark, number)
     return kept
 
 

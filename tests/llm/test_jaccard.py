@@ -64,3 +64,27 @@ def test_threshold_is_exact(spark):
     docs = [(1, " ".join(base)), (2, " ".join(base[:44])), (3, " ".join(base[10:]) + " y"), (4, " ".join(f"z{i}" for i in range(54))), (5, " ".join(f"z{i}" for i in range(43)))]
     frame = spark.createDataFrame([(a, b, "en", "s", len(b)) for a, b in docs], SCHEMA)  # 40 of 50; 40 of 51; 39 of 50
     assert sorted(r.doc_id for r in cp.drop_near_duplicates(spark, frame, "").collect()) == [1, 3, 4, 5] == plain_kept(docs)
+
+
+def test_the_sketch_bound_never_exceeds_the_difference():
+    import numpy as np
+
+    from sparkloom.llm.jaccard import sketch_of
+
+    rng = np.random.default_rng(1)
+    for n in (0, 1, 50, 700, 5000):
+        a = np.unique(rng.integers(0, 1 << 64, n, np.uint64))
+        b = np.unique(np.concatenate((a[: n * 9 // 10], rng.integers(0, 1 << 64, n // 8, np.uint64))))
+        bits = int(np.bitwise_count(sketch_of(a) ^ sketch_of(b)).sum())
+        assert bits <= len(np.setxor1d(a, b)) and (n < 50 or bits > 0)
+
+
+def test_columns_of_any_name_stay(spark):
+    from sparkloom.llm.jaccard import one_of_each_similar
+    from sparkloom.llm.simhash import one_of_each
+
+    names = ["_mark", "_number", "_gone_id", "_GONE_MARK", "_gone", "fp", "n", "band", "row", "_toxicity"]
+    rows = [(i, t, *range(10)) for i, t in enumerate(["a b c d e f", "a b c d e f", "x y z"])] + [(2, "x y z", *range(10))]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string, " + ", ".join(f"`{n}` bigint" for n in names))
+    for kept in (one_of_each_similar(df), one_of_each(df)):
+        assert kept.columns == df.columns and sorted(map(tuple, kept.collect())) == [(0, "a b c d e f", *range(10)), (2, "x y z", *range(10))]
