@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 
@@ -24,12 +26,30 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8, **conf: s
 
 
 def scratch_dir(spark: SparkSession) -> str:
-    """A new folder under ``spark.checkpoint.dir``; where that is unset (tests), a local temporary one."""
+    """A new folder under ``spark.checkpoint.dir``; a local temporary one, gone with the session, where that is unset on a
+    local master (tests). On a cluster the setting is needed: executors do not see each other's folders."""
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not base:
-        base = "file://" + tempfile.mkdtemp(prefix="sparkloom-")
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
+        made = tempfile.mkdtemp(prefix="sparkloom-")
+        atexit.register(shutil.rmtree, made, ignore_errors=True)
+        base = f"file://{made}"
         spark.conf.set("spark.checkpoint.dir", base)
-    return f"{base.rstrip('/')}/sparkloom-{uuid.uuid4().hex}"
+    return f"{base.rstrip('/')}/sparkloom-{_run_of(spark)}/{uuid.uuid4().hex}"
+
+
+def _run_of(spark: SparkSession) -> str:
+    """The application's id: all it writes is in one folder, which :func:`clear_scratch` deletes."""
+    return spark.sparkContext.applicationId
+
+
+def clear_scratch(spark: SparkSession) -> None:
+    """Delete what this application has written to the shared folder; frames that read it are of no use after that."""
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if base:
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{base.rstrip('/')}/sparkloom-{_run_of(spark)}")
+        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def stored(df: DataFrame, name: str = "part") -> DataFrame:
