@@ -85,30 +85,36 @@ def bridges(nodes: DataFrame, tracking: DataFrame, others: DataFrame, node: str,
     comp = connected_components(tracking, a, b).select(F.col("node").alias("_old"), F.col("component").alias("_new"))
     label = stored(nodes.select(node).distinct().join(comp, F.col(node) == F.col("_old"), "left").select(node, F.coalesce("_new", node).alias("c")), "labels")
     picked = None
+    ends = lambda col, to: label.select(F.col(node).alias(col), F.col("c").alias(to))
+    # an edge is looked at by its ends' components alone, and goes once they are one
+    cross = stored(others.join(ends(a, "_ca"), a).join(ends(b, "_cb"), b).where("_ca <> _cb").select(*others.columns, "_ca", "_cb"), "cross")
     for _ in range(max_rounds):
-        ends = lambda col, to: label.select(F.col(node).alias(col), F.col("c").alias(to))
-        cross = others.join(ends(a, "_ca"), a).join(ends(b, "_cb"), b).where("_ca <> _cb")
-        each = cross.select(*others.columns, F.col("_ca").alias("_c"), "_ca", "_cb").unionByName(cross.select(*others.columns, F.col("_cb").alias("_c"), "_ca", "_cb"))
-        best = each.withColumn("_r", F.row_number().over(Window.partitionBy("_c").orderBy(*order))).where("_r = 1").select(*others.columns, "_ca", "_cb").distinct()
-        best = stored(best, "bridges")
+        each = cross.withColumn("_c", F.col("_ca")).unionByName(cross.withColumn("_c", F.col("_cb")))
+        first = F.min_by(F.struct(*others.columns, "_ca", "_cb"), F.struct(*order))
+        best = stored(each.groupBy("_c").agg(first.alias("e")).select("e.*").distinct(), "bridges")
         if not best.limit(1).count():
             break
         picked = best.drop("_ca", "_cb") if picked is None else picked.unionByName(best.drop("_ca", "_cb"))
-        merged = connected_components(best, "_ca", "_cb").select(F.col("node").alias("_old"), F.col("component").alias("_new"))
-        label = stored(label.join(merged, F.col("c") == F.col("_old"), "left").select(node, F.coalesce("_new", "c").alias("c")), "labels")
+        merged = stored(connected_components(best, "_ca", "_cb"), "merged")
+        for end in ("_ca", "_cb"):
+            new = merged.select(F.col("node").alias(end), F.col("component").alias("_new"))
+            cross = cross.join(new, end, "left").withColumn(end, F.coalesce("_new", end)).drop("_new")
+        cross = stored(cross.where("_ca <> _cb").select(*others.columns, "_ca", "_cb"), "cross")
     return picked if picked is not None else others.limit(0)
 
 
 def reachable(seeds: DataFrame, edges: DataFrame, node: str, a: str, b: str, max_rounds: int = 200) -> DataFrame:
     """``(node)``: what can be reached from the seeds along edges from ``a`` to ``b``, seeds included; a round per step, over
-    the frontier alone, each kept in the shared folder."""
-    step = edges.select(F.col(a).alias("_a"), F.col(b).alias("_b")).distinct()
+    the frontier alone, each kept in the shared folder. Edges are written once, and what was seen is one table again after every tenth round."""
+    step = stored(edges.select(F.col(a).alias("_a"), F.col(b).alias("_b")).distinct(), "step")
     seen = front = stored(seeds.select(node).distinct(), "seen")
-    for _ in range(max_rounds):
+    for i in range(max_rounds):
         front = stored(front.join(step, F.col(node) == F.col("_a")).select(F.col("_b").alias(node)).distinct().join(seen, node, "left_anti"), "front")
         if not front.limit(1).count():
             return seen
         seen = seen.unionByName(front)
+        if i % 10 == 9:
+            seen = stored(seen, "seen")
     raise RuntimeError(f"reachability did not settle in {max_rounds} rounds")
 
 

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from sparkloom.operators.ranks import ranked
+
 MISSING = 1e6  # the marker of an error that could not be measured
 REGISTERED = 1e5  # errors below it are of registered rows
 
@@ -97,11 +99,11 @@ def preceding_support(obs: DataFrame, frame: str, point: str, history: int) -> D
 
     Points meet on equi-joins of (point, rank); a point's pairs are bounded by ``history`` per observation.
     """
-    ranks = obs.select(frame).distinct().withColumn("_r", F.row_number().over(Window.orderBy(frame)))
+    ranks = ranked(obs.select(frame).distinct(), [frame], "_r")
     seen = obs.select(frame, point).distinct().join(ranks, frame).select(point, "_r")
-    back = seen.select(point, F.col("_r").alias("_now"), F.explode(F.sequence(F.lit(1), F.lit(history))).alias("_d")).withColumn("_r", F.col("_now") - F.col("_d"))
+    back = seen.select(point, F.col("_r").alias("_now"), F.explode(F.sequence(F.lit(1).cast("bigint"), F.lit(history).cast("bigint"))).alias("_d")).withColumn("_r", F.col("_now") - F.col("_d"))
     shared = back.join(seen, [point, "_r"]).groupBy("_now", "_r").agg(F.count("*").alias("shared"))
-    grid = ranks.select(F.col("_r").alias("_now"), F.explode(F.sequence(F.lit(1), F.lit(history))).alias("_d")).withColumn("_r", F.col("_now") - F.col("_d")).where("_r >= 1")
+    grid = ranks.select(F.col("_r").alias("_now"), F.explode(F.sequence(F.lit(1).cast("bigint"), F.lit(history).cast("bigint"))).alias("_d")).withColumn("_r", F.col("_now") - F.col("_d")).where("_r >= 1")
     full = grid.join(shared, ["_now", "_r"], "left").na.fill(0, ["shared"])
     name = lambda col, to: ranks.select(F.col("_r").alias(col), F.col(frame).alias(to))
     top = F.max("shared").over(Window.partitionBy("_now"))
@@ -133,21 +135,29 @@ def point_quality(rays: DataFrame, point: str, x: str, y: str, z: str) -> DataFr
 def lowest_share(rows: DataFrame, key: str, score: str, percent: float) -> DataFrame:
     """The floor(n * percent / 100) rows with the lowest (score, key)."""
     n = rows.count()
-    return rows.orderBy(score, key).limit(int(n * percent // 100))
+    return ranked(rows, [score, key], "_rank").where(F.col("_rank") <= int(n * percent // 100)).drop("_rank")
+
 
+def kernel_density(points: DataFrame, group: str, key: str, x: str, y: str, sigma: float, blind: float, reach_sigmas: float = 6.0) -> DataFrame:
+    """``(group, key, density)``: sum of exp(-d^2 / 2 sigma^2) over the points of the group, but for those between 1e-7 and
+    ``blind``. Points farther than ``reach_sigmas`` are left out: each would add less than exp(-18) = 1.6e-8.
+    Rows that repeat a key are added up.
 
-def kernel_density(points: DataFrame, group: str, key: str, x: str, y: str, sigma: float, blind: float) -> DataFrame:
-    """``(group, key, density)``: sum of exp(-d^2 / 2 sigma^2) over other points of the group within 4 sigma, but for those
-    between 1e-7 and ``blind``. Points meet in grid cells of that width."""
-    reach = 4 * sigma
+    Points of one place are one row with their number; places meet in grid cells as wide as the reach.
+    """
+    reach = reach_sigmas * sigma
     cell = lambda c: F.floor(F.col(c) / reach)
-    a = points.select(group, key, F.col(x).alias("_x"), F.col(y).alias("_y"), cell(x).alias("_cx"), cell(y).alias("_cy"))
+    places = points.groupBy(group, F.col(x).alias("_x"), F.col(y).alias("_y")).agg(F.count("*").alias("_n"))
+    a = places.select(group, "_x", "_y", cell("_x").alias("_cx"), cell("_y").alias("_cy"))
     around = F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i in (-1, 0, 1) for j in (-1, 0, 1)]))
-    b = points.select(F.col(group), F.col(x).alias("_u"), F.col(y).alias("_v"), cell(x).alias("_cu"), cell(y).alias("_cv")).select("*", around.alias("o")).select(group, "_u", "_v", (F.col("_cu") + F.col("o.i")).alias("_cx"), (F.col("_cv") + F.col("o.j")).alias("_cy"))
+    b = places.select(group, F.col("_x").alias("_u"), F.col("_y").alias("_v"), "_n", cell("_x").alias("_cu"), cell("_y").alias("_cv"), around.alias("o"))
+    b = b.select(group, "_u", "_v", "_n", (F.col("_cu") + F.col("o.i")).alias("_cx"), (F.col("_cv") + F.col("o.j")).alias("_cy"))
     d2 = (F.col("_x") - F.col("_u")) ** 2 + (F.col("_y") - F.col("_v")) ** 2
     d = F.sqrt(d2)
     hit = a.join(b, [group, "_cx", "_cy"]).where((d <= reach) & ((d >= blind) | (d <= 1e-7)))
-    return hit.groupBy(group, key).agg(F.sum(F.exp(-d2 / (2 * sigma * sigma))).alias("density"))
+    at = hit.groupBy(group, "_x", "_y").agg(F.sum(F.col("_n") * F.exp(-d2 / (2 * sigma * sigma))).alias("density"))
+    own = points.select(group, key, F.col(x).alias("_x"), F.col(y).alias("_y")).join(at, [group, "_x", "_y"])
+    return own.groupBy(group, key).agg(F.sum("density").alias("density"))
 
 
 def best_source(rows: DataFrame, target: str, source: str, certainty: str) -> DataFrame:

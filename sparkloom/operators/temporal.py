@@ -10,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from sparkloom.operators.ranks import ranked
+
 
 def bracket(source: DataFrame, target: DataFrame, by: str, at: str, bucket: int | None = None) -> DataFrame:
     """``source`` with ``prev`` and ``next``, the target times around each row, and ``fraction`` between them.
@@ -231,6 +233,6 @@ def unit_of_times(rows: DataFrame, by: str, at: str, tie: str, units: tuple[int,
 
 def rank_gap_pairs(pairs: DataFrame, nodes: DataFrame, node: str, natural: Column, gap: int) -> DataFrame:
     """``pairs`` ``(first, second)`` whose nodes are more than ``gap`` ranks apart in natural order; adds ``gap``."""
-    ranked = nodes.select(node, F.row_number().over(Window.orderBy(natural)).alias("_r"))
-    a, b = ranked.select(F.col(node).alias("first"), F.col("_r").alias("_a")), ranked.select(F.col(node).alias("second"), F.col("_r").alias("_b"))
+    names = ranked(nodes.select(node, natural.alias("_o")), ["_o", node], "_r").withColumn("_r", F.col("_r").cast("int"))
+    a, b = names.select(F.col(node).alias("first"), F.col("_r").alias("_a")), names.select(F.col(node).alias("second"), F.col("_r").alias("_b"))
     return pairs.join(a, "first").join(b, "second").withColumn("gap", F.abs(F.col("_a") - F.col("_b"))).where(F.col("gap") > gap).drop("_a", "_b")

@@ -59,15 +59,22 @@ def capped(pairs: DataFrame, a: str, b: str, group: list[Column], score: str, mo
 
 def one_shot_nms(points: DataFrame, group: str, key: str, x: str, y: str, score: str, radius: float) -> DataFrame:
     """Points without any better one (score desc, key) of their group nearer than ``radius``, suppressed or not.
-    Points meet in grid cells as wide as the radius."""
-    p = points.withColumn("_cx", F.floor(F.col(x) / radius)).withColumn("_cy", F.floor(F.col(y) / radius))
-    step = F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i in (-1, 0, 1) for j in (-1, 0, 1)]))
-    q = p.select(group, F.col(key).alias("_k"), F.col(x).alias("_u"), F.col(y).alias("_v"), F.col(score).alias("_s"), step.alias("_o"), "_cx", "_cy").select(group, "_k", "_u", "_v", "_s", (F.col("_cx") + F.col("_o.i")).alias("_cx"), (F.col("_cy") + F.col("_o.j")).alias("_cy"))
-    better = (F.col("_s") > F.col(score)) | ((F.col("_s") == F.col(score)) & (F.col("_k") < F.col(key)))
-    near = (F.col(x) - F.col("_u")) ** 2 + (F.col(y) - F.col("_v")) ** 2 < radius * radius
-    a, b = p.alias("a"), q.alias("b")
-    on = (F.col(f"a.{group}") == F.col(f"b.{group}")) & (F.col("a._cx") == F.col("b._cx")) & (F.col("a._cy") == F.col("b._cy"))
-    return a.join(b, on & better & near, "left_anti").drop("_cx", "_cy")
+
+    Only the best point of a small cell, all of whose points are nearer than the radius, can stay; these few meet
+    the others in grid cells as wide as the radius.
+    """
+    small = [F.floor(F.col(c) / (radius / 1.5)) for c in (x, y)]
+    best = F.min_by(F.struct(*points.columns), F.struct(-F.col(score), F.col(key)))
+    few = points.groupBy(group, small[0].alias("_i"), small[1].alias("_j")).agg(best.alias("p")).select("p.*")
+    around = F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i in (-1, 0, 1) for j in (-1, 0, 1)]))
+    a = few.select(group, F.col(key).alias("_k"), F.col(x).alias("_u"), F.col(y).alias("_v"), F.col(score).alias("_s"), around.alias("_o"))
+    cell = lambda c: F.floor(F.col(c) / radius)
+    a = a.select(group, "_k", "_u", "_v", "_s", (cell("_u") + F.col("_o.i")).alias("_cx"), (cell("_v") + F.col("_o.j")).alias("_cy"))
+    b = points.select(group, F.col(key).alias("_q"), F.col(x).alias("_x"), F.col(y).alias("_y"), F.col(score).alias("_t"), cell(x).alias("_cx"), cell(y).alias("_cy"))
+    better = (F.col("_t") > F.col("_s")) | ((F.col("_t") == F.col("_s")) & (F.col("_q") < F.col("_k")))
+    near = (F.col("_u") - F.col("_x")) ** 2 + (F.col("_v") - F.col("_y")) ** 2 < radius * radius
+    gone = a.join(b, [group, "_cx", "_cy"]).where(better & near).select(group, F.col("_k").alias(key)).distinct()
+    return few.join(gone, [group, key], "left_anti").select(*points.columns)
 
 
 def splitmix64(x: Column) -> Column:

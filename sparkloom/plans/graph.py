@@ -1,4 +1,4 @@
-"""Queries on match graphs: order lines of more than 49 pieces are the inlier matches between orders and parts."""
+"""Queries on match graphs, over all order lines."""
 
 from __future__ import annotations
 
@@ -7,14 +7,21 @@ from pyspark.sql import functions as F
 from sparkloom.operators import graph as gr
 from sparkloom.plans.registry import query
 
-INLIER = "l_quantity > 49"
-#: Nodes: orders are even numbers, parts are odd ones.
-E = "e AS (SELECT l_orderkey * 2 AS a, l_partkey * 2 + 1 AS b, l_suppkey AS pair, l_linenumber AS n, l_returnflag = 'R' AS lc FROM lineitem WHERE l_quantity > 49)"
-C = f"""RECURSIVE {E}, s AS (SELECT a, b FROM e UNION SELECT b, a FROM e), r(node, seen) AS (SELECT DISTINCT a, a FROM s UNION SELECT s.b, r.seen FROM r JOIN s ON s.a = r.node), c AS (SELECT node AS obs, min(seen) AS track FROM r GROUP BY 1)"""
+#: Nodes: orders are even numbers, customers are odd ones; an order's lines are its matches with its customer.
+E = "e AS (SELECT l_orderkey * 2 AS a, o_custkey * 2 + 1 AS b, l_suppkey AS pair, l_linenumber AS n, l_returnflag = 'R' AS lc FROM lineitem JOIN orders ON l_orderkey = o_orderkey)"
+
+
+def components_sql(edges: str = "e") -> str:
+    """An order has one customer, so a component is a customer's orders that are there and the customer."""
+    return f"m AS (SELECT b, least(b, min(a)) AS track FROM {edges} GROUP BY b), c AS (SELECT b AS obs, track FROM m UNION SELECT a, track FROM {edges} JOIN m USING (b))"
+
+
+C = f"{E}, {components_sql()}"
 
 
 def matches(t):
-    return t.lineitem.where(INLIER).select((F.col("l_orderkey") * 2).alias("a"), (F.col("l_partkey") * 2 + 1).alias("b"), F.col("l_suppkey").alias("pair"), F.col("l_linenumber").alias("n"), (F.col("l_returnflag") == "R").alias("lc"))
+    lines = t.lineitem.join(t.orders, F.col("l_orderkey") == F.col("o_orderkey"))
+    return lines.select((F.col("l_orderkey") * 2).alias("a"), (F.col("o_custkey") * 2 + 1).alias("b"), F.col("l_suppkey").alias("pair"), F.col("l_linenumber").alias("n"), (F.col("l_returnflag") == "R").alias("lc"))
 
 
 @query("g1_tracks", f"WITH {C} SELECT obs, track FROM c")
@@ -22,6 +29,12 @@ def _(t):
     return gr.tracks(matches(t), "a", "b")
 
 
+@query("g1_tracks_hub_heavy")
+def _(t):
+    """All lines as matches of orders and parts: one component takes in nearly all nodes."""
+    return gr.tracks(t.lineitem.select((F.col("l_orderkey") * 2).alias("a"), (F.col("l_partkey") * 2 + 1).alias("b")), "a", "b")
+
+
 def placed(t):
     m = gr.tracks(matches(t), "a", "b")
     return m.select("track", "obs", (F.col("obs") % 7).alias("image"), (F.col("obs") % 13).cast("double").alias("x"), (F.col("obs") % 5).cast("double").alias("y"))
@@ -35,8 +48,9 @@ def _(t):
     return gr.consistent(placed(t), "track", "image", "x", "y", 10.0, 2).select("track", "obs")
 
 
-@query("g3_loop_observations", f"""WITH {C.replace("l_returnflag = 'R' AS lc FROM lineitem WHERE l_quantity > 49", "l_returnflag = 'R' AS lc FROM lineitem WHERE l_quantity > 49 AND l_returnflag <> 'R'")}, l AS (SELECT DISTINCT l_orderkey * 2 AS a, l_partkey * 2 + 1 AS b FROM lineitem WHERE l_quantity > 49 AND l_returnflag = 'R'),
-j AS (SELECT a, b, coalesce(x.track, a) AS ta, coalesce(y.track, b) AS tb FROM l LEFT JOIN c x ON x.obs = a LEFT JOIN c y ON y.obs = b) SELECT ta AS track, b AS obs, a AS anchor FROM j WHERE ta <> tb UNION SELECT tb, a, b FROM j WHERE ta <> tb""")
+@query("g3_loop_observations", f"""WITH {E}, o AS (SELECT * FROM e WHERE NOT lc), {components_sql("o")}, l AS (SELECT DISTINCT a, b FROM e WHERE lc),
+j AS (SELECT a, b, coalesce(x.track, a) AS ta, coalesce(y.track, b) AS tb FROM l LEFT JOIN c x ON x.obs = a LEFT JOIN c y ON y.obs = b)
+SELECT ta AS track, b AS obs, a AS anchor FROM j WHERE ta <> tb UNION SELECT tb, a, b FROM j WHERE ta <> tb""")
 def _(t):
     m = matches(t)
     return gr.loop_observations(gr.tracks(m.where("not lc"), "a", "b"), m.where("lc"), "a", "b")
@@ -91,9 +105,9 @@ def _(t):
     return gr.forward_taint(hop.withColumn("n", F.lit(0)), seeds, "node", "a", "b", F.lit(True), F.lit(False)).select("a", "b", "n", "tainted")
 
 
-@query("g11_match_graph", "SELECT l_orderkey, l_partkey, l_linenumber FROM lineitem WHERE l_quantity > 49 AND l_orderkey IN (SELECT o_orderkey FROM orders WHERE o_orderstatus = 'F') AND l_partkey IN (SELECT p_partkey FROM part WHERE p_size > 10)")
+@query("g11_match_graph", "SELECT l_orderkey, l_partkey, l_linenumber FROM lineitem WHERE l_orderkey IN (SELECT o_orderkey FROM orders WHERE o_orderstatus = 'F') AND l_partkey IN (SELECT p_partkey FROM part WHERE p_size > 10)")
 def _(t):
-    m = t.lineitem.where(INLIER).join(t.orders.where("o_orderstatus = 'F'"), F.col("l_orderkey") == F.col("o_orderkey"), "left_semi")
+    m = t.lineitem.join(t.orders.where("o_orderstatus = 'F'"), F.col("l_orderkey") == F.col("o_orderkey"), "left_semi")
     return m.join(t.part.where("p_size > 10"), F.col("l_partkey") == F.col("p_partkey"), "left_semi").select("l_orderkey", "l_partkey", "l_linenumber")
 
 

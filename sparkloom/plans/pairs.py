@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from sparkloom.functions.scalars import set_digest
 from sparkloom.operators import pairs as pr
+from sparkloom.operators.ranks import ranked
 from sparkloom.plans.registry import digest_sql, query
 
 
@@ -131,10 +132,10 @@ def _(t):
     return pr.candidate_pairs(images, "s_suppkey", "frame", gone, "s_nationkey")
 
 
-@query("j13_spatial_nearest", """WITH a AS (SELECT l_suppkey AS g, l_orderkey AS k, l_quantity AS x, l_discount * 100 AS y FROM lineitem WHERE l_suppkey < 20 AND l_linenumber = 1), b AS (SELECT l_suppkey AS g, l_orderkey AS h, l_quantity AS x, l_discount * 100 AS y FROM lineitem WHERE l_suppkey < 20 AND l_linenumber = 2),
+@query("j13_spatial_nearest", """WITH a AS (SELECT l_suppkey AS g, l_orderkey AS k, l_quantity AS x, l_discount * 100 AS y FROM lineitem WHERE l_linenumber = 1), b AS (SELECT l_suppkey AS g, l_orderkey AS h, l_quantity AS x, l_discount * 100 AS y FROM lineitem WHERE l_linenumber = 2),
 d AS (SELECT a.g, k, h, sqrt((a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y)) AS d FROM a JOIN b ON a.g = b.g), m AS (SELECT g, k, min({'d': d, 'h': h}) AS m FROM d WHERE d <= 2.5 GROUP BY 1, 2) SELECT g, k, m.h AS h, round(m.d, 6) AS distance FROM m""")
 def _(t):
-    p = lambda n, key: t.lineitem.where(f"l_suppkey < 20 and l_linenumber = {n}").select(F.col("l_suppkey").alias("g"), F.col("l_orderkey").alias(key), F.col("l_quantity").alias("x"), (F.col("l_discount") * 100).alias("y"))
+    p = lambda n, key: t.lineitem.where(f"l_linenumber = {n}").select(F.col("l_suppkey").alias("g"), F.col("l_orderkey").alias(key), F.col("l_quantity").alias("x"), (F.col("l_discount") * 100).alias("y"))
     return pr.nearest_within(p(1, "k"), p(2, "h"), "g", "k", "h", "x", "y", 2.5).withColumn("distance", F.round("distance", 6))
 
 
@@ -207,13 +208,12 @@ def _(t):
 @query("u6_frame_sequence", "SELECT row_number() OVER (ORDER BY o_orderdate, o_orderkey) - 1 AS ordinal, o_orderkey FROM orders WHERE o_orderkey IN (SELECT l_orderkey FROM lineitem WHERE l_quantity > 40)")
 def _(t):
     kept = t.orders.join(t.lineitem.where("l_quantity > 40"), F.col("o_orderkey") == F.col("l_orderkey"), "left_semi").select("o_orderdate", "o_orderkey")
-    ranked = kept.withColumn("ordinal", (F.row_number().over(Window.orderBy("o_orderdate", "o_orderkey")) - 1).cast("bigint"))
-    return ranked.select("ordinal", "o_orderkey")
+    return ranked(kept, ["o_orderdate", "o_orderkey"], "ordinal").select((F.col("ordinal") - 1).alias("ordinal"), "o_orderkey")
 
 
-@query("v1_decode_pair_join", "WITH g AS (SELECT DISTINCT least(l_suppkey, l_partkey % 100) * 2147483647 + greatest(l_suppkey, l_partkey % 100) AS pair_id FROM lineitem WHERE l_quantity > 49) SELECT pair_id, a.s_name AS first, b.s_name AS second FROM g JOIN supplier a ON a.s_suppkey = pair_id // 2147483647 JOIN supplier b ON b.s_suppkey = pair_id % 2147483647 WHERE a.s_acctbal > 0 OR b.s_acctbal > 0")
+@query("v1_decode_pair_join", "WITH g AS (SELECT DISTINCT least(l_suppkey, l_partkey % 100) * 2147483647 + greatest(l_suppkey, l_partkey % 100) AS pair_id FROM lineitem) SELECT pair_id, a.s_name AS first, b.s_name AS second FROM g JOIN supplier a ON a.s_suppkey = pair_id // 2147483647 JOIN supplier b ON b.s_suppkey = pair_id % 2147483647 WHERE a.s_acctbal > 0 OR b.s_acctbal > 0")
 def _(t):
-    g = t.lineitem.where("l_quantity > 49").select(pr.pair_id(F.col("l_suppkey"), F.col("l_partkey") % 100).alias("pair_id")).distinct()
+    g = t.lineitem.select(pr.pair_id(F.col("l_suppkey"), F.col("l_partkey") % 100).alias("pair_id")).distinct()
     a, b = pr.pair_ends(F.col("pair_id"))
     ends = g.select("pair_id", a.alias("i"), b.alias("j"))
     s = lambda key, name, bal: t.supplier.select(F.col("s_suppkey").alias(key), F.col("s_name").alias(name), F.col("s_acctbal").alias(bal))
@@ -258,15 +258,15 @@ def _(t):
     f = t.lineitem.groupBy("l_partkey").agg(F.floor(F.min("l_orderkey") / 1000).alias("k")).groupBy("k").agg(F.count("*").alias("n"))
     g = f.agg(F.max("k").alias("m")).select(F.explode(F.sequence(F.lit(0).cast("bigint"), "m")).alias("k"))
     full = g.join(f, "k", "left").na.fill(0, ["n"])
-    return full.select("k", "n", (F.sum("n").over(Window.orderBy("k")) - F.col("n")).alias("start"))
+    return ranked(full, ["k"], "r", "upto", "n").select("k", "n", (F.col("upto") - F.col("n")).alias("start"))
 
 
 @query("v7_rank_nan_last", "WITH s AS (SELECT l_partkey AS p, CASE WHEN avg(l_discount) > 0.055 THEN NULL ELSE round(avg(l_discount), 6) END AS s FROM lineitem GROUP BY 1), r AS (SELECT p, row_number() OVER (ORDER BY s, p) - 1 AS r FROM s WHERE s IS NOT NULL) SELECT s.p, coalesce(r, -1) AS rank FROM s LEFT JOIN r ON r.p = s.p")
 def _(t):
     m = F.avg("l_discount")
     s = t.lineitem.groupBy(F.col("l_partkey").alias("p")).agg(F.when(m > 0.055, float("nan")).otherwise(F.round(m, 6)).alias("s"))
-    ranked = s.where(~F.isnan("s")).select("p", (F.row_number().over(Window.orderBy("s", "p")) - 1).cast("bigint").alias("r"))
-    return s.join(ranked, "p", "left").select("p", F.coalesce("r", F.lit(-1).cast("bigint")).alias("rank"))
+    good = ranked(s.where(~F.isnan("s")), ["s", "p"], "r").select("p", (F.col("r") - 1).alias("r"))
+    return s.join(good, "p", "left").select("p", F.coalesce("r", F.lit(-1).cast("bigint")).alias("rank"))
 
 
 @query("v8_image_timeline", "WITH n AS (SELECT o_custkey, list_sort(list(o_orderkey % 1000)) AS l FROM orders GROUP BY 1) SELECT o_custkey, l[len(l) // 2 + 1] AS upper_median, CASE WHEN length(max_by::VARCHAR) > 3 THEN 'long' ELSE 'short' END AS width FROM (SELECT *, l[len(l)] AS max_by FROM n)")

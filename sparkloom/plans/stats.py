@@ -147,10 +147,10 @@ def _(t):
     return q.join(kept, "p", "left").select("p", F.round("score", 6).alias("score"), F.coalesce("kept", F.lit(False)).alias("kept"))
 
 
-@query("a21_kernel_density", """WITH p AS (SELECT l_suppkey AS g, l_orderkey * 8 + l_linenumber AS k, l_quantity AS x, l_discount * 100 AS y FROM lineitem WHERE l_suppkey < 10), d AS (SELECT a.g, a.k, sqrt((a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y)) AS d FROM p a JOIN p b ON a.g = b.g)
-SELECT g, k, round(sum(exp(-d * d / 2)), 6) AS density FROM d WHERE d <= 4 AND (d >= 1.5 OR d <= 1e-7) GROUP BY g, k""")
+@query("a21_kernel_density", """WITH p AS (SELECT l_suppkey AS g, l_orderkey * 8 + l_linenumber AS k, l_quantity AS x, l_discount * 100 AS y FROM lineitem), d AS (SELECT a.g, a.k, sqrt((a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y)) AS d FROM p a JOIN p b ON a.g = b.g)
+SELECT g, k, round(sum(exp(-d * d / 2)), 6) AS density FROM d WHERE d <= 6 AND (d >= 1.5 OR d <= 1e-7) GROUP BY g, k""")
 def _(t):
-    rows = t.lineitem.where("l_suppkey < 10").select(F.col("l_suppkey").alias("g"), (F.col("l_orderkey") * 8 + F.col("l_linenumber")).alias("k"), F.col("l_quantity").alias("x"), (F.col("l_discount") * 100).alias("y"))
+    rows = t.lineitem.select(F.col("l_suppkey").alias("g"), (F.col("l_orderkey") * 8 + F.col("l_linenumber")).alias("k"), F.col("l_quantity").alias("x"), (F.col("l_discount") * 100).alias("y"))
     return st.kernel_density(rows, "g", "k", "x", "y", 1.0, 1.5).withColumn("density", F.round("density", 6))
 
 

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from sparkloom.operators import kernels
 from sparkloom.operators import topk as tk
+from sparkloom.operators.ranks import ranked
 from sparkloom.plans.registry import query
 from sparkloom.plans.temporal import EV, events
 
@@ -65,10 +66,7 @@ def _(t):
 
 @query("t8_f2_natural_sort", "SELECT p_partkey, row_number() OVER (ORDER BY regexp_extract(p_brand, '^[^0-9]*'), regexp_extract(p_brand, '[0-9]+')::INT, p_partkey) AS rank FROM part")
 def _(t):
-    from pyspark.sql import Window
-
-    key = tk.natural_key(F.col("p_brand"))
-    return t.part.select("p_partkey", F.row_number().over(Window.orderBy(key, "p_partkey")).cast("bigint").alias("rank"))
+    return ranked(t.part.select("p_partkey", tk.natural_key(F.col("p_brand")).alias("k")), ["k", "p_partkey"]).select("p_partkey", "rank")
 
 
 @query("t9_cache_plan")

@@ -6,10 +6,11 @@ import sqlite3
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sparkloom.operators.pairs import require
+from sparkloom.operators.ranks import ranked
 
 FRAME_SCHEMA = "frame_id bigint, timestamp_ns bigint, camera_id bigint, image_name string"
 POSE_SCHEMA = ("ts", "tx", "ty", "tz", "qx", "qy", "qz", "qw")
@@ -22,7 +23,9 @@ def frame_violations(frames: DataFrame) -> DataFrame:
     camera = frames.groupBy("frame_id", "camera_id").count().where("count > 1").select(F.lit("frame and camera repeat").alias("problem"))
     times = frames.groupBy("frame_id").agg(F.count_distinct("timestamp_ns").alias("n"), F.min("timestamp_ns").alias("t"))
     several = times.where("n > 1").select(F.lit("frame has several times").alias("problem"))
-    falling = times.withColumn("b", F.lag("t").over(Window.orderBy("frame_id"))).where("b >= t").select(F.lit("times do not rise").alias("problem"))
+    order = ranked(times, ["frame_id"], "r").select("t", "r")
+    after = order.select((F.col("r") - 1).alias("r"), F.col("t").alias("b"))
+    falling = order.join(after, "r").where("t >= b").select(F.lit("times do not rise").alias("problem"))
     return name.unionByName(camera).unionByName(several).unionByName(falling)
 
 
