@@ -31,10 +31,10 @@ def name_collisions(pairs: DataFrame, a: str, b: str) -> DataFrame:
 
 
 def require(df: DataFrame, violations: DataFrame, message: str) -> DataFrame:
-    """``df``, or an error when it is read while ``violations`` has rows: the check is a one-row join of a count."""
+    """``df``, or an error when it is read while ``violations`` has rows, even if ``df`` has none: the check is a part of its own, without rows."""
     bad = violations.agg(F.count("*").alias("_bad"))
-    ok = F.when(F.col("_bad") > 0, F.raise_error(F.lit(message)).cast("boolean")).otherwise(F.lit(True))
-    return df.crossJoin(F.broadcast(bad)).where(ok).drop("_bad")
+    check = F.when(F.col("_bad") > 0, F.raise_error(F.lit(message)).cast("boolean")).otherwise(F.lit(False))
+    return df.unionByName(bad.where(check).select(*[F.lit(None).cast(f.dataType).alias(f.name) for f in df.schema]))
 
 
 def first_direction(pairs: DataFrame, a: str, b: str, order: list[str]) -> DataFrame:

@@ -6,8 +6,8 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from sparkloom.functions.scalars import set_digest
+from sparkloom.operators import capture as cp
 from sparkloom.operators import pairs as pr
-from sparkloom.operators.ranks import ranked
 from sparkloom.plans.registry import digest_sql, query
 
 
@@ -66,9 +66,17 @@ def _(t):
     return pr.aligned(m, m.where("(pair % 5 > 0 or n > 1) and pair <> 3"), "pair")
 
 
-@query("p11_cross_references", "SELECT l_partkey, count(*) AS n FROM lineitem WHERE l_partkey NOT IN (SELECT p_partkey FROM part WHERE p_size > 5) GROUP BY 1")
+@query("p11_cross_references", """WITH i AS (SELECT p_partkey AS image, p_size * 1000 AS features FROM part WHERE p_size > 5),
+m AS (SELECT l_partkey AS img1, l_orderkey AS feat1, l_partkey % 50 + 1 AS img2, l_suppkey AS feat2, CASE WHEN l_tax = 0 THEN 'nan'::DOUBLE ELSE l_discount / l_tax END AS score FROM lineitem),
+j AS (SELECT m.*, a.features AS n1, b.features AS n2 FROM m LEFT JOIN i a ON a.image = img1 LEFT JOIN i b ON b.image = img2)
+SELECT 'image' AS problem, count(*) AS n FROM j WHERE n1 IS NULL OR n2 IS NULL HAVING count(*) > 0 UNION ALL
+SELECT 'feature', count(*) FROM j WHERE feat1 >= n1 OR feat2 >= n2 OR feat1 < 0 OR feat2 < 0 HAVING count(*) > 0 UNION ALL
+SELECT 'score', count(*) FROM j WHERE isnan(score) HAVING count(*) > 0""")
 def _(t):
-    return t.lineitem.join(t.part.where("p_size > 5"), F.col("l_partkey") == F.col("p_partkey"), "left_anti").groupBy("l_partkey").agg(F.count("*").alias("n"))
+    images = t.part.where("p_size > 5").select(F.col("p_partkey").alias("image"), (F.col("p_size") * 1000).alias("features"))
+    score = F.when(F.col("l_tax") == 0, float("nan")).otherwise(F.try_divide("l_discount", "l_tax"))
+    m = t.lineitem.select(F.col("l_partkey").alias("img1"), F.col("l_orderkey").alias("feat1"), (F.col("l_partkey") % 50 + 1).alias("img2"), F.col("l_suppkey").alias("feat2"), score.alias("score"))
+    return cp.cross_reference_violations(m, images)
 
 
 @query("p12_timeline_violations", "WITH g AS (SELECT user_id, date_trunc('day', ts) AS d, count(DISTINCT event_type) AS n, count(*) <> count(DISTINCT event_type) AS repeated FROM events GROUP BY ALL) SELECT user_id, count_if(n < 5)::BIGINT AS incomplete, count_if(repeated)::BIGINT AS repeated FROM g GROUP BY 1")
@@ -95,9 +103,25 @@ def _(t):
     return lines(t).join(retained, "b", "left").where("s > 0.06 or _keep is not null").select("pair", "a", "b", "n")
 
 
-@query("p18_unique_basenames", "SELECT split_part(p_name, ' ', 2) AS basename, count(*) AS n FROM part WHERE p_size > 48 GROUP BY 1 HAVING count(*) > 1")
+@query("p18_unique_basenames", "SELECT 'd/' || p_brand || '/' || p_partkey || '.png' AS path, p_partkey || '.png' AS basename FROM part WHERE p_partkey IN (SELECT l_partkey FROM lineitem WHERE l_quantity > 20)")
 def _(t):
-    return t.part.where("p_size > 48").groupBy(F.split("p_name", " ")[1].alias("basename")).agg(F.count("*").alias("n")).where("n > 1")
+    path = lambda key: F.concat(F.lit("d/"), F.col("p_brand"), F.lit("/"), F.col(key).cast("string"), F.lit(".png")).alias("path")
+    there = t.lineitem.where("l_quantity > 20").join(t.part, F.col("l_partkey") == F.col("p_partkey")).select(path("l_partkey"))
+    return cp.existing_files(t.part.select(path("p_partkey")), there, "path")
+
+
+@query("p8_public_poses", "SELECT s_suppkey FROM supplier WHERE s_acctbal IS NOT NULL AND NOT (s_suppkey % 4 = 0 AND s_nationkey % 2 = 0)")
+def _(t):
+    marked = F.col("s_suppkey") % 4 == 0
+    q = [F.lit(0.0), F.lit(0.0), F.lit(0.0), F.when(marked, -1.0).otherwise(1.0)]
+    shift = [F.when(marked, 0.0).otherwise(F.col("s_acctbal")), F.when(F.col("s_nationkey") % 2 == 0, 0.0).otherwise(1.0), F.lit(0.0)]
+    return t.supplier.where(cp.has_public_pose(q, shift)).select("s_suppkey")
+
+
+@query("s17_image_selection", "SELECT 'cam0/img' || p_partkey || '.png' AS name, row_number() OVER (ORDER BY p_partkey) AS rank FROM part")
+def _(t):
+    name = F.concat(F.lit("cam0/img"), F.col("p_partkey").cast("string"), F.lit(".png")).alias("name")
+    return cp.selected_images(t.part.select(name), "name", t.part.select(name), "cam0")
 
 
 @query("p19_session_selection", "SELECT p_partkey, p_name FROM part WHERE starts_with(p_name, 'red') AND NOT ends_with(p_name, 'widget') AND NOT ends_with(p_name, 'ring')")
@@ -106,15 +130,17 @@ def _(t):
     return t.part.where(name.startswith("red") & ~name.endswith("widget") & ~name.endswith("ring")).select("p_partkey", "p_name")
 
 
-@query("p20_complete_frames", "WITH s AS (SELECT DISTINCT l_orderkey AS k FROM lineitem WHERE l_quantity > 20), j AS (SELECT o_custkey, o_orderkey, k IS NOT NULL AS i FROM orders LEFT JOIN s ON k = o_orderkey) SELECT o_custkey, o_orderkey, bool_and(i) OVER (PARTITION BY o_custkey) AS complete FROM j QUALIFY i")
+@query("p20_complete_frames", "SELECT o_orderkey, o_custkey AS rig_id, o_custkey // 2 AS camera_id FROM orders WHERE o_custkey IN (SELECT c_custkey FROM customer WHERE c_acctbal > 0)")
 def _(t):
-    return pr.complete_frames(t.lineitem.where("l_quantity > 20").select(F.col("l_orderkey").alias("o_orderkey")), t.orders.select("o_custkey", "o_orderkey"), "o_orderkey", "o_custkey")
+    images = t.orders.select("o_orderkey", F.col("o_custkey").alias("rig_id"), F.floor(F.col("o_custkey") / 2).alias("camera_id"), F.col("o_totalprice").alias("pose"))
+    chosen = t.orders.join(t.customer.where("c_acctbal > 0"), F.col("o_custkey") == F.col("c_custkey"), "left_semi")
+    return cp.whole_frames(images, chosen, "o_orderkey", "rig_id")
 
 
-@query("p21_survivors", f"WITH {M} SELECT pair, a, b, n, row_number() OVER (PARTITION BY pair ORDER BY a, n, b) - 1 AS id FROM m WHERE q BETWEEN 0.5 AND 45.5 AND s > 0.02")
+@query("p21_survivors", f"WITH {M} SELECT pair, a, b, n, row_number() OVER (PARTITION BY pair ORDER BY a, n, b) - 1 AS id FROM m WHERE q - 5 >= -0.5 AND q - 5 < 39.5 AND n >= -0.5 AND n < 6.5 AND s > 0.02 AND sqrt(greatest(q / 10 + s, 0.0)) <= 2.0")
 def _(t):
-    keep = lines(t).where("q between 0.5 and 45.5 and s > 0.02")
-    return keep.select("pair", "a", "b", "n", (F.row_number().over(Window.partitionBy("pair").orderBy("a", "n", "b")) - 1).cast("bigint").alias("id"))
+    rows = lines(t).withColumns({"x": F.col("q") - 5, "y": F.col("n").cast("double"), "vx": F.col("q") / 10})
+    return cp.surviving_tracks(rows, "pair", ["a", "n", "b"], "x", "y", "s", "vx", "s", (40.0, 7.0), 0.02, 2.0).select("pair", "a", "b", "n", "id")
 
 
 @query("j1_mask_join", f"WITH {M}, k AS (SELECT s_suppkey AS pair, s_name FROM supplier) SELECT s_name, count(*) AS rows, count_if(f = 'R')::BIGINT AS loops FROM m JOIN k USING (pair) GROUP BY 1")
@@ -166,11 +192,17 @@ def _(t):
     return j.groupBy((F.col("l_returnflag") == "R").alias("loop"), (F.col("l_extendedprice") > F.col("p_retailprice") * 40).alias("outlier")).agg(F.count("*").alias("n"))
 
 
-@query("j19_fixed_poses", "SELECT a.s_suppkey AS first, b.s_suppkey AS second, round(b.s_acctbal - a.s_acctbal, 4) AS offset FROM supplier a JOIN supplier b ON a.s_nationkey = b.s_nationkey AND a.s_suppkey < b.s_suppkey")
+@query("j19_fixed_poses", """WITH s AS (SELECT s_suppkey AS c, s_nationkey AS f, CASE WHEN s_suppkey % 5 = 0 THEN 0.0 ELSE sin(s_suppkey / 2.0) END AS z, CASE WHEN s_suppkey % 5 = 0 THEN 1.0 ELSE cos(s_suppkey / 2.0) END AS w, CASE WHEN s_suppkey % 5 = 0 THEN 0.0 ELSE s_acctbal END AS x FROM supplier),
+p AS (SELECT a.c AS first, b.c AS second, b.z * a.w - b.w * a.z AS qz, b.w * a.w + b.z * a.z AS qw, a.x AS ax, b.x AS bx FROM s a JOIN s b ON a.f = b.f AND a.c < b.c)
+SELECT first, second, round(qz, 6) AS qz, round(qw, 6) AS qw, round(bx - (1 - 2 * qz * qz) * ax, 4) AS tx, round(-2 * qz * qw * ax, 4) AS ty FROM p""")
 def _(t):
-    a = t.supplier.select("s_nationkey", F.col("s_suppkey").alias("first"), F.col("s_acctbal").alias("x"))
-    b = t.supplier.select("s_nationkey", F.col("s_suppkey").alias("second"), F.col("s_acctbal").alias("y"))
-    return a.join(b, "s_nationkey").where("first < second").select("first", "second", F.round(F.col("y") - F.col("x"), 4).alias("offset"))
+    s = t.supplier.withColumn("h", F.col("s_suppkey") / 2.0)
+    images = s.select(F.col("s_suppkey").alias("image"), F.col("s_nationkey").alias("frame"), F.lit(0).alias("rig"), F.col("s_suppkey").alias("camera"))
+    pose = [F.array(F.lit(0.0), F.lit(0.0), F.sin("h"), F.cos("h")).alias("q"), F.array("s_acctbal", F.lit(0.0), F.lit(0.0)).alias("t")]
+    sensors = s.select(F.lit(0).alias("rig"), F.col("s_suppkey").alias("camera"), F.lit(True).alias("has_prior"), (F.col("s_suppkey") % 5 == 0).alias("is_ref"), *pose)
+    a, b = s.select("s_nationkey", F.col("s_suppkey").alias("first")), s.select("s_nationkey", F.col("s_suppkey").alias("second"))
+    found = cp.fixed_stereo_poses(a.join(b, "s_nationkey").where("first < second"), images, sensors)
+    return found.select("first", "second", *[F.round(c, 6).alias(c) for c in ("qz", "qw")], *[F.round(c, 4).alias(c) for c in ("tx", "ty")])
 
 
 @query("j20_override_digest", f"SELECT {digest_sql("(s_name || ':' || coalesce(n_name, '-'))")} AS digest, count(n_name) AS overridden FROM supplier LEFT JOIN nation ON s_suppkey = n_nationkey")
@@ -207,8 +239,8 @@ def _(t):
 
 @query("u6_frame_sequence", "SELECT row_number() OVER (ORDER BY o_orderdate, o_orderkey) - 1 AS ordinal, o_orderkey FROM orders WHERE o_orderkey IN (SELECT l_orderkey FROM lineitem WHERE l_quantity > 40)")
 def _(t):
-    kept = t.orders.join(t.lineitem.where("l_quantity > 40"), F.col("o_orderkey") == F.col("l_orderkey"), "left_semi").select("o_orderdate", "o_orderkey")
-    return ranked(kept, ["o_orderdate", "o_orderkey"], "ordinal").select((F.col("ordinal") - 1).alias("ordinal"), "o_orderkey")
+    allocated = t.lineitem.where("l_quantity > 40").select(F.col("l_orderkey").alias("o_orderkey"))
+    return cp.frame_sequence(t.orders, allocated, "o_orderkey", ["o_orderdate"]).select("ordinal", "o_orderkey")
 
 
 @query("v1_decode_pair_join", "WITH g AS (SELECT DISTINCT least(l_suppkey, l_partkey % 100) * 2147483647 + greatest(l_suppkey, l_partkey % 100) AS pair_id FROM lineitem) SELECT pair_id, a.s_name AS first, b.s_name AS second FROM g JOIN supplier a ON a.s_suppkey = pair_id // 2147483647 JOIN supplier b ON b.s_suppkey = pair_id % 2147483647 WHERE a.s_acctbal > 0 OR b.s_acctbal > 0")
@@ -253,27 +285,44 @@ def _(t):
     return pr.match_classes(m, points).groupBy("class").agg(F.count("*").alias("n"))
 
 
-@query("v6_first_seen_offsets", "WITH f AS (SELECT l_partkey AS p, min(l_orderkey) // 1000 AS k FROM lineitem GROUP BY 1), c AS (SELECT k, count(*) AS n FROM f GROUP BY 1), g AS (SELECT unnest(range((SELECT max(k) FROM c) + 1)) AS k) SELECT g.k, coalesce(n, 0) AS n, (sum(coalesce(n, 0)) OVER (ORDER BY g.k) - coalesce(n, 0))::BIGINT AS start FROM g LEFT JOIN c ON c.k = g.k")
+SEEN = "f AS (SELECT l_partkey AS p, min(l_orderkey) // 1000 AS k FROM lineitem GROUP BY 1), c AS (SELECT k, count(*) AS n FROM f GROUP BY 1), g AS (SELECT unnest(range((SELECT max(l_orderkey) // 1000 FROM lineitem) + 1)) AS k)"
+
+
+def seen(t):
+    rows = t.lineitem.select(F.col("l_partkey").alias("p"), F.floor(F.col("l_orderkey") / 1000).alias("k"))
+    frames = rows.agg(F.max("k").alias("m")).select(F.explode(F.sequence(F.lit(0).cast("bigint"), "m")).alias("k"))
+    return cp.first_seen(rows, "p", "k", frames)
+
+
+@query("v6_first_seen_offsets", f"WITH {SEEN} SELECT g.k, coalesce(n, 0) AS n, (sum(coalesce(n, 0)) OVER (ORDER BY g.k) - coalesce(n, 0))::BIGINT AS start FROM g LEFT JOIN c ON c.k = g.k")
+def _(t):
+    return seen(t)[1]
+
+
+@query("v6_first_seen_order", f"WITH {SEEN} SELECT p, k AS first, row_number() OVER (ORDER BY k, p) - 1 AS position FROM f")
 def _(t):
-    f = t.lineitem.groupBy("l_partkey").agg(F.floor(F.min("l_orderkey") / 1000).alias("k")).groupBy("k").agg(F.count("*").alias("n"))
-    g = f.agg(F.max("k").alias("m")).select(F.explode(F.sequence(F.lit(0).cast("bigint"), "m")).alias("k"))
-    full = g.join(f, "k", "left").na.fill(0, ["n"])
-    return ranked(full, ["k"], "r", "upto", "n").select("k", "n", (F.col("upto") - F.col("n")).alias("start"))
+    return seen(t)[0]
 
 
 @query("v7_rank_nan_last", "WITH s AS (SELECT l_partkey AS p, CASE WHEN avg(l_discount) > 0.055 THEN NULL ELSE round(avg(l_discount), 6) END AS s FROM lineitem GROUP BY 1), r AS (SELECT p, row_number() OVER (ORDER BY s, p) - 1 AS r FROM s WHERE s IS NOT NULL) SELECT s.p, coalesce(r, -1) AS rank FROM s LEFT JOIN r ON r.p = s.p")
 def _(t):
     m = F.avg("l_discount")
     s = t.lineitem.groupBy(F.col("l_partkey").alias("p")).agg(F.when(m > 0.055, float("nan")).otherwise(F.round(m, 6)).alias("s"))
-    good = ranked(s.where(~F.isnan("s")), ["s", "p"], "r").select("p", (F.col("r") - 1).alias("r"))
-    return s.join(good, "p", "left").select("p", F.coalesce("r", F.lit(-1).cast("bigint")).alias("rank"))
+    return cp.covariance_ranks(s, "p", "s")
 
 
-@query("v8_image_timeline", "WITH n AS (SELECT o_custkey, list_sort(list(o_orderkey % 1000)) AS l FROM orders GROUP BY 1) SELECT o_custkey, l[len(l) // 2 + 1] AS upper_median, CASE WHEN length(max_by::VARCHAR) > 3 THEN 'long' ELSE 'short' END AS width FROM (SELECT *, l[len(l)] AS max_by FROM n)")
+@query("v8_image_timeline", """WITH i AS (SELECT user_id AS s, event_id AS i, epoch_us(ts) AS v, CASE WHEN user_id % 3 = 0 THEN 'x' ELSE '' END || epoch_us(ts) || '_a.jpg' AS name FROM events),
+d AS (SELECT s, v - lag(v) OVER (PARTITION BY s ORDER BY v, name) AS d FROM i), m AS (SELECT s, list_sort(list(d)) AS l FROM d WHERE d IS NOT NULL GROUP BY s),
+g AS (SELECT s, min(v) AS first, count(*) AS n, min(length(v::VARCHAR)) AS lo, max(length(v::VARCHAR)) AS hi FROM i GROUP BY s),
+k AS (SELECT g.s, first, lo, hi, n, l[1] AS least, l[len(l) // 2 + 1] AS median FROM g LEFT JOIN m USING (s)),
+w AS (SELECT *, CASE WHEN lo = hi THEN CASE lo WHEN 10 THEN 1.0::DOUBLE WHEN 13 THEN 1e3 WHEN 16 THEN 1e6 WHEN 19 THEN 1e9 END END AS wide, list_filter([1.0::DOUBLE, 1e3, 1e6, 1e9], lambda u: median / u BETWEEN 0.001 AND 10) AS fit FROM k),
+u AS (SELECT s, first, CASE WHEN s % 3 > 0 AND (n = 1 OR least > 0) THEN CASE WHEN n = 1 THEN wide WHEN median / wide BETWEEN 0.001 AND 10 THEN wide WHEN len(fit) = 1 THEN fit[1] END END AS scale FROM w)
+SELECT i.s, i.i, row_number() OVER (PARTITION BY i.s ORDER BY CASE WHEN scale IS NOT NULL THEN v END, i.i) - 1 AS position, round((v - first) / scale, 3) AS seconds FROM i JOIN u USING (s)""")
 def _(t):
-    n = t.orders.groupBy("o_custkey").agg(F.sort_array(F.collect_list(F.col("o_orderkey") % 1000)).alias("l"))
-    last = F.element_at("l", -1).cast("string")
-    return n.select("o_custkey", F.element_at("l", (F.floor(F.size("l") / 2) + 1).cast("int")).alias("upper_median"), F.when(F.length(last) > 3, "long").otherwise("short").alias("width"))
+    us = F.unix_micros(F.col("ts").cast("timestamp")).cast("string")
+    name = F.concat(F.when(F.col("user_id") % 3 == 0, "x").otherwise(""), us, F.lit("_a.jpg"))
+    found = cp.image_timelines(t.events.select(F.col("user_id").alias("s"), F.col("event_id").alias("i"), name.alias("name")), "s", "i", "name")
+    return found.withColumn("seconds", F.round("seconds", 3))
 
 
 @query("v9_frame_grid", "WITH c AS (SELECT DISTINCT event_type AS c FROM events), f AS (SELECT DISTINCT user_id AS f FROM events), x AS (SELECT user_id AS f, event_type AS c, min(event_id) AS i FROM events WHERE event_id % 4 > 0 GROUP BY ALL) SELECT f.f, c.c, i FROM f CROSS JOIN c LEFT JOIN x ON x.f = f.f AND x.c = c.c")

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from sparkloom.functions.scalars import set_digest
+from sparkloom.operators import capture as cp
 from sparkloom.operators import stats as st
 from sparkloom.plans.registry import digest_sql, query
 
@@ -183,15 +184,22 @@ def _(t):
     return st.best_source(t.lineitem, "l_partkey", "l_orderkey", "l_discount")
 
 
-@query("a27_uniform_median", "SELECT p_brand, round(median((p_retailprice + p_size) / 2), 6) AS focal, count(DISTINCT p_type) = 1 AS uniform FROM part GROUP BY 1")
+@query("a27_uniform_median", "SELECT p_type, round(median((p_retailprice + p_size) / 2), 6) AS focal, count(*) AS n, substr(p_type, 1, 3) AS model, length(p_type)::INT AS size FROM part GROUP BY 1")
 def _(t):
-    return t.part.groupBy("p_brand").agg(F.round(F.median((F.col("p_retailprice") + F.col("p_size")) / 2), 6).alias("focal"), (F.count_distinct("p_type") == 1).alias("uniform"))
+    rows = t.part.withColumn("model", F.substring("p_type", 1, 3)).withColumn("size", F.length("p_type"))
+    return cp.initial_focals(rows, "p_type", "p_retailprice", "p_size", ["model", "size"]).withColumn("focal", F.round("focal", 6))
 
 
-@query("a28_prior_rows", "SELECT s_nationkey, string_agg(round(m, 4)::VARCHAR, ',' ORDER BY s_suppkey) AS priors FROM (SELECT s_suppkey, s_nationkey, round(s_acctbal, 0)::BIGINT AS m FROM supplier) GROUP BY 1")
+@query("a28_prior_rows", """WITH o AS (SELECT s_nationkey AS camera, s_suppkey AS position, 1000 + s_nationkey + s_suppkey / 2.0 AS focal, (3.0 + s_suppkey % 4) AS std FROM supplier)
+SELECT camera, string_agg(round(focal, 2)::DECIMAL(12, 2) || ':' || round(std / focal, 6)::DECIMAL(12, 6), ',' ORDER BY position) AS priors FROM o GROUP BY 1""")
 def _(t):
-    rows = t.supplier.select("s_suppkey", "s_nationkey", F.round("s_acctbal", 0).cast("bigint").alias("m"))
-    return rows.groupBy("s_nationkey").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("s_suppkey", "m"))), lambda x: x["m"].cast("string")), ",").alias("priors"))
+    s = t.supplier
+    cameras = s.select(F.col("s_nationkey").alias("camera")).distinct().withColumns({"width": F.lit(640), "height": F.lit(480)})
+    images = s.select(F.col("s_name").alias("image"), F.col("s_nationkey").alias("camera"), F.col("s_suppkey").alias("position"))
+    std = F.array((F.col("s_suppkey") % 4 + 5).cast("double"), (F.col("s_suppkey") % 4 + 3).cast("double"))
+    seen = s.select(F.col("s_name").alias("image"), F.col("s_nationkey").alias("camera"), (F.lit(1000.0) + F.col("s_nationkey")).alias("fx"), (F.lit(1000.0) + F.col("s_nationkey") + F.col("s_suppkey")).alias("fy"), std.alias("std"), F.lit(640).alias("width"), F.lit(480).alias("height"))
+    text = lambda r: F.concat(F.round(r["focal"], 2).cast("decimal(12,2)").cast("string"), F.lit(":"), F.round(r["sigma"], 6).cast("decimal(12,6)").cast("string"))
+    return cp.focal_priors(seen, cameras, images).select("camera", F.array_join(F.transform("rows", text), ",").alias("priors"))
 
 
 @query("a29_totals", "SELECT count(*) AS rows, count(DISTINCT l_orderkey) AS pairs, count_if(l_linestatus = 'O')::BIGINT AS valid, count_if(l_quantity > 25)::BIGINT AS inliers, count_if(l_returnflag = 'R')::BIGINT AS loops FROM lineitem")
@@ -199,7 +207,14 @@ def _(t):
     return t.lineitem.agg(F.count("*").alias("rows"), F.count_distinct("l_orderkey").alias("pairs"), F.count_if(F.col("l_linestatus") == "O").alias("valid"), F.count_if(F.col("l_quantity") > 25).alias("inliers"), F.count_if(F.expr(LOOP)).alias("loops"))
 
 
-@query("a30_extents", "SELECT l_returnflag, max(l_quantity * 0.6 + l_tax * 80) - min(l_quantity * 0.6 + l_tax * 80) AS range, round(covar_pop(l_quantity, l_tax), 6) AS cov FROM lineitem GROUP BY 1")
+@query("a30_extents", "SELECT l_returnflag, round(max(l_quantity * 0.6 + l_tax * 80) - min(l_quantity * 0.6 + l_tax * 80), 6) AS right, round(max(l_discount) - min(l_discount), 6) AS up FROM lineitem GROUP BY 1")
 def _(t):
-    along = F.col("l_quantity") * 0.6 + F.col("l_tax") * 80
-    return t.lineitem.groupBy("l_returnflag").agg((F.max(along) - F.min(along)).alias("range"), F.round(F.covar_pop("l_quantity", "l_tax"), 6).alias("cov"))
+    found = cp.extents(t.lineitem, "l_returnflag", ["l_quantity", "l_tax", "l_discount"], {"right": (0.6, 80.0, 0.0), "up": (0.0, 0.0, 1.0)})
+    return found.select("l_returnflag", F.round("right", 6).alias("right"), F.round("up", 6).alias("up"))
+
+
+#: The points lie in the plane of (1, 2, 3) and (0, 1, -1), whose normal is (5, -1, -1).
+@query("a30_path_up", "SELECT l_suppkey AS g, round(5 / sqrt(27.0), 4) AS ux, round(-1 / sqrt(27.0), 4) AS uy, round(-1 / sqrt(27.0), 4) AS uz FROM lineitem GROUP BY 1")
+def _(t):
+    rows = t.lineitem.select(F.col("l_suppkey").alias("g"), F.col("l_quantity").alias("x"), (F.col("l_quantity") * 2 + F.col("l_linenumber")).alias("y"), (F.col("l_quantity") * 3 - F.col("l_linenumber")).alias("z"))
+    return cp.path_up(rows, "g", "x", "y", "z").select("g", *[F.round(c, 4).alias(c) for c in ("ux", "uy", "uz")])

@@ -225,10 +225,18 @@ def _(t):
     return tm.unit_of_times(events(t), "s", "t", "k", (1_000_000, 60_000_000, 3_600_000_000), 0.5, 100.0)
 
 
-@query("w21_even_subsample", """WITH d AS (SELECT DISTINCT l_suppkey, l_partkey FROM lineitem), n AS (SELECT *, row_number() OVER (PARTITION BY l_suppkey ORDER BY l_partkey) - 1 AS n, count(*) OVER (PARTITION BY l_suppkey) AS m FROM d), i AS (SELECT unnest(range(25)) AS i)
-SELECT l_suppkey, l_partkey FROM n WHERE m <= 25 OR EXISTS (SELECT 1 FROM i WHERE i * (m - 1) // 24 = n)""")
+@query("w21_even_subsample", """WITH p AS (SELECT l_suppkey * 100000 + l_partkey AS pair, l_suppkey % 20 AS camera FROM lineitem GROUP BY ALL HAVING sum(l_quantity) > 20), q AS (SELECT * FROM p WHERE camera <> 7 AND pair NOT IN (SELECT l_suppkey * 100000 + l_partkey FROM lineitem WHERE l_returnflag = 'A')),
+n AS (SELECT *, row_number() OVER (PARTITION BY camera ORDER BY pair) - 1 AS n, count(*) OVER (PARTITION BY camera) AS m FROM q), i AS (SELECT unnest(range(25)) AS i), c AS (SELECT camera, pair FROM n WHERE m <= 25 OR EXISTS (SELECT 1 FROM i WHERE i * (m - 1) // 24 = n)),
+r AS (SELECT camera, pair, l_orderkey * 10 + l_linenumber AS match, row_number() OVER (PARTITION BY pair ORDER BY l_orderkey * 10 + l_linenumber) - 1 AS n, count(*) OVER (PARTITION BY pair) AS m FROM c JOIN lineitem ON pair = l_suppkey * 100000 + l_partkey), k AS (SELECT unnest(range(3)) AS i)
+SELECT camera, pair, match FROM r WHERE m <= 3 OR EXISTS (SELECT 1 FROM k WHERE i * (m - 1) // 2 = n)""")
 def _(t):
-    return tm.linspace_rows(t.lineitem.select("l_suppkey", "l_partkey").distinct(), "l_suppkey", ["l_partkey"], 25)
+    from sparkloom.operators.capture import even_calibration_matches
+
+    rows = t.lineitem.withColumn("pair", F.col("l_suppkey") * 100000 + F.col("l_partkey"))
+    camera = (F.col("l_suppkey") % 20).alias("camera1")
+    pairs = rows.groupBy("pair", camera).agg((F.sum("l_quantity") > 20).alias("valid")).withColumn("camera2", F.when(F.col("camera1") == 7, 8).otherwise(F.col("camera1")))
+    matches = rows.select("pair", (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("match"))
+    return even_calibration_matches(pairs, matches, rows.where("l_returnflag = 'A'"), "pair", "match", 25, 3)
 
 
 @query("w22_multi_length_chunks", """WITH n AS (SELECT s, k, row_number() OVER (PARTITION BY s ORDER BY t, k) AS n FROM (SELECT user_id AS s, epoch_us(ts) AS t, event_id AS k FROM events)), l AS (SELECT *, (n - 1) // l AS chunk FROM n, (SELECT unnest([5, 10, 25]) AS l)), c AS (SELECT *, count(*) OVER (PARTITION BY s, l, chunk) AS m FROM l WHERE chunk < 50)
