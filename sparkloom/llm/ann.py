@@ -245,7 +245,8 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 20, id_col: str = "
                 s = q[part] @ v[at].T
                 s[qids[part][:, None] == ids[at][None, :]] = -np.inf
                 worst = np.partition(s, len(at) - k, axis=1)[:, len(at) - k] if len(at) > k else np.full(len(part), -np.inf)
-                r, c = np.nonzero((s >= worst[:, None]) & (s > -np.inf))  # with all ties of the last place
+                slack = 1e-12 * top * np.sqrt((q[part] ** 2).sum(1))  # products by blocks are rounded differently; those kept are scored anew
+                r, c = np.nonzero((s >= (worst - slack)[:, None]) & (s > -np.inf))  # with all ties of the last place
                 found.append((part[r], at[c], s[r, c]))
         r, c, s = (np.concatenate(x) for x in zip(*found))
         s = np.einsum("ij,ij->i", q[r], v[c]) if len(r) else s

@@ -1,25 +1,23 @@
 """Benchmark decontamination on a distributed positional inverted index.
 
-The corpus is indexed in shards of a bounded number of words. A shard holds, for each term of the test
-items, the sorted positions of that term in the shard's documents (delta-coded), and a table of its
-documents. Shards are rows in the shared folder, so the index is built once and never shuffled whole by
-term: corpus-wide term counts are sums over shard rows, and a search runs shard by shard.
+The corpus is indexed in shards of a bounded number of words. A shard holds its terms in order, for each
+of them the sorted positions in the shard's documents (delta-coded), and its documents' ids and sizes. It knows nothing
+of any benchmark, so an index is built once (:func:`build_index`), kept as a table, and searched by whichever test items come
+(:func:`search_index`). Shards are rows, never shuffled: corpus-wide counts of the searched terms are sums over
+shard rows, and a search runs shard by shard.
 
 A phrase is found by intersecting its terms' lists, each shifted by the term's offset, from the term that
 is rarest in the corpus onwards; with ``slop`` above 0 a term may be that many words off its place.
 
-Test items come in blocks of a bounded number of characters. A block's terms and windows are sent to all
-tasks; further blocks are further passes over the corpus, whose hits are merged by row.
+Items are cut into windows by Spark, and windows come in blocks of a bounded number of bytes. A block is sent to all
+tasks; further blocks are further passes over the index, whose hits are merged by row.
 """
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Iterator
-from itertools import repeat
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
@@ -30,7 +28,6 @@ from sparkloom.session import stored
 
 #: Lower-cases A-Z, keeps 0-9, a-z and all bytes of characters beyond ASCII, and turns the rest into blanks.
 WORD_BYTES = bytes(b + 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
-DOCS = -1  # the term of the row that lists a shard's documents
 
 
 def words_of(text: bytes) -> list[bytes]:
@@ -42,58 +39,66 @@ def item_windows(words: list, size: int) -> list[tuple]:
     return [tuple(words[i : i + size]) for i in range(max(1, len(words) - size + 1))] if words else []
 
 
-def positional_index(docs: DataFrame, terms: dict[bytes, int], id_col: str, text_col: str, shard_words: int = 2_000_000) -> DataFrame:
-    """Rows ``(shard, term, n, postings)``, and for each shard a row of term -1 with its ids and word counts."""
-    sent = docs.sparkSession.sparkContext.broadcast(terms)
+def build_index(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shard_words: int = 2_000_000) -> DataFrame:
+    """``(shard, ids, sizes, terms, starts, places)``, a row per shard, stored in the shared folder.
+
+    ``terms``: all words of the shard in byte order, joined by blanks; ``starts``: where each one's postings begin; ``places``: all
+    postings, as differences within a term; documents lie one free place apart. Ids keep their type, whatever it is.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        get, part, seq = sent.value.get, TaskContext.get().partitionId(), 0
-        ids: list = []
+        part, seq, base = TaskContext.get().partitionId(), 0, 0
+        ids: list[pa.Array] = []
         sizes: list[int] = []
+        number: dict[bytes, int] = {}
         found: list[np.ndarray] = []
         places: list[np.ndarray] = []
-        base = 0
 
         def close() -> pa.RecordBatch:
-            term = np.concatenate(found) if found else np.zeros(0, np.int32)
+            names = list(number)
+            by_name = sorted(range(len(names)), key=names.__getitem__)
+            rank = np.empty(len(names), np.int32)
+            rank[by_name] = np.arange(len(names), dtype=np.int32)
+            term = rank[np.concatenate(found)] if found else np.zeros(0, np.int32)
             place = np.concatenate(places) if places else np.zeros(0, np.int32)
             order = np.argsort(term, kind="stable")
             term, place = term[order], place[order]
-            cuts = np.flatnonzero(np.diff(term)) + 1
-            starts = np.concatenate(([0], cuts)) if len(term) else np.zeros(0, np.int64)
-            lists = np.split(place, cuts) if len(term) else []
-            k = len(lists)
-            return pa.RecordBatch.from_arrays(
-                [
-                    pa.array([part << 32 | seq] * (k + 1), pa.int64()),
-                    pa.array([DOCS, *term[starts].tolist()], pa.int32()),
-                    pa.array([len(ids), *map(len, lists)], pa.int64()),
-                    pa.array([np.array(sizes, np.uint32).tobytes(), *(np.diff(x, prepend=0).astype(np.uint32).tobytes() for x in lists)], pa.binary()),
-                    pa.array([ids, *[None] * k], pa.list_(pa.string())),
-                ],
-                ["shard", "term", "n", "postings", "ids"],
-            )
+            starts = np.searchsorted(term, np.arange(len(names) + 1)).astype(np.uint32)
+            gaps = np.diff(place, prepend=np.int32(0)).astype(np.uint32)
+            gaps[starts[:-1]] = place[starts[:-1]]  # each list begins anew
+            own = pa.concat_arrays(ids)
+            listed = pa.ListArray.from_arrays(pa.array([0, len(own)], pa.int32()), own)
+            packed = [np.array(sizes, np.uint32).tobytes(), b" ".join(names[i] for i in by_name), starts.tobytes(), gaps.tobytes()]
+            columns = [pa.array([part << 32 | seq], pa.int64()), listed, *(pa.array([x], pa.binary()) for x in packed)]
+            return pa.RecordBatch.from_arrays(columns, ["shard", "ids", "sizes", "terms", "starts", "places"])
 
         for batch in batches:
-            for key, text in zip(batch.column(0).to_pylist(), byte_values(batch.column(1))):
+            from_row = 0
+            for row, text in enumerate(byte_values(batch.column(1)), 1):
                 words = words_of(text)
-                terms_here = np.fromiter(map(get, words, repeat(-1)), np.int32, len(words))
-                at = np.flatnonzero(terms_here >= 0)
-                found.append(terms_here[at])
-                places.append((at + base).astype(np.int32))
-                ids.append(key)
+                for w in words:
+                    if w not in number:
+                        number[w] = len(number)
+                found.append(np.fromiter(map(number.__getitem__, words), np.int32, len(words)))
+                places.append(np.arange(base, base + len(words), dtype=np.int32))
                 sizes.append(len(words))
                 base += len(words) + 1  # a free place between documents
                 if base >= shard_words:
+                    ids.append(batch.column(0).slice(from_row, row - from_row))
                     yield close()
-                    ids, sizes, found, places, base, seq = [], [], [], [], 0, seq + 1
-        if ids:
+                    ids, sizes, number, found, places, base, seq, from_row = [], [], {}, [], [], 0, seq + 1, row
+            if from_row < len(batch):
+                ids.append(batch.column(0).slice(from_row))
+        if sizes:
             yield close()
-        del found, places
+        del number, found, places
         release_memory()
 
-    rows = docs.select(F.col(id_col).cast("string").alias("id"), F.col(text_col).alias("text"))  # a list of text stays whole where one of numbers with nulls would not
-    return rows.mapInArrow(run, "shard bigint, term int, n bigint, postings binary, ids array<string>")
+    kind = docs.schema[id_col].dataType.simpleString()
+    if not 0 < shard_words < 1 << 22:
+        raise ValueError("shard_words must be under 4,194,304")
+    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    return stored(rows.mapInArrow(run, f"shard bigint, ids array<{kind}>, sizes binary, terms binary, starts binary, places binary"), "index")
 
 
 def match_places(lists: list[np.ndarray], offsets: list[int], slop: int = 0) -> np.ndarray:
@@ -107,15 +112,19 @@ def match_places(lists: list[np.ndarray], offsets: list[int], slop: int = 0) ->
     return at
 
 
-def search_shard(shard: pd.DataFrame, windows: dict[tuple, list[int]], counts: dict[int, int], slop: int) -> tuple[list, np.ndarray, np.ndarray, np.ndarray]:
-    """A shard's ``ids, word counts, marks, hits``: marks is 1 for each place hit; hits are rows of (document, item)."""
-    lists = {t: np.cumsum(np.frombuffer(p, np.uint32).astype(np.int64)) for t, p in zip(shard["term"], shard["postings"]) if t != DOCS}
-    docs = shard[shard["term"] == DOCS].iloc[0]
-    sizes = np.frombuffer(docs["postings"], np.uint32).astype(np.int64)
+def postings_of(terms: bytes, starts: bytes, places: bytes, wanted) -> dict[bytes, np.ndarray]:
+    """The positions of those ``wanted`` terms that a shard has."""
+    begin, gaps = np.frombuffer(starts, np.uint32), np.frombuffer(places, np.uint32)
+    return {t: np.cumsum(gaps[begin[i] : begin[i + 1]], dtype=np.int64) for i, t in enumerate(terms.split()) if t in wanted}
+
+
+def search_shard(lists: dict[bytes, np.ndarray], sizes: np.ndarray, windows: dict[bytes, list[int]], counts: dict[bytes, int], slop: int):
+    """``(marks, hits)``: marks is 1 for each place hit; hits are rows of (document, item)."""
     bases = np.concatenate(([0], np.cumsum(sizes + 1)))
     change = np.zeros(int(bases[-1]) + 1, np.int32)
     pairs = []
-    for window, items in windows.items():
+    for packed, items in windows.items():
+        window = packed.split()
         if any(t not in lists for t in window):
             continue
         order = sorted(range(len(window)), key=lambda i: (counts[window[i]], i))
@@ -130,41 +139,72 @@ def search_shard(shard: pd.DataFrame, windows: dict[tuple, list[int]], counts: d
             docs_hit = np.unique(np.searchsorted(bases, at, "right") - 1)
             pairs += [np.stack([docs_hit, np.full(len(docs_hit), i)]) for i in items]
     hits = np.unique(np.concatenate(pairs, axis=1).T, axis=0) if pairs else np.zeros((0, 2), np.int64)
-    return list(docs["ids"]), sizes, (np.cumsum(change[:-1]) > 0).astype(np.int8), hits
-
-
-def _block_hits(docs: DataFrame, items: list[tuple[str, bytes]], id_col: str, text_col: str, size: int, slop: int, shard_words: int) -> DataFrame:
-    """``(id, n_words, spans, items)`` of each row for one block of items; spans are merged runs of words hit."""
-    terms: dict[bytes, int] = {}
-    windows: dict[tuple, list[int]] = {}
-    names = sorted({name for name, _ in items})
-    number = {name: i for i, name in enumerate(names)}
-    for name, text in items:
-        own = [terms.setdefault(w, len(terms)) for w in words_of(text)]
-        for window in item_windows(own, size):
-            if number[name] not in (at := windows.setdefault(window, [])):
-                at.append(number[name])
-    index = stored(positional_index(docs, terms, id_col, text_col, shard_words), "index")
-    counts = {r.term: r.n for r in index.where(F.col("term") >= 0).groupBy("term").agg(F.sum("n").alias("n")).collect()}
-    sent = docs.sparkSession.sparkContext.broadcast((windows, counts, names))
-    kind = docs.schema[id_col].dataType.simpleString()
+    return (np.cumsum(change[:-1]) > 0).astype(np.int8), hits
 
-    def run(shard: pd.DataFrame) -> pd.DataFrame:
+
+def window_table(items: DataFrame, item_col: str, item_text_col: str, size: int) -> DataFrame:
+    """``(name, window)``, each once: the windows of all items with an id, words joined by blanks."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            cut = [[b" ".join(w) for w in item_windows(words_of(t), size)] for t in byte_values(batch.column(1))]
+            row = np.repeat(np.arange(len(cut)), [len(x) for x in cut])
+            windows = pa.array([w for own in cut for w in own], pa.binary())
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(row)), windows], ["name", "window"])
+
+    named = items.where(F.col(item_col).isNotNull())
+    name = F.to_json(item_col) if named.schema[item_col].dataType.typeName() in ("struct", "array", "map") else F.col(item_col).cast("string")
+    return stored(named.select(name.alias("name"), F.col(item_text_col).alias("text")).mapInArrow(run, "name string, window binary").distinct(), "windows")
+
+
+def _block_hits(index: DataFrame, rows: list[tuple[str, bytes]], slop: int) -> DataFrame:
+    """``(row, id, n_words, spans, items)`` of each document for one block of windows; spans are merged runs of words hit."""
+    names = sorted({n for n, _ in rows})
+    number = {n: i for i, n in enumerate(names)}
+    windows: dict[bytes, list[int]] = {}
+    for n, window in rows:
+        windows.setdefault(window, []).append(number[n])
+    terms = frozenset(t for w in windows for t in w.split())
+    sent_terms = index.sparkSession.sparkContext.broadcast(terms)
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for own, starts in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                n = np.diff(np.frombuffer(starts, np.uint32).astype(np.int64))
+                there = [(t, int(n[i])) for i, t in enumerate(own.split()) if t in sent_terms.value]
+                yield pa.RecordBatch.from_arrays([pa.array([t for t, _ in there], pa.binary()), pa.array([n for _, n in there], pa.int64())], ["term", "n"])
+
+    found = index.select("terms", "starts").mapInArrow(count, "term binary, n bigint").groupBy("term").agg(F.sum("n").alias("n"))
+    counts = {bytes(r.term): r.n for r in found.collect()}  # not more than the block has terms
+    sent = index.sparkSession.sparkContext.broadcast((windows, counts, names))
+    kind = index.schema["ids"].dataType.elementType.simpleString()
+    span = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         windows, counts, names = sent.value
-        ids, sizes, marks, hits = search_shard(shard, windows, counts, slop)
-        bases = np.concatenate(([0], np.cumsum(sizes + 1)))
-        edge = np.flatnonzero(np.diff(marks, prepend=0, append=0))
-        starts, ends = edge[::2], edge[1::2]
-        doc = np.searchsorted(bases, starts, "right") - 1
-        spans: list[list] = [[] for _ in ids]
-        for d, s, e in zip(doc.tolist(), (starts - bases[doc]).tolist(), (ends - bases[doc]).tolist()):
-            spans[d].append({"start": s, "end": e})
-        found: list[list] = [[] for _ in ids]
-        for d, i in hits.tolist():
-            found[d].append(names[i])
-        return pd.DataFrame({"id": pd.Series(ids, dtype=object), "n_words": sizes, "spans": spans, "items": found})
-
-    return index.groupBy("shard").applyInPandas(run, "id string, n_words bigint, spans array<struct<start:bigint,end:bigint>>, items array<string>").withColumn("id", F.col("id").cast(kind))
+        for batch in batches:
+            shards, packed = batch.column(0).to_pylist(), [batch.column(i).to_pylist() for i in range(2, 6)]
+            for at, (shard, raw_sizes, terms, starts, places) in enumerate(zip(shards, *packed)):
+                sizes = np.frombuffer(raw_sizes, np.uint32).astype(np.int64)
+                marks, hits = search_shard(postings_of(terms, starts, places, counts), sizes, windows, counts, slop)
+                bases = np.concatenate(([0], np.cumsum(sizes + 1)))
+                edge = np.flatnonzero(np.diff(marks, prepend=0, append=0))
+                begin, end = edge[::2], edge[1::2]
+                doc = np.searchsorted(bases, begin, "right") - 1
+                spans: list[list] = [[] for _ in sizes]
+                for d, s, e in zip(doc.tolist(), (begin - bases[doc]).tolist(), (end - bases[doc]).tolist()):
+                    spans[d].append({"start": s, "end": e})
+                items: list[list] = [[] for _ in sizes]
+                for d, i in hits.tolist():
+                    items[d].append(names[i])
+                ids = batch.column(1).slice(at, 1).flatten()
+                row = (shard >> 32 << 42 | (shard & 0xFFFFFFFF) << 22) + np.arange(len(sizes))  # a shard has no more documents than words
+                columns = [pa.array(row, pa.int64()), ids, pa.array(sizes), pa.array(spans, span), pa.array(items, pa.list_(pa.string()))]
+                yield pa.RecordBatch.from_arrays(columns, ["row", "id", "n_words", "spans", "items"])
+        release_memory()
+
+    schema = f"row bigint, id {kind}, n_words bigint, spans array<struct<start:bigint,end:bigint>>, items array<string>"
+    return index.mapInArrow(run, schema)
 
 
 def _merged(lists):
@@ -180,7 +220,32 @@ def _merged(lists):
     return F.aggregate(runs, empty, step)
 
 
-def decontaminate(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", size: int = 10, slop: int = 0, block_chars: int = 8_000_000, shard_words: int = 2_000_000) -> DataFrame:
+def search_index(
+    index: DataFrame, items: DataFrame, id_col: str = "doc_id", item_col: str = "item_id", item_text_col: str = "text", size: int = 10, slop: int = 0,
+    block_chars: int = 64_000_000,
+) -> DataFrame:
+    """What :func:`decontaminate` returns, from an index of :func:`build_index`. Windows are taken in blocks of about ``block_chars`` bytes."""
+    windows = window_table(items, item_col, item_text_col, size)
+    total = windows.agg(F.sum(F.length("window") + F.length("name"))).first()[0] or 0
+    blocks = -(-total // block_chars) or 1
+    hits = None
+    for i in range(blocks):
+        own = windows if blocks == 1 else windows.where(F.pmod(F.xxhash64("window"), F.lit(blocks)) == i)
+        one = _block_hits(index, [(r.name, bytes(r.window)) for r in own.collect()], slop)
+        if blocks > 1:
+            one = stored(one, "hits")
+        hits = one if hits is None else hits.unionByName(one)
+    if blocks > 1:
+        lists = [_merged(F.collect_list("spans")).alias("spans"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items")]
+        hits = hits.groupBy("row").agg(F.first("id").alias("id"), F.first("n_words").alias("n_words"), *lists)
+    n_hit = F.aggregate("spans", F.lit(0).cast("bigint"), lambda n, s: n + s["end"] - s["start"])
+    return hits.select(F.col("id").alias(id_col), "n_words", n_hit.alias("n_hit"), "spans", "items", (n_hit > 0).alias("contaminated"))
+
+
+def decontaminate(
+    docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", size: int = 10,
+    slop: int = 0, block_chars: int = 64_000_000, shard_words: int = 2_000_000,
+) -> DataFrame:
     """One row per row of ``docs``: ``(id_col, n_words, n_hit, spans, items, contaminated)``.
 
     ``spans``: runs of words hit, as [start, end) word numbers, in order; ``n_hit`` is their total length.
@@ -188,29 +253,11 @@ def decontaminate(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", tex
     item, however often it is there, and items with a null id take no part. ``slop`` 0 asks for exact
     phrases; above that, for windows with each word at most ``slop`` places off; then the span is that of
     the undisturbed phrase. Null and empty texts have no words. Repeated rows give repeated results; other
-    columns are ignored; either table may be empty. Ids of either table may be of any type.
+    columns are ignored; either table may be empty. Ids of either table may be of any type; those of items that are
+    structures are named by their JSON.
     """
-    spark = docs.sparkSession
-    tests = items.where(F.col(item_col).isNotNull() & F.col(item_text_col).isNotNull()).select(F.col(item_col).cast("string").alias("name"), F.encode(F.col(item_text_col), "UTF-8").alias("text"))
-    chars = tests.agg(F.sum(F.length("text"))).first()[0] or 0
-    blocks = -(-chars // block_chars) or 1
-
-    def block(i: int) -> list[tuple[str, bytes]]:
-        own = tests if blocks == 1 else tests.where(F.pmod(F.xxhash64("name"), F.lit(blocks)) == i)
-        return [(r.name, bytes(r.text)) for r in own.collect()]
-
-    if blocks == 1:
-        out = _block_hits(docs, block(0), id_col, text_col, size, slop, shard_words).withColumnRenamed("id", id_col)
-    else:  # rows get a number, by which the hits of all blocks are merged
-        rows = stored(docs.select(F.col(id_col).alias("key"), F.col(text_col).alias("text"), F.monotonically_increasing_id().alias("row")), "rows")
-        hits = None
-        for i in range(blocks):
-            one = stored(_block_hits(rows, block(i), "row", "text", size, slop, shard_words), "hits")
-            hits = one if hits is None else hits.unionByName(one)
-        merged = hits.groupBy("id").agg(F.first("n_words").alias("n_words"), _merged(F.collect_list("spans")).alias("spans"), F.array_sort(F.flatten(F.collect_list("items"))).alias("items"))
-        out = merged.join(rows.select("row", F.col("key").alias(id_col)), merged.id == F.col("row")).drop("row", "id")
-    n_hit = F.aggregate("spans", F.lit(0).cast("bigint"), lambda n, s: n + s["end"] - s["start"])
-    return out.select(id_col, "n_words", n_hit.alias("n_hit"), "spans", "items", (n_hit > 0).alias("contaminated"))
+    index = build_index(docs, id_col, text_col, shard_words)
+    return search_index(index, items, id_col, item_col, item_text_col, size, slop, block_chars)
 
 
 def op6_decontamination(spark, sf_dir: str) -> DataFrame:

@@ -1,7 +1,7 @@
 import random
 import re
 
-from sparkloom.llm.decontaminate import decontaminate
+from sparkloom.llm.decontaminate import build_index, decontaminate, search_index
 
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
@@ -62,3 +62,13 @@ def test_proximity(spark):
 def test_empty_tables(spark):
     assert found(spark, [], [(1, "a b")]) == []
     assert found(spark, [(1, "a b")], []) == [(1, 2, 0, [], False)]
+
+
+def test_one_index_serves_any_items_and_ids_of_any_type(spark):
+    docs = spark.createDataFrame([((1, "x"), "a b c d"), ((2, None), "c d e"), (None, None)], "doc_id struct<a:int,b:string>, text string")
+    index = build_index(docs)
+    for items, hit in ((["a b"], [1]), (["c d"], [1, 2]), (["d e", "b c"], [1, 2]), (["x"], [])):
+        frame = spark.createDataFrame([([i], t) for i, t in enumerate(items)], "item_id array<int>, text string")
+        got = search_index(index, frame, size=2).collect()
+        assert sorted(r.doc_id.a for r in got if r.contaminated) == hit and len(got) == 3
+        assert {n for r in got for n in r["items"]} == {f"[{i}]" for i in range(len(items)) if hit}
