@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from sparkloom.llm import ann, bpe, decontaminate, html, license, lm, manifest, simhash, tokenfiles, toxicity, warc
+from sparkloom.llm import ann, bpe, decontaminate, html, license, lm, manifest, ngram_join, simhash, tokenfiles, toxicity, warc, whitening
 
 QUERIES = {
     "op1_simhash_near_dedup": simhash.op1_simhash_near_dedup,
@@ -15,6 +15,8 @@ QUERIES = {
     "op2_ann_search": ann.op2_ann_search,
     "op9_license_scan": license.op9_license_scan,
     "op6_decontamination": decontaminate.op6_decontamination,
+    "op11_ngram_jaccard_join": ngram_join.op11_ngram_jaccard_join,
     "op12_merkle_manifest": manifest.op12_merkle_manifest,
+    "op13_embedding_whitening": whitening.op13_embedding_whitening,
 }
 ORACLE_SQL: dict[str, str] = {"op5_warc": warc.OP5_SQL, "op6_decontamination": decontaminate.OP6_SQL, "op10_lm_scoring": lm.OP10_SQL, "op12_merkle_manifest": manifest.OP12_SQL}
