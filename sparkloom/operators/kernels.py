@@ -8,80 +8,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
-def umeyama(src: np.ndarray, dst: np.ndarray, with_scale: bool = True, strict: bool = False) -> tuple[float, np.ndarray, np.ndarray]:
-    """``(s, R, t)`` that takes ``src`` rows to ``dst`` rows with least squares; ``strict`` rejects degenerate input."""
-    if strict and len(src) < 3:
-        raise ValueError("fewer than three points")
-    mu, nu = src.mean(0), dst.mean(0)
-    a, b = src - mu, dst - nu
-    u, d, vt = np.linalg.svd(b.T @ a / len(src))
-    sign = np.ones(len(d))
-    if np.linalg.det(u) * np.linalg.det(vt) < 0:
-        sign[-1] = -1
-    r = u @ np.diag(sign) @ vt
-    var = (a**2).sum() / len(src)
-    if strict and (var <= 0 or d[1] <= 1e-12 * max(d[0], 1e-300)):
-        raise ValueError("degenerate points")
-    s = float((d * sign).sum() / var) if with_scale and var > 0 else 1.0
-    if strict and s <= 0:
-        raise ValueError("scale is not positive")
-    return s, r, nu - s * r @ mu
-
-
-def rotation_of(q: np.ndarray) -> np.ndarray:
-    """Rotation matrix of a unit quaternion (x, y, z, w)."""
-    x, y, z, w = q / np.linalg.norm(q)
-    return np.array([[1 - 2 * (y * y + z * z), 2 * (x * y - z * w), 2 * (x * z + y * w)], [2 * (x * y + z * w), 1 - 2 * (x * x + z * z), 2 * (y * z - x * w)], [2 * (x * z - y * w), 2 * (y * z + x * w), 1 - 2 * (x * x + y * y)]])
-
-
-def rotation_log(r: np.ndarray) -> np.ndarray:
-    """Rotation vector of a rotation matrix; near 0 by series, near pi from the symmetric part."""
-    c = np.clip((np.trace(r) - 1) / 2, -1, 1)
-    angle = float(np.arccos(c))
-    w = np.array([r[2, 1] - r[1, 2], r[0, 2] - r[2, 0], r[1, 0] - r[0, 1]])
-    if angle < 1e-6:
-        return w * (0.5 + angle**2 / 12)
-    if np.pi - angle > 1e-6:
-        return w * angle / (2 * np.sin(angle))
-    i = int(np.argmax(np.diag(r)))
-    axis = (r + np.eye(3))[:, i]
-    axis /= np.linalg.norm(axis)
-    return angle * axis * (np.sign(w @ axis) or 1.0)
-
-
-def rotation_error_degrees(a: np.ndarray, b: np.ndarray) -> float:
-    return float(np.degrees(np.linalg.norm(rotation_log(rotation_of(a).T @ rotation_of(b)))))
-
-
-def slerp(a: np.ndarray, b: np.ndarray, f: float) -> np.ndarray:
-    a, b = a / np.linalg.norm(a), b / np.linalg.norm(b)
-    dot = float(a @ b)
-    if dot < 0:
-        b, dot = -b, -dot
-    if dot > 0.9995:
-        out = a + f * (b - a)
-        return out / np.linalg.norm(out)
-    angle = np.arccos(dot)
-    return (np.sin((1 - f) * angle) * a + np.sin(f * angle) * b) / np.sin(angle)
-
-
-def windowed_similarity_errors(members: DataFrame, keys: list[str], key: str) -> DataFrame:
-    """``(keys..., error)``: the window ``members`` (columns ``keys``, ``member``, ``ex, ey, ez, gx, gy, gz``) aligned by
-    Umeyama; the distance left at the row named by ``key``. Windows of fewer than three rows give null."""
-    schema = ", ".join(f"{k} {members.schema[k].dataType.simpleString()}" for k in keys) + ", error double"
-
-    def run(g: pd.DataFrame) -> pd.DataFrame:
-        out = {k: [g[k].iloc[0]] for k in keys}
-        e, t = g[["ex", "ey", "ez"]].to_numpy(), g[["gx", "gy", "gz"]].to_numpy()
-        at = np.flatnonzero((g["member"] == g[key]).to_numpy())
-        if len(g) < 3 or not len(at):
-            return pd.DataFrame(out | {"error": [None]})
-        s, r, shift = umeyama(e, t)
-        return pd.DataFrame(out | {"error": [float(np.linalg.norm(s * r @ e[at[0]] + shift - t[at[0]]))]})
-
-    return members.groupBy(*keys).applyInPandas(run, schema)
-
-
 def greedy_endpoint_nms(pairs: DataFrame, group: str, radius: int) -> DataFrame:
     """Rows ``(group, first, second, score)`` kept greedily by (score desc, first, second): a row goes if a kept one of
     its group has both ends within ``radius``. Equal ends keep their best score first. Kept ends are held in a
@@ -173,18 +99,3 @@ def spline(rows: DataFrame, by: str, at: str, value: str, between: int) -> DataF
         return pd.DataFrame({by: g[by].iloc[0], at: np.append(x, t[-1]), value: np.append(v, y[-1])})
 
     return rows.select(by, at, value).groupBy(by).applyInPandas(run, schema)
-
-
-def alignments(pairs: DataFrame, group: str, with_scale: bool = True) -> DataFrame:
-    """``(group, scale, tx, ty, tz, rmse)`` of the similarity that takes each group's ``ex, ey, ez`` to ``gx, gy, gz``; nulls under three rows."""
-    schema = f"{group} {pairs.schema[group].dataType.simpleString()}, scale double, tx double, ty double, tz double, rmse double"
-
-    def run(g: pd.DataFrame) -> pd.DataFrame:
-        e, t = g[["ex", "ey", "ez"]].to_numpy(float), g[["gx", "gy", "gz"]].to_numpy(float)
-        if len(g) < 3:
-            return pd.DataFrame([[g[group].iloc[0], None, None, None, None, None]], columns=[group, "scale", "tx", "ty", "tz", "rmse"])
-        s, r, shift = umeyama(e, t, with_scale)
-        rmse = float(np.sqrt((((s * e @ r.T + shift) - t) ** 2).sum(1).mean()))
-        return pd.DataFrame([[g[group].iloc[0], s, *shift.tolist(), rmse]], columns=[group, "scale", "tx", "ty", "tz", "rmse"])
-
-    return pairs.select(group, "ex", "ey", "ez", "gx", "gy", "gz").groupBy(group).applyInPandas(run, schema)

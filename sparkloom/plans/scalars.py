@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from sparkloom.functions import scalars as sc
-from sparkloom.operators import kernels
+from sparkloom.operators import alignment
 from sparkloom.operators import pairs as pr
 from sparkloom.plans.registry import digest_sql, query
 
@@ -51,7 +51,7 @@ def _(t):
     e = {"ex": F.col("l_quantity"), "ey": F.col("l_discount") * 100, "ez": F.col("l_tax") * 100}
     g = {"gx": 2 * F.col("ex") + 1, "gy": -2 * F.col("ez") + 3, "gz": 2 * F.col("ey") + 0.01 * F.col("l_linenumber")}
     rows = t.lineitem.withColumns(e).withColumns(g)
-    return kernels.alignments(rows, "l_suppkey").select("l_suppkey", *[F.round(c, 4).alias(c) for c in ("scale", "tx", "ty", "tz", "rmse")])
+    return alignment.alignments(rows, "l_suppkey").select("l_suppkey", *[F.round(c, 4).alias(c) for c in ("scale", "tx", "ty", "tz", "rmse")])
 
 
 @query("f10_f11_project", "SELECT l_orderkey, l_linenumber, l_partkey, CASE WHEN l_tax + 1 > 0 THEN round(500 * (2 * l_discount + 1) / (2 * (l_tax + 1) + 3) + 320, 5) END AS u, CASE WHEN l_tax + 1 > 0 THEN round(500 * (2 * l_quantity + 2) / (2 * (l_tax + 1) + 3) + 240, 5) END AS v FROM lineitem")

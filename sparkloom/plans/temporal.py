@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sparkloom.operators import kernels
+from sparkloom.operators import alignment, kernels
 from sparkloom.operators import temporal as tm
 from sparkloom.plans.registry import Tables, query
 
@@ -121,12 +121,13 @@ def _(t):
 
 @query("w3_windowed_similarity_error")
 def _(t):
-    rows = walked(t).withColumn("cum_len", F.round("cum_len", 3))
-    keyed = tm.path_windows(rows, "s", "k", [60.0])
-    pose = rows.select("s", F.col("k").alias("member"), F.col("cum_len").alias("o"), F.col("v").alias("gx"), F.sin("v").alias("gy"), F.cos("cum_len").alias("gz"))
-    pose = pose.withColumns({"ex": 2 * F.col("gx") + 1 + 0.01 * F.sin(F.col("member").cast("double")), "ey": 2 * F.col("gy") - 3, "ez": 2 * F.col("gz")})
-    members = keyed.join(pose, "s").where("o >= lo and o <= hi").select("s", "k", "w", "member", "ex", "ey", "ez", "gx", "gy", "gz")
-    return kernels.windowed_similarity_errors(members, ["s", "k", "w"], "k")
+    rows = walked(t).select("s", "k", F.round("cum_len", 3).alias("cum_len"), F.col("v").alias("gx"), F.sin("v").alias("gy"), F.cos(F.round("cum_len", 3)).alias("gz"))
+    near = F.sin(F.col("k").cast("double"))
+    rows = rows.withColumns({"ex": 2 * F.col("gx") + 1 + 0.01 * near, "ey": 2 * F.col("gy") - 3, "ez": 2 * F.col("gz")})
+    zero = F.lit(0.0)
+    rows = rows.withColumns({"eqx": zero, "eqy": F.sin(F.col("gx") / 100), "eqz": zero, "eqw": F.cos(F.col("gx") / 100)})
+    rows = rows.withColumns({"gqx": F.sin(near / 50), "gqy": zero, "gqz": zero, "gqw": F.cos(near / 50)})
+    return alignment.windowed_errors(rows, "s", "k", [60.0, 240.0])
 
 
 @query("w4_context_window", f"""WITH {EV}, n AS (SELECT s, k, row_number() OVER (PARTITION BY s ORDER BY t, k) AS n, count(*) OVER (PARTITION BY s) AS m FROM ev),

@@ -179,22 +179,6 @@ def test_splitmix_and_natural_key(spark):
     assert order == ["A1", "a02a", "a2b", "a2b9", "a2b10", "a10b", "b1"]
 
 
-def test_umeyama_and_rotations():
-    rng = np.random.default_rng(1)
-    q = rng.normal(size=4)
-    r = kernels.rotation_of(q)
-    src = rng.normal(size=(8, 3))
-    s, rot, t = kernels.umeyama(src, 2.5 * src @ r.T + [1, 2, 3])
-    assert s == pytest.approx(2.5) and np.allclose(rot, r) and np.allclose(t, [1, 2, 3])
-    with pytest.raises(ValueError):
-        kernels.umeyama(src[:2], src[:2], strict=True)
-    for angle in (0.0, 1e-9, 0.3, math.pi - 1e-9, math.pi):
-        a = np.array([0, 0, math.sin(angle / 2), math.cos(angle / 2)])
-        assert kernels.rotation_error_degrees(np.array([0, 0, 0, 1.0]), a) == pytest.approx(math.degrees(angle), abs=1e-5)
-    half = kernels.slerp(np.array([0, 0, 0, 1.0]), np.array([0, 0, 1.0, 0]), 0.5)
-    assert np.allclose(half, [0, 0, math.sqrt(0.5), math.sqrt(0.5)])
-
-
 def test_scalars(spark):
     df = spark.createDataFrame([("d/12.5.jpg",), ("1700000000.123456789-x.png",), ("none.jpg",), ("3.0000000001.png",)], "n string")
     got = [(r.s, r.ns) for r in df.select(sc.seconds_of_name(F.col("n")).alias("s"), sc.nanoseconds_of_name(F.col("n")).alias("ns")).collect()]
