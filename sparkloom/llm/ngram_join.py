@@ -12,7 +12,8 @@ to what is needed. The trie is held as its sorted sequences and the lengths of t
 
 Equal sets are one row before anything is joined. Sets are first tested against the set of their n-grams that
 meets most others, which links groups of near copies as stars; after that only sets of
-different classes that share an n-gram are paired, under a bound on their sizes and sketches that is part of the join.
+different classes that share an n-gram are paired, under a bound on their sizes and sketches that is part of the join. Before whole sets
+are fetched, a pair must have enough of its first n-grams in common: the bound of :func:`_reachable`, which loses nothing either.
 """
 
 from __future__ import annotations
@@ -22,7 +23,7 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -145,8 +146,9 @@ def _order_of(rows: DataFrame) -> np.ndarray:
 
 def _made_of(docs: DataFrame, wanted: DataFrame, id_col: str, text_col: str, width: int, seed: int, counts, schema: str, make: Callable) -> DataFrame:
     """What ``make`` gives for the ordered sets of the rows that ``wanted`` names by ``row``; a few others may come along, as the
-    rows are told by a bit set of a fixed size and texts are not shuffled."""
-    sent = docs.sparkSession.sparkContext.broadcast(_bits_of(wanted))
+    rows are told by a bit set, of 32 MB at most, and texts are not shuffled."""
+    bits = 1 << min(28, max(20, (16 * wanted.count()).bit_length()))
+    sent = docs.sparkSession.sparkContext.broadcast(_bits_of(wanted, bits))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits, order, hashes, multipliers = sent.value, counts.value, WordHashes(seed), _multipliers(width, seed)
@@ -171,22 +173,23 @@ def _prefixes(percent: int) -> Callable:
 
 
 def _whole(sets: list) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array([f for f, _, _ in sets], pa.int64()), pa.array([o[::-1].view(np.int64) for _, _, o in sets], pa.list_(pa.int64()))], ["fp", "path"])
+    made = [pa.array([f for f, _, _ in sets], pa.int64()), pa.array([len(s) for _, s, _ in sets], pa.int64()), pa.array([o[::-1].view(np.int64) for _, _, o in sets], pa.list_(pa.int64()))]
+    return pa.RecordBatch.from_arrays(made, ["fp", "n", "path"])
 
 
 def tree_join(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The ``pairs`` ``(src, dst)`` with that similarity or more; ``sets``: ``(fp, path)``.
+    """The ``pairs`` ``(src, dst)`` with that similarity or more; ``sets``: ``(fp, n, path)``.
 
     The sets ``src`` of a ``dst`` make a trie that ``dst`` walks; one that many may link to has several tries, of at most
     ``BLOCK`` n-grams on average.
     """
-    sized = pairs.join(sets.select(F.col("fp").alias("src"), F.size("path").alias("size")), "src")
-    tries = sized.groupBy("dst").agg(F.ceil(F.sum("size") / BLOCK).cast("int").alias("tries"))
+    sized = pairs.join(sets.select(F.col("fp").alias("src"), "n"), "src")
+    tries = sized.groupBy("dst").agg(F.ceil(F.sum("n") / BLOCK).cast("int").alias("tries"))
     block = F.pmod(F.xxhash64("src"), F.col("tries")).cast("int").alias("block")
-    members = pairs.join(tries, "dst").select("dst", block, "src").join(sets.select(F.col("fp").alias("src"), "path"), "src").select("dst", "block", "src", "path")
-    probes = tries.select("dst", F.explode(F.sequence(F.lit(0), F.col("tries") - 1)).alias("block"))
-    probes = probes.join(sets.select(F.col("fp").alias("dst"), "path"), "dst").select("dst", "block", F.lit(None).cast("bigint").alias("src"), "path")
-    dealt = members.unionByName(probes).repartition("dst", "block").sortWithinPartitions("dst", "block", F.col("src").asc_nulls_first())
+    members = pairs.join(tries, "dst").select(F.col("src").alias("fp"), "dst", block, "src")
+    probes = tries.select(F.col("dst").alias("fp"), "dst", F.explode(F.sequence(F.lit(0), F.col("tries") - 1)).alias("block"), F.lit(None).cast("bigint").alias("src"))
+    dealt = members.unionByName(probes).join(sets.select("fp", "path"), "fp").select("dst", "block", "src", "path")
+    dealt = dealt.repartition("dst", "block").sortWithinPartitions("dst", "block", F.col("src").asc_nulls_first())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, probe, members = None, None, []
@@ -225,36 +228,48 @@ def gram_classes(docs: DataFrame, rows: DataFrame, id_col: str, text_col: str, w
 
     sets = stored(made(nodes, "fp bigint, n bigint, sketch array<bigint>, grams array<bigint>", _prefixes(percent)), "prefixes")
     grams = sets.select("fp", F.explode("grams").alias("gram"))
-    shared = grams.groupBy("gram").agg(F.min("fp").alias("lo"), F.max("fp").alias("hi"), F.count("*").alias("members")).where("lo < hi")
-    entries = stored(grams.join(shared.select("gram", "members"), "gram"), "entries")
-
-    met = entries.groupBy("fp").agg(F.sum("members").alias("degree"))
-    tops = entries.join(met, "fp").groupBy("gram").agg(F.max(F.struct("degree", "fp")).alias("top")).select("gram", F.col("top.fp").alias("dst"))
-    votes = entries.select("gram", "fp").join(tops, "gram").where("fp <> dst").groupBy("fp", "dst").agg(F.count("*").alias("votes"))
+    shared = grams.groupBy("gram").agg(F.count("*").alias("members")).where("members > 1")
+    entries = grams.join(shared, "gram").groupBy("fp").agg(F.sum("members").alias("degree"), F.collect_list("gram").alias("grams"))
+    one = sets.select("fp", "n", "sketch", (F.col("n") - F.size("grams")).alias("rest"))
+    met = stored(entries.join(one, "fp").dropDuplicates(["fp"]), "met")  # sets with an n-gram in common with another
+
+    ranked = met.select("fp", "degree", F.explode("grams").alias("gram"))
+    tops = ranked.groupBy("gram").agg(F.max(F.struct("degree", "fp")).alias("top")).select("gram", F.col("top.fp").alias("dst"))
+    votes = ranked.select("fp", "gram").join(tops, "gram").where("fp <> dst").groupBy("fp", "dst").agg(F.count("*").alias("votes"))
     stars = votes.groupBy("fp").agg(F.max(F.struct("votes", "dst")).alias("best")).select(F.col("fp").alias("src"), F.col("best.dst").alias("dst"))
-    one = sets.groupBy("fp").agg(F.first("n").alias("n"), F.first("sketch").alias("sketch"))
-    a, b = one.select(F.col("fp").alias("src"), "n", F.col("sketch").alias("x")), one.select(F.col("fp").alias("dst"), F.col("n").alias("m"), F.col("sketch").alias("y"))
-    stars = stored(stars.join(a, "src").join(b, "dst").where(within_bound("n", "m", "x", "y", percent)).select("src", "dst"), "stars")
+    a, b = met.select(F.col("fp").alias("src"), "n", "rest", F.col("sketch").alias("x"), F.col("grams").alias("g")), met.select(F.col("fp").alias("dst"), F.col("n").alias("m"), F.col("rest").alias("left"), F.col("sketch").alias("y"), F.col("grams").alias("h"))
+    both = stars.join(a, "src").join(b, "dst").where(within_bound("n", "m", "x", "y", percent)).withColumn("both", F.size(F.array_intersect("g", "h")))
+    stars = stored(both.where(_reachable(percent)).select("src", "dst"), "stars")
     linked = stored(_tested(made, nodes, stars, percent), "linked")
     classes = connected_components(linked)
 
-    classed = entries.select("gram", "fp").join(classes, F.col("fp") == F.col("node"), "left").select("gram", "fp", F.coalesce("component", "fp").alias("class"))
-    classed = stored(classed, "classed")
-    mixed = classed.groupBy("gram").agg(F.min("class").alias("lo"), F.max("class").alias("hi")).where("lo < hi").select("gram")
-    left = classed.join(mixed, "gram").join(one, "fp").select("gram", "fp", "class", "n", "sketch")
-    a, b = left.toDF("gram", "src", "c", "n", "x"), left.toDF("gram", "dst", "d", "m", "y")
+    classed = stored(met.join(classes, met.fp == classes.node, "left").select("fp", "n", "rest", "sketch", "grams", F.coalesce("component", "fp").alias("class")), "classed")
+    kinds = classed.select("fp", "class", F.explode("grams").alias("gram"))
+    mixed = kinds.groupBy("gram").agg(F.min("class").alias("lo"), F.max("class").alias("hi")).where("lo < hi").select("gram")
+    # only what stands at such an n-gram takes its sketch along
+    open_grams = kinds.select("fp", "gram").join(mixed, "gram").groupBy("fp").agg(F.collect_list("gram").alias("open"))
+    left = classed.join(open_grams, "fp").select(F.explode("open").alias("gram"), "fp", "class", "n", "rest", "sketch")
+    a, b = left.toDF("gram", "src", "c", "n", "rest", "x"), left.toDF("gram", "dst", "d", "m", "left", "y")
     near = a.join(b, (a.gram == b.gram) & (F.col("c") < F.col("d")) & within_bound("n", "m", "x", "y", percent))
-    pairs = stored(near.select("src", "dst").distinct(), "pairs")
+    counted = near.groupBy("src", "dst", "n", "rest", "m", "left").agg(F.count("*").alias("both"))
+    pairs = stored(counted.where(_reachable(percent)).select("src", "dst"), "pairs")
     crossed = stored(_tested(made, nodes, pairs, percent), "crossed")
     return connected_components(linked.unionByName(crossed)).select(F.col("node").alias("fp"), F.col("component").alias("root"))
 
 
+def _reachable(percent: int) -> Column:
+    """Whether sets of ``n`` and ``m`` with ``both`` of their first n-grams in common can have that similarity.
+
+    Of the two prefixes one ends first in the order; of its set only what is not in the prefix (``rest``, ``left``) can
+    still be in common besides.
+    """
+    return (100 + percent) * (F.col("both") + F.greatest("rest", "left")) >= percent * (F.col("n") + F.col("m"))
+
+
 def _tested(made: Callable, nodes: DataFrame, pairs: DataFrame, percent: int) -> DataFrame:
     ends = pairs.select(F.explode(F.array("src", "dst")).alias("fp")).distinct()
     wanted = stored(nodes.join(ends, "fp", "left_semi"), "wanted")
-    sets = made(wanted, "fp bigint, path array<bigint>", _whole)
-    sets = stored(sets.join(wanted.select("fp"), "fp", "left_semi").groupBy("fp").agg(F.first("path").alias("path")), "sets")
-    return tree_join(pairs, sets, percent)
+    return tree_join(pairs, stored(made(wanted, "fp bigint, n bigint, path array<bigint>", _whole), "sets"), percent)
 
 
 def gram_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 4, percent: int = 85, seed: int = 42) -> DataFrame:
