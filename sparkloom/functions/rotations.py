@@ -17,11 +17,14 @@ TINY = 1e-12
 def bound(body: Callable[..., Column], *values: Column) -> Column:
     """``body`` of the values, each evaluated once; null if one of them is null."""
     names = [f"v{i}" for i in range(len(values))]
-    row = F.struct(*[v.alias(n) for v, n in zip(values, names)])
-    there = values[0].isNotNull()
-    for v in values[1:]:
-        there &= v.isNotNull()
-    return F.when(there, F.element_at(F.transform(F.array(row), lambda p: body(*[p[n] for n in names])), 1))
+
+    def of(p: Column) -> Column:
+        there = p[names[0]].isNotNull()
+        for n in names[1:]:
+            there &= p[n].isNotNull()
+        return F.when(there, body(*[p[n] for n in names]))
+
+    return F.element_at(F.transform(F.array(F.struct(*[v.alias(n) for v, n in zip(values, names)])), of), 1)
 
 
 def _dot(a: Column, b: Column, n: int) -> Column:

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from sparkloom.operators.names import free_names
+
 PAIR_BASE = 2147483647
 
 
@@ -40,16 +42,18 @@ def require(df: DataFrame, violations: DataFrame, message: str) -> DataFrame:
 def first_direction(pairs: DataFrame, a: str, b: str, order: list[str]) -> DataFrame:
     """One row per unordered pair, the first in ``order``, whose direction stays."""
     w = Window.partitionBy(F.least(a, b), F.greatest(a, b)).orderBy(*order)
-    return pairs.withColumn("_r", F.row_number().over(w)).where("_r = 1").drop("_r")
+    (r,) = free_names(pairs, "r")
+    return pairs.withColumn(r, F.row_number().over(w)).where(F.col(r) == 1).drop(r)
 
 
 def union_first(lists: list[DataFrame], a: str, b: str, order: str) -> DataFrame:
     """Union of pair lists without repeated unordered pairs; earlier lists, then ``order``, own the direction."""
+    (number,) = free_names(lists[0], "list")
     all_rows = None
     for i, one in enumerate(lists):
-        marked = one.withColumn("_list", F.lit(i))
+        marked = one.withColumn(number, F.lit(i))
         all_rows = marked if all_rows is None else all_rows.unionByName(marked)
-    return first_direction(all_rows, a, b, ["_list", order, a, b]).drop("_list")
+    return first_direction(all_rows, a, b, [number, order, a, b]).drop(number)
 
 
 def differences(expected: DataFrame, present: DataFrame, on: list[str]) -> DataFrame:

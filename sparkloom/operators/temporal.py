@@ -10,38 +10,40 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from sparkloom.functions import rotations as rt
+from sparkloom.operators.names import free_prefix
 from sparkloom.operators.ranks import ranked
 
 
-def bracket(source: DataFrame, target: DataFrame, by: str, at: str, bucket: int | None = None) -> DataFrame:
+def bracket(source: DataFrame, target: DataFrame, by: str, at: str, bucket: int | None = None, past: bool = False) -> DataFrame:
     """``source`` with ``prev`` and ``next``, the target times around each row, and ``fraction`` between them.
 
-    An exact hit gives (t, t, 0); before the first target prev is null, after the last next is null, and the
-    fraction is 0 or null as in (null, first, 0) and (last, null, null). A stream without targets gives nulls.
+    An exact hit gives (t, t, 0), or with ``past`` (t, the target after t, 0); before the first target prev is null, after the
+    last next is null, and the fraction is 0 or null as in (null, first, 0) and (last, null, null). A stream without targets gives nulls.
     Targets may repeat; times are whole numbers. Rows with a null time or stream get nulls.
     """
-    cols = source.columns
-    places = target.select(F.col(by), F.col(at).cast("bigint").alias("_t")).where(F.col("_t").isNotNull() & F.col(by).isNotNull())
-    marked = source.withColumn("_s", F.col(at).cast("bigint"))
-    both = marked.select(*cols, "_s", F.col("_s").alias("_o"), F.lit(None).cast("bigint").alias("_t"), F.lit(1).alias("_k"))
-    points = places.select(*[F.col(by) if c == by else F.lit(None).cast(source.schema[c].dataType).alias(c) for c in cols], F.lit(None).cast("bigint").alias("_s"), F.col("_t").alias("_o"), "_t", F.lit(0).alias("_k"))
+    cols, p = source.columns, free_prefix(source, target)
+    places = target.select(F.col(by), F.col(at).cast("bigint").alias(f"{p}t")).where(F.col(f"{p}t").isNotNull() & F.col(by).isNotNull())
+    marked = source.withColumn(f"{p}s", F.col(at).cast("bigint"))
+    both = marked.select(*cols, f"{p}s", F.col(f"{p}s").alias(f"{p}o"), F.lit(None).cast("bigint").alias(f"{p}t"), F.lit(1).alias(f"{p}k"))
+    points = places.select(*[F.col(by) if c == by else F.lit(None).cast(source.schema[c].dataType).alias(c) for c in cols], F.lit(None).cast("bigint").alias(f"{p}s"), F.col(f"{p}t").alias(f"{p}o"), f"{p}t", F.lit(0).alias(f"{p}k"))
     rows = both.unionByName(points)
     keys = [by]
     if bucket:
-        rows = rows.withColumn("_b", F.floor(F.col("_o") / bucket))
-        ends = rows.groupBy(by, "_b").agg(F.min("_t").alias("_lo"), F.max("_t").alias("_hi"))
-        w = Window.partitionBy(by).orderBy("_b")
-        ends = ends.select(by, "_b", F.last("_hi", True).over(w.rowsBetween(Window.unboundedPreceding, -1)).alias("_before"), F.first("_lo", True).over(w.rowsBetween(1, Window.unboundedFollowing)).alias("_after"))
-        rows = rows.join(ends, [by, "_b"], "left")
-        keys.append("_b")
-    up = Window.partitionBy(*keys).orderBy("_o", "_k").rowsBetween(Window.unboundedPreceding, 0)
-    down = Window.partitionBy(*keys).orderBy(F.desc("_o"), "_k").rowsBetween(Window.unboundedPreceding, 0)
-    prev, nxt = F.last("_t", True).over(up), F.last("_t", True).over(down)
+        rows = rows.withColumn(f"{p}b", F.floor(F.col(f"{p}o") / bucket))
+        ends = rows.groupBy(by, f"{p}b").agg(F.min(f"{p}t").alias(f"{p}lo"), F.max(f"{p}t").alias(f"{p}hi"))
+        w = Window.partitionBy(by).orderBy(f"{p}b")
+        ends = ends.select(by, f"{p}b", F.last(f"{p}hi", True).over(w.rowsBetween(Window.unboundedPreceding, -1)).alias(f"{p}before"), F.first(f"{p}lo", True).over(w.rowsBetween(1, Window.unboundedFollowing)).alias(f"{p}after"))
+        rows = rows.join(ends, [by, f"{p}b"], "left")
+        keys.append(f"{p}b")
+    up = Window.partitionBy(*keys).orderBy(f"{p}o", f"{p}k").rowsBetween(Window.unboundedPreceding, 0)
+    down = Window.partitionBy(*keys).orderBy(F.desc(f"{p}o"), F.desc(f"{p}k") if past else F.asc(f"{p}k")).rowsBetween(Window.unboundedPreceding, 0)
+    prev, nxt = F.last(f"{p}t", True).over(up), F.last(f"{p}t", True).over(down)
     if bucket:
-        prev, nxt = F.coalesce(prev, "_before"), F.coalesce(nxt, "_after")
-    timed = F.col("_s").isNotNull() & F.col(by).isNotNull()
-    out = rows.withColumn("prev", F.when(timed, prev)).withColumn("next", F.when(timed, nxt)).where("_k = 1")
-    fraction = F.when(F.col("prev").isNull() & F.col("next").isNotNull(), 0.0).when(F.col("prev") == F.col("next"), 0.0).otherwise((F.col("_s") - F.col("prev")) / (F.col("next") - F.col("prev")))
+        prev, nxt = F.coalesce(prev, f"{p}before"), F.coalesce(nxt, f"{p}after")
+    timed = F.col(f"{p}s").isNotNull() & F.col(by).isNotNull()
+    out = rows.withColumn("prev", F.when(timed, prev)).withColumn("next", F.when(timed, nxt)).where(f"{p}k = 1")
+    fraction = F.when(F.col("prev").isNull() & F.col("next").isNotNull(), 0.0).when(F.col("prev") == F.col("next"), 0.0).otherwise((F.col(f"{p}s") - F.col("prev")) / (F.col("next") - F.col("prev")))
     return out.select(*cols, "prev", "next", fraction.alias("fraction"))
 
 
@@ -74,15 +76,63 @@ def interpolated(bracketed: DataFrame, target: DataFrame, by: str, at: str, valu
     return rows.withColumn("interpolated", F.when(ok, F.col("_v0") + F.col("fraction") * (F.col("_v1") - F.col("_v0")))).drop("_first", "_last", "_v0", "_v1")
 
 
-def remapped(bracketed: DataFrame, group: str) -> DataFrame:
-    """Adds ``mode``: 'exact' where every row of the group hits a target of its own, and then ``target``; else
-    'interpolate', and only rows strictly within the targets' range keep prev and next as their bracket."""
-    exact = F.col("prev").isNotNull() & (F.col("prev") == F.col("next"))
-    gate = bracketed.groupBy(group).agg(F.bool_and(F.coalesce(exact, F.lit(False))).alias("_all"), (F.count_distinct("prev") == F.count("*")).alias("_own"))
-    rows = bracketed.join(gate, group)
-    mode = F.when(F.col("_all") & F.col("_own"), "exact").otherwise("interpolate")
-    inside = F.col("prev").isNotNull() & F.col("next").isNotNull()
-    return rows.withColumn("mode", mode).withColumn("target", F.when(F.col("mode") == "exact", F.col("prev"))).where((F.col("mode") == "exact") | inside).drop("_all", "_own")
+def posed(bracketed: DataFrame, target: DataFrame, by: str, at: str, blend: str, first_ok: bool, last_ok: bool, widest: int | None = None) -> DataFrame:
+    """Adds ``position`` and ``rotation``, those of ``target`` (arrays ``position``, ``rotation``) between prev and next.
+
+    Positions are blended linearly, rotations by ``blend``: 'slerp' at even speed over the shorter arc, 'vector' by their rotation
+    vectors. Nulls outside the targets' range, at the very first (last) target time unless ``first_ok`` (``last_ok``), and where
+    prev and next are more than ``widest`` apart, also for a row right at prev if the bracket was made with ``past``. Target
+    times must be unique in a stream; quaternions are brought to length one.
+    """
+    p = free_prefix(bracketed)
+    mixed = {"slerp": rt.slerp, "vector": rt.vector_blend}[blend]
+    ends = target.groupBy(F.col(by).alias(f"{p}own")).agg(F.min(at).alias(f"{p}first"), F.max(at).alias(f"{p}last"))
+    known = lambda c, n: target.select(F.col(by).alias(f"{p}s{n}"), F.col(at).alias(f"{p}at{n}"), F.col("position").alias(f"{p}p{n}"), rt.unit(F.col("rotation")).alias(f"{p}q{n}"))
+    rows = bracketed.join(ends, F.col(by) == F.col(f"{p}own"), "left")
+    for c, n in (("prev", 0), ("next", 1)):
+        rows = rows.join(known(c, n), (F.col(by) == F.col(f"{p}s{n}")) & (F.col(c) == F.col(f"{p}at{n}")), "left")
+    ok = F.col("prev").isNotNull() & F.col("next").isNotNull()
+    ok &= F.lit(first_ok) | (F.col(at) != F.col(f"{p}first"))
+    ok &= F.lit(last_ok) | (F.col(at) != F.col(f"{p}last"))
+    if widest is not None:
+        ok &= F.col("next") - F.col("prev") <= widest
+    position, rotation = rt.linear(F.col(f"{p}p0"), F.col(f"{p}p1"), F.col("fraction")), mixed(F.col(f"{p}q0"), F.col(f"{p}q1"), F.col("fraction"))
+    return rows.select(*bracketed.columns, F.when(ok, position).alias("position"), F.when(ok, rotation).alias("rotation"))
+
+
+def remapped_poses(target: DataFrame, source: DataFrame, by: str, at: str, name: str, fill_missing: bool = True, bucket: int | None = None) -> DataFrame:
+    """``(by, at, name, mode, position, rotation)``: the source's poses on the target's rows.
+
+    Both have ``by``, ``at``, ``name`` and a world-to-camera pose (arrays ``position``, ``rotation``; null for a row without one), one row
+    to a time. Source rows whose name is a target row without a pose are unavailable. 'exact' where every other source row with a pose
+    stands at the time of a posed target row of its own: these rows get its pose. Else 'interpolate': each posed target row within the posed source's
+    range gets the pose between its neighbours, camera centres and world rotations blended; without ``fill_missing`` those named like a source row
+    without a pose do not. A stream without posed source or target rows has no rows.
+    """
+    have = F.col("position").isNotNull() & F.col("rotation").isNotNull()
+    target, source = (df.select(by, at, name, "position", "rotation") for df in (target, source))
+    goal, poses = target.where(have), source.where(have)
+    blocked = target.where(~have).select(F.col(by).alias("_b"), F.col(name).alias("_n")).distinct()
+    open_poses = poses.join(blocked, (F.col(by) == F.col("_b")) & (F.col(name) == F.col("_n")), "left_anti")
+    times = goal.select(F.col(by).alias("_g"), F.col(at).alias("_t"), F.lit(1).alias("_hit"))
+    gate = open_poses.join(times, (F.col(by) == F.col("_g")) & (F.col(at) == F.col("_t")), "left").groupBy(by, at).agg(F.count("*").alias("_m"), F.count("_hit").alias("_h"))
+    gate = gate.groupBy(F.col(by).alias("_gate")).agg(F.bool_and((F.col("_h") == 1) & (F.col("_m") == 1)).alias("_exact"))
+    streams = goal.select(F.col(by).alias("_goal")).distinct().join(poses.select(F.col(by).alias("_have")).distinct(), F.col("_goal") == F.col("_have"))
+    modes = streams.join(gate, F.col("_goal") == F.col("_gate"), "left").select("_goal", F.coalesce("_exact", F.lit(True)).alias("_exact"))
+
+    own = open_poses.select(F.col(by).alias("_s"), F.col(at).alias("_a"), F.col("position").alias("_p"), F.col("rotation").alias("_q"))
+    exact = goal.select(by, at, name).join(modes.where("_exact"), F.col(by) == F.col("_goal"), "left_semi").join(own, (F.col(by) == F.col("_s")) & (F.col(at) == F.col("_a")))
+    exact = exact.select(by, at, name, F.lit("exact").alias("mode"), F.col("_p").alias("position"), F.col("_q").alias("rotation"))
+
+    back, centre = rt.inverse_pose(rt.unit(F.col("rotation")), F.col("position"))
+    world = poses.join(modes.where("not _exact"), F.col(by) == F.col("_goal"), "left_semi").select(by, at, centre.alias("position"), back.alias("rotation"))
+    wanted = goal.select(by, at, name).join(modes.where("not _exact"), F.col(by) == F.col("_goal"), "left_semi")
+    if not fill_missing:
+        gone = source.where(~have).select(F.col(by).alias("_b"), F.col(name).alias("_n")).distinct()
+        wanted = wanted.join(gone, (F.col(by) == F.col("_b")) & (F.col(name) == F.col("_n")), "left_anti")
+    between = posed(bracket(wanted, world, by, at, bucket), world, by, at, "slerp", True, True).where("position is not null")
+    q, t = rt.inverse_pose(F.col("rotation"), F.col("position"))
+    return exact.unionByName(between.select(by, at, name, F.lit("interpolate").alias("mode"), t.alias("position"), q.alias("rotation")))
 
 
 def merge_counts(left: DataFrame, right: DataFrame, on: list[str]) -> DataFrame:

@@ -9,6 +9,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from sparkloom.operators.names import free_names
 from sparkloom.session import stored
 
 
@@ -52,9 +53,10 @@ def retrieve(refs: DataFrame, queries: DataFrame, key: str, vector: str, k: int,
 def capped(pairs: DataFrame, a: str, b: str, group: list[Column], score: str, most: int) -> DataFrame:
     """Of unordered pairs, first the best of each, then at most ``most`` per unordered group, by (score desc, a, b)."""
     one = Window.partitionBy(F.least(a, b), F.greatest(a, b)).orderBy(F.desc(score), a, b)
-    rows = pairs.withColumn("_r", F.row_number().over(one)).where("_r = 1").drop("_r")
+    (r,) = free_names(pairs, "r")
+    rows = pairs.withColumn(r, F.row_number().over(one)).where(F.col(r) == 1).drop(r)
     g = Window.partitionBy(*group).orderBy(F.desc(score), a, b)
-    return rows.withColumn("_r", F.row_number().over(g)).where(F.col("_r") <= most).drop("_r")
+    return rows.withColumn(r, F.row_number().over(g)).where(F.col(r) <= most).drop(r)
 
 
 def one_shot_nms(points: DataFrame, group: str, key: str, x: str, y: str, score: str, radius: float) -> DataFrame:

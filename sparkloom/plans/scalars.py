@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from sparkloom.functions import scalars as sc
-from sparkloom.operators import alignment
+from sparkloom.operators import alignment, inliers, rasters
 from sparkloom.operators import pairs as pr
 from sparkloom.plans.registry import digest_sql, query
 
@@ -76,6 +76,50 @@ def _(t):
     return t.lineitem.select("l_orderkey", "l_linenumber", "l_partkey", F.round(sc.sampson(m, p, q), 8).alias("error"))
 
 
+def _two_views_sql() -> str:
+    """The three kinds of pair written out; a calibrated one turns about z by a."""
+    e = ["ty * 0 - tz * si", "-tz * co", "ty", "tz * co", "-tz * si", "-tx", "tx * si - ty * co", "tx * co + ty * si", "0"]
+    ray = lambda k: [f"u{k} / n{k}", f"v{k} / n{k}", f"1 / n{k}"]
+    times = lambda i, v, across: "(" + " + ".join(f"({e[3 * j + i if across else 3 * i + j]}) * {v[j]}" for j in range(3)) + ")"
+    a, b = ray(1), ray(2)
+    line2 = [f"{times(i, a, False)} / ({a[2]} + 1e-12)" for i in range(3)]
+    line1 = [f"{times(i, b, True)} / ({b[2]} + 1e-12)" for i in range(2)]
+    c = "(" + " + ".join(f"{line2[i]} * {b[i]}" for i in range(3)) + ")"
+    error = f"{c} * {c} / nullif(power({line2[0]}, 2) + power({line2[1]}, 2) + power({line1[0]}, 2) + power({line1[1]}, 2), 0)"
+    turned = [f"(co * {a[0]} - si * {a[1]})", f"(si * {a[0]} + co * {a[1]})", a[2]]
+    dot = lambda x, y: "(" + " + ".join(f"{p} * {q}" for p, q in zip(x, y)) + ")"
+    t, back = ["tx", "ty", "tz"], ["-(co * tx + si * ty)", "(si * tx - co * ty)", "(-tz)"]
+    w, d1, d2 = f"(-{dot(turned, b)})", f"(-{dot(turned, t)})", dot(b, t)
+    depths = [f"({d1} - {w} * {d2})", f"({d2} - {w} * {d1})"]
+    range_ = " AND ".join(f"{d} > 0.01 * (1 - {w} * {w}) AND {d} < 100 * (1 - {w} * {w})" for d in depths)
+    near = "cos(radians(3)) + 1e-6"
+    epi = lambda v, r: f"{dot(v, r)} * (CASE WHEN {v[2]} < 0 THEN -1 ELSE 1 END) / sqrt({dot(v, v)}) < {near}"
+    calibrated = f"{error} < power(2 * (1 / 500.0 + 1 / 600.0), 2) AND {range_} AND {epi(back, a)} AND {epi(t, b)}"
+    return f"""WITH m AS (SELECT l_suppkey AS s, l_orderkey AS o, l_linenumber AS n, l_partkey AS p, l_quantity * 12 AS x1, l_extendedprice % 480 AS y1, l_quantity * 12 - 40 + 30 * sin(l_partkey) AS x2, l_extendedprice % 480 + 4 * cos(l_partkey) AS y2 FROM lineitem),
+q AS (SELECT *, (x1 - 320) / 500 AS u1, (y1 - 240) / 500 AS v1, (x2 - 320) / 500 AS u2, (y2 - 240) / 500 AS v2, cos((s % 9) / 100.0::DOUBLE) AS co, sin((s % 9) / 100.0::DOUBLE) AS si, (s % 2) * 2.0::DOUBLE - 1.02 AS tx, 0.02::DOUBLE * (s % 5) AS ty, 0.3::DOUBLE * (s % 4) - 0.45 AS tz, 0.0001::DOUBLE * (s % 5) AS f1, 0.001::DOUBLE * (s % 4) AS f6 FROM m),
+r AS (SELECT *, sqrt(u1 * u1 + v1 * v1 + 1) AS n1, sqrt(u2 * u2 + v2 * v2 + 1) AS n2 FROM q),
+h AS (SELECT *, CASE s % 3 WHEN 0 THEN {calibrated}
+    WHEN 1 THEN power(x2 * (f1 * y1 - 0.1) + y2 * (-0.0001 * x1 - 1) + f6 * x1 + y1 + 3, 2) / (power(f1 * y1 - 0.1, 2) + power(-0.0001 * x1 - 1, 2) + power(f6 - 0.0001 * y2, 2) + power(f1 * x2 + 1, 2)) < 16
+    ELSE power((x1 + 0.01 * (s % 4) * y1 - 38) / (0.00001 * y1 + 1) - x2, 2) + power((y1 - 1) / (0.00001 * y1 + 1) - y2, 2) < 400 END AS ok,
+  (f6 - 0.0001 * y2) * (f6 * (f1 * y1 - 0.1)) > 0 AS side FROM r),
+v AS (SELECT s, sum(CASE WHEN side THEN 1 ELSE -1 END) AS lead FROM h WHERE ok AND s % 3 = 1 GROUP BY s)
+SELECT o, n, p, h.s FROM h LEFT JOIN v USING (s) WHERE ok AND (s % 3 <> 1 OR (lead > 0 AND side) OR (lead < 0 AND NOT side))"""
+
+
+@query("f13_two_view_inliers", _two_views_sql())
+def _(t):
+    s, number = F.col("s_suppkey"), lambda *xs: F.array(*[F.lit(float(x)) if isinstance(x, (int, float)) else x.cast("double") for x in xs])
+    kind = F.element_at(F.array(*[F.lit(k) for k in (inliers.CALIBRATED, inliers.UNCALIBRATED, inliers.PLANAR)]), (s % 3 + 1).cast("int"))
+    turn, f1, f6 = (s % 9) / 200.0, 0.0001 * (s % 5), 0.001 * (s % 4)
+    matrix = F.when(s % 3 == 1, number(0, f1, -0.1, -0.0001, 0, -1, f6, 1, 3)).when(s % 3 == 2, number(1, 0.01 * (s % 4), -38, 0, 1, -1, 0, 0.00001, 1))
+    pose = {"q": number(0, 0, F.sin(turn), F.cos(turn)), "t": number((s % 2) * 2.0 - 1.02, 0.02 * (s % 5), 0.3 * (s % 4) - 0.45)}
+    pairs = t.supplier.select(s.alias("s"), kind.alias("kind"), *[F.when(s % 3 == 0, v).alias(k) for k, v in pose.items()], F.lit(500.0).alias("f1"), F.lit(600.0).alias("f2"), matrix.alias("matrix"))
+    part, x, y = F.col("l_partkey"), F.col("l_quantity") * 12, F.col("l_extendedprice") % 480
+    rows = t.lineitem.select(F.col("l_suppkey").alias("s"), F.col("l_orderkey").alias("o"), F.col("l_linenumber").alias("n"), part.alias("p"), x.alias("x1"), y.alias("y1"), (x - 40 + 30 * F.sin(part)).alias("x2"), (y + 4 * F.cos(part)).alias("y2"))
+    ray = lambda k: F.array(*sc.bearing((F.col(f"x{k}") - 320) / 500, (F.col(f"y{k}") - 240) / 500))
+    return inliers.inlier_matches(rows.withColumns({"ray1": ray(1), "ray2": ray(2)}), pairs, "s", inliers.InlierOptions(homography=20.0)).select("o", "n", "p", "s")
+
+
 @query("f14_robust_losses", "SELECT l_orderkey, l_linenumber, l_partkey, CASE WHEN l_quantity - 5 <= 0 THEN 0.0 WHEN l_quantity - 5 <= 10 THEN (l_quantity - 5) * (l_quantity - 5) ELSE 20 * (l_quantity - 5) - 100 END AS loss, CASE WHEN l_discount > 0 AND l_tax > 0 THEN round(ln(2 * l_discount / l_tax), 8) END AS log_depth FROM lineitem")
 def _(t):
     loss = sc.dead_zone_huber(F.col("l_quantity") * F.col("l_quantity"), 5.0, 10.0)
@@ -88,6 +132,46 @@ def _(t):
     return t.part.select("p_partkey", F.round(sc.bilinear([s, s + 1, F.lit(7), F.col("p_retailprice")], s / 40.0, F.col("p_retailprice") / 1000 - 1), 6).alias("value"))
 
 
+def _maps(t):
+    """A map for each supplier, 40 cells across and 25 down, as cells and as sizes."""
+    s, x, y = F.col("s_suppkey"), F.col("x"), F.col("y")
+    rows = t.supplier.withColumn("x", F.explode(F.sequence(F.lit(0), F.lit(39)))).withColumn("y", F.explode(F.sequence(F.lit(0), F.lit(24))))
+    cells = rows.select(s.alias("s"), "x", "y", (F.col("s_acctbal") / 1000 + (x * 7 + y * 3) % 11).alias("depth"), ((x + y + s) % 5 != 0).cast("int").alias("valid"))
+    return cells, t.supplier.select(s.alias("s"), F.lit(40).alias("width"), F.lit(25).alias("height"), F.lit(400).alias("original_width"), F.lit(240).alias("original_height"))
+
+
+def _map_sql(smooth: str, nearest: str, place: str, edge: str) -> str:
+    cell = lambda i, j: f"CASE WHEN {i} BETWEEN 0 AND 39 AND {j} BETWEEN 0 AND 24 THEN s_acctbal / 1000 + (({i}) * 7 + ({j}) * 3) % 11 ELSE 0 END"
+    x1, y1 = ("i + 1", "j + 1") if edge == "zero" else ("least(i + 1, 39)", "least(j + 1, 24)")
+    value = f"({cell('i', 'j')}) * (1 - u) * (1 - v) + ({cell(x1, 'j')}) * u * (1 - v) + ({cell('i', y1)}) * (1 - u) * v + ({cell(x1, y1)}) * u * v"
+    a, b = ("round_even(x, 0)::BIGINT", "round_even(y, 0)::BIGINT") if edge == "zero" else ("least(floor(x + 0.5), 39)::BIGINT", "least(floor(y + 0.5), 24)::BIGINT")
+    return f"""WITH k AS (SELECT l_orderkey AS o, l_linenumber AS n, l_partkey AS p, l_suppkey AS s, s_acctbal, {place} FROM lineitem JOIN supplier ON s_suppkey = l_suppkey),
+f AS (SELECT *, floor(x)::BIGINT AS i, floor(y)::BIGINT AS j, x - floor(x) AS u, y - floor(y) AS v, {a} AS a, {b} AS b FROM k)
+SELECT o, n, p, round({value}, 5) AS {smooth}, (a BETWEEN 0 AND 39 AND b BETWEEN 0 AND 24 AND (a + b + s) % 5 <> 0) AS {nearest} FROM f"""
+
+
+def _points(t, *place):
+    return t.lineitem.select(F.col("l_orderkey").alias("o"), F.col("l_linenumber").alias("n"), F.col("l_partkey").alias("p"), F.col("l_suppkey").alias("s"), *place)
+
+
+PLACE = "(l_quantity * 9.3 - 20.05) * CAST(40 / 400.0 AS FLOAT)::DOUBLE AS x, (l_extendedprice % 260 - 8.05) * CAST(25 / 240.0 AS FLOAT)::DOUBLE AS y"
+
+
+@query("s10_depth_maps", _map_sql("depth", "valid", PLACE, "zero"))
+def _(t):
+    cells, sizes = _maps(t)
+    at = _points(t, (F.col("l_quantity") * 9.3 - 20.05).alias("x"), (F.col("l_extendedprice") % 260 - 8.05).alias("y"))
+    found = rasters.attached_depth(at, rasters.tiles(cells, sizes, "s", ["depth", "valid"]), sizes, "s", 0.1)
+    return found.select("o", "n", "p", F.round("depth", 5).alias("depth"), "valid")
+
+
+@query("f15_map_samples", _map_sql("depth", "valid", "least(greatest(l_quantity * 0.93 - 2.005, 0), 39) AS x, least(greatest(l_extendedprice % 29 - 2.005, 0), 24) AS y", "clamp"))
+def _(t):
+    cells, sizes = _maps(t)
+    found = rasters.sampled(_points(t, F.col("l_quantity"), F.col("l_extendedprice")), rasters.tiles(cells, sizes, "s", ["depth", "valid"]), "s", F.col("l_quantity") * 0.93 - 2.005, F.col("l_extendedprice") % 29 - 2.005, {"depth": "depth"}, {"valid": "valid"})
+    return found.select("o", "n", "p", F.round("depth", 5).alias("depth"), (F.col("valid") != 0).alias("valid"))
+
+
 @query("f16_quarter_turns", "SELECT p_partkey, k AS turns, CASE k % 2 WHEN 0 THEN 500.0 ELSE 600.0 END AS fx, CASE k WHEN 0 THEN p_size WHEN 1 THEN 7 WHEN 2 THEN 640 - p_size ELSE 480 - 7 END::DOUBLE AS cx FROM part, (SELECT unnest([0, 1, 2, 3]) AS k)")
 def _(t):
     base = [F.lit(500.0), F.lit(600.0), F.col("p_size").cast("double"), F.lit(7.0), F.lit(640.0), F.lit(480.0)]

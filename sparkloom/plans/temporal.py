@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from sparkloom.functions import rotations as rt
 from sparkloom.operators import alignment, kernels
 from sparkloom.operators import temporal as tm
 from sparkloom.plans.registry import Tables, query
@@ -45,25 +46,40 @@ def _(t):
     return tm.nearest(bracketed(t), "t", 3_600_000_000).select("s", "t", "k", "nearest")
 
 
-def _interp_sql(ok: str) -> str:
-    return f"""WITH {BR}, ends AS (SELECT s, min(t) AS f, max(t) AS l FROM dst GROUP BY s)
-SELECT bf.s, bf.t, bf.k, round(CASE WHEN prev IS NOT NULL AND next IS NOT NULL AND {ok} THEN a.v + fraction * (b.v - a.v) END, 6) AS value
-FROM bf LEFT JOIN ends ON bf.s = ends.s LEFT JOIN dst a ON a.s = bf.s AND a.t = prev LEFT JOIN dst b ON b.s = bf.s AND b.t = next"""
+# poses of the purchases: where they are, and a turn about z; SQL needs no quaternions for it
+POSES = f"""{BR}, po AS (SELECT s, t, v AS x, 2 * v - 1 AS y, v / 10 AS z, (v * 37) % 6.0 - 3.0 AS a FROM dst),
+pf AS (SELECT bf.*, p.x AS x0, n.x AS x1, p.y AS y0, n.y AS y1, p.z AS z0, n.z AS z1, p.a AS a0, n.a AS a1, (SELECT min(t) FROM po WHERE po.s = bf.s) AS f, (SELECT max(t) FROM po WHERE po.s = bf.s) AS l FROM bf LEFT JOIN po p ON p.s = bf.s AND p.t = prev LEFT JOIN po n ON n.s = bf.s AND n.t = next)"""
 
 
-def _interp(t: Tables, **kw) -> DataFrame:
-    target = events(t, "purchase").groupBy("s", "t").agg(F.avg("v").alias("v"))
-    return tm.interpolated(bracketed(t), target, "s", "t", "v", **kw).select("s", "t", "k", F.round("interpolated", 6).alias("value"))
+def poses(t: Tables) -> DataFrame:
+    v = F.col("v")
+    rows = events(t, "purchase").groupBy("s", "t").agg(F.avg("v").alias("v")).withColumn("a", (v * 37) % 6.0 - 3.0)
+    return rows.select("s", "t", rt.vector(v, 2 * v - 1, v / 10).alias("position"), rt.vector(0.0, 0.0, F.sin(F.col("a") / 2), F.cos(F.col("a") / 2)).alias("rotation"))
 
 
-@query("j5_asof_interpolate_open_start", _interp_sql("bf.t <> f"))
+def _pose_sql(ok: str, angle: str) -> str:
+    part = lambda c: f"round(CASE WHEN {ok} THEN {c}0 + fraction * ({c}1 - {c}0) END, 5) AS {c}"
+    return f"""WITH {POSES} SELECT s, t, k, {part("x")}, {part("y")}, {part("z")}, round(CASE WHEN {ok} THEN cos({angle}) END, 5) AS c, round(CASE WHEN {ok} THEN sin({angle}) END, 5) AS i FROM pf"""
+
+
+def _pose_columns() -> list:
+    p, q = F.col("position"), F.col("rotation")
+    return [*[F.round(p[i], 5).alias(c) for i, c in enumerate("xyz")], F.round(q[3] * q[3] - q[2] * q[2], 5).alias("c"), F.round(2 * q[2] * q[3], 5).alias("i")]
+
+
+@query("j5_asof_interpolate_open_start", _pose_sql("prev IS NOT NULL AND next IS NOT NULL AND pf.t <> f", "(1 - fraction) * a0 + fraction * a1"))
 def _(t):
-    return _interp(t, first_ok=False, last_ok=True)
+    found = tm.posed(bracketed(t), poses(t), "s", "t", "vector", first_ok=False, last_ok=True)
+    return found.select("s", "t", "k", *_pose_columns())
 
 
-@query("j6_asof_interpolate_gap", _interp_sql("bf.t <> l AND next - prev <= 172800000000"))
+SHORT = "a0 + fraction * ((a1 - a0) - 2 * pi() * round((a1 - a0) / (2 * pi())))"
+
+
+@query("j6_asof_interpolate_gap", _pose_sql("prev IS NOT NULL AND next IS NOT NULL AND pf.t <> l AND next - prev <= 172800000000", SHORT).replace("dst.t >= src.t", "dst.t > src.t"))
 def _(t):
-    return _interp(t, first_ok=True, last_ok=False, widest=172_800_000_000)
+    near = tm.bracket(events(t, "error").select("s", "t", "k"), poses(t).select("s", "t"), "s", "t", BUCKET, past=True)
+    return tm.posed(near, poses(t), "s", "t", "slerp", first_ok=True, last_ok=False, widest=172_800_000_000).select("s", "t", "k", *_pose_columns())
 
 
 @query("j7_merge_counts", "WITH a AS (SELECT DISTINCT date_trunc('hour', ts) AS h FROM events WHERE event_type = 'error'), b AS (SELECT DISTINCT date_trunc('hour', ts) AS h FROM events WHERE event_type = 'purchase') SELECT count_if(a.h IS NOT NULL AND b.h IS NOT NULL)::BIGINT AS matched, count_if(b.h IS NULL)::BIGINT AS left_only, count_if(a.h IS NULL)::BIGINT AS right_only FROM a FULL JOIN b ON a.h = b.h")
@@ -78,10 +94,30 @@ def _(t):
     return tm.synchronised(rows, "d", "event_type", 3, "user_id").select("user_id", F.unix_micros("d").alias("day"), "frame_id")
 
 
-@query("j9_pose_remap", f"""WITH {BR}, g AS (SELECT s, bool_and(coalesce(prev = next, false)) AND count(DISTINCT prev) = count(*) AS x FROM bf GROUP BY s)
-SELECT bf.s, k, CASE WHEN x THEN 'exact' ELSE 'interpolate' END AS mode, CASE WHEN x THEN prev END AS target, prev, next FROM bf JOIN g USING (s) WHERE x OR (prev IS NOT NULL AND next IS NOT NULL)""")
+# cameras see the world from a centre (v, 0, 0), turned about z; every third user's errors stand on purchase times, so some streams are exact
+REMAP = f"""{EV}, pu AS (SELECT s, t, 'n' || (t % 7) AS name, avg(v) AS v FROM ev WHERE e = 'purchase' GROUP BY s, t), er AS (SELECT s, t, max(k) AS k, max(v) AS v FROM ev WHERE e = 'error' GROUP BY s, t),
+so AS (SELECT s, t, 'n' || (t % 7) AS name, v AS x, (v * 37) % 6.0 - 3.0 AS a, t % 5 <> 0 AS ok FROM pu), first AS (SELECT s, min(t) AS t FROM so WHERE ok GROUP BY s),
+ta AS (SELECT s, t, 'm' || (t % 11) AS name, t % 13 <> 0 AS ok FROM er WHERE s % 3 > 0 UNION ALL SELECT s, t, CASE WHEN t % 4 = 0 THEN name ELSE 'm' END, t % 4 <> 0 FROM so WHERE s % 3 = 0)"""
+
+
+@query("j9_pose_remap", f"""WITH {REMAP}, bl AS (SELECT DISTINCT s, name FROM ta WHERE NOT ok), op AS (SELECT * FROM so WHERE ok AND (s, name) NOT IN (SELECT (s, name) FROM bl)),
+m AS (SELECT s, coalesce((SELECT bool_and(EXISTS (SELECT 1 FROM ta WHERE ta.s = op.s AND ta.t = op.t AND ta.ok)) FROM op WHERE op.s = x.s), true) AS exact FROM (SELECT DISTINCT s FROM ta WHERE ok AND s IN (SELECT s FROM so WHERE ok)) x),
+br AS (SELECT ta.s, ta.t, ta.name, (SELECT max(t) FROM so WHERE so.s = ta.s AND so.t <= ta.t AND so.ok) AS p, (SELECT min(t) FROM so WHERE so.s = ta.s AND so.t >= ta.t AND so.ok) AS n FROM ta JOIN m USING (s) WHERE ta.ok AND NOT exact),
+bx AS (SELECT br.*, CASE WHEN p = n THEN 0.0 ELSE (br.t - p)::DOUBLE / (n - p) END AS f, a.x AS x0, b.x AS x1, a.a AS a0, b.a AS a1 FROM br JOIN so a ON a.s = br.s AND a.t = p JOIN so b ON b.s = br.s AND b.t = n),
+r AS (SELECT s, t, name, 'interpolate' AS mode, x0 + f * (x1 - x0) AS x, {SHORT.replace("fraction", "f")} AS a FROM bx UNION ALL SELECT ta.s, ta.t, ta.name, 'exact', op.x, op.a FROM ta JOIN m USING (s) JOIN op ON op.s = ta.s AND op.t = ta.t WHERE exact AND ta.ok)
+SELECT s, t, name, mode, round(-x * cos(a), 5) AS x, round(x * sin(a), 5) AS y, round(0.0, 5) AS z, round(cos(a), 5) AS c, round(-sin(a), 5) AS i FROM r""")
 def _(t):
-    return tm.remapped(bracketed(t), "s").select("s", "k", "mode", "target", "prev", "next")
+    ev, at = events(t), F.col("t")
+    v = F.col("v")
+    bought = ev.where("e = 'purchase'").groupBy("s", "t").agg(F.avg("v").alias("v")).withColumn("a", (v * 37) % 6.0 - 3.0)
+    name = lambda stem, n: F.concat(F.lit(stem), (at % n).cast("string"))
+    world = rt.vector(0.0, 0.0, F.sin(F.col("a") / 2), F.cos(F.col("a") / 2))
+    q, p = rt.inverse_pose(world, rt.vector(v, 0.0, 0.0))
+    source = bought.select("s", "t", name("n", 7).alias("name"), F.when(at % 5 != 0, p).alias("position"), F.when(at % 5 != 0, q).alias("rotation"))
+    pose = lambda ok: [F.when(ok, rt.vector(0.0, 0.0, 0.0)).alias("position"), F.when(ok, rt.vector(0.0, 0.0, 0.0, 1.0)).alias("rotation")]
+    target = ev.where("e = 'error' and s % 3 > 0").select("s", "t").distinct().select("s", "t", name("m", 11).alias("name"), *pose(at % 13 != 0))
+    target = target.unionByName(bought.where("s % 3 = 0").select("s", "t", F.when(at % 4 == 0, name("n", 7)).otherwise("m").alias("name"), *pose(at % 4 != 0)))
+    return tm.remapped_poses(target, source, "s", "t", "name", bucket=BUCKET).select("s", "t", "name", "mode", *_pose_columns())
 
 
 @query("j11_hop_pairs", f"""WITH {EV}, n AS (SELECT s, k, row_number() OVER (PARTITION BY s ORDER BY t, k) AS n FROM ev),

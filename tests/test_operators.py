@@ -282,3 +282,13 @@ def test_smoothing_spline_and_table_hash(spark):
     one = sc.table_hash(df, ["s"], ["t", "v"]).first().digest
     assert one == sc.table_hash(df.orderBy(F.desc("t")).repartition(3), ["s"], ["t", "v"]).first().digest
     assert one != sc.table_hash(df.withColumn("v", F.col("v") + (F.col("t") == 2).cast("int")), ["s"], ["t", "v"]).first().digest
+
+
+def test_columns_named_like_helpers_stay(spark):
+    from sparkloom.operators import pairs as pr
+    from sparkloom.operators.ranks import ranked
+
+    df = spark.createDataFrame([(1, 2, 0.5, "a", 7, 8, 9), (2, 1, 0.7, "b", 7, 8, 9), (3, 4, 0.1, "c", 7, 8, 9)], "a int, b int, s double, _r string, _v int, _k0 int, _part int")
+    for got in (pr.first_direction(df, "a", "b", ["a"]), topk.capped(df, "a", "b", [F.lit(1)], "s", 9), pr.union_first([df, df], "a", "b", "s")):
+        assert got.columns == df.columns and got.count() == 2 and {r._v for r in got.collect()} == {7}
+    assert [(r._r, r._v, r.n, r.t) for r in ranked(df, ["s"], "n", "t", "_v").orderBy("n").collect()] == [("c", 7, 1, 7), ("a", 7, 2, 14), ("b", 7, 3, 21)]

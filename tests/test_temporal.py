@@ -56,11 +56,6 @@ def test_interpolation_ends(spark, first, last, widest, want):
     assert {r.t: r.interpolated for r in got.collect()} == want
 
 
-def test_remap_modes(spark):
-    b = asof(spark, [(1, 10), (1, 20), (2, 10), (2, 15), (2, 99)], [(1, 10), (1, 20), (2, 10), (2, 20)])
-    assert rows(tm.remapped(b, "s"), "s", "t", "mode") == [(1, 10, "exact"), (1, 20, "exact"), (2, 10, "interpolate"), (2, 15, "interpolate")]
-
-
 def test_path_windows(spark):
     df = spark.createDataFrame([(1, i, float(v)) for i, v in enumerate([0, 1, 1, 3, 6, 10])], "s bigint, k bigint, v double")
     walked = tm.path_lengths(df, "s", ["k"], "v")
