@@ -48,54 +48,3 @@ def greedy_spatial_nms(points: DataFrame, group: str, radius: float) -> DataFram
         return g.iloc[kept][[group, "id", "x", "y", "score"]]
 
     return points.groupBy(group).applyInPandas(run, schema)
-
-
-def smoothed(rows: DataFrame, by: str, at: str, value: str, tau: float) -> DataFrame:
-    """``(by, at, smoothed)``: mean of a forward and a backward exponential pass with alpha = 1 - exp(-dt / tau)."""
-    schema = f"{by} {rows.schema[by].dataType.simpleString()}, {at} bigint, smoothed double"
-
-    def run(g: pd.DataFrame) -> pd.DataFrame:
-        g = g.sort_values([at, value])
-        t, v = g[at].to_numpy(float), g[value].to_numpy(float)
-        alpha = 1 - np.exp(-np.diff(t) / tau)
-
-        def one(v: np.ndarray, alpha: np.ndarray) -> np.ndarray:
-            out = v.copy()
-            for i, a in enumerate(alpha, 1):
-                out[i] = out[i - 1] + a * (v[i] - out[i - 1])
-            return out
-
-        both = (one(v, alpha) + one(v[::-1], alpha[::-1])[::-1]) / 2
-        return pd.DataFrame({by: g[by], at: g[at], "smoothed": both})
-
-    return rows.select(by, F.col(at).cast("bigint").alias(at), value).groupBy(by).applyInPandas(run, schema)
-
-
-def spline(rows: DataFrame, by: str, at: str, value: str, between: int) -> DataFrame:
-    """``(by, at, value)`` on a natural cubic spline through each stream, ``between`` points in every step."""
-    schema = f"{by} {rows.schema[by].dataType.simpleString()}, {at} double, {value} double"
-
-    def run(g: pd.DataFrame) -> pd.DataFrame:
-        g = g.dropna().drop_duplicates(at).sort_values(at)
-        t, y = g[at].to_numpy(float), g[value].to_numpy(float)
-        if len(t) < 2:
-            return pd.DataFrame({by: g[by], at: t, value: y})
-        n, h = len(t), np.diff(t)
-        low, diag, up, right = np.zeros(n), np.ones(n), np.zeros(n), np.zeros(n)
-        low[1:-1], up[1:-1], diag[1:-1] = h[:-1], h[1:], 2 * (h[:-1] + h[1:])
-        right[1:-1] = 6 * (np.diff(y)[1:] / h[1:] - np.diff(y)[:-1] / h[:-1])
-        for i in range(1, n):
-            f = low[i] / diag[i - 1]
-            diag[i] -= f * up[i - 1]
-            right[i] -= f * right[i - 1]
-        m = np.zeros(n)
-        m[-1] = right[-1] / diag[-1]
-        for i in range(n - 2, -1, -1):
-            m[i] = (right[i] - up[i] * m[i + 1]) / diag[i]
-        i = np.repeat(np.arange(n - 1), between)
-        x = t[i] + h[i] * np.tile(np.arange(between) / between, n - 1)
-        a, b = (t[i + 1] - x) / h[i], (x - t[i]) / h[i]
-        v = a * y[i] + b * y[i + 1] + ((a**3 - a) * m[i] + (b**3 - b) * m[i + 1]) * h[i] ** 2 / 6
-        return pd.DataFrame({by: g[by].iloc[0], at: np.append(x, t[-1]), value: np.append(v, y[-1])})
-
-    return rows.select(by, at, value).groupBy(by).applyInPandas(run, schema)

@@ -35,7 +35,8 @@ def tiles(cells: DataFrame, sizes: DataFrame, image: str, values: list[str], siz
     down = F.least(F.lit(size + 1), F.col("map_height") - F.col("ty") * size)
     held = held.select("*", (F.col("tx") * size).alias("x0"), (F.col("ty") * size).alias("y0"), across.cast("int").alias("across"), down.cast("int").alias("down"))
     fail = F.raise_error(F.concat(F.lit("cells of a map are missing or repeated: "), F.col("image").cast("string"))).cast("boolean")
-    whole = held.where(F.when((F.size("held") == F.col("across") * F.col("down")) & (F.size(F.array_distinct(F.transform("held", lambda h: F.struct(h["y"], h["x"])))) == F.size("held")), F.lit(True)).otherwise(fail))
+    in_place = F.forall(F.transform("held", lambda h, i: (h["y"] - F.col("y0")) * F.col("across") + h["x"] - F.col("x0") == i), lambda ok: ok)
+    whole = held.where(F.when((F.size("held") == F.col("across") * F.col("down")) & in_place, F.lit(True)).otherwise(fail))
     return whole.select("image", "tx", "ty", "x0", "y0", "across", "map_width", "map_height", *[F.transform("held", lambda h: h[v]).alias(v) for v in values])  # noqa: B023
 
 

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from sparkloom.functions import rotations as rt
 from sparkloom.operators.names import free_prefix
 from sparkloom.operators.ranks import ranked
+from sparkloom.session import stored
 
 
 def bracket(source: DataFrame, target: DataFrame, by: str, at: str, bucket: int | None = None, past: bool = False) -> DataFrame:
@@ -118,14 +119,14 @@ def remapped_poses(target: DataFrame, source: DataFrame, by: str, at: str, name:
     gate = open_poses.join(times, (F.col(by) == F.col("_g")) & (F.col(at) == F.col("_t")), "left").groupBy(by, at).agg(F.count("*").alias("_m"), F.count("_hit").alias("_h"))
     gate = gate.groupBy(F.col(by).alias("_gate")).agg(F.bool_and((F.col("_h") == 1) & (F.col("_m") == 1)).alias("_exact"))
     streams = goal.select(F.col(by).alias("_goal")).distinct().join(poses.select(F.col(by).alias("_have")).distinct(), F.col("_goal") == F.col("_have"))
-    modes = streams.join(gate, F.col("_goal") == F.col("_gate"), "left").select("_goal", F.coalesce("_exact", F.lit(True)).alias("_exact"))
+    modes = stored(streams.join(gate, F.col("_goal") == F.col("_gate"), "left").select("_goal", F.coalesce("_exact", F.lit(True)).alias("_exact")), "modes")
 
     own = open_poses.select(F.col(by).alias("_s"), F.col(at).alias("_a"), F.col("position").alias("_p"), F.col("rotation").alias("_q"))
     exact = goal.select(by, at, name).join(modes.where("_exact"), F.col(by) == F.col("_goal"), "left_semi").join(own, (F.col(by) == F.col("_s")) & (F.col(at) == F.col("_a")))
     exact = exact.select(by, at, name, F.lit("exact").alias("mode"), F.col("_p").alias("position"), F.col("_q").alias("rotation"))
 
     back, centre = rt.inverse_pose(rt.unit(F.col("rotation")), F.col("position"))
-    world = poses.join(modes.where("not _exact"), F.col(by) == F.col("_goal"), "left_semi").select(by, at, centre.alias("position"), back.alias("rotation"))
+    world = stored(poses.join(modes.where("not _exact"), F.col(by) == F.col("_goal"), "left_semi").select(by, at, centre.alias("position"), back.alias("rotation")), "world")
     wanted = goal.select(by, at, name).join(modes.where("not _exact"), F.col(by) == F.col("_goal"), "left_semi")
     if not fill_missing:
         gone = source.where(~have).select(F.col(by).alias("_b"), F.col(name).alias("_n")).distinct()

@@ -165,10 +165,10 @@ def _(t):
     return found.select("o", "n", "p", F.round("depth", 5).alias("depth"), "valid")
 
 
-@query("f15_map_samples", _map_sql("depth", "valid", "least(greatest(l_quantity * 0.93 - 2.005, 0), 39) AS x, least(greatest(l_extendedprice % 29 - 2.005, 0), 24) AS y", "clamp"))
+@query("f15_map_samples", _map_sql("depth", "valid", "least(greatest(l_quantity * 0.93 - 2.005 + 0.3 * sin(l_partkey), 0), 39) AS x, least(greatest(l_extendedprice % 29 - 2.005 + 0.3 * cos(l_partkey), 0), 24) AS y", "clamp"))
 def _(t):
     cells, sizes = _maps(t)
-    found = rasters.sampled(_points(t, F.col("l_quantity"), F.col("l_extendedprice")), rasters.tiles(cells, sizes, "s", ["depth", "valid"]), "s", F.col("l_quantity") * 0.93 - 2.005, F.col("l_extendedprice") % 29 - 2.005, {"depth": "depth"}, {"valid": "valid"})
+    found = rasters.sampled(_points(t, F.col("l_quantity"), F.col("l_extendedprice")), rasters.tiles(cells, sizes, "s", ["depth", "valid"]), "s", F.col("l_quantity") * 0.93 - 2.005 + 0.3 * F.sin("p"), F.col("l_extendedprice") % 29 - 2.005 + 0.3 * F.cos("p"), {"depth": "depth"}, {"valid": "valid"})
     return found.select("o", "n", "p", F.round("depth", 5).alias("depth"), (F.col("valid") != 0).alias("valid"))
 
 

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sparkloom.functions import rotations as rt
-from sparkloom.operators import alignment, kernels
+from sparkloom.operators import alignment, scans
 from sparkloom.operators import temporal as tm
 from sparkloom.plans.registry import Tables, query
 
@@ -105,7 +105,7 @@ m AS (SELECT s, coalesce((SELECT bool_and(EXISTS (SELECT 1 FROM ta WHERE ta.s =
 br AS (SELECT ta.s, ta.t, ta.name, (SELECT max(t) FROM so WHERE so.s = ta.s AND so.t <= ta.t AND so.ok) AS p, (SELECT min(t) FROM so WHERE so.s = ta.s AND so.t >= ta.t AND so.ok) AS n FROM ta JOIN m USING (s) WHERE ta.ok AND NOT exact),
 bx AS (SELECT br.*, CASE WHEN p = n THEN 0.0 ELSE (br.t - p)::DOUBLE / (n - p) END AS f, a.x AS x0, b.x AS x1, a.a AS a0, b.a AS a1 FROM br JOIN so a ON a.s = br.s AND a.t = p JOIN so b ON b.s = br.s AND b.t = n),
 r AS (SELECT s, t, name, 'interpolate' AS mode, x0 + f * (x1 - x0) AS x, {SHORT.replace("fraction", "f")} AS a FROM bx UNION ALL SELECT ta.s, ta.t, ta.name, 'exact', op.x, op.a FROM ta JOIN m USING (s) JOIN op ON op.s = ta.s AND op.t = ta.t WHERE exact AND ta.ok)
-SELECT s, t, name, mode, round(-x * cos(a), 5) AS x, round(x * sin(a), 5) AS y, round(0.0, 5) AS z, round(cos(a), 5) AS c, round(-sin(a), 5) AS i FROM r""")
+SELECT s, t, name, mode, round(-x * cos(a), 5) AS x, round(x * sin(a), 5) AS y, 0.0::DOUBLE AS z, round(cos(a), 5) AS c, round(-sin(a), 5) AS i FROM r""")
 def _(t):
     ev, at = events(t), F.col("t")
     v = F.col("v")
@@ -195,7 +195,7 @@ def _(t):
 
 @query("w8_bidirectional_smoothing")
 def _(t):
-    return kernels.smoothed(events(t), "s", "t", "v", 3.6e9)
+    return scans.smoothed(events(t), "s", "t", "v", 3.6e9)
 
 
 @query("w9_support_rank", "WITH n AS (SELECT l_partkey, l_orderkey, l_linenumber, dense_rank() OVER (PARTITION BY l_partkey ORDER BY l_orderkey) AS r FROM lineitem) SELECT l_partkey, l_orderkey, l_linenumber FROM n WHERE r <= 3")
@@ -237,7 +237,7 @@ def _(t):
 
 @query("w15_cubic_spline")
 def _(t):
-    return kernels.spline(events(t).withColumn("t", F.col("t") / 3.6e9), "s", "t", "v", 3)
+    return scans.spline(events(t).withColumn("t", F.col("t") / 3.6e9), "s", "t", "v", 3)
 
 
 @query("w18_first_appearance", "WITH f AS (SELECT l_partkey, min({'f': l_orderkey, 'p': l_linenumber}) AS x FROM lineitem WHERE l_quantity > 40 GROUP BY 1) SELECT x.f AS l_orderkey, p_partkey AS l_partkey, x.p AS l_linenumber FROM part LEFT JOIN f ON p_partkey = l_partkey")
@@ -291,3 +291,14 @@ def _(t):
     day = ev.groupBy("s", "e", F.floor(F.col("t") / 86_400_000_000).alias("d")).agg(F.min("k").alias("k"))
     a, b = day.select("s", "d", F.col("e").alias("ea"), F.col("k").alias("first")), day.select("s", "d", F.col("e").alias("eb"), F.col("k").alias("second"))
     return step.unionByName(a.join(b, ["s", "d"]).where("ea < eb").select("s", "first", "second", F.lit(True).alias("same_frame")))
+
+
+@query("f10_chained_gauges", f"""WITH RECURSIVE {EV}, n AS (SELECT s, k, 1 + (v % 7 - 3) / 100 AS c, v / 100 AS a, v % 5 AS x, row_number() OVER (PARTITION BY s ORDER BY t DESC, k DESC) AS i FROM ev),
+g AS (SELECT s, k, i, c, a, x * 1.0 AS x, 0.5::DOUBLE AS y FROM n WHERE i = 1 UNION ALL SELECT n.s, n.k, n.i, g.c * n.c, g.a + n.a, g.x + g.c * (cos(g.a) * n.x - sin(g.a) * 0.5), g.y + g.c * (sin(g.a) * n.x + cos(g.a) * 0.5) FROM g JOIN n ON n.s = g.s AND n.i = g.i + 1)
+SELECT s, k, round(c, 6) AS scale, round(cos(a), 5) AS c, round(sin(a), 5) AS i, round(x, 4) AS x, round(y, 4) AS y FROM g""")
+def _(t):
+    v, zero = F.col("v"), F.lit(0.0)
+    parts = {"scale": 1 + (v % 7 - 3) / 100, "qx": zero, "qy": zero, "qz": F.sin(v / 200), "qw": F.cos(v / 200), "tx": v % 5, "ty": F.lit(0.5), "tz": zero}
+    found = scans.chained_gauges(events(t).select("s", "t", "k", *[c.alias(n) for n, c in parts.items()]), "s", ["t", "k"])
+    c, i = F.col("world_qw") * F.col("world_qw") - F.col("world_qz") * F.col("world_qz"), 2 * F.col("world_qz") * F.col("world_qw")
+    return found.select("s", "k", F.round("world_scale", 6).alias("scale"), F.round(c, 5).alias("c"), F.round(i, 5).alias("i"), F.round("world_tx", 4).alias("x"), F.round("world_ty", 4).alias("y"))

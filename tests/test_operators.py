@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from sparkloom.functions import scalars as sc
+from sparkloom.operators import scans
 from sparkloom.operators import components, graph, kernels, pairs, stats, topk
 from sparkloom.sources import readers
 from sparkloom.streaming import incremental as inc
@@ -275,9 +276,9 @@ def test_smoothing_spline_and_table_hash(spark):
     back = [3.0]
     for v in (1, 4, 0):
         back.append(back[-1] + a * (v - back[-1]))
-    got = [r.smoothed for r in kernels.smoothed(df, "s", "t", "v", 2.0).orderBy("t").collect()]
+    got = [r.smoothed for r in scans.smoothed(df, "s", "t", "v", 2.0).orderBy("t").collect()]
     assert got == pytest.approx([(x + y) / 2 for x, y in zip(ahead, back[::-1])])
-    curve_rows = {round(r.t, 6): r.v for r in kernels.spline(df, "s", "t", "v", 2).collect()}
+    curve_rows = {round(r.t, 6): r.v for r in scans.spline(df, "s", "t", "v", 2).collect()}
     assert [curve_rows[t] for t in (0.0, 1.0, 2.0, 3.0)] == pytest.approx([0, 4, 1, 3]) and len(curve_rows) == 7
     one = sc.table_hash(df, ["s"], ["t", "v"]).first().digest
     assert one == sc.table_hash(df.orderBy(F.desc("t")).repartition(3), ["s"], ["t", "v"]).first().digest
