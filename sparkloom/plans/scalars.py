@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from sparkloom.functions import scalars as sc
-from sparkloom.operators import alignment, inliers, rasters
+from sparkloom.operators import alignment, content, inliers, rasters
 from sparkloom.operators import pairs as pr
 from sparkloom.plans.registry import digest_sql, query
 
@@ -36,6 +36,45 @@ def _(t):
     return sc.table_hash(t.lineitem, ["l_suppkey"], ["l_orderkey", "l_partkey", "l_linenumber", "l_quantity"])
 
 
+_SIZED = "coalesce(strlen({0}) || ':' || {0}, '-')"
+_ORDER = {"o_orderkey": "o_orderkey::VARCHAR", "o_custkey": "o_custkey::VARCHAR", "o_orderstatus": "o_orderstatus", "o_totalprice": "round_even(o_totalprice, 9)::DECIMAL(38, 9)::VARCHAR"}
+_HEAD = '["o_orderkey","o_custkey","o_orderstatus","o_totalprice"]'
+_FOLD = """t AS (SELECT field, 0 AS level, row_number() OVER (PARTITION BY field ORDER BY k) - 1 AS place, hash, count(*) OVER (PARTITION BY field) AS size FROM h
+  UNION ALL SELECT field, level + 1, place // 3, sha256(string_agg(hash, '' ORDER BY place)), (any_value(size) + 2) // 3 FROM t WHERE size > 1 GROUP BY field, level, place // 3)"""
+
+
+@query("f7_table_summary", f"""WITH RECURSIVE h AS (SELECT '' AS field, o_orderkey AS k, sha256({" || ".join(_SIZED.format(x) for x in _ORDER.values())}) AS hash FROM orders), {_FOLD}
+SELECT (SELECT count(*) FROM orders) AS rows, '{_HEAD}' AS columns, sha256('{_HEAD}' || hash) AS sha256 FROM t WHERE size = 1""")
+def _(t):
+    return content.table_summary(t.orders.select(*_ORDER).withColumn("o_note", F.lit(None).cast("string")), ["o_orderkey"], optional=("o_note",))
+
+
+@query("a29_field_digests", "WITH RECURSIVE h AS (" + " UNION ALL ".join(f"SELECT '{c}' AS field, o_orderkey AS k, sha256({_SIZED.format(x)}) AS hash FROM orders" for c, x in list(_ORDER.items())[1:]) + f"""), {_FOLD}
+SELECT field, (SELECT count(*) FROM orders) AS rows, hash AS sha256 FROM t WHERE size = 1""")
+def _(t):
+    return content.field_digests(t.orders, ["o_orderkey"], list(_ORDER)[1:])
+
+
+@query("f7_changed_rows", "SELECT o_orderkey, 'removed' AS state FROM orders WHERE o_orderkey % 97 = 0 UNION ALL SELECT o_orderkey, 'changed' FROM orders WHERE o_orderkey % 97 <> 0 AND o_orderkey % 89 = 0 UNION ALL SELECT -1 - o_orderkey, 'added' FROM orders WHERE o_orderkey % 83 = 0")
+def _(t):
+    k = F.col("o_orderkey")
+    now = t.orders.where(k % 97 != 0).withColumn("o_totalprice", F.when(k % 89 == 0, F.col("o_totalprice") + 0.01).otherwise(F.col("o_totalprice") + 1e-12))
+    return content.changed_rows(t.orders, now.unionByName(t.orders.where(k % 83 == 0).withColumn("o_orderkey", -1 - k)), ["o_orderkey"])
+
+
+@query("f20_tree_digests")
+def _(t):
+    named = F.create_map(F.lit("name"), F.col("n"))
+    group = lambda path: [path.alias("path"), F.lit("group").alias("kind"), named.alias("attrs"), F.lit(None).cast("binary").alias("data"), F.lit(None).cast("string").alias("storage")]
+    region = t.region.select(F.col("r_regionkey").cast("string").alias("r"), F.col("r_name").alias("n"))
+    nation = t.nation.select(F.col("n_regionkey").cast("string").alias("r"), F.col("n_nationkey").cast("string").alias("c"), F.col("n_name").alias("n"))
+    part = t.supplier.join(nation.select("r", "c"), F.col("s_nationkey").cast("string") == F.col("c")).withColumn("n", F.col("s_name"))
+    path = F.concat_ws("/", "r", "c", F.col("s_suppkey").cast("string"))
+    data = part.select(path.alias("path"), F.lit("dataset").alias("kind"), named.alias("attrs"), F.round("s_acctbal", 2).cast("decimal(20,2)").cast("string").cast("binary").alias("data"), F.lit("contiguous").alias("storage"))
+    root = t.spark.range(1).select(F.lit("").alias("path"), F.lit("group").alias("kind"), F.create_map(F.lit("name"), F.lit("root")).alias("attrs"), F.lit(None).cast("binary").alias("data"), F.lit(None).cast("string").alias("storage"))
+    return content.tree_digests(root.unionByName(region.select(*group(F.col("r")))).unionByName(nation.select(*group(F.concat_ws("/", "r", "c")))).unionByName(data))
+
+
 Q = "q AS (SELECT l_orderkey AS o, l_linenumber AS n, l_partkey AS p, sin(l_quantity) AS x, cos(l_quantity) AS y, l_discount AS z, l_tax + 1 AS w, l_discount + 0.1 AS a, l_tax AS b, 0.2 AS c, 0.9 AS d FROM lineitem)"
 
 
