@@ -10,7 +10,10 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from sparkloom.functions import rotations as rt
+from sparkloom.functions import scalars as sc
 from sparkloom.functions.scalars import rotated
+from sparkloom.operators import content
 from sparkloom.operators.pairs import require
 from sparkloom.operators.ranks import ranked
 from sparkloom.operators.topk import natural_key
@@ -254,3 +257,47 @@ def extents(points: DataFrame, by: str, xyz: list[str], axes: dict[str, tuple[fl
     """``(by, axis...)``: how far the points' projections on each axis reach from the least to the greatest."""
     along = {n: sum((F.col(c) * a for c, a in zip(xyz[1:], v[1:])), F.col(xyz[0]) * v[0]) for n, v in axes.items()}
     return points.groupBy(by).agg(*[(F.max(p) - F.min(p)).alias(n) for n, p in along.items()])
+
+
+INTRINSICS = ("fx", "fy", "cx", "cy", "width", "height")
+
+
+def inferred_turns(cameras: DataFrame, targets: DataFrame, key: str, focal_tolerance: float = 1e-9, centre_tolerance: float = 1e-9) -> DataFrame:
+    """``(key, turns)``: the clockwise quarter turns of the image that take each camera's intrinsics to its target's.
+
+    Both have ``key`` and ``INTRINSICS``. Each camera is joined to its four turned forms; exactly one must have the target's size, and its
+    focal lengths and principal point within the tolerances, else the query fails. Keys of one side only are left out.
+    """
+    a, b = cameras.select(key, *INTRINSICS), targets.select(F.col(key).alias("_key"), *[F.col(c).alias(f"_{c}") for c in INTRINSICS])
+    own = [F.col(c).cast("double") for c in INTRINSICS]
+    forms = F.array(*[F.struct(F.lit(k).alias("turns"), *[c.alias(n) for c, n in zip(sc.quarter_turned(*own, -k % 4), INTRINSICS)]) for k in range(4)])
+    each = a.join(b, F.col(key) == F.col("_key")).select(key, *[f"_{c}" for c in INTRINSICS], F.explode(forms).alias("f"))
+    same = (F.col("f.width") == F.col("_width")) & (F.col("f.height") == F.col("_height"))
+    for c, tolerance in (("fx", focal_tolerance), ("fy", focal_tolerance), ("cx", centre_tolerance), ("cy", centre_tolerance)):
+        same = same & (F.abs(F.col(f"f.{c}") - F.col(f"_{c}")) <= tolerance)
+    fits = each.groupBy(key).agg(F.count_if(same).alias("_n"), F.max(F.when(same, F.col("f.turns"))).alias("turns"))
+    fail = F.raise_error(F.concat(F.lit("not exactly one quarter turn fits: "), F.col(key).cast("string"), F.lit(" has "), F.col("_n").cast("string"))).cast("int")
+    return fits.select(key, F.when(F.col("_n") == 1, F.col("turns")).otherwise(fail).alias("turns"))
+
+
+def official_poses(records: DataFrame, cameras: DataFrame, images: DataFrame, pinned: str | None = None, centre_tolerance: float = 1 + 1e-9) -> DataFrame:
+    """``(name, turns, q, t)``: for each image with a record its world-to-camera pose, turned like the image.
+
+    ``records``: ``name``, ``camera``, and the pose ``q`` (x, y, z, w), ``t``; ``cameras``: ``camera`` and ``INTRINSICS``; ``images``: ``name`` and the
+    intrinsics that it has now. Names must be unique; the digest of all records in the order of their names must be ``pinned``, if
+    given; each image needs exactly one fitting quarter turn. Records without an image are left out.
+    """
+    twice = records.groupBy("name").count().where("count > 1").limit(1).collect()
+    if twice:
+        raise ValueError(f"a name has several poses: {twice[0]['name']}")
+    if pinned is not None:
+        found = content.table_summary(records.select("name", "q", "t"), ["name"], places=15).first()["sha256"]
+        if found != pinned:
+            raise ValueError("the poses differ from the pinned ones")
+    own = records.join(images.select("name"), "name", "left_semi")
+    raw = own.select("name", F.col("camera").alias("_camera")).join(cameras, F.col("_camera") == F.col("camera")).select("name", *INTRINSICS)
+    turns = inferred_turns(raw, images, "name", centre_tolerance=centre_tolerance)
+    half = F.col("turns") * (3.141592653589793 / 4)
+    image = F.array(F.lit(0.0), F.lit(0.0), F.sin(half), F.cos(half))
+    turned = own.join(turns, "name").withColumn("_image", image)
+    return turned.select("name", "turns", rt.product(F.col("_image"), rt.unit(F.col("q"))).alias("q"), rt.turned(F.col("_image"), F.col("t")).alias("t"))

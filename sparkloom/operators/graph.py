@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from sparkloom.functions import rotations as rt
+from sparkloom.functions import scalars as sc
 from sparkloom.operators.components import connected_components
 from sparkloom.session import stored
 
@@ -52,6 +54,51 @@ def filtered_tracks(members: DataFrame, track: str, image: str, registered: Data
     return n.where((F.col("n") >= low) & (F.col("n") <= high) & (F.col("n_registered") >= low) & ((F.col("_views") > 2) | F.col("_deep"))).select(track, "n", "n_registered")
 
 
+def problem_tracks(members: DataFrame, images: DataFrame, track: str, low: int, high: int, depth_gate: bool = True) -> DataFrame:
+    """``(track, n, n_registered)``: tracks of ``low`` to ``high`` regular observations, ``low`` or more of them in registered images.
+
+    ``members``: ``track``, ``image``, ``feature``, ``loop`` (seen by loop closure only), ``depth_ok`` and the unit ``ray``; ``images``: the registered
+    ones, with ``frame``, ``camera``, ``prior_focal``, and the pose of the sensor in its rig, ``q`` and ``t``. A track seen in just two
+    registered images, loop closures included, needs a valid depth at every observation there, or two cameras of one frame that
+    meet: one feature in each, both with a prior focal length, apart from each other, rays that are not parallel, and the point halfway between
+    them ahead of both. Nulls count as missing.
+    """
+    m = members.select(F.col(track).alias("track"), F.col("image").alias("image"), "feature", F.coalesce("loop", F.lit(False)).alias("loop"), F.coalesce("depth_ok", F.lit(False)).alias("depth_ok"), "ray")
+    known = images.select(F.col("image").alias("own")).distinct()
+    j = m.join(known, F.col("image") == F.col("own"), "left").withColumn("here", F.col("own").isNotNull())
+    at = lambda f: f(F.when(F.col("here"), F.struct("feature", "ray")), F.when(F.col("here"), F.col("image")))
+    counts = [F.count_if(~F.col("loop")).alias("n"), F.count_if(~F.col("loop") & F.col("here")).alias("n_registered"), F.bool_and(F.when(F.col("here"), F.col("depth_ok"))).alias("deep")]
+    ends = [F.min(F.when(F.col("here"), F.col("image"))).alias("a"), F.max(F.when(F.col("here"), F.col("image"))).alias("b"), at(F.min_by).alias("first"), at(F.max_by).alias("second")]
+    views = j.where("here").groupBy("track").agg(F.count_distinct("image").alias("views"), F.count_distinct(F.struct("image", "feature")).alias("features"))
+    found = j.groupBy("track").agg(*counts, *ends).where(F.col("n").between(low, high) & (F.col("n_registered") >= low)).join(views.withColumnRenamed("track", "of"), F.col("track") == F.col("of")).drop("of")
+    gated = (F.col("views") == 2) & ~F.col("deep") if depth_gate else F.lit(False)
+    pair = found.where(gated & (F.col("features") == 2)).select("track", "a", "b", "first", "second")
+    for side in ("a", "b"):
+        pose = images.select(F.col("image").alias(f"{side}_image"), *[F.col(c).alias(f"{side}_{c}") for c in ("frame", "camera", "prior_focal", "q", "t")])
+        pair = pair.join(pose, F.col(side) == F.col(f"{side}_image"))
+    rig = (F.col("a_frame") == F.col("b_frame")) & (F.col("a_camera") != F.col("b_camera")) & F.col("a_prior_focal") & F.col("b_prior_focal")
+    turn = rt.product(F.col("b_q"), rt.conjugate(F.col("a_q")))
+    pair = pair.where(rig).withColumn("turn", turn).withColumn("shift", F.zip_with("b_t", rt.turned(F.col("turn"), F.col("a_t")), lambda x, y: x - y))
+    pair = pair.withColumn("ray1", F.col("first.ray")).withColumn("ray2", F.col("second.ray"))
+    stereo = pair.where(_meet([F.col("turn")[i] for i in range(4)], [F.col("shift")[i] for i in range(3)], [F.col("ray1")[i] for i in range(3)], [F.col("ray2")[i] for i in range(3)])).select("track")
+    kept = found.where(~gated).unionByName(found.where(gated).join(stereo, "track", "left_semi"))
+    return kept.select(F.col("track").alias(track), "n", "n_registered")
+
+
+def _meet(q: list[Column], t: list[Column], a: list[Column], b: list[Column]) -> Column:
+    """Whether two rays from cameras that are apart are not parallel, and the point halfway between them is ahead of both."""
+    dot = lambda x, y: x[0] * y[0] + x[1] * y[1] + x[2] * y[2]
+    r = sc.rotated(q, a)
+    cross = [r[1] * b[2] - r[2] * b[1], r[2] * b[0] - r[0] * b[2], r[0] * b[1] - r[1] * b[0]]
+    # depths along r from t and along b from the origin, in the second camera
+    aa, bb, ab, ta, tb = dot(r, r), dot(b, b), dot(r, b), dot(t, r), dot(t, b)
+    det = aa * bb - ab * ab
+    one, two = F.try_divide(ab * tb - bb * ta, det), F.try_divide(aa * tb - ab * ta, det)
+    middle = [(t[i] + one * r[i] + two * b[i]) / 2 for i in range(3)]
+    before = dot([middle[i] - t[i] for i in range(3)], r)  # along the first ray, whose camera stands at t
+    return (dot(t, t) > 1e-12) & (dot(cross, cross) > 1e-12) & (before > 1e-6) & (dot(middle, b) > 1e-6)
+
+
 def transitive_pairs(members: DataFrame, track: str, image: str, feature: str) -> DataFrame:
     """``(image_a, feature_a, image_b, feature_b)`` of observations of one track in different images, image_a < image_b, each once.
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from sparkloom.functions import scalars as sc
 from sparkloom.operators import graph as gr
 from sparkloom.plans.registry import query
 
@@ -62,6 +63,23 @@ def _(t):
     return gr.filtered_tracks(placed(t), "track", "image", registered, 2, 100, F.col("x") > 0)
 
 
+RAY = "SELECT *, (obs % 11 - 5) / 20.0::DOUBLE AS u, (obs % 9 - 4) / 20.0::DOUBLE AS v, x > 0 AS deep, obs % 5 = 0 AS loop FROM p"
+
+
+@query("g4_problem_tracks", f"""WITH {PLACED}, mm AS ({RAY}), rr AS (SELECT *, sqrt(u * u + v * v + 1) AS n FROM mm),
+gg AS (SELECT track, count_if(NOT loop) AS n, count_if(NOT loop AND image < 6) AS n_registered, bool_and(deep) FILTER (image < 6) AS deep, count(DISTINCT image) FILTER (image < 6) AS views, count(DISTINCT (image, obs)) FILTER (image < 6) AS features, min(image) FILTER (image < 6) AS a, max(image) FILTER (image < 6) AS b FROM rr GROUP BY 1),
+ss AS (SELECT gg.track, p.u / p.n AS ax, p.v / p.n AS ay, 1 / p.n AS az, q.u / q.n AS bx, q.v / q.n AS "by", 1 / q.n AS bz, 0.2 * (gg.b - gg.a) AS t FROM gg JOIN rr p ON p.track = gg.track AND p.image = gg.a JOIN rr q ON q.track = gg.track AND q.image = gg.b WHERE views = 2 AND features = 2 AND gg.a // 2 = gg.b // 2 AND gg.a <> 4 AND gg.b <> 4),
+dd AS (SELECT *, ax * bx + ay * "by" + az * bz AS ab, t * ax AS ta, t * bx AS tb FROM ss), ll AS (SELECT *, (ab * tb - ta) / nullif(1 - ab * ab, 0) AS one, (tb - ab * ta) / nullif(1 - ab * ab, 0) AS two FROM dd WHERE 1 - ab * ab > 1e-12),
+ww AS (SELECT *, (t + one * ax + two * bx) / 2 AS mx, (one * ay + two * "by") / 2 AS my, (one * az + two * bz) / 2 AS mz FROM ll)
+SELECT track, n, n_registered FROM gg WHERE n BETWEEN 1 AND 100 AND n_registered >= 1 AND (views <> 2 OR deep OR track IN (SELECT track FROM ww WHERE (mx - t) * ax + my * ay + mz * az > 1e-6 AND mx * bx + my * "by" + mz * bz > 1e-6))""")
+def _(t):
+    obs, u, v = F.col("obs"), (F.col("obs") % 11 - 5) / 20.0, (F.col("obs") % 9 - 4) / 20.0
+    members = placed(t).select("track", "image", obs.alias("feature"), (obs % 5 == 0).alias("loop"), (F.col("x") > 0).alias("depth_ok"), F.array(*sc.bearing(u, v)).alias("ray"))
+    image, number = F.col("image"), lambda *xs: F.array(*[F.lit(x) if isinstance(x, float) else x for x in xs])
+    images = t.spark.range(6).select(F.col("id").alias("image")).select("image", F.floor(image / 2).alias("frame"), (image % 2).alias("camera"), (image != 4).alias("prior_focal"), number(0.0, 0.0, 0.0, 1.0).alias("q"), number(image * 0.2, 0.0, 0.0).alias("t"))
+    return gr.problem_tracks(members, images, "track", 1, 100)
+
+
 @query("g5_transitive_pairs", f"WITH {PLACED} SELECT DISTINCT a.image AS image_a, a.obs AS feature_a, b.image AS image_b, b.obs AS feature_b FROM p a JOIN p b ON a.track = b.track AND a.image < b.image")
 def _(t):
     return gr.transitive_pairs(placed(t), "track", "image", "obs")

@@ -4,8 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from sparkloom.functions import cameras
 from sparkloom.functions import scalars as sc
-from sparkloom.operators import alignment, content, inliers, rasters
+from sparkloom.operators import alignment, capture, content, inliers, rasters
 from sparkloom.operators import pairs as pr
 from sparkloom.plans.registry import digest_sql, query
 
@@ -101,6 +102,29 @@ def _(t):
     return t.lineitem.select("l_orderkey", "l_linenumber", "l_partkey", F.round(u, 5).alias("u"), F.round(v, 5).alias("v"))
 
 
+LENS = """p AS (SELECT l_orderkey, l_linenumber, l_partkey, (l_partkey + l_linenumber) % 4 AS m, l_discount * 8 - 0.4 AS u, l_tax * 8 - 0.3 AS v FROM lineitem), s AS (SELECT *, u * u + v * v AS s, sqrt(u * u + v * v) AS r, atan(sqrt(u * u + v * v)) AS a FROM p),
+f AS (SELECT *, CASE m WHEN 0 THEN 1 + 0.1 * s - 0.03 * s * s WHEN 1 THEN 1 - 0.2 * s + 0.05 * s * s WHEN 2 THEN 2 / (1 + sqrt(1 - 4 * -0.15 * s)) ELSE CASE WHEN s < 1e-8 THEN 1 + (0.02 - 1 / 3.0) * s ELSE a * (1 + 0.02 * a * a - 0.01 * power(a, 4) + 0.003 * power(a, 6) - 0.001 * power(a, 8)) / r END END AS f FROM s)"""
+
+
+@query("f11_distorted_cameras", f"""WITH {LENS} SELECT l_orderkey, l_linenumber, l_partkey, round(500 * (u * f + CASE WHEN m = 1 THEN 2 * 0.001 * u * v - 0.002 * (s + 2 * u * u) ELSE 0 END) + 320, 4) AS x, round(510 * (v * f + CASE WHEN m = 1 THEN 2 * -0.002 * u * v + 0.001 * (s + 2 * v * v) ELSE 0 END) + 240, 4) AS y, true AS same, round(500 * u + 320, 4) AS flat_x FROM f""")
+def _(t):
+    u, v = F.col("l_discount") * 8 - 0.4, F.col("l_tax") * 8 - 0.3
+    lenses = [("OPENCV", [0.1, -0.03, 0.0, 0.0]), ("OPENCV", [-0.2, 0.05, 0.001, -0.002]), ("DIVISION", [-0.15]), ("OPENCV_FISHEYE", [0.02, -0.01, 0.003, -0.001])]
+    kind = (F.col("l_partkey") + F.col("l_linenumber")) % 4
+
+    def each(of):
+        out = None
+        for k, (name, extra) in enumerate(lenses):
+            value = of(name, F.array(*[F.lit(float(x)) for x in (500, 510, 320, 240, *extra)]))
+            out = F.when(kind == k, value) if out is None else out.when(kind == k, value)
+        return out
+
+    rows = t.lineitem.select("l_orderkey", "l_linenumber", "l_partkey", u.alias("u"), v.alias("v"), each(lambda m, p: cameras.project(m, p, F.array(2 * u, 2 * v, F.lit(2.0)))).alias("px"))
+    rows = rows.withColumn("uv", each(lambda m, p: cameras.unproject(m, p, F.col("px")[0], F.col("px")[1])))
+    same = F.coalesce(F.greatest(F.abs(F.col("uv")[0] - F.col("u")), F.abs(F.col("uv")[1] - F.col("v"))) < 1e-9, F.lit(False))
+    return rows.select("l_orderkey", "l_linenumber", "l_partkey", *[F.round(F.col("px")[i], 4).alias(c) for i, c in enumerate("xy")], same.alias("same"), F.round(500 * F.col("uv")[0] + 320, 4).alias("flat_x"))
+
+
 @query("f12_bearings", "SELECT l_orderkey, l_linenumber, l_partkey, round(l_discount / sqrt(l_discount * l_discount + l_tax * l_tax + 1), 8) AS x, round(1 / sqrt(l_discount * l_discount + l_tax * l_tax + 1), 8) AS z FROM lineitem")
 def _(t):
     x, _, z = sc.bearing(F.col("l_discount"), F.col("l_tax"))
@@ -218,6 +242,21 @@ def _(t):
     return t.part.select("p_partkey", F.explode(turned).alias("x")).select("p_partkey", "x.turns", "x.fx", "x.cx")
 
 
+@query("j20_official_poses", "SELECT s_name AS name, (s_suppkey % 4)::INT AS turns, round(cos(s_acctbal / 1000 + pi() / 2 * (s_suppkey % 4)), 5) AS c, round(sin(s_acctbal / 1000 + pi() / 2 * (s_suppkey % 4)), 5) AS i, round(cos(pi() / 2 * (s_suppkey % 4)) * s_suppkey - sin(pi() / 2 * (s_suppkey % 4)) * s_nationkey, 5) AS x, round(sin(pi() / 2 * (s_suppkey % 4)) * s_suppkey + cos(pi() / 2 * (s_suppkey % 4)) * s_nationkey, 5) AS y FROM supplier")
+def _(t):
+    s, half, zero = F.col("s_suppkey"), F.col("s_acctbal") / 2000, F.lit(0.0)
+    records = t.supplier.select(F.col("s_name").alias("name"), F.col("s_nationkey").alias("camera"), F.array(zero, zero, F.sin(half), F.cos(half)).alias("q"), F.array(s.cast("double"), F.col("s_nationkey").cast("double"), F.lit(1.0)).alias("t"))
+    intrinsics = lambda n: [500.0 + n, 600.0 + n, 300.0 + n, F.lit(200.0), F.lit(640), F.lit(480)]
+    known = t.supplier.select("s_nationkey").distinct().select(F.col("s_nationkey").alias("camera"), *[c.alias(n) for c, n in zip(intrinsics(F.col("s_nationkey")), capture.INTRINSICS)])
+    base = [c.cast("double") for c in intrinsics(F.col("s_nationkey"))]
+    turned = [sc.quarter_turned(*base, -k % 4) for k in range(4)]
+    now = [F.element_at(F.array(*[turned[k][i] for k in range(4)]), (s % 4 + 1).cast("int")).alias(n) for i, n in enumerate(capture.INTRINSICS)]
+    pinned = content.table_summary(records.select("name", "q", "t"), ["name"], places=15).first()["sha256"]
+    found = capture.official_poses(records, known, t.supplier.select(F.col("s_name").alias("name"), *now), pinned)
+    q, p = F.col("q"), F.col("t")
+    return found.select("name", "turns", F.round(q[3] * q[3] - q[2] * q[2], 5).alias("c"), F.round(2 * q[2] * q[3], 5).alias("i"), F.round(p[0], 5).alias("x"), F.round(p[1], 5).alias("y"))
+
+
 @query("f17_f19_scale_inverse", "SELECT p_partkey, (p_size + 0.5::DOUBLE) * 0.25 - 0.5 AS x, round(3.0 / nullif(p_size * 3.0 - 2, 0), 9) AS a, round(-1.0 / nullif(p_size * 3.0 - 2, 0), 9) AS b FROM part")
 def _(t):
     a, b, _, _ = sc.inverse_2x2(F.col("p_size").cast("double"), F.lit(1.0), F.lit(2.0), F.lit(3.0))
