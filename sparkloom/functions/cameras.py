@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from sparkloom.functions.rotations import bound
 
-STEPS = 20
+STEPS = 12
 SETTLED = 1e-12
 
 

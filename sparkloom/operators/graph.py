@@ -79,7 +79,8 @@ def problem_tracks(members: DataFrame, images: DataFrame, track: str, low: int,
     rig = (F.col("a_frame") == F.col("b_frame")) & (F.col("a_camera") != F.col("b_camera")) & F.col("a_prior_focal") & F.col("b_prior_focal")
     turn = rt.product(F.col("b_q"), rt.conjugate(F.col("a_q")))
     pair = pair.where(rig).withColumn("turn", turn).withColumn("shift", F.zip_with("b_t", rt.turned(F.col("turn"), F.col("a_t")), lambda x, y: x - y))
-    pair = pair.withColumn("ray1", F.col("first.ray")).withColumn("ray2", F.col("second.ray"))
+    # kept, so that the test below is not written out over all that it is made from
+    pair = stored(pair.select("track", "turn", "shift", F.col("first.ray").alias("ray1"), F.col("second.ray").alias("ray2")), "stereo")
     stereo = pair.where(_meet([F.col("turn")[i] for i in range(4)], [F.col("shift")[i] for i in range(3)], [F.col("ray1")[i] for i in range(3)], [F.col("ray2")[i] for i in range(3)])).select("track")
     kept = found.where(~gated).unionByName(found.where(gated).join(stereo, "track", "left_semi"))
     return kept.select(F.col("track").alias(track), "n", "n_registered")
