@@ -50,27 +50,47 @@ APART_OUTSIDE = APART_ANYWHERE | frozenset(
     "banner notice notices notification popup modal overlay login menu menus navigations pager toc footer header masthead topbar "
     "toolbar respond reply replies widget widgets form search skip".split()
 )
+#: Words that, beside one of the others, make up a name of a part of the page and not of a subject.
+FRAME_WORDS = frozenset(
+    "area bar bars block body bottom box btn button buttons card cards col column container content desktop entry fixed global icon icons inner "
+    "item items label large left link links list main media mobile outer overlay page panel post posts primary region right row secondary "
+    "section site slot small sticky text title top unit wrap wrapper zone".split()
+)
+#: What a declared article can be after all.
+APART_ARTICLE = frozenset("ad ads advert adverts advertisement comment comments disqus promo sponsor sponsored".split())
 MAIN_WORDS = frozenset(("articlebody", "article-body", "article__body", "post-content", "entry-content", "article-content", "story-body"))
 
-_markup = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z)", re.S)
-_attribute = re.compile(r"([^\s\"'>/=]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
-_words = re.compile(r"[^a-z0-9]+")
+# a quote opens a value only right after an equals sign; what is read is not read again
+_markup = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*+)((?:=\s*+(?:\"[^\"]*\"|'[^']*')?+|[^>=])*+)(?:>|\Z)", re.S)
+_attribute = re.compile(r"([^\s\"'>/=]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>][^\s>]*)))?")
+_joints = re.compile(r"[-_]+")
+DEEP = 4000  # characters of a path; elements further down are told from each other no more
+
+
+def names_a_part(token: str, words: frozenset) -> bool:
+    """Whether a word of a class or id is one of ``words``, or several words, one of these among them, that all name parts of pages."""
+    if token in words:
+        return True
+    parts = [p for p in _joints.split(token) if p]
+    return any(p in words for p in parts) and all(p in APART_OUTSIDE or p in FRAME_WORDS or p.isdigit() for p in parts)
 
 
 def describe(tag: str, attributes: str) -> tuple[str, bool, bool, bool]:
     """The element's name with its classes, whether it is apart from the article, whether even inside it, and whether it is the article.
 
-    Of an attribute named twice the first counts; words inside values are no names.
+    Of an attribute named twice the first counts; words inside values are no names. A class or id counts as a whole, so that
+    one that names a subject (``category-social``, ``related-work``) says nothing; a declared article is not judged by such words
+    unless it is a comment or an advert.
     """
     found: dict[str, str] = {}
     for m in _attribute.finditer(attributes) if attributes.strip() else ():
         found.setdefault(m[1].lower(), (m[2] or m[3] or m[4] or "").lower())
     classes = " ".join(sorted(f"{found.get('class', '')} {found.get('id', '')}".split()))
-    names = set(_words.split(classes)) | {classes.replace(" ", "")} if tag not in ("html", "body", "main") else set()
+    names = classes.split() if tag not in ("html", "body", "main") else []
     article = tag in ("article", "main") or found.get("role") == "main" or found.get("itemprop") == "articlebody" or bool(set(classes.split()) & MAIN_WORDS)
     always = tag in APART or tag in RAW or found.get("role") in APART_ROLES or "hidden" in found or found.get("aria-hidden") == "true"
-    always = always or bool(names & APART_ANYWHERE)
-    apart = always or tag == "header" or bool(names & APART_OUTSIDE)
+    always = always or any(names_a_part(n, APART_ARTICLE if article else APART_ANYWHERE) for n in names)
+    apart = always or tag == "header" or not article and any(names_a_part(n, APART_OUTSIDE) for n in names)
     return f"{tag}.{classes.replace(' ', '.')}" if classes else tag, apart, always, article and not (apart and tag != "main")
 
 
@@ -96,6 +116,9 @@ def parse(page: str, known: dict | None = None) -> tuple[Counter, list[Block]]:
     run: list[str] = []
     top: dict[str, int] = {}
     plain = False  # whether the run has text outside links
+    opened: Counter = Counter()  # open elements by tag
+    barriers = [0]  # and of those that bar a way up
+    apart_at: list[int] = []  # where elements stand that are apart by what they are
 
     def flush() -> None:
         nonlocal plain
@@ -114,7 +137,12 @@ def parse(page: str, known: dict | None = None) -> tuple[Counter, list[Block]]:
     def pop(to: int) -> None:
         if any(e[0] not in INLINE for e in stack[to:]):
             flush()
+        for e in stack[to:]:
+            opened[e[0]] -= 1
+            barriers[0] -= e[0] in BARRIER
         del stack[to:]
+        while apart_at and apart_at[-1] >= to:
+            apart_at.pop()
 
     at, end = 0, len(page)
     while at < end:
@@ -125,21 +153,23 @@ def parse(page: str, known: dict | None = None) -> tuple[Counter, list[Block]]:
             break
         if m.start() > at:
             run.append(page[at : m.start()])
-            plain = plain or not any(e[0] == "a" for e in stack) and not page[at : m.start()].isspace()
+            plain = plain or not opened["a"] and not page[at : m.start()].isspace()
         at = m.end()
         tag = (m[2] or "").lower()
         if not tag:
             continue
         if m[1]:
+            held = barriers[0] and tag not in BARRIER and tag != "html"
+            if not opened[tag]:
+                if tag not in INLINE and not held:
+                    flush()
+                continue
             for i in range(len(stack) - 1, -1, -1):
                 if stack[i][0] == tag:
                     pop(i)
                     break
-                if stack[i][0] in BARRIER and tag not in BARRIER and tag != "html":
+                if held and stack[i][0] in BARRIER:
                     break
-            else:
-                if tag not in INLINE:
-                    flush()
             continue
         if tag == "br" or tag == "wbr":
             run.append(" " * (tag == "br"))
@@ -150,17 +180,19 @@ def parse(page: str, known: dict | None = None) -> tuple[Counter, list[Block]]:
                 known.clear()
             about = known[key] = describe(tag, m[3])
         name, apart, always, article = about
-        if tag in CLOSES_P and any(e[0] == "p" for e in stack):
-            pop(max(i for i, e in enumerate(stack) if e[0] == "p"))
-        for i in range(len(stack) - 1, -1, -1):
-            if stack[i][0] in SELF_CLOSING.get(tag, ()):
+        if tag in CLOSES_P and opened["p"]:
+            pop(next(i for i in range(len(stack) - 1, -1, -1) if stack[i][0] == "p"))
+        ends = [t for t in SELF_CLOSING.get(tag, ()) if opened[t]]
+        for i in range(len(stack) - 1, -1, -1) if ends else ():
+            if stack[i][0] in ends:
                 pop(i)
                 break
             if stack[i][0] in BARRIER:
                 break
         if tag in ("body", "article", "main"):  # what should have been closed before
-            for i, e in enumerate(stack):
-                if e[2] and e[0] in APART and (tag == "body" or not any(x[3] for x in stack[:i])) and "comment" not in e[1]:
+            for i in apart_at[:50]:
+                e = stack[i]
+                if (tag == "body" or not (i and stack[i - 1][3])) and "comment" not in e[1]:
                     pop(i)
                     break
         if tag not in INLINE:
@@ -169,8 +201,9 @@ def parse(page: str, known: dict | None = None) -> tuple[Counter, list[Block]]:
         if tag not in PARTS and tag not in INLINE:  # containers of one name are told apart by their order
             children[name] = children.get(name, 0) + 1
             name = f"{name}[{children[name]}]" if children[name] > 1 else name
-        path = f"{above}>{name}"
-        elements[path] += 1
+        path = f"{above}>{name}" if len(above) < DEEP else above
+        if path is not above:
+            elements[path] += 1
         if tag in VOID:
             continue
         if tag in RAW:
@@ -178,7 +211,11 @@ def parse(page: str, known: dict | None = None) -> tuple[Counter, list[Block]]:
             at = close.end() if close else end
             continue
         head = headed or tag == "header" and around
+        opened[tag] += 1
+        barriers[0] += tag in BARRIER
         stack.append((tag, path, inside or (always if around else apart), around or article and not inside, head, {}))
+        if tag in APART and stack[-1][2]:
+            apart_at.append(len(stack) - 1)
     flush()
     return elements, blocks
 

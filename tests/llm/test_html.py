@@ -129,3 +129,29 @@ def test_given_pages_without_telling_names(spark):
     plain = pages.selectExpr("page_id", "url", r"""regexp_replace(regexp_replace(html, '<(/?)(article|nav|footer)>', '<$1div>'), ' class="ad"', '') AS html""")
     got = {r.page_id: r.text for r in h.extract_main_text(plain).collect()}
     assert sum(got[k] == v for k, v in want.items()) >= 0.98 * len(want)
+
+
+def test_words_of_subjects_and_stray_quotes_lose_nothing():
+    from sparkloom.llm.html import parse
+
+    kept = lambda page: [(b.text, b.apart) for b in parse(page)[1]]
+    for about in ("post category-social tag-advertising", "post-12 category-newsletter", "related", "social"):
+        assert kept(f'<article class="{about}"><h1>T</h1><p>One</p></article>') == [("T", False), ("One", False)]
+    assert kept('<div class="social-science"><p>a</p></div>') == [("a", False)]
+    inside = '<section class="related-work"><p>a</p></section><div class="share-price">b</div><div id="comments-on-law">c</div>'
+    assert kept(f"<article>{inside}</article>") == [("a", False), ("b", False), ("c", False)]
+    parts = ("comments-area", "site-nav", "social-share", "related-posts", "cookie-banner", "ad-slot-3", "site-header__nav")
+    assert all(kept(f'<div class="{c}"><p>x</p></div>') == [("x", True)] for c in parts) and kept('<article class="comment">x</article>') == [("x", True)]
+    assert kept("<p title=it's>Hello</p><p>Middle</p><p>don't stop</p>") == [("Hello", False), ("Middle", False), ("don't stop", False)]
+    assert kept("<a href=\"x>y\" class='p>q'>k</a><p data-a = \"it's\">v</p>") == [("k", False), ("v", False)]
+
+
+def test_long_broken_pages_take_time_by_their_length():
+    import time
+
+    from sparkloom.llm.html import parse
+
+    for page in ("<b x" * 250_000 + "'", "<div>" * 50_000 + "x", "<p>" + "<b>y " * 50_000, "<b>" * 50_000 + "</i>" * 50_000, "<article>" * 50_000):
+        began = time.perf_counter()
+        parse(page)
+        assert time.perf_counter() - began < 5
