@@ -175,6 +175,39 @@ def scene_report(rows: DataFrame, scene: str, target: str, error: str, threshold
     return mean.join(pooled, [scene, "threshold"])
 
 
+def auc_errors(full: DataFrame, windowed: DataFrame, by: str, name: str, penalty: float | None = MISSING) -> DataFrame:
+    """``(by, window, name, error)``: the errors that the curves of a trajectory are made of; ``window`` is null for the whole trajectory.
+
+    ``full``: ``by``, ``name``, ``error``, ``have`` (whether the pose was estimated) and the trajectory's ``path_length``, a row for each expected name;
+    ``windowed``: ``by``, ``window``, ``name``, ``error``. Errors over the whole trajectory are taken over its path length; those not finite, and
+    trajectories without a length, are left out. With a ``penalty`` it stands for every name not estimated, and in each window that its trajectory has for
+    every expected name without an error there; without one such names are left out of windows.
+    """
+    whole = full.select(F.col(by).alias("by"), F.col(name).alias("name"), F.col("error").cast("double").alias("error"), F.coalesce("have", F.lit(False)).alias("have"), F.col("path_length").alias("length"))
+    value = F.col("error") if penalty is None else F.when(F.col("have"), F.col("error")).otherwise(F.lit(float(penalty)))
+    over = finite(whole.where("length > 0").withColumn("error", value), "error").select("by", F.lit(None).cast("double").alias("window"), "name", (F.col("error") / F.col("length")).alias("error"))
+    own = windowed.select(F.col(by).alias("by"), F.col("window").cast("double").alias("window"), F.col(name).alias("name"), F.col("error").cast("double").alias("error"))
+    out = over.unionByName(own)
+    if penalty is not None:
+        due = own.select("by", "window").distinct().join(whole.select("by", "name").distinct(), "by")
+        out = out.unionByName(due.join(own.select("by", "window", "name"), ["by", "window", "name"], "left_anti").withColumn("error", F.lit(float(penalty))))
+    return out.select(F.col("by").alias(by), "window", F.col("name").alias(name), "error")
+
+
+def report_lines(rows: DataFrame, cases: DataFrame, scene: str, target: str, error: str, thresholds: list[float]) -> DataFrame:
+    """``(scene, threshold, percent, completed, failed)``: the mean over a scene's targets of their curves in per cent, at all thresholds but the
+    last, which only bounds the curve; and how many of the scene's ``cases`` (``scene``, ``completed``) are done. A scene without errors has no line."""
+    each = error_auc(rows, [scene, target], error, thresholds).where(F.col("threshold") < float(max(thresholds)))
+    mean = each.groupBy(scene, "threshold").agg((F.avg("auc") * 100).alias("percent"))
+    done = cases.groupBy(F.col(scene).alias("_scene")).agg(F.count_if(F.col("completed")).alias("completed"), F.count_if(~F.coalesce("completed", F.lit(False))).alias("failed"))
+    return mean.join(done, F.col(scene).eqNullSafe(F.col("_scene")), "left").select(scene, "threshold", "percent", F.coalesce("completed", F.lit(0)).alias("completed"), F.coalesce("failed", F.lit(0)).alias("failed"))
+
+
+def summed_counts(counts: DataFrame, scene: str, key: str, value: str) -> DataFrame:
+    """``(scene, key, total, trajectories)``: each count summed over a scene's trajectories, and over how many that is; nulls count for neither."""
+    return counts.where(F.col(value).isNotNull()).groupBy(scene, key).agg(F.sum(value).cast("bigint").alias("total"), F.count("*").alias("trajectories"))
+
+
 def difficulty(name: Column) -> Column:
     """easy, medium, hard or other, by what the name contains."""
     low = F.lower(name)

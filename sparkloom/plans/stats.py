@@ -42,6 +42,18 @@ def _(t):
     return st.imputed(t.part.select("p_partkey"), found, ["p_partkey"], "e")
 
 
+@query("a5_auc_errors", """WITH f AS (SELECT l_suppkey AS s, l_orderkey * 10 + l_linenumber AS n, min(abs(l_extendedprice - 30000)) AS e, bool_or(l_returnflag <> 'A') AS have FROM lineitem GROUP BY 1, 2), g AS (SELECT s, n, e, have, s % 7 * 2.5::DOUBLE AS length FROM f),
+w AS (SELECT s, w.w, n, e / w.w AS e FROM g JOIN (SELECT unnest([10.0::DOUBLE, 50.0::DOUBLE]) AS w) w ON (s + w.w) % 3 <> 0 WHERE n % 4 <> 0)
+SELECT s, NULL::DOUBLE AS "window", n, round(CASE WHEN have THEN e ELSE 1e6 END / length, 4) AS error FROM g WHERE length > 0 UNION ALL SELECT s, w, n, round(e, 4) FROM w
+UNION ALL SELECT g.s, d.w, g.n, 1e6 FROM g JOIN (SELECT DISTINCT s, w FROM w) d USING (s) WHERE (g.s, d.w, g.n) NOT IN (SELECT (s, w, n) FROM w)""")
+def _(t):
+    n = F.col("l_orderkey") * 10 + F.col("l_linenumber")
+    full = t.lineitem.groupBy(F.col("l_suppkey").alias("s"), n.alias("n")).agg(F.min(F.abs(F.col("l_extendedprice") - 30000)).alias("error"), F.bool_or(F.col("l_returnflag") != "A").alias("have")).withColumn("path_length", F.col("s") % 7 * 2.5)
+    windows = full.where("n % 4 <> 0").withColumn("window", F.explode(F.array(F.lit(10.0), F.lit(50.0)))).where((F.col("s") + F.col("window")) % 3 != 0)
+    found = st.auc_errors(full, windows.select("s", "window", "n", (F.col("error") / F.col("window")).alias("error")), "s", "n")
+    return found.select("s", "window", "n", F.round("error", 4).alias("error"))
+
+
 @query("a6_ate_statistics", "SELECT event_type, round(sqrt(avg(value * value)), 6) AS rmse, round(avg(value), 6) AS mean, round(median(value), 6) AS median, round(stddev_pop(value), 6) AS std, min(value) AS min, max(value) AS max, round(sum(value * value), 3) AS sse FROM events GROUP BY 1")
 def _(t):
     s = st.ate_statistics(t.events, ["event_type"], "value")
@@ -58,6 +70,20 @@ def _(t):
     return st.scene_report(rows, "o_orderpriority", "o_orderstatus", "e", [2.0, 10.0]).withColumn("mean_auc", F.round("mean_auc", 6))
 
 
+@query("a7_report_lines", f"""WITH {auc_sql(REPORT, 'o_orderpriority, o_orderstatus', '[2.0::DOUBLE, 10.0]')}, d AS (SELECT o_orderpriority, count_if(o_totalprice > 100000) AS completed, count_if(o_totalprice <= 100000) AS failed FROM orders GROUP BY 1)
+SELECT o_orderpriority, threshold, round(avg(auc) * 100, 4) AS percent, any_value(completed)::BIGINT AS completed, any_value(failed)::BIGINT AS failed FROM auc JOIN d USING (o_orderpriority) WHERE threshold < 10 GROUP BY 1, 2""")
+def _(t):
+    rows = t.orders.withColumn("e", F.abs(F.col("o_totalprice") - 200000) / 10000)
+    cases = t.orders.select("o_orderpriority", (F.col("o_totalprice") > 100000).alias("completed"))
+    return st.report_lines(rows, cases, "o_orderpriority", "o_orderstatus", "e", [2.0, 10.0]).withColumn("percent", F.round("percent", 4))
+
+
+@query("a8_summed_counts", "SELECT l_shipmode AS scene, l_returnflag AS key, sum(l_linenumber)::BIGINT AS total, count(*) AS trajectories FROM (SELECT l_linestatus AS l_shipmode, l_returnflag, CASE WHEN l_tax > 0.01 THEN l_linenumber END AS l_linenumber FROM lineitem) WHERE l_linenumber IS NOT NULL GROUP BY 1, 2")
+def _(t):
+    counts = t.lineitem.select(F.col("l_linestatus").alias("scene"), F.col("l_returnflag").alias("key"), F.when(F.col("l_tax") > 0.01, F.col("l_linenumber")).alias("n"))
+    return st.summed_counts(counts, "scene", "key", "n")
+
+
 @query("a9_grand_average", f"""WITH {auc_sql(REPORT, 'o_orderpriority', '[2.0::DOUBLE, 10.0]')}, m AS (SELECT o_orderpriority, avg(abs(o_totalprice - 200000)) AS ate FROM orders GROUP BY 1)
 SELECT threshold, round(avg(auc), 6) AS auc, (SELECT round(avg(ate), 4) FROM m) AS ate FROM auc GROUP BY 1""")
 def _(t):

@@ -293,3 +293,18 @@ def test_columns_named_like_helpers_stay(spark):
     for got in (pr.first_direction(df, "a", "b", ["a"]), topk.capped(df, "a", "b", [F.lit(1)], "s", 9), pr.union_first([df, df], "a", "b", "s")):
         assert got.columns == df.columns and got.count() == 2 and {r._v for r in got.collect()} == {7}
     assert [(r._r, r._v, r.n, r.t) for r in ranked(df, ["s"], "n", "t", "_v").orderBy("n").collect()] == [("c", 7, 1, 7), ("a", 7, 2, 14), ("b", 7, 3, 21)]
+
+
+def test_auc_errors_and_report(spark):
+    full = spark.createDataFrame([(1, "a", 4.0, True, 2.0), (1, "b", 1e6, False, 2.0), (1, "c", float("nan"), True, 2.0), (2, "a", 1.0, True, 0.0), (3, "a", None, None, 5.0)], "s int, n string, error double, have boolean, path_length double")
+    windows = spark.createDataFrame([(1, 10, "a", 0.5), (1, 50, "c", 0.25)], "s int, window int, n string, error double")
+    got = sorted((r.s, r.window or 0, r.n, r.error) for r in stats.auc_errors(full, windows, "s", "n").collect())
+    assert got == [(1, 0, "a", 2.0), (1, 0, "b", 5e5), (1, 10, "a", 0.5), (1, 10, "b", 1e6), (1, 10, "c", 1e6), (1, 50, "a", 1e6), (1, 50, "b", 1e6), (1, 50, "c", 0.25), (3, 0, "a", 2e5)]
+    got = sorted((r.s, r.window or 0, r.n, r.error) for r in stats.auc_errors(full, windows, "s", "n", penalty=None).collect())
+    assert got == [(1, 0, "a", 2.0), (1, 0, "b", 5e5), (1, 10, "a", 0.5), (1, 50, "c", 0.25)]
+    rows = spark.createDataFrame([("x", "p", 0.5), ("x", "q", 3.0), ("y", "p", None)], "scene string, target string, e double")
+    cases = spark.createDataFrame([("x", True), ("x", False), ("x", None), ("y", True)], "scene string, completed boolean")
+    lines = stats.report_lines(rows, cases, "scene", "target", "e", [1.0, 2.0, 4.0]).orderBy("threshold").collect()
+    assert [(r.scene, r.threshold, r.completed, r.failed) for r in lines] == [("x", 1.0, 1, 2), ("x", 2.0, 1, 2)] and lines[0].percent == pytest.approx(37.5)
+    counts = stats.summed_counts(spark.createDataFrame([("x", "k", 2), ("x", "k", 5), ("x", "k", None)], "scene string, key string, n int"), "scene", "key", "n").collect()
+    assert [tuple(r) for r in counts] == [("x", "k", 7, 2)]
