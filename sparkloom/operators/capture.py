@@ -301,3 +301,36 @@ def official_poses(records: DataFrame, cameras: DataFrame, images: DataFrame, pi
     image = F.array(F.lit(0.0), F.lit(0.0), F.sin(half), F.cos(half))
     turned = own.join(turns, "name").withColumn("_image", image)
     return turned.select("name", "turns", rt.product(F.col("_image"), rt.unit(F.col("q"))).alias("q"), rt.turned(F.col("_image"), F.col("t")).alias("t"))
+
+
+def mapping_timeline(sequence: DataFrame, frames: DataFrame, rigs: DataFrame, images: DataFrame, by: str) -> DataFrame:
+    """``(by, ordinal, first, second)``: the images of each sensor in neighbouring frames of a stream, by the later frame's ordinal.
+
+    ``sequence``: ``by``, ``ordinal``, ``frame``, ``time`` (null in all rows of a stream, or in none); ``frames``: ``by``, ``frame``, ``rig``; ``rigs``: ``by``, ``rig``,
+    ``sensor``; ``images``: ``by``, ``frame``, ``sensor``, ``image``, ``camera``. The query fails unless a stream's frames are there once each, with numbers from 0 to
+    2 ** 32 - 2, and are those of ``frames``; times increase; a frame has one image for each sensor of its rig and no other; and
+    neighbouring frames have as many images, of the same cameras if there is more than one.
+    """
+    def fails(why: str) -> Column:
+        return F.raise_error(F.concat(F.lit(f"{why}: stream "), F.coalesce(F.col("by").cast("string"), F.lit("null")))).cast("boolean")
+
+    def must(ok: Column, why: str) -> Column:
+        return F.when(F.coalesce(ok, F.lit(False)), F.lit(True)).otherwise(fails(why))
+
+    named = lambda df, *cols: df.select(F.col(by).alias("by"), *cols)
+    order = named(sequence, F.col("ordinal"), F.col("frame").cast("bigint").alias("frame"), F.col("time").cast("bigint").alias("time"))
+    known = named(frames, F.col("frame").cast("bigint").alias("frame"), "rig").groupBy("by", "frame").agg(F.max("rig").alias("rig"), F.count("*").alias("frames"))
+    both = order.groupBy("by", "frame").agg(F.count("*").alias("n"), F.min("ordinal").alias("ordinal"), F.max("time").alias("time")).join(known, ["by", "frame"], "full")
+    both = both.where(must((F.col("n") == 1) & (F.col("frames") == 1), "the sequence must have every frame once")).where(must(F.col("frame").between(0, 2**32 - 2), "a frame number is out of range"))
+    wanted = named(rigs, "rig", "sensor").distinct().groupBy("by", "rig").agg(F.array_sort(F.collect_list("sensor")).alias("sensors"))
+    held = named(images, F.col("frame").cast("bigint").alias("frame"), F.struct("sensor", "image", "camera").alias("one")).groupBy("by", "frame").agg(F.array_sort(F.collect_list("one")).alias("held"))
+    rows = both.join(wanted, ["by", "rig"], "left").join(held, ["by", "frame"], "left")
+    rows = rows.where(must(F.transform("held", lambda h: h["sensor"]) == F.col("sensors"), "a frame must have its rig's images"))
+    w = Window.partitionBy("by").orderBy("ordinal")
+    before = rows.select("by", "ordinal", "time", "held", F.lag("held").over(w).alias("prior"), F.lag("time").over(w).alias("since"), F.lag("ordinal").over(w).alias("was")).where("was is not null")
+    timed = (F.col("time").isNull() & F.col("since").isNull()) | (F.col("time") > F.col("since"))
+    cameras = lambda c: F.transform(c, lambda h: h["camera"])
+    same = (F.size("held") == F.size("prior")) & ((F.size("held") == 1) | (cameras("held") == cameras("prior")))
+    sound = before.where(must(timed & (F.col("ordinal") > F.col("was")), "times must increase, or be left out of the whole stream")).where(must(same, "neighbouring frames must have the same cameras"))
+    pairs = F.transform(F.arrays_zip("prior", "held"), lambda p: F.struct(p["prior"]["image"].alias("first"), p["held"]["image"].alias("second")))
+    return sound.select(F.col("by").alias(by), "ordinal", F.explode(pairs).alias("p")).select(by, "ordinal", "p.first", "p.second")

@@ -85,6 +85,16 @@ def _(t):
     return g.groupBy("user_id").agg(F.count_if(F.col("n") < 5).alias("incomplete"), F.count_if("repeated").alias("repeated"))
 
 
+@query("p12_mapping_timeline", "WITH f AS (SELECT user_id AS s, epoch_us(ts) AS t, min(event_id) AS k FROM events GROUP BY 1, 2), n AS (SELECT s, t, k, lag(k) OVER (PARTITION BY s ORDER BY t) AS p FROM f) SELECT s, t AS ordinal, 2 * p + c AS first, 2 * k + c AS second FROM n, (SELECT unnest([0, 1]) AS c) WHERE p IS NOT NULL AND (c = 0 OR s % 2 = 0)")
+def _(t):
+    f = t.events.groupBy(F.col("user_id").alias("s"), F.unix_micros(F.col("ts").cast("timestamp")).alias("t")).agg(F.min("event_id").alias("frame"))
+    sensors = F.explode(F.when(F.col("s") % 2 == 0, F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0))))
+    images = f.select("s", "frame", sensors.alias("sensor")).select("s", "frame", "sensor", (F.col("frame") * 2 + F.col("sensor")).alias("image"), (F.col("s") * 10 + F.col("sensor")).alias("camera"))
+    rigs = f.select("s").distinct().select("s", F.lit(1).alias("rig"), sensors.alias("sensor"))
+    order = f.select("s", F.col("t").alias("ordinal"), "frame", F.when(F.col("s") % 3 > 0, F.col("t")).alias("time"))
+    return cp.mapping_timeline(order, f.select("s", "frame", F.lit(1).alias("rig")), rigs, images, "s")
+
+
 @query("p13_loop_removal", f"WITH {M} SELECT pair, count(*) AS n FROM m WHERE f <> 'R' OR pair IN (SELECT s_suppkey FROM supplier WHERE s_acctbal > 5000) GROUP BY 1")
 def _(t):
     kept = pr.without_loops(lines(t), F.col("f") == "R", t.supplier.where("s_acctbal > 5000").select(F.col("s_suppkey").alias("pair")))

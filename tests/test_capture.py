@@ -164,3 +164,31 @@ def test_hash_sample(spark):
     ids = list(range(-20, 300))
     got = {r.id for r in hash_sample(spark.createDataFrame([(i,) for i in ids], "id bigint"), "id", 40).collect()}
     assert got == set(sorted(ids, key=lambda i: (mix(i & ((1 << 64) - 1)), i))[:40])
+
+
+def test_mapping_timeline_and_what_breaks_it(spark):
+    from sparkloom.operators.capture import mapping_timeline
+
+    order = [(1, 0, 10, 5), (1, 1, 11, 6), (1, 2, 12, 9), (2, 0, 1, None), (2, 1, 2, None)]
+    frames = [(1, 10, 1), (1, 11, 1), (1, 12, 1), (2, 1, 7), (2, 2, 8)]
+    rigs = [(1, 1, 0), (1, 1, 1), (2, 7, 0), (2, 8, 0)]
+    images = [(1, f, c, f * 10 + c, c) for f in (10, 11, 12) for c in (1, 0)] + [(2, 1, 0, 1, 5), (2, 2, 0, 2, 6)]
+
+    def run(o=order, f=frames, r=rigs, i=images):
+        tables = ((o, "s int, ordinal int, frame bigint, time bigint"), (f, "s int, frame bigint, rig int"), (r, "s int, rig int, sensor int"), (i, "s int, frame bigint, sensor int, image int, camera int"))
+        return sorted(map(tuple, mapping_timeline(*[spark.createDataFrame(*x) for x in tables], "s").collect()))
+
+    assert run() == [(1, 1, 100, 110), (1, 1, 101, 111), (1, 2, 110, 120), (1, 2, 111, 121), (2, 1, 1, 2)]
+    for broken, why in (
+        ({"o": order[1:]}, "every frame once"),
+        ({"o": [*order, (1, 3, 12, 11)]}, "every frame once"),
+        ({"f": frames[1:]}, "every frame once"),
+        ({"o": [(1, 0, 10, 5), (1, 1, 11, 5), *order[2:]]}, "times must increase"),
+        ({"o": [(1, 0, 10, None), *order[1:]]}, "times must increase"),
+        ({"i": images[1:]}, "its rig's images"),
+        ({"i": [*images, (1, 10, 1, 7, 1)]}, "its rig's images"),
+        ({"i": [(1, 10, 1, 101, 9), *images[1:]]}, "same cameras"),
+        ({"o": [(2, 0, -1, None), order[4], *order[:3]], "f": [(2, -1, 7), *frames[:3], frames[4]]}, "out of range"),
+    ):
+        with pytest.raises(Exception, match=why):
+            run(**broken)
