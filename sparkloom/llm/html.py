@@ -61,7 +61,7 @@ APART_ARTICLE = frozenset("ad ads advert adverts advertisement comment comments
 MAIN_WORDS = frozenset(("articlebody", "article-body", "article__body", "post-content", "entry-content", "article-content", "story-body"))
 
 # a quote opens a value only right after an equals sign; what is read is not read again
-_markup = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*+)((?:=\s*+(?:\"[^\"]*\"|'[^']*')?+|[^>=])*+)(?:>|\Z)", re.S)
+_markup = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*+)((?:[^>=]++|=\s*+(?:\"[^\"]*\"|'[^']*')?+)*+)(?:>|\Z)", re.S)
 _attribute = re.compile(r"([^\s\"'>/=]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>][^\s>]*)))?")
 _joints = re.compile(r"[-_]+")
 DEEP = 4000  # characters of a path; elements further down are told from each other no more
