@@ -179,6 +179,41 @@ def match_classes(matches: DataFrame, points: DataFrame) -> DataFrame:
     return j.withColumn("class", F.when(~F.col("is_lc"), 0).when(F.col("_p1") == F.col("_p2"), 2).otherwise(1)).drop("_p1", "_p2")
 
 
+def decoded_matches(blobs: DataFrame, wanted: DataFrame) -> DataFrame:
+    """``(pair_id, row, feature1, feature2)`` of the pairs ``wanted`` (``first``, ``second``, in either order), decoded from ``blobs``.
+
+    ``blobs``: ``pair_id``, ``rows``, ``cols`` and ``data``, little-endian unsigned 32-bit numbers row by row. A pair without a blob, or one whose shape is not
+    ``rows`` by two, fails the query.
+    """
+    asked = wanted.select(pair_id(F.col("first"), F.col("second")).alias("pair_id")).distinct()
+    lost = asked.join(blobs.select("pair_id"), "pair_id", "left_anti").limit(1).collect()
+    if lost:
+        raise ValueError(f"a pair has no matches: {lost[0]['pair_id']}")
+    held = asked.join(blobs.select("pair_id", "rows", "cols", "data"), "pair_id")
+    shape = F.coalesce((F.col("cols") == 2) & (F.octet_length("data") == F.col("rows") * 8), F.lit(False))
+    fail = F.raise_error(F.concat(F.lit("matches have an invalid shape: "), F.col("pair_id").cast("string"))).cast("int")
+    numbers = F.sequence(F.lit(0), F.when(shape, F.col("rows")).otherwise(fail))
+    each = held.withColumn("row", F.explode(numbers)).where("row < rows")
+
+    def number(at: Column) -> Column:
+        h = F.hex(F.substring(F.col("data"), at, F.lit(4)))
+        return F.conv(F.concat(*[F.substring(h, 7 - 2 * i, 2) for i in range(4)]), 16, 10).cast("bigint")
+
+    return each.select("pair_id", "row", number(F.col("row") * 8 + 1).alias("feature1"), number(F.col("row") * 8 + 5).alias("feature2"))
+
+
+def masked_match_classes(matches: DataFrame, masks: DataFrame, points: DataFrame) -> DataFrame:
+    """``matches`` (``pair_id``, ``row``, ``img1``, ``feat1``, ``img2``, ``feat2``) with ``class`` as in :func:`match_classes`, loop closures being the
+    rows that ``masks`` (``pair_id``, ``row``) name. A mask row that is there twice or names no match fails the query."""
+    named = masks.groupBy(F.col("pair_id").alias("_pair"), F.col("row").alias("_row")).agg(F.count("*").alias("_times"))
+    meet = (F.col("pair_id") == F.col("_pair")) & (F.col("row") == F.col("_row"))
+    lost = named.join(matches.select("pair_id", "row"), meet, "left_anti").unionByName(named.where("_times > 1")).limit(1).collect()
+    if lost:
+        raise ValueError(f"a mask row names no match, or is there twice: {lost[0]['_pair']}/{lost[0]['_row']}")
+    marked = matches.join(named, meet, "left").withColumn("is_lc", F.col("_row").isNotNull()).drop("_pair", "_row", "_times")
+    return match_classes(marked, points)
+
+
 def complete_frames(selection: DataFrame, frames: DataFrame, image: str, frame: str) -> DataFrame:
     """Selected images of frames that are selected whole; ``complete`` tells, incomplete frames stay flagged."""
     s = selection.select(image).distinct().withColumn("_in", F.lit(1))

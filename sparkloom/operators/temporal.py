@@ -282,6 +282,26 @@ def unit_of_times(rows: DataFrame, by: str, at: str, tie: str, units: tuple[int,
     return step.select(by, F.when(F.size(fits) == 1, F.element_at(fits, 1)).alias("unit"))
 
 
+def elapsed_seconds(rows: DataFrame, by: str, name: str, pattern: str, units: tuple[float, ...] = (1.0, 1e6, 1e9), low: float = 1 / 240, high: float = 2.0) -> DataFrame:
+    """``(by, name, seconds)``: the time of each image since its stream's first, from the number that ``pattern`` finds in its file's stem.
+
+    Numbers with a decimal point are seconds; whole numbers are in that of ``units`` in which the median step is between ``low`` and ``high``
+    seconds. The query fails for a stem without a number, a stream with both kinds, equal times, or if not exactly one unit fits.
+    """
+    stem = F.regexp_replace(F.regexp_extract(name, "([^/]*)$", 1), r"(?<=.)\.[^.]*$", "")
+    token = F.nullif(F.regexp_extract(stem, pattern, 1), F.lit(""))
+    parsed = rows.select(F.col(by).alias("by"), F.col(name).alias("name"), token.alias("token")).withColumn("at", F.col("token").cast("double")).withColumn("point", F.col("token").contains("."))
+    w = Window.partitionBy("by").orderBy("at", "name")
+    steps = parsed.withColumn("step", F.col("at") - F.lag("at").over(w))
+    known = steps.groupBy(F.col("by").alias("own")).agg(F.min("at").alias("first"), F.min("step").alias("least"), F.coalesce(F.median("step"), F.lit(0.0)).alias("median"), F.count_if(F.col("token").isNull()).alias("nameless"), F.max("point").alias("any"), F.min("point").alias("all"))
+    fits = F.filter(F.array(*[F.lit(float(u)) for u in units]), lambda u: (F.col("median") / u >= low) & (F.col("median") / u <= high))
+    fail = lambda why: F.raise_error(F.concat(F.lit(f"{why}: stream "), F.coalesce(F.col("own").cast("string"), F.lit("null")))).cast("double")
+    unit = F.when(F.col("nameless") > 0, fail("a name has no time")).when(F.col("any") != F.col("all"), fail("times mix whole and decimal numbers")).when(F.col("least") <= 0, fail("times are not unique"))
+    unit = unit.when(F.col("any"), 1.0).when(F.size(fits) == 1, F.element_at(fits, 1)).otherwise(fail("not exactly one unit of time fits"))
+    scaled = parsed.join(known.select("own", "first", unit.alias("unit")), F.col("by").eqNullSafe(F.col("own")))
+    return scaled.select(F.col("by").alias(by), F.col("name").alias(name), ((F.col("at") - F.col("first")) / F.col("unit")).alias("seconds"))
+
+
 def rank_gap_pairs(pairs: DataFrame, nodes: DataFrame, node: str, natural: Column, gap: int) -> DataFrame:
     """``pairs`` ``(first, second)`` whose nodes are more than ``gap`` ranks apart in natural order; adds ``gap``."""
     names = ranked(nodes.select(node, natural.alias("_o")), ["_o", node], "_r").withColumn("_r", F.col("_r").cast("int"))

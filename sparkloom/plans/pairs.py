@@ -267,6 +267,17 @@ def _(t):
     return t.lineitem.where(pr.pair_id(F.col("l_suppkey"), F.col("l_partkey") % 100) == 5 * 2147483647 + 17).select("l_orderkey", "l_partkey", "l_linenumber")
 
 
+@query("v2_decoded_matches", """WITH r AS (SELECT l_suppkey AS a, l_partkey % 100 + 1000000 AS b, l_orderkey * 10 + l_linenumber AS f1, (l_orderkey * 7919 + l_partkey) % 4294967296 AS f2 FROM lineitem)
+SELECT a::BIGINT * 2147483647 + b AS pair_id, (row_number() OVER (PARTITION BY a, b ORDER BY f1, f2) - 1)::INT AS row, f1 AS feature1, f2 AS feature2 FROM r""")
+def _(t):
+    code = lambda x: F.unhex(F.concat(*[F.substring(F.lpad(F.hex(x), 8, "0"), 7 - 2 * i, 2) for i in range(4)]))
+    rows = t.lineitem.select(F.col("l_suppkey").alias("a"), (F.col("l_partkey") % 100 + 1000000).alias("b"), (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("f1"), ((F.col("l_orderkey") * 7919 + F.col("l_partkey")) % 4294967296).alias("f2"))
+    held = F.array_sort(F.collect_list(F.struct("f1", "f2")))
+    data = F.aggregate(F.transform(held, lambda h: F.concat(code(h["f1"]), code(h["f2"]))), F.unhex(F.lit("")), lambda acc, x: F.concat(acc, x))
+    blobs = rows.groupBy("a", "b").agg(F.count("*").alias("rows"), F.lit(2).alias("cols"), data.alias("data")).withColumn("pair_id", pr.pair_id(F.col("a"), F.col("b")))
+    return pr.decoded_matches(blobs, rows.select(F.col("b").alias("first"), F.col("a").alias("second")))
+
+
 EDGES = "e AS (SELECT s_suppkey AS first, s_suppkey + d AS second FROM supplier, (SELECT unnest([1, 3]) AS d)), o AS (SELECT l_suppkey AS i, l_partkey AS p, l_orderkey AS r FROM lineitem WHERE l_quantity > 25)"
 
 

@@ -192,3 +192,37 @@ def test_mapping_timeline_and_what_breaks_it(spark):
     ):
         with pytest.raises(Exception, match=why):
             run(**broken)
+
+
+def test_blobs_masks_and_names_are_checked(spark):
+    import struct
+
+    from sparkloom.operators import pairs as pr
+    from sparkloom.operators import temporal as tm
+
+    data = struct.pack("<6I", 1, 2, 3, 4294967295, 5, 6)
+    blobs = spark.createDataFrame([(3 * 2147483647 + 9, 3, 2, bytearray(data)), (7, 0, 2, bytearray()), (8, 2, 2, bytearray(data)), (10, 3, 3, bytearray(data))], "pair_id bigint, rows int, cols int, data binary")
+    ask = lambda *p: spark.createDataFrame(list(p), "first bigint, second bigint")
+    got = sorted((r.row, r.feature1, r.feature2) for r in pr.decoded_matches(blobs, ask((9, 3), (3, 9), (0, 7))).collect())
+    assert got == [(0, 1, 2), (1, 3, 4294967295), (2, 5, 6)]
+    for pair, why in (((0, 99), "no matches"), ((0, 8), "invalid shape"), ((0, 10), "invalid shape")):
+        with pytest.raises(Exception, match=why):
+            pr.decoded_matches(blobs, ask(pair)).collect()
+
+    matches = spark.createDataFrame([(1, i, 1, i, 2, i) for i in range(4)], "pair_id bigint, row int, img1 int, feat1 int, img2 int, feat2 int")
+    points = spark.createDataFrame([(1, 1, 5), (2, 1, 5), (1, 2, 6), (2, 2, 7)], "image int, feature int, point int")
+    mask = lambda *rows: spark.createDataFrame([(1, r) for r in rows], "pair_id bigint, row int")
+    assert {r.row: r["class"] for r in pr.masked_match_classes(matches, mask(1, 2), points).collect()} == {0: 0, 1: 2, 2: 1, 3: 0}
+    for bad in (mask(9), mask(1, 1)):
+        with pytest.raises(Exception, match="names no match, or is there twice"):
+            pr.masked_match_classes(matches, bad, points).collect()
+
+    def seconds(*names):
+        frame = spark.createDataFrame([(1, f"cam/{n}.jpg") for n in names], "s int, name string")
+        return [r.seconds for r in tm.elapsed_seconds(frame, "s", "name", r"^(\d+(?:\.\d+)?)(?:-|$)").orderBy("seconds").collect()]
+
+    assert seconds("1700000000000500", "1700000000000000", "1700000000100000-x") == pytest.approx([0.0, 0.0005, 0.1]) and seconds("3", "4") == [0.0, 1.0]
+    assert seconds("1.5", "1.25") == [0.0, 0.25] and seconds("1000000000", "1100000000") == [0.0, 0.1]
+    for names, why in ((("1.5", "2"), "mix"), (("x", "2"), "no time"), (("2", "02"), "not unique"), (("5",), "unit"), (("1", "4000"), "unit")):
+        with pytest.raises(Exception, match=why):
+            seconds(*names)
