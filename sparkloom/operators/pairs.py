@@ -192,7 +192,7 @@ def decoded_matches(blobs: DataFrame, wanted: DataFrame) -> DataFrame:
     held = asked.join(blobs.select("pair_id", "rows", "cols", "data"), "pair_id")
     shape = F.coalesce((F.col("cols") == 2) & (F.octet_length("data") == F.col("rows") * 8), F.lit(False))
     fail = F.raise_error(F.concat(F.lit("matches have an invalid shape: "), F.col("pair_id").cast("string"))).cast("int")
-    numbers = F.sequence(F.lit(0), F.when(shape, F.col("rows")).otherwise(fail))
+    numbers = F.sequence(F.lit(0), F.when(shape, F.col("rows").cast("int")).otherwise(fail))
     each = held.withColumn("row", F.explode(numbers)).where("row < rows")
 
     def number(at: Column) -> Column:

@@ -67,7 +67,7 @@ RAY = "SELECT *, (obs % 11 - 5) / 20.0::DOUBLE AS u, (obs % 9 - 4) / 20.0::DOUBL
 
 
 @query("g4_problem_tracks", f"""WITH {PLACED}, mm AS ({RAY}), rr AS (SELECT *, sqrt(u * u + v * v + 1) AS n FROM mm),
-gg AS (SELECT track, count_if(NOT loop) AS n, count_if(NOT loop AND image < 6) AS n_registered, bool_and(deep) FILTER (image < 6) AS deep, count(DISTINCT image) FILTER (image < 6) AS views, count(DISTINCT (image, obs)) FILTER (image < 6) AS features, min(image) FILTER (image < 6) AS a, max(image) FILTER (image < 6) AS b FROM rr GROUP BY 1),
+gg AS (SELECT track, count_if(NOT loop)::BIGINT AS n, count_if(NOT loop AND image < 6)::BIGINT AS n_registered, bool_and(deep) FILTER (image < 6) AS deep, count(DISTINCT image) FILTER (image < 6) AS views, count(DISTINCT (image, obs)) FILTER (image < 6) AS features, min(image) FILTER (image < 6) AS a, max(image) FILTER (image < 6) AS b FROM rr GROUP BY 1),
 ss AS (SELECT gg.track, p.u / p.n AS ax, p.v / p.n AS ay, 1 / p.n AS az, q.u / q.n AS bx, q.v / q.n AS "by", 1 / q.n AS bz, 0.2 * (gg.b - gg.a) AS t FROM gg JOIN rr p ON p.track = gg.track AND p.image = gg.a JOIN rr q ON q.track = gg.track AND q.image = gg.b WHERE views = 2 AND features = 2 AND gg.a // 2 = gg.b // 2 AND gg.a <> 4 AND gg.b <> 4),
 dd AS (SELECT *, ax * bx + ay * "by" + az * bz AS ab, t * ax AS ta, t * bx AS tb FROM ss), ll AS (SELECT *, (ab * tb - ta) / nullif(1 - ab * ab, 0) AS one, (tb - ab * ta) / nullif(1 - ab * ab, 0) AS two FROM dd WHERE 1 - ab * ab > 1e-12),
 ww AS (SELECT *, (t + one * ax + two * bx) / 2 AS mx, (one * ay + two * "by") / 2 AS my, (one * az + two * bz) / 2 AS mz FROM ll)
