@@ -6,6 +6,10 @@ import ctypes
 
 import pyarrow as pa
 
+from sparkloom.operators.names import free_names
+
+__all__ = ["byte_values", "free_names", "release_memory"]
+
 
 def byte_values(column: pa.Array) -> list[bytes]:
     """UTF-8 bytes of a string column, without decoding; null is empty."""
@@ -20,16 +24,3 @@ def release_memory() -> None:
         ctypes.CDLL(None).malloc_trim(0)
     except AttributeError:  # another C library
         pass
-
-
-def free_names(df, *stems: str) -> list[str]:
-    """A column name for each stem that ``df`` does not have yet, whatever the case."""
-    have = {c.lower() for c in df.columns}
-    out = []
-    for stem in stems:
-        name, n = f"_{stem}", 0
-        while name.lower() in have:
-            name, n = f"_{stem}{n}", n + 1
-        have.add(name.lower())
-        out.append(name)
-    return out
