@@ -1,15 +1,18 @@
-"""Near duplicates by the Jaccard similarity of word shingle sets.
-
-Candidates come from MinHash bands: 160 minima in 32 bands of 5. Of two texts with similarity ``s`` none of
-the bands agrees with probability ``(1 - s ** 5) ** 32``: 3e-6 at 0.8, less above. A candidate pair must then
-pass a bound that loses nothing: a set's sketch is 512 bits, and each of its shingles turns over one of them, so two
-sketches differ in no more bits than the sets differ in shingles. The pairs left are tested on
+"""Near duplicates by SimHash, tested by the Jaccard similarity of word shingle sets.
+
+Two sets of similarity ``s`` and like sizes stand at an angle of ``arccos(2 s / (1 + s))``, at 0.8 27.3 degrees (less, if
+their sizes differ), so each bit of their SimHashes differs with probability 0.1515. A set has a fingerprint of 2,048 bits. It is
+cut into 192 blocks of 16 bits (128 of bits that stand together, 64 of bits 128 apart), and two sets are a candidate pair if they
+agree in a block and differ in 40 bits or fewer of the first 128. At 0.8 a pair fails one or the other with probability 4e-6, far
+less above. In sets of under ten shingles counts tie often; such sets meet also by equality but for one shingle, which loses none.
+A candidate pair must then pass a bound that loses nothing: a set's sketch is 512 bits, and each of its shingles turns over
+one of them, so two sketches differ in no more bits than the sets differ in shingles. The pairs left are tested on
 their whole shingle sets, so no pair below the threshold is linked.
 
 Texts with equal sets are one row before anything is joined. Groups of near copies are linked first by
-stars: each text is tested against the text of its bands that meets most others. Only pairs of different
-stars are joined after that, and the bound is part of the join, so of a group whose members are mostly
-less alike than the threshold few pairs are ever written.
+stars over 32 blocks of 24 bits: each text is tested against the text of its blocks that meets most others. Only pairs of different
+stars are joined after that, by the blocks of 16 bits, and the test on 128 bits is part of the join. Sets that have nothing
+to do with each other agree in a block by chance, 0.003 times a pair; these are compared in that join and never written.
 """
 
 from __future__ import annotations
@@ -23,14 +26,16 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sparkloom.llm.arrow import byte_values, release_memory
-from sparkloom.llm.simhash import first_of_each, spread
+from sparkloom.llm.simhash import LONG, bits_of, first_of_each, in_bits, long_fingerprint, spread
 from sparkloom.operators.components import connected_components
 from sparkloom.session import stored
 
-BANDS, ROWS = 32, 5
+STARS = 32  # blocks of 24 bits
+BLOCKS, PASS = 192, 64  # blocks of 16 bits, and how many are joined at once
+TESTED = 128  # bits of a fingerprint that go along
+SMALL = 9
 SKETCH = 8  # words of 64 bits
-CHUNK = 1 << 11
-FILTER_BITS = 1 << 26
+_bits_of = bits_of
 
 
 def shingle_set(text: bytes, width: int = 5, seed: int = 42) -> np.ndarray:
@@ -46,20 +51,31 @@ def shingle_set(text: bytes, width: int = 5, seed: int = 42) -> np.ndarray:
     return np.unique(np.fromiter((digest(line[s:e], seed) for s, e in zip(starts.tolist(), last.tolist())), np.uint64, len(last)))
 
 
-def _multipliers(seed: int) -> np.ndarray:
-    return np.random.default_rng(seed).integers(0, 1 << 63, BANDS * ROWS, np.uint64) * np.uint64(2) + np.uint64(1)
+def star_blocks(words: np.ndarray) -> np.ndarray:
+    """``STARS`` blocks of 24 bits of each row's fingerprint, numbered in the bits above these."""
+    parts = words.view(np.uint8).reshape(len(words), -1)[:, : 3 * STARS].reshape(len(words), STARS, 3).astype(np.int64)
+    return parts[:, :, 0] | parts[:, :, 1] << 8 | parts[:, :, 2] << 16 | np.arange(STARS) << 24
+
+
+def search_blocks(words: np.ndarray, first: int = 0, to: int = BLOCKS) -> np.ndarray:
+    """The blocks ``first`` to ``to`` of 16 bits of each row's fingerprint, numbered in the bits above these."""
+    near = words.view(np.uint16).reshape(len(words), -1)
+    bits = np.unpackbits(words.view(np.uint8).reshape(len(words), -1), axis=1, bitorder="little").reshape(len(words), 16, -1)
+    apart = np.packbits(bits.transpose(0, 2, 1), axis=2, bitorder="little").reshape(len(words), -1).view(np.uint16)
+    return np.concatenate((near, apart), axis=1)[:, first:to].astype(np.int64) | np.arange(first, to) << 16
+
+
+def most_bits(percent: int) -> int:
+    """Of ``TESTED`` bits as many as two sets of ``percent`` similarity may differ in: five deviations above the mean."""
+    p = np.arccos(2 * percent / (100 + percent)) / np.pi
+    return int(np.ceil(TESTED * p + 5 * np.sqrt(TESTED * p * (1 - p))))
 
 
-def band_keys(hashes: np.ndarray, multipliers: np.ndarray) -> list[int]:
-    """A signed 64-bit key for each band of minima; none for an empty set."""
-    if not len(hashes):
+def small_keys(hashes: np.ndarray) -> list[int]:
+    """Keys of a set of ``SMALL`` shingles or fewer, and of it without each of them; none for others."""
+    if not 1 < len(hashes) <= SMALL:
         return []
-    least = np.full(len(multipliers), np.iinfo(np.uint64).max, np.uint64)
-    for at in range(0, len(hashes), CHUNK):
-        np.minimum(least, np.multiply.outer(multipliers, hashes[at : at + CHUNK]).min(1), out=least)
-    raw = least.tobytes()
-    keys = [xxhash.xxh64_intdigest(raw[8 * ROWS * i : 8 * ROWS * (i + 1)], i) for i in range(BANDS)]
-    return np.array(keys, np.uint64).view(np.int64).tolist()
+    return [_set_key(hashes), *(_set_key(np.delete(hashes, i)) for i in range(len(hashes)))]
 
 
 def sketch_of(hashes: np.ndarray) -> np.ndarray:
@@ -73,32 +89,65 @@ def _set_key(hashes: np.ndarray) -> int:
 
 
 def set_rows(docs: DataFrame, id_col: str, text_col: str, width: int, seed: int, mark: Column) -> DataFrame:
-    """``(id, mark, row, fp, n, sketch, bands)`` of each row: ``row`` is a hash of id and text, ``fp`` names the
-    shingle set, ``n`` is the set's size. Null text counts as empty."""
-    multipliers = _multipliers(seed)
+    """``(id, mark, row, fp, n, sketch, bits, small)`` of each row: ``row`` is a hash of id and text, ``fp`` names the
+    shingle set, ``n`` is the set's size, ``bits`` its SimHash. Null text counts as empty."""
     long_list = pa.list_(pa.int64())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             sets = [shingle_set(x, width, seed) for x in byte_values(batch.column(0))]
             made = [pa.array([_set_key(s) for s in sets], pa.int64()), pa.array(map(len, sets), pa.int64())]
-            made += [pa.array([sketch_of(s) for s in sets], long_list), pa.array([band_keys(s, multipliers) for s in sets], long_list)]
-            yield pa.RecordBatch.from_arrays([*batch.columns[1:], *made], [*batch.schema.names[1:], "fp", "n", "sketch", "bands"])
+            made += [pa.array([sketch_of(s) for s in sets], long_list), pa.array([long_fingerprint(s).tobytes() for s in sets], pa.binary())]
+            made += [pa.array([small_keys(s) for s in sets], long_list)]
+            yield pa.RecordBatch.from_arrays([*batch.columns[1:], *made], [*batch.schema.names[1:], "fp", "n", "sketch", "bits", "small"])
         release_memory()
 
     rows = docs.select(F.col(text_col).alias("text"), F.col(id_col).alias("id"), mark.alias("mark"), F.xxhash64(id_col, text_col).alias("row"))
     kind = rows.schema["id"].dataType.simpleString()
-    return rows.mapInArrow(run, f"id {kind}, mark bigint, row bigint, fp bigint, n bigint, sketch array<bigint>, bands array<bigint>")
+    return rows.mapInArrow(run, f"id {kind}, mark bigint, row bigint, fp bigint, n bigint, sketch array<bigint>, bits binary, small array<bigint>")
+
+
+def _in_blocks(nodes: DataFrame, blocks, tested: bool = False) -> DataFrame:
+    """``nodes`` with a row for each ``block`` that ``blocks`` makes of a fingerprint, in place of ``bits``; ``tested`` adds the bits to test."""
+    kept = [c for c in nodes.columns if c != "bits"]
+    words = [f"s{i}" for i in range(TESTED // 64 * tested)]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, len(batch), 2_000):
+                part = batch.slice(at, 2_000)
+                bits = np.frombuffer(b"".join(part.column(part.num_columns - 1).to_pylist()), np.uint64).reshape(-1, LONG // 64)
+                found = blocks(bits)
+                many = found.shape[1]
+                columns = [np.repeat(part.column(i).to_numpy(), many) for i in range(len(kept))] + [np.repeat(bits[:, i].view(np.int64), many) for i in range(len(words))]
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in (*columns, found.ravel().astype(np.int32))], [*kept, *words, "block"])
+        release_memory()
+
+    dealt = spread(nodes.select(*kept, "bits"))
+    return dealt.mapInArrow(run, ", ".join([*(f"{c} bigint" for c in kept + words), "block int"]))
+
+
+def pairs_in_blocks(classed: DataFrame, percent: int) -> DataFrame:
+    """``(src, dst)``: the candidate pairs of ``(fp, class, bits)`` rows of different classes."""
+    found = None
+    for first in range(0, BLOCKS, PASS):
+        rows = _in_blocks(classed, lambda words, first=first: search_blocks(words, first, first + PASS), tested=True)
+        a, b = rows.alias("a"), rows.alias("b")
+        differ = F.lit(0)
+        for i in range(TESTED // 64):
+            differ = differ + F.bit_count(F.col(f"a.s{i}").bitwiseXOR(F.col(f"b.s{i}")))
+        near = a.join(b, (F.col("a.block") == F.col("b.block")) & (F.col("a.class") < F.col("b.class")) & (differ <= most_bits(percent)))
+        own = stored(near.select(F.col("a.fp").alias("src"), F.col("b.fp").alias("dst")).distinct(), "near")
+        found = own if found is None else found.unionByName(own)
+    return found
 
 
-def _bits_of(rows: DataFrame, bits: int = FILTER_BITS) -> np.ndarray:
-    """A bit set of a fixed size with the bits that the hashes ``row`` name; at most ``bits / 64`` words go to the driver."""
-    at = F.pmod("row", F.lit(bits))
-    found = rows.select(F.shiftright(at, 6).alias("word"), F.expr(f"shiftleft(1L, int(pmod(row, {bits}L) & 63))").alias("bit"))
-    words = found.groupBy("word").agg(F.bit_or("bit").alias("bits")).toPandas()
-    out = np.zeros(bits >> 6, np.int64)
-    out[words["word"].to_numpy(np.int64)] = words["bits"].to_numpy(np.int64)
-    return out.view(np.uint64)
+def pairs_of_small(classed: DataFrame) -> DataFrame:
+    """``(src, dst)``: pairs of ``(fp, class, small)`` rows of different classes whose sets are equal but for one shingle of each."""
+    keyed = spread(classed.where("size(small) > 0").select("fp", "class", "small")).select("fp", "class", F.explode("small").alias("key"))
+    a, b = keyed.alias("a"), keyed.alias("b")
+    met = a.join(b, (F.col("a.key") == F.col("b.key")) & (F.col("a.class") < F.col("b.class")))
+    return met.select(F.col("a.fp").alias("src"), F.col("b.fp").alias("dst")).distinct()
 
 
 def _sets_of(docs: DataFrame, wanted: DataFrame, id_col: str, text_col: str, width: int, seed: int) -> DataFrame:
@@ -107,14 +156,13 @@ def _sets_of(docs: DataFrame, wanted: DataFrame, id_col: str, text_col: str, wid
     Which texts are cut again is told by a bit set of bounded size, so texts are not shuffled; the few that
     it lets pass in excess go in the join.
     """
-    sent = docs.sparkSession.sparkContext.broadcast(_bits_of(wanted))
+    sent = docs.sparkSession.sparkContext.broadcast(bits_of(wanted))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits = sent.value
         for batch in batches:
-            at = np.mod(batch.column(1).to_numpy(), len(bits) << 6).astype(np.uint64)
-            there = (bits[at >> np.uint64(6)] >> (at & np.uint64(63))) & np.uint64(1)
-            sets = [shingle_set(x, width, seed) for x in byte_values(batch.column(0).filter(pa.array(there.astype(bool))))]
+            there = in_bits(bits, batch.column(1))
+            sets = [shingle_set(x, width, seed) for x in byte_values(batch.column(0).filter(pa.array(there)))]
             hashes = pa.array([s.view(np.int64) for s in sets], pa.list_(pa.int64()))
             yield pa.RecordBatch.from_arrays([pa.array([_set_key(s) for s in sets], pa.int64()), hashes], ["fp", "hashes"])
         release_memory()
@@ -141,49 +189,52 @@ def within_bound(n: str, m: str, x: str, y: str, percent: int) -> Column:
     return sizes & ((100 + percent) * bits <= (100 - percent) * (F.col(n) + F.col(m)))
 
 
+def _bounded(nodes: DataFrame, pairs: DataFrame, percent: int) -> DataFrame:
+    """Those rows of ``pairs`` whose sizes and sketches are :func:`within_bound`."""
+    a, b = nodes.select(F.col("fp").alias("src"), "n", F.col("sketch").alias("x")), nodes.select(F.col("fp").alias("dst"), F.col("n").alias("m"), F.col("sketch").alias("y"))
+    return pairs.join(a, "src").join(b, "dst").where(within_bound("n", "m", "x", "y", percent)).select(*pairs.columns)
+
+
+def _stars(nodes: DataFrame, percent: int) -> DataFrame:
+    """``(src, dst)``: of each set the one within the bound, among those that meet most others in its blocks of 24 bits."""
+    keyed = _in_blocks(nodes.select("fp", "bits"), star_blocks)
+    shared = keyed.groupBy("block").agg(F.count("*").alias("members")).where("members > 1")
+    met = stored(keyed.join(shared, "block").select("fp", "block", "members"), "met")
+    ranked = met.join(met.groupBy("fp").agg(F.sum("members").alias("degree")), "fp").select("fp", "block", "degree")
+    tops = ranked.groupBy("block").agg(F.max(F.struct("degree", "fp")).alias("top"))
+    near = met.join(tops, "block").where(F.col("fp") != F.col("top.fp")).select(F.col("fp").alias("src"), F.col("top.fp").alias("dst"), F.col("top.degree").alias("degree")).distinct()
+    best = _bounded(nodes, near, percent).groupBy("src").agg(F.max(F.struct("degree", "dst")).alias("top"))
+    return best.select("src", F.col("top.dst").alias("dst"))
+
+
 def similar_classes(docs: DataFrame, rows: DataFrame, id_col: str, text_col: str, width: int, percent: int, seed: int) -> DataFrame:
     """``(fp, root)`` of each distinct set of ``rows``: sets chained by steps of ``percent`` similarity or more share a root."""
-    picked = [F.min("row").alias("row"), F.first("n").alias("n"), F.first("sketch").alias("sketch"), F.first("bands").alias("bands")]
+    picked = [F.min("row").alias("row"), *(F.first(c).alias(c) for c in ("n", "sketch", "bits", "small"))]
     nodes = stored(rows.groupBy("fp").agg(*picked), "nodes")
-    keyed = spread(nodes.select("fp", "bands")).select("fp", F.explode("bands").alias("band"))
-    shared = keyed.groupBy("band").agg(F.count("*").alias("members")).where("members > 1")
-    met = keyed.join(shared, "band").groupBy("fp").agg(F.sum("members").alias("degree"), F.collect_list("band").alias("bands"))
-    met = stored(met.join(nodes.select("fp", "row", "n", "sketch"), "fp"), "met")
-
-    ranked = met.select("fp", "degree", F.explode("bands").alias("band"))
-    tops = ranked.groupBy("band").agg(F.max(F.struct("degree", "fp")).alias("top")).where("top is not null")
-    near = ranked.join(tops, "band").where(F.col("fp") != F.col("top.fp"))
-    stars = near.groupBy("fp").agg(F.max("top").alias("top")).select(F.col("fp").alias("src"), F.col("top.fp").alias("dst"))
-    a, b = met.select(F.col("fp").alias("src"), "n", F.col("sketch").alias("x")), met.select(F.col("fp").alias("dst"), F.col("n").alias("m"), F.col("sketch").alias("y"))
-    stars = stored(stars.join(a, "src").join(b, "dst").where(within_bound("n", "m", "x", "y", percent)).select("src", "dst"), "stars")
-    linked = stored(_verified(docs, met, stars, id_col, text_col, width, percent, seed), "linked")
+    able = nodes.where(F.col("n") * (100 - percent) >= percent)  # a smaller set is like no other, and a larger has such a set's neighbours only
+    stars = stored(_stars(able, percent), "stars")
+    linked = stored(_verified(docs, nodes, stars, id_col, text_col, width, percent, seed), "linked")
     classes = connected_components(linked)
 
-    classed = met.join(classes, met.fp == classes.node, "left").select("fp", "n", "sketch", "bands", F.coalesce("component", "fp").alias("class"))
+    classed = able.join(classes, able.fp == classes.node, "left").select("fp", F.coalesce("component", "fp").alias("class"), "bits", "small")
     classed = stored(classed, "classed")
-    kinds = classed.select("fp", "class", F.explode("bands").alias("band"))
-    mixed = kinds.groupBy("band").agg(F.min("class").alias("lo"), F.max("class").alias("hi")).where("lo < hi").select("band")
-    # only what stands in such a band takes its sketch along
-    open_bands = kinds.select("fp", "band").join(mixed, "band", "left_semi").groupBy("fp").agg(F.collect_list("band").alias("open"))
-    left = classed.join(open_bands, "fp").select(F.explode("open").alias("band"), "fp", "n", "sketch", "class")
-    a, b = left.toDF("band", "src", "n", "x", "c"), left.toDF("band", "dst", "m", "y", "d")
-    near = a.join(b, (a.band == b.band) & (F.col("c") < F.col("d")) & within_bound("n", "m", "x", "y", percent))
-    pairs = stored(near.select("src", "dst").distinct(), "pairs")
-    crossed = stored(_verified(docs, met, pairs, id_col, text_col, width, percent, seed), "crossed")
+    near = pairs_in_blocks(classed.select("fp", "class", "bits"), percent).unionByName(pairs_of_small(classed)).distinct()
+    pairs = stored(_bounded(nodes, near, percent), "pairs")
+    crossed = stored(_verified(docs, nodes, pairs, id_col, text_col, width, percent, seed), "crossed")
     merged = connected_components(linked.unionByName(crossed))
     return nodes.join(merged, nodes.fp == merged.node, "left").select("fp", F.coalesce("component", "fp").alias("root"))
 
 
-def _verified(docs: DataFrame, met: DataFrame, pairs: DataFrame, id_col: str, text_col: str, width: int, percent: int, seed: int) -> DataFrame:
+def _verified(docs: DataFrame, nodes: DataFrame, pairs: DataFrame, id_col: str, text_col: str, width: int, percent: int, seed: int) -> DataFrame:
     """The ``pairs`` that hold on whole shingle sets."""
     ends = pairs.select(F.explode(F.array("src", "dst")).alias("fp")).distinct()
-    wanted = stored(met.select("fp", "row").join(ends, "fp", "left_semi"), "wanted")
+    wanted = stored(nodes.select("fp", "row").join(ends, "fp", "left_semi"), "wanted")
     sets = stored(_sets_of(docs, wanted, id_col, text_col, width, seed), "sets")
     return _alike(pairs, sets, percent)
 
 
 def one_of_each_similar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, percent: int = 80, seed: int = 42) -> DataFrame:
-    """``docs`` without near duplicates: texts whose sets of ``width``-word shingles have a Jaccard similarity of
+    """``docs`` without near duplicates: pairs found by SimHash whose sets of ``width``-word shingles have a Jaccard similarity of
     ``percent`` or more are linked, and of each component one row stays, as in :func:`simhash.first_of_each`.
     Null and texts without words are alike. All columns stay, whatever their names; an empty table stays empty.
     """

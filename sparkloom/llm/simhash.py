@@ -12,6 +12,9 @@ block), and one equi-join on the cell finds every candidate.
 Exact copies share a fingerprint and are one row before anything is joined. Dense groups of near copies
 are linked first by stars over fingerprints that agree outside one window of ``k`` bits (any two of which
 are within ``k``), so that the grid join only needs pairs between different stars.
+
+Sets of shingles far less alike than that are found by longer fingerprints (:func:`long_fingerprint`), by
+equality of one of many blocks of their bits; :mod:`sparkloom.llm.jaccard` tests what they find on the sets.
 """
 
 from __future__ import annotations
@@ -30,6 +33,9 @@ from sparkloom.session import stored
 
 LOW = 0x5555555555555555
 CHUNK = 1 << 15
+LONG = 2048  # bits of a long fingerprint
+MULTIPLIERS = np.random.default_rng(42).integers(0, 1 << 63, LONG // 64, np.uint64) * np.uint64(2) + np.uint64(1)
+FILTER_BITS = 1 << 26
 
 
 def fingerprint_of(text: bytes, width: int = 4, seed: int = 42) -> int:
@@ -51,6 +57,18 @@ def fingerprint_of(text: bytes, width: int = 4, seed: int = 42) -> int:
     return int(np.packbits(counts * 2 > n, bitorder="little").view("<u8")[0])
 
 
+def long_fingerprint(hashes: np.ndarray) -> np.ndarray:
+    """SimHash of ``LONG`` bits of a set of 64-bit hashes, as unsigned words: each hash is multiplied to a row of bits, and a
+    bit is 1 if set in over half of the rows."""
+    counts = np.zeros(LONG, np.int64)
+    for at in range(0, len(hashes), 255):  # the sum of 255 bits fits the byte that it is made in
+        x = np.multiply.outer(hashes[at : at + 255], MULTIPLIERS)
+        x ^= x >> np.uint64(32)
+        bits = np.unpackbits(x.view(np.uint8), axis=1, bitorder="little")
+        counts += bits.view(np.uint64).sum(0).view(np.uint8)
+    return np.packbits(counts * 2 > len(hashes), bitorder="little").view(np.uint64)
+
+
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 4, seed: int = 42, also: dict[str, Column] | None = None) -> DataFrame:
     """``(id, fp)`` of each row, and the columns ``also``; ``fp`` is the fingerprint as a signed long. Null text counts as empty."""
 
@@ -152,6 +170,22 @@ def simhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     return rows.join(named, "fp").select(F.col("id").alias(id_col), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def bits_of(rows: DataFrame, bits: int = FILTER_BITS) -> np.ndarray:
+    """A bit set of a fixed size with the bits that the hashes ``row`` name; at most ``bits / 64`` words go to the driver."""
+    at = F.pmod("row", F.lit(bits))
+    found = rows.select(F.shiftright(at, 6).alias("word"), F.expr(f"shiftleft(1L, int(pmod(row, {bits}L) & 63))").alias("bit"))
+    words = found.groupBy("word").agg(F.bit_or("bit").alias("bits")).toPandas()
+    out = np.zeros(bits >> 6, np.int64)
+    out[words["word"].to_numpy(np.int64)] = words["bits"].to_numpy(np.int64)
+    return out.view(np.uint64)
+
+
+def in_bits(bits: np.ndarray, column: pa.Array) -> np.ndarray:
+    """Whether the bit that each hash of ``column`` names is set."""
+    at = np.mod(column.to_numpy(), len(bits) << 6).astype(np.uint64)
+    return ((bits[at >> np.uint64(6)] >> (at & np.uint64(63))) & np.uint64(1)).astype(bool)
+
+
 def first_of_each(docs: DataFrame, rows: DataFrame, classes: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """Of each class the row of ``docs`` with the smallest id stays, null ids last.
 

@@ -89,3 +89,48 @@ def test_columns_of_any_name_stay(spark):
     df = spark.createDataFrame(rows, "doc_id bigint, text string, " + ", ".join(f"`{n}` bigint" for n in names))
     for kept in (one_of_each_similar(df), one_of_each(df)):
         assert kept.columns == df.columns and sorted(map(tuple, kept.collect())) == [(0, "a b c d e f", *range(10)), (2, "x y z", *range(10))]
+
+
+def test_every_link_comes_from_simhash(spark, monkeypatch):
+    import sparkloom.llm.jaccard as jaccard
+
+    base = [f"x{i}" for i in range(60)]
+    docs = [(1, " ".join(base)), (2, " ".join(base[:57])), (3, " ".join(f"z{i}" for i in range(60)))]
+    frame = spark.createDataFrame([(a, b, "en", "s", len(b)) for a, b in docs], SCHEMA)
+    kept = lambda: sorted(r.doc_id for r in cp.drop_near_duplicates(spark, frame, "").collect())
+    assert kept() == [1, 3]
+    # blocks of no bits of the fingerprint, another for each text: nothing else finds the pair
+    monkeypatch.setattr(jaccard, "star_blocks", lambda words: words[:, :1].view("int64") % 2**24)
+    monkeypatch.setattr(jaccard, "search_blocks", lambda words, first, to: words[:, :1].view("int64") % 2**24)
+    assert kept() == [1, 2, 3]
+
+
+def test_long_fingerprints_count_bits_and_find_pairs_at_the_threshold():
+    import numpy as np
+
+    from sparkloom.llm.jaccard import most_bits, search_blocks
+    from sparkloom.llm.simhash import MULTIPLIERS, long_fingerprint
+
+    rng = np.random.default_rng(3)
+    some = lambda n: rng.integers(0, 1 << 64, n, np.uint64)
+    for n in (0, 1, 2, 254, 255, 256, 700):
+        h = some(n)
+        rows = [[int(a) * int(m) % (1 << 64) for m in MULTIPLIERS] for a in h]
+        rows = [[x ^ x >> 32 for x in row] for row in rows]
+        plain = [sum(1 << b for b in range(64) if 2 * sum(row[w] >> b & 1 for row in rows) > n) for w in range(len(MULTIPLIERS))]
+        assert long_fingerprint(h).tolist() == plain
+    for both, a, b in ((160, 20, 20), (40, 0, 10), (8, 1, 1)):
+        made = []
+        for _ in range(300):
+            shared = some(both)
+            made += [long_fingerprint(np.concatenate((shared, some(k)))) for k in (a, b)]
+        words = np.stack(made)
+        blocks, differ = search_blocks(words), np.bitwise_count(words[::2, :2] ^ words[1::2, :2]).sum(1)
+        assert (blocks[::2] == blocks[1::2]).any(1).all() and (differ <= most_bits(80)).all()
+
+
+def test_small_sets_are_found_exactly(spark):
+    docs = [(2 * i + j, " ".join(f"v{i}_{k}" for k in range(8 + j))) for i in range(200) for j in (0, 1)]  # 4 of 5 shingles
+    frame = spark.createDataFrame([(a, b, "en", "s", len(b)) for a, b in docs], SCHEMA)
+    kept = sorted(r.doc_id for r in cp.drop_near_duplicates(spark, frame, "").collect())
+    assert kept == [2 * i for i in range(200)]
