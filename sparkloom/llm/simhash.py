@@ -186,12 +186,33 @@ def in_bits(bits: np.ndarray, column: pa.Array) -> np.ndarray:
     return ((bits[at >> np.uint64(6)] >> (at & np.uint64(63))) & np.uint64(1)).astype(bool)
 
 
+def split_by(docs: DataFrame, hashed: Column, rows: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """``docs`` in two: those whose hash may be a ``row`` of ``rows``, all that are and a few others, and those whose hash is none."""
+    sent = docs.sparkSession.sparkContext.broadcast(bits_of(rows))
+    (own,) = free_names(docs, "hashed")
+    marked = docs.withColumn(own, hashed)
+
+    def taking(there: bool):
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            bits = sent.value
+            for batch in batches:
+                held = batch.filter(pa.array(in_bits(bits, batch.column(batch.num_columns - 1)) == there))
+                if held.num_rows:
+                    yield pa.RecordBatch.from_arrays(held.columns[:-1], held.schema.names[:-1])
+            release_memory()
+
+        return marked.mapInArrow(run, docs.schema)
+
+    return taking(True), taking(False)
+
+
 def first_of_each(docs: DataFrame, rows: DataFrame, classes: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """Of each class the row of ``docs`` with the smallest id stays, null ids last.
 
     ``rows``: ``(id, mark, fp)`` of each row of ``docs``, where ``mark`` is ``xxhash64`` of its text;
     ``classes``: ``(fp, root)``. Rows with that id and different texts are told apart by the mark; of rows
-    with the same id and text one stays. All columns stay. Only the rows that go are joined to ``docs``.
+    with the same id and text one stays. All columns stay. The rows that go are told by a bit set of bounded
+    size, and only those that it lets pass are joined to ``docs``, so other texts are not shuffled.
     """
     mark = F.xxhash64(text_col)
     gone_id, gone_mark, own_mark, number = free_names(docs, "gone_id", "gone_mark", "mark", "number")
@@ -200,7 +221,8 @@ def first_of_each(docs: DataFrame, rows: DataFrame, classes: DataFrame, id_col:
     first = keyed.groupBy("root").agg(F.min("key").alias("first"))
     gone = keyed.join(first, "root").where(F.col("key") != F.col("first"))
     gone = stored(gone.select(F.col("key.id").alias(gone_id), F.col("key.mark").alias(gone_mark)), "gone")
-    kept = docs.join(gone, F.col(id_col).eqNullSafe(F.col(gone_id)) & (mark == F.col(gone_mark)), "left_anti")
+    may_go, stay = split_by(docs, F.xxhash64(F.col(id_col), mark), gone.select(F.xxhash64(gone_id, gone_mark).alias("row")))
+    kept = stay.union(may_go.join(gone, F.col(id_col).eqNullSafe(F.col(gone_id)) & (mark == F.col(gone_mark)), "left_anti"))
     if keyed.where("n > 1").limit(1).count():
         at = F.row_number().over(Window.partitionBy(F.col(id_col), F.col(own_mark)).orderBy(F.col(own_mark)))
         kept = kept.withColumn(own_mark, mark).withColumn(number, at).where(F.col(number) == 1).drop(own_mark, number)

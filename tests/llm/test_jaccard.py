@@ -134,3 +134,21 @@ def test_small_sets_are_found_exactly(spark):
     frame = spark.createDataFrame([(a, b, "en", "s", len(b)) for a, b in docs], SCHEMA)
     kept = sorted(r.doc_id for r in cp.drop_near_duplicates(spark, frame, "").collect())
     assert kept == [2 * i for i in range(200)]
+
+
+def test_texts_that_stay_are_not_shuffled(spark):
+    from sparkloom.llm.jaccard import one_of_each_similar
+
+    frame = spark.createDataFrame([(i, f"a{i // 2} b c d e f", "en", "s", 9) for i in range(40)], SCHEMA)
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        kept = one_of_each_similar(frame)
+        ids = sorted(r.doc_id for r in kept.collect())
+        plan = kept._jdf.queryExecution().sparkPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert ids == list(range(0, 40, 2))
+    # the union's first side, the texts that stay, is a scan: its only joins are on the other side
+    first = plan[plan.index("Union") :].split("+- ")[0]
+    assert "Union" in plan and "Join" not in first and "Join" in plan
