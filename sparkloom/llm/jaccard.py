@@ -11,8 +11,11 @@ their whole shingle sets, so no pair below the threshold is linked.
 
 Texts with equal sets are one row before anything is joined. Groups of near copies are linked first by
 stars over 32 blocks of 24 bits: each text is tested against the text of its blocks that meets most others. Only pairs of different
-stars are joined after that, by the blocks of 16 bits, and the test on 128 bits is part of the join. Sets that have nothing
-to do with each other agree in a block by chance, 0.003 times a pair; these are compared in that join and never written.
+stars are sought after that, by the blocks of 16 bits, in two steps. The first writes no pairs: a semi join tells which sets
+have any candidate, by rows of 128 bits, and does not ask again for those that it has found. The second joins these sets alone, with sizes
+and sketches in their rows, so that the bound is part of the join and pairs that it rules out are never written: in a group of
+texts that are like each other but not like enough, these are nearly all pairs. They are still compared, as are sets that agree in a block
+by chance, 0.003 times a pair.
 """
 
 from __future__ import annotations
@@ -22,16 +25,18 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType, LongType, StructField, StructType
 
 from sparkloom.llm.arrow import byte_values, release_memory
-from sparkloom.llm.simhash import LONG, bits_of, first_of_each, in_bits, long_fingerprint, spread
+from sparkloom.llm.simhash import FILTER_BITS, LONG, bits_of, first_of_each, in_bits, long_fingerprint, spread
 from sparkloom.operators.components import connected_components
-from sparkloom.session import stored
+from sparkloom.session import shuffles_removed, stored
 
 STARS = 32  # blocks of 24 bits
-BLOCKS, PASS = 192, 64  # blocks of 16 bits, and how many are joined at once
+BLOCKS, PASS = 192, 32  # blocks of 16 bits, and how many are joined at once
 TESTED = 128  # bits of a fingerprint that go along
 SMALL = 9
 SKETCH = 8  # words of 64 bits
@@ -107,37 +112,77 @@ def set_rows(docs: DataFrame, id_col: str, text_col: str, width: int, seed: int,
     return rows.mapInArrow(run, f"id {kind}, mark bigint, row bigint, fp bigint, n bigint, sketch array<bigint>, bits binary, small array<bigint>")
 
 
-def _in_blocks(nodes: DataFrame, blocks, tested: bool = False) -> DataFrame:
-    """``nodes`` with a row for each ``block`` that ``blocks`` makes of a fingerprint, in place of ``bits``; ``tested`` adds the bits to test."""
-    kept = [c for c in nodes.columns if c != "bits"]
+def _in_blocks(nodes: DataFrame, blocks, tested: bool = False, known: Broadcast | None = None, only: Broadcast | None = None) -> DataFrame:
+    """``nodes`` with a row for each ``block`` that ``blocks`` makes of a fingerprint, in place of ``bits``.
+
+    ``tested`` adds the bits to test; words of a ``sketch`` become columns. ``known``: a bit set, which a column of that name
+    tells of each ``fp``, 1 if it is there. ``only``: a bit set that leaves out all others.
+    """
+    kept = [c for c in nodes.columns if c not in ("bits", "sketch")]
     words = [f"s{i}" for i in range(TESTED // 64 * tested)]
+    sketch = [f"k{i}" for i in range(SKETCH * ("sketch" in nodes.columns))]
+    marks = ["known"] * (known is not None)
+    names = [*kept, *words, *sketch, *marks]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
+            if only is not None:
+                batch = batch.filter(pa.array(in_bits(only.value, batch.column("fp"))))
             for at in range(0, len(batch), 2_000):
                 part = batch.slice(at, 2_000)
-                bits = np.frombuffer(b"".join(part.column(part.num_columns - 1).to_pylist()), np.uint64).reshape(-1, LONG // 64)
+                bits = np.frombuffer(b"".join(part.column("bits").to_pylist()), np.uint64).reshape(-1, LONG // 64)
                 found = blocks(bits)
-                many = found.shape[1]
-                columns = [np.repeat(part.column(i).to_numpy(), many) for i in range(len(kept))] + [np.repeat(bits[:, i].view(np.int64), many) for i in range(len(words))]
-                yield pa.RecordBatch.from_arrays([pa.array(c) for c in (*columns, found.ravel().astype(np.int32))], [*kept, *words, "block"])
+                columns = [part.column(c).to_numpy() for c in kept] + [bits[:, i].view(np.int64) for i in range(len(words))]
+                if sketch:
+                    columns += list(part.column("sketch").flatten().to_numpy().reshape(-1, SKETCH).T)
+                if marks:
+                    columns.append(in_bits(known.value, part.column("fp")).astype(np.int64))
+                rows = [pa.array(np.repeat(c, found.shape[1])) for c in columns]
+                yield pa.RecordBatch.from_arrays([*rows, pa.array(found.ravel().astype(np.int32))], [*names, "block"])
         release_memory()
 
-    dealt = spread(nodes.select(*kept, "bits"))
-    return dealt.mapInArrow(run, ", ".join([*(f"{c} bigint" for c in kept + words), "block int"]))
+    # no nulls: else Spark adds filters to one side of a join, and its sides no longer share a shuffle
+    made = StructType([*(StructField(c, LongType(), False) for c in names), StructField("block", IntegerType(), False)])
+    return nodes.select(*kept, *["sketch"] * bool(sketch), "bits").mapInArrow(run, made)
+
+
+def _differing(words: str, many: int) -> Column:
+    """Bits that differ in the columns ``words`` of the sides ``a`` and ``b``."""
+    differ = F.lit(0)
+    for i in range(many):
+        differ = differ + F.bit_count(F.col(f"a.{words}{i}").bitwiseXOR(F.col(f"b.{words}{i}")))
+    return differ
+
+
+def sets_with_candidates(classed: DataFrame, percent: int) -> np.ndarray:
+    """A bit set (as of :func:`simhash.bits_of`) of each ``fp`` of ``(fp, class, bits)`` rows that is in a candidate pair of different classes.
+
+    Sets that share a bit with one of these are in it too.
+    """
+    context = classed.sparkSession.sparkContext
+    found = np.zeros(FILTER_BITS >> 6, np.uint64)
+    for first in range(0, BLOCKS, PASS):
+        sent = context.broadcast(found)
+        rows = _in_blocks(classed.select("fp", "class", "bits"), lambda words, first=first: search_blocks(words, first, first + PASS), tested=True, known=sent)
+        a, b = rows.alias("a"), rows.alias("b")
+        near = (F.col("a.class") != F.col("b.class")) & (F.col("a.fp") != F.col("b.fp")) & (_differing("s", TESTED // 64) <= most_bits(percent))
+        unknown = 2 * F.col("a.known") <= F.col("b.known")  # whatever b is; all columns of both sides are used, so they share a shuffle
+        own = a.join(b, (F.col("a.block") == F.col("b.block")) & unknown & near, "left_semi")
+        found = found | bits_of(own.select(F.col("fp").alias("row")))
+        sent.unpersist()
+    return found
 
 
 def pairs_in_blocks(classed: DataFrame, percent: int) -> DataFrame:
-    """``(src, dst)``: the candidate pairs of ``(fp, class, bits)`` rows of different classes."""
+    """``(src, dst)``: the candidate pairs of ``(fp, class, n, sketch, bits)`` rows of different classes that are :func:`within_bound`; some repeat."""
+    able = classed.sparkSession.sparkContext.broadcast(sets_with_candidates(classed, percent))
     found = None
     for first in range(0, BLOCKS, PASS):
-        rows = _in_blocks(classed, lambda words, first=first: search_blocks(words, first, first + PASS), tested=True)
+        rows = _in_blocks(classed.select("fp", "class", "n", "sketch", "bits"), lambda words, first=first: search_blocks(words, first, first + PASS), tested=True, only=able)
         a, b = rows.alias("a"), rows.alias("b")
-        differ = F.lit(0)
-        for i in range(TESTED // 64):
-            differ = differ + F.bit_count(F.col(f"a.s{i}").bitwiseXOR(F.col(f"b.s{i}")))
-        near = a.join(b, (F.col("a.block") == F.col("b.block")) & (F.col("a.class") < F.col("b.class")) & (differ <= most_bits(percent)))
-        own = stored(near.select(F.col("a.fp").alias("src"), F.col("b.fp").alias("dst")).distinct(), "near")
+        near = (F.col("a.class") < F.col("b.class")) & (_differing("s", TESTED // 64) <= most_bits(percent))
+        own = a.join(b, (F.col("a.block") == F.col("b.block")) & near & _may_be_alike("a.n", "b.n", _differing("k", SKETCH), percent))
+        own = stored(own.select(F.col("a.fp").alias("src"), F.col("b.fp").alias("dst")), "near")
         found = own if found is None else found.unionByName(own)
     return found
 
@@ -179,14 +224,18 @@ def _alike(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return held.where(100 * F.col("both") >= percent * (F.col("sum") - F.col("both"))).select("src", "dst")
 
 
+def _may_be_alike(n: str, m: str, differ: Column, percent: int) -> Column:
+    sizes = 100 * F.least(n, m) >= percent * F.greatest(n, m)
+    return sizes & ((100 + percent) * differ <= (100 - percent) * (F.col(n) + F.col(m)))
+
+
 def within_bound(n: str, m: str, x: str, y: str, percent: int) -> Column:
     """What holds for all pairs of ``percent`` similarity or more: their sizes are near, and their sketches differ in
     no more bits than sets of these sizes may differ in shingles."""
-    sizes = 100 * F.least(n, m) >= percent * F.greatest(n, m)
     bits = F.lit(0)
     for i in range(SKETCH):
         bits = bits + F.bit_count(F.col(x)[i].bitwiseXOR(F.col(y)[i]))
-    return sizes & ((100 + percent) * bits <= (100 - percent) * (F.col(n) + F.col(m)))
+    return _may_be_alike(n, m, bits, percent)
 
 
 def _bounded(nodes: DataFrame, pairs: DataFrame, percent: int) -> DataFrame:
@@ -197,7 +246,7 @@ def _bounded(nodes: DataFrame, pairs: DataFrame, percent: int) -> DataFrame:
 
 def _stars(nodes: DataFrame, percent: int) -> DataFrame:
     """``(src, dst)``: of each set the one within the bound, among those that meet most others in its blocks of 24 bits."""
-    keyed = _in_blocks(nodes.select("fp", "bits"), star_blocks)
+    keyed = _in_blocks(spread(nodes.select("fp", "bits")), star_blocks)
     shared = keyed.groupBy("block").agg(F.count("*").alias("members")).where("members > 1")
     met = stored(keyed.join(shared, "block").select("fp", "block", "members"), "met")
     ranked = met.join(met.groupBy("fp").agg(F.sum("members").alias("degree")), "fp").select("fp", "block", "degree")
@@ -216,10 +265,10 @@ def similar_classes(docs: DataFrame, rows: DataFrame, id_col: str, text_col: str
     linked = stored(_verified(docs, nodes, stars, id_col, text_col, width, percent, seed), "linked")
     classes = connected_components(linked)
 
-    classed = able.join(classes, able.fp == classes.node, "left").select("fp", F.coalesce("component", "fp").alias("class"), "bits", "small")
-    classed = stored(classed, "classed")
-    near = pairs_in_blocks(classed.select("fp", "class", "bits"), percent).unionByName(pairs_of_small(classed)).distinct()
-    pairs = stored(_bounded(nodes, near, percent), "pairs")
+    classed = able.join(classes, able.fp == classes.node, "left").select("fp", F.coalesce("component", "fp").alias("class"), "n", "sketch", "bits", "small")
+    classed = stored(spread(classed), "classed")  # in many files, as each pass makes many rows of one
+    near = pairs_in_blocks(classed, percent).unionByName(_bounded(nodes, pairs_of_small(classed), percent))
+    pairs = stored(near.distinct(), "pairs")
     crossed = stored(_verified(docs, nodes, pairs, id_col, text_col, width, percent, seed), "crossed")
     merged = connected_components(linked.unionByName(crossed))
     return nodes.join(merged, nodes.fp == merged.node, "left").select("fp", F.coalesce("component", "fp").alias("root"))
@@ -238,6 +287,7 @@ def one_of_each_similar(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     ``percent`` or more are linked, and of each component one row stays, as in :func:`simhash.first_of_each`.
     Null and texts without words are alike. All columns stay, whatever their names; an empty table stays empty.
     """
-    rows = stored(set_rows(docs, id_col, text_col, width, seed, F.xxhash64(text_col)), "shingled")
-    classes = similar_classes(docs, rows, id_col, text_col, width, percent, seed)
-    return first_of_each(docs, rows.select("id", "mark", "fp"), classes, id_col, text_col)
+    with shuffles_removed(docs.sparkSession):
+        rows = stored(set_rows(docs, id_col, text_col, width, seed, F.xxhash64(text_col)), "shingled")
+        classes = similar_classes(docs, rows, id_col, text_col, width, percent, seed)
+        return first_of_each(docs, rows.select("id", "mark", "fp"), classes, id_col, text_col)

@@ -152,3 +152,68 @@ def test_texts_that_stay_are_not_shuffled(spark):
     # the union's first side, the texts that stay, is a scan: its only joins are on the other side
     first = plan[plan.index("Union") :].split("+- ")[0]
     assert "Union" in plan and "Join" not in first and "Join" in plan
+
+
+def test_pairs_that_are_not_alike_enough_are_not_written(spark, monkeypatch):
+    import sparkloom.llm.jaccard as jaccard
+
+    rng = random.Random(5)
+    base, docs = [f"x{i}" for i in range(150)], []
+    for i in range(120):  # near copies, any two of which are some 0.6 alike
+        text = list(base)
+        for k in rng.sample(range(150), 4):
+            text[k] = f"y{rng.randrange(10**6)}"
+        docs.append((i, " ".join(text)))
+    docs += [(500 + i, t) for i, t in enumerate([docs[3][1] + " end", "other words " * 9])]
+    sets = [shingles(t) for _, t in docs[:120]]
+    assert sum(len(a & b) >= 0.5 * len(a | b) for a in sets for b in sets) > 10_000
+    written, store = [], jaccard.stored
+
+    def recording(df, name="part"):
+        out = store(df, name)
+        written.append((name, out.count()))
+        return out
+
+    monkeypatch.setattr(jaccard, "stored", recording)
+    frame = spark.createDataFrame([(a, b, "en", "s", len(b)) for a, b in docs], SCHEMA)
+    kept = sorted(r.doc_id for r in cp.drop_near_duplicates(spark, frame, "").collect())
+    assert kept == plain_kept(docs)
+    near = sum(n for name, n in written if name == "near")  # each pass wrote thousands
+    assert near < 1_000
+
+
+def test_sets_with_candidates_are_found_over_one_shuffle_and_once(spark, monkeypatch):
+    import numpy as np
+
+    import sparkloom.llm.jaccard as jaccard
+    from sparkloom.llm.simhash import in_bits
+
+    rng = random.Random(6)
+    texts = []
+    for i in range(40):
+        words = [f"a{i}_{k}" for k in range(80)]
+        texts += [" ".join(words), " ".join([*words[:78], f"b{i}"])] if i % 2 else [" ".join(words)]
+    rng.shuffle(texts)
+    frame = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    rows = jaccard.stored(jaccard.set_rows(frame, "doc_id", "text", 5, 42, jaccard.F.lit(0).cast("bigint")).selectExpr("fp", "fp class", "n", "sketch", "bits"))
+    plans, asked, bits_of = [], [], jaccard.bits_of
+
+    def recording(found):
+        asked.append(found.collect())
+        plans.append(found._jdf.queryExecution().executedPlan().toString())
+        return bits_of(found)
+
+    monkeypatch.setattr(jaccard, "bits_of", recording)
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        able = jaccard.sets_with_candidates(rows, 80)
+        pairs = {tuple(sorted((r.src, r.dst))) for r in jaccard.pairs_in_blocks(rows, 80).collect()}
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    fps = [r.fp for r in rows.select("fp").collect()]
+    there = in_bits(able, jaccard.pa.array(fps))
+    assert len(pairs) == 20 and {x for p in pairs for x in p} == set(np.array(fps)[there].tolist())
+    assert all("ReusedExchange" in p.split("Initial Plan")[0] for p in plans)
+    first = [{r.row for r in x} for x in asked[: len(asked) // 2]]
+    assert sum(map(len, first)) == len(set().union(*first)) == 40

@@ -14,3 +14,24 @@ def test_scratch_is_one_folder_that_can_be_cleared(spark):
         assert os.path.isdir(top)
         clear_scratch(spark)
         assert not os.path.isdir(top)
+
+
+def test_shuffle_files_go_with_their_query(spark):
+    import time
+
+    from sparkloom.session import shuffles_removed, stored
+
+    def files():
+        manager = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+        names = manager.getAllFiles()
+        return {names.apply(i).getName() for i in range(names.size()) if names.apply(i).getName().startswith("shuffle_")}
+
+    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    setting, old = spark.conf.get(key), files()
+    with shuffles_removed(spark):
+        out = stored(spark.range(1000).selectExpr("id % 7 k").repartition(5, "k").groupBy("k").count())
+        assert out.count() == 7
+    until = time.time() + 10
+    while files() - old and time.time() < until:  # they are deleted in the background
+        time.sleep(0.2)
+    assert not files() - old and spark.conf.get(key) == setting
