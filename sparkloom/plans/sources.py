@@ -58,11 +58,12 @@ def _(t):
 
 @query("s5_sparse_matches", "SELECT CASE WHEN l_suppkey % 2 = 1 THEN l_partkey + 1000 ELSE l_suppkey END AS img1, CASE WHEN l_suppkey % 2 = 1 THEN l_suppkey ELSE l_partkey + 1000 END AS img2, count(*) AS n, sum(l_orderkey)::BIGINT AS total FROM lineitem WHERE l_quantity > 10 GROUP BY l_suppkey, l_partkey")
 def _(t):
-    rows = t.lineitem.groupBy(F.col("l_suppkey").alias("a"), (F.col("l_partkey") + 1000).alias("b")).agg(F.collect_list(F.struct(F.when(F.col("l_quantity") > 10, F.col("l_orderkey")).otherwise(-1).alias("m"), F.col("l_discount").alias("s"))).alias("x"))
-    packed = rows.select("a", "b", (F.col("a") % 2 == 1).alias("reversed"), F.transform("x", lambda x: x["m"]).alias("matches0"), F.transform("x", lambda x: x["s"]).alias("scores0"))
-    m = rd.sparse_matches(packed, "a", "b")
-    own = packed.select(F.when(F.col("reversed"), F.col("b")).otherwise(F.col("a")).alias("img1"), F.when(F.col("reversed"), F.col("a")).otherwise(F.col("b")).alias("img2"), "reversed")
-    return m.join(own, ["img1", "img2"]).groupBy("img1", "img2", "reversed").agg(F.count("*").alias("n"), F.sum(F.when(F.col("reversed"), F.col("feat1")).otherwise(F.col("feat2"))).alias("total")).drop("reversed")
+    a, b = _images()
+    rows = t.lineitem.groupBy(a.alias("a"), b.alias("b")).agg(F.collect_list(F.struct(F.when(F.col("l_quantity") > 10, F.col("l_orderkey")).otherwise(-1).alias("m"), F.col("l_discount").alias("s"))).alias("x"))
+    packed = rows.select("a", "b", (_own_key("a") % 2 == 1).alias("reversed"), F.transform("x", lambda x: x["m"]).alias("matches0"), F.transform("x", lambda x: x["s"]).alias("scores0"))
+    order = F.when(F.col("img1") % 2 == 1, F.col("feat1")).otherwise(F.col("feat2"))  # a part comes first where the pair is turned
+    found = rd.sparse_matches(packed, "a", "b").groupBy("img1", "img2").agg(F.count("*").alias("n"), F.sum(order).alias("total"))
+    return found.select(_own_key("img1").alias("img1"), _own_key("img2").alias("img2"), "n", "total")
 
 
 @query("s6_s7_c2_c3_artifacts", "SELECT l_suppkey, count(*) AS n FROM lineitem GROUP BY 1")

@@ -25,7 +25,7 @@ def lines(folder):
         CASE i % 3 WHEN 0 THEN 'A' WHEN 1 THEN 'N' ELSE 'R' END AS l_returnflag, CASE WHEN i % 2 = 0 THEN 'O' ELSE 'F' END AS l_linestatus FROM range(400) r(i)) TO '{folder}/lineitem.parquet'""")
 
 
-@pytest.mark.parametrize("name", ["s2_finalized_pairs"])
+@pytest.mark.parametrize("name", ["s2_finalized_pairs", "s5_sparse_matches"])
 def test_suppliers_and_parts_are_different_images(spark, tmp_path, name):
     lines(tmp_path)
     rows = same_as_sql(spark, tmp_path, name)
