@@ -15,6 +15,9 @@ are within ``k``), so that the grid join only needs pairs between different star
 
 Sets of shingles far less alike than that are found by longer fingerprints (:func:`long_fingerprint`), by
 equality of one of many blocks of their bits; :mod:`sparkloom.llm.jaccard` tests what they find on the sets.
+
+Joins of tables that grow with the corpus are merge joins by a hint: fingerprints are small in their files, and Spark, which takes a
+join's size from there, would send millions of exploded rows through the driver just before the files are large enough to stop it.
 """
 
 from __future__ import annotations
@@ -120,7 +123,7 @@ def _cells(fps: DataFrame, k: int) -> DataFrame:
 def links_between(fps: DataFrame, k: int) -> DataFrame:
     """Pairs of classes with fingerprints ``k`` bits apart or less: ``(src, dst)`` of ``(fp, class)`` rows."""
     cells = _cells(fps, k)
-    a, b = cells.alias("a"), cells.alias("b")
+    a, b = cells.alias("a"), cells.hint("merge").alias("b")
     x, y = F.col("a.fp"), F.col("b.fp")
     bound = F.bit_count(segment_counts(x).bitwiseXOR(segment_counts(y))) <= k
     exact = F.bit_count(x.bitwiseXOR(y)) <= k
@@ -134,7 +137,7 @@ def _stars(fps: DataFrame, k: int) -> DataFrame:
     keys = F.array(*[F.struct(F.lit(i).alias("w"), F.col("fp").bitwiseAND(F.lit(m)).alias("rest")) for i, m in enumerate(masks)])
     rows = spread(fps.select("fp")).select("fp", F.explode(keys).alias("key")).select("fp", "key.w", "key.rest")
     least = rows.groupBy("w", "rest").agg(F.min("fp").alias("dst"), F.max("fp").alias("top")).where("dst < top").drop("top")
-    return rows.join(least, ["w", "rest"]).where("fp <> dst").select(F.col("fp").alias("src"), "dst").distinct()
+    return rows.join(least.hint("merge"), ["w", "rest"]).where("fp <> dst").select(F.col("fp").alias("src"), "dst").distinct()
 
 
 def near_duplicate_classes(fps: DataFrame, k: int = 4) -> DataFrame:
@@ -142,20 +145,20 @@ def near_duplicate_classes(fps: DataFrame, k: int = 4) -> DataFrame:
     one = fps.select("fp").distinct()
     if k > 0:
         stars = connected_components(_stars(one, k), "src", "dst")
-        one = stored(one.join(stars, one.fp == stars.node, "left").select("fp", F.coalesce("component", "fp").alias("class")), "stars")
+        one = stored(one.join(stars.hint("merge"), one.fp == stars.node, "left").select("fp", F.coalesce("component", "fp").alias("class")), "stars")
     else:
         return one.select("fp", F.col("fp").alias("root"))
     merged = connected_components(links_between(one, k), "src", "dst")
-    return one.join(merged, one["class"] == merged.node, "left").select("fp", F.coalesce("component", "class").alias("root"))
+    return one.join(merged.hint("merge"), one["class"] == merged.node, "left").select("fp", F.coalesce("component", "class").alias("root"))
 
 
 def _classed(docs: DataFrame, id_col: str, text_col: str, width: int, k: int, seed: int, also: dict[str, Column] | None = None) -> tuple[DataFrame, DataFrame]:
     """The rows of :func:`fingerprints`, and ``(fp, root, component_id)`` of each distinct fingerprint."""
     rows = stored(fingerprints(docs, id_col, text_col, width, seed, also), "fingerprints")
     least = stored(rows.groupBy("fp").agg(F.min("id").alias("least")), "least")
-    classes = stored(near_duplicate_classes(least, k).join(least, "fp"), "classes")
+    classes = stored(near_duplicate_classes(least, k).join(least.hint("merge"), "fp"), "classes")
     first = classes.groupBy("root").agg(F.min("least").alias("component_id"))
-    return rows, classes.join(first, "root").select("fp", "root", "component_id")
+    return rows, classes.join(first.hint("merge"), "root").select("fp", "root", "component_id")
 
 
 def simhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 4, k: int = 4, seed: int = 42) -> DataFrame:
@@ -167,7 +170,7 @@ def simhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     null. Repeated rows give repeated results; other columns are ignored; an empty table gives none.
     """
     rows, named = _classed(docs, id_col, text_col, width, k, seed)
-    return rows.join(named, "fp").select(F.col("id").alias(id_col), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    return rows.join(named.hint("merge"), "fp").select(F.col("id").alias(id_col), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
 def bits_of(rows: DataFrame, bits: int = FILTER_BITS) -> np.ndarray:

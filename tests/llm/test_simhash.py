@@ -3,7 +3,11 @@ import re
 
 import xxhash
 
+from pyspark.sql import functions as F
+
+from sparkloom.llm import simhash
 from sparkloom.llm.simhash import fingerprint_of, simhash_components
+from sparkloom.session import stored
 
 SCHEMA = "doc_id bigint, text string, fp string, component_id string"
 
@@ -82,3 +86,17 @@ def test_dense_group_and_other_distances(spark):
 
 def test_empty_table(spark):
     assert found(spark, []) == []
+
+
+def test_no_join_sends_fingerprints_to_all_tasks(spark):
+    # their files are small, so Spark would take a join of their exploded rows for a small one
+    fps = stored(spark.range(3000).select(F.xxhash64("id").alias("fp"), F.xxhash64("id").alias("class")), "fps")
+    kept = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "10m")
+    try:
+        docs = spark.range(3000).select(F.col("id").alias("doc_id"), F.sha2(F.col("id").cast("string"), 256).alias("text"))
+        for frame in (simhash._stars(fps, 4), simhash.links_between(fps, 4), simhash.near_duplicate_classes(fps, 4), simhash_components(docs)):
+            plan = frame._jdf.queryExecution().executedPlan().toString()
+            assert "SortMergeJoin" in plan and "Broadcast" not in plan
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", kept)
