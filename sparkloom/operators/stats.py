@@ -61,6 +61,25 @@ def median_scale(rows: DataFrame, by: list[str], ratio: Column, default: float =
     return rows.groupBy(*by).agg(F.coalesce(F.median(ratio), F.lit(default)).alias("scale"))
 
 
+def whole_median(rows: DataFrame, value: str, name: str = "median") -> DataFrame:
+    """One row with the exact median of a whole table, null without a value; Spark's own keeps all distinct values in one task.
+
+    A sketch tells a range of values that should hold the middle, counts tell whether it does, and only values of that range, or all if
+    it does not, are ranked.
+    """
+    v = F.col(value)
+    there = rows.where(v.isNotNull())
+    low, high = there.agg(F.percentile_approx(value, [0.499, 0.501], 10_000).alias("p")).first()["p"] or (None, None)
+    n, below, upto = there.agg(F.count("*"), F.count_if(v < F.lit(low)), F.count_if(v <= F.lit(high))).first()
+    first, last = (n + 1) // 2, n // 2 + 1
+    near = there
+    if below < first and last <= upto:
+        near, first, last = there.where((v >= F.lit(low)) & (v <= F.lit(high))), first - below, last - below
+    held = ranked(near.groupBy(v.alias("v")).agg(F.count("*").alias("n")), ["v"], "rank", total="upto", value="n")
+    at = lambda place: F.min(F.when(F.col("upto") >= place, F.col("v")))
+    return held.agg(((at(first) + at(last)) / 2).alias(name))
+
+
 def median_log_scale(rows: DataFrame, by: list[str], a: Column, b: Column, floor: float = 1e-6) -> DataFrame:
     """``(by..., log_scale)``: median of log(max(a, floor) / max(b, floor)) over rows with both above 0."""
     ok = (a > 0) & (b > 0)

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from sparkloom.functions import scalars as sc
 from sparkloom.operators import scans
 from sparkloom.operators import components, graph, kernels, pairs, stats, topk
+from sparkloom.plans import catalog
 from sparkloom.sources import readers
 from sparkloom.streaming import incremental as inc
 
@@ -308,3 +309,19 @@ def test_auc_errors_and_report(spark):
     assert [(r.scene, r.threshold, r.completed, r.failed) for r in lines] == [("x", 1.0, 1, 2), ("x", 2.0, 1, 2)] and lines[0].percent == pytest.approx(37.5)
     counts = stats.summed_counts(spark.createDataFrame([("x", "k", 2), ("x", "k", 5), ("x", "k", None)], "scene string, key string, n int"), "scene", "key", "n").collect()
     assert [tuple(r) for r in counts] == [("x", "k", 7, 2)]
+
+
+def test_median_of_a_whole_table(spark):
+    rng = random.Random(9)
+    cases = [[], [None], [5.0], [1.0, 2.0], [None, 3.0, 3.0, 3.0, -1.0], [rng.choice([0.0, 1e9]) for _ in range(101)], [rng.gauss(0, 1) ** 9 for _ in range(3000)], [1.0] * 500 + [2.0] * 500, [float("inf")] * 4 + [7.0] * 4]
+    for values in cases:
+        frame = spark.createDataFrame([(v,) for v in values], "x double")
+        held = sorted(v for v in values if v is not None)
+        want = (held[(len(held) - 1) // 2] + held[len(held) // 2]) / 2 if held else None
+        found = stats.whole_median(frame.repartition(3), "x")
+        assert "percentile" not in found._jdf.queryExecution().optimizedPlan().toString() and [r.median for r in found.collect()] == [want]
+
+
+def test_scale_stats_keep_no_task_with_all_values(spark):
+    plan = catalog.QUERIES["a24_scale_stats"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert "percentile" not in plan and "median(" not in plan
