@@ -6,8 +6,11 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sparkloom.operators.names import free_names
+from sparkloom.operators.ranks import ranked
+from sparkloom.session import stored
 
 PAIR_BASE = 2147483647
+TILE = 1000  # rows of a side of a tile
 
 
 def pair_id(a: Column, b: Column) -> Column:
@@ -131,12 +134,46 @@ def merged_matches(base: DataFrame, extended: DataFrame, key: str, a: str, b: st
     return base.withColumn("is_lc", F.lit(False)).unionByName(tail.select(*base.columns, "is_lc"))
 
 
+def in_tiles(rows: DataFrame, size: int | None = None) -> tuple[DataFrame, DataFrame]:
+    """Two sides that meet on ``block, i, j`` once for each two rows ``(block, key, ...)`` of a block, the lesser key on the first.
+
+    A block is cut into runs of ``size`` keys (``TILE``, if not given), and every two runs are a tile of their own, so a block of any size is many tasks, each of
+    bounded memory; rows are repeated by the number of their block's runs. Within a run both orders meet.
+    """
+    run = F.floor((F.col("rank") - 1) / (size or TILE))
+    placed = stored(ranked(rows, ["block", "key"]).withColumn("run", run).drop("rank"), "runs")
+    spans = placed.groupBy("block").agg(F.min("run").alias("least"), F.max("run").alias("most"))
+    placed, own = placed.join(spans.hint("merge"), "block"), F.col("run")
+    tasks = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # a given number: tiles are small, and what they make is not
+
+    def side(i: Column, j: Column) -> DataFrame:
+        return placed.select(*rows.columns, "run", "least", "most", i.alias("i")).withColumn("j", j).drop("run", "least", "most").repartition(tasks, "block", "i", "j")
+
+    return side(own, F.explode(F.sequence("run", "most"))), side(F.explode(F.sequence("least", "run")), own)
+
+
 def candidate_pairs(images: DataFrame, image: str, frame: str, excluded: DataFrame, block: str) -> DataFrame:
-    """Unordered pairs of images in the same ``block`` from different frames, but for excluded ones in either direction."""
-    a = images.select(F.col(block).alias("_b"), F.col(image).alias("first"), F.col(frame).alias("_f"))
-    b = images.select(F.col(block).alias("_b"), F.col(image).alias("second"), F.col(frame).alias("_g"))
-    gone = excluded.select(F.least("first", "second").alias("first"), F.greatest("first", "second").alias("second")).distinct()
-    return a.join(b, "_b").where("first < second and _f <> _g").select("first", "second").distinct().join(gone, ["first", "second"], "left_anti")
+    """Unordered pairs of images in the same ``block`` from different frames, but for excluded ones in either direction.
+
+    Pairs are made in tiles and never shuffled: each is made once, in the least block that its images share, and a first image
+    takes along which of a tile's seconds are excluded with it.
+    """
+    homes = images.select(F.col(block).alias("block"), F.col(image).alias("key"), F.col(frame).alias("f")).dropna()
+    homes = homes.groupBy("key", "block").agg(F.min("f").alias("f"), F.max("f").alias("g"))
+    homes = homes.select("key", "block", F.when(F.col("f") == F.col("g"), F.col("f")).alias("frame"))  # null: several, so any other image's differs from one
+    each = homes.groupBy("key").agg(F.collect_list(F.struct("block", "frame")).alias("homes"))
+    several = F.when(F.size("homes") > 1, F.transform("homes", lambda h: h["block"]))
+    a, b = in_tiles(each.select("key", several.alias("blocks"), F.explode("homes").alias("home")).select("key", "blocks", "home.block", "home.frame"))
+    gone = excluded.select(F.least("first", "second").alias("key"), F.greatest("first", "second").alias("second")).distinct()
+    seconds = b.where("i = j").select(F.col("key").alias("second"), "block", "j")
+    gone = gone.join(seconds.hint("merge"), "second").groupBy("key", "block", "j").agg(F.collect_list("second").alias("gone"))
+    a = a.join(gone.hint("merge"), ["key", "block", "j"], "left")
+    a, b = a.alias("a"), b.hint("merge").alias("b")
+    met = (F.col("a.block") == F.col("b.block")) & (F.col("a.i") == F.col("b.i")) & (F.col("a.j") == F.col("b.j")) & (F.col("a.key") < F.col("b.key"))
+    apart = F.coalesce(F.col("a.frame") != F.col("b.frame"), F.lit(True))
+    here = F.col("a.blocks").isNull() | F.col("b.blocks").isNull() | (F.array_min(F.array_intersect("a.blocks", "b.blocks")) == F.col("a.block"))
+    free = F.col("a.gone").isNull() | ~F.array_contains("a.gone", F.col("b.key"))
+    return a.join(b, met & apart & here & free).select(F.col("a.key").alias("first"), F.col("b.key").alias("second"))
 
 
 def nearest_within(a: DataFrame, b: DataFrame, group: str, key_a: str, key_b: str, x: str, y: str, reach: float) -> DataFrame:
