@@ -14,7 +14,7 @@ from sparkloom.functions import rotations as rt
 from sparkloom.functions import scalars as sc
 from sparkloom.functions.scalars import rotated
 from sparkloom.operators import content
-from sparkloom.operators.pairs import require
+from sparkloom.operators.pairs import in_tiles, require
 from sparkloom.operators.ranks import ranked
 from sparkloom.operators.topk import natural_key
 
@@ -222,12 +222,41 @@ def fixed_stereo_poses(pairs: DataFrame, images: DataFrame, sensors: DataFrame)
         sound = sound & F.col(f"_p{n}") & finite & (F.abs(norm - 1) <= 1e-8)
     ok = F.when(F.coalesce(sound, F.lit(False)), F.lit(True)).otherwise(F.raise_error(F.lit("a same-frame pair has no fixed sensor poses")).cast("boolean"))
     a, b = [F.col("_qfirst")[i] for i in range(4)], [F.col("_qsecond")[i] for i in range(4)]
+    return j.where(ok).select("first", "second", *_relative(a, [F.col("_tfirst")[i] for i in range(3)], b, [F.col("_tsecond")[i] for i in range(3)]))
+
+
+def _relative(a: list[Column], at: list[Column], b: list[Column], bt: list[Column]) -> list[Column]:
+    """``qx`` to ``tz`` of the pose ``b, bt`` relative to ``a, at``."""
     ax, ay, az, aw = -a[0], -a[1], -a[2], a[3]  # second * inverse of first
     bx, by, bz, bw = b
     q = [bw * ax + bx * aw + by * az - bz * ay, bw * ay - bx * az + by * aw + bz * ax, bw * az + bx * ay - by * ax + bz * aw, bw * aw - bx * ax - by * ay - bz * az]
-    back = rotated(q, [F.col("_tfirst")[i] for i in range(3)])
-    t = [F.col("_tsecond")[i] - back[i] for i in range(3)]
-    return j.where(ok).select("first", "second", *[c.alias(n) for c, n in zip(q, ("qx", "qy", "qz", "qw"))], *[c.alias(n) for c, n in zip(t, ("tx", "ty", "tz"))])
+    back = rotated(q, at)
+    t = [bt[i] - back[i] for i in range(3)]
+    return [c.alias(n) for c, n in zip([*q, *t], ("qx", "qy", "qz", "qw", "tx", "ty", "tz"))]
+
+
+def fixed_frame_poses(images: DataFrame, sensors: DataFrame) -> DataFrame:
+    """:func:`fixed_stereo_poses` of all pairs of every frame, ``first`` below ``second``; two rigs in a frame are an error too.
+
+    Poses are joined and tested once an image, not once a pair, and pairs are made in tiles (:func:`pairs.in_tiles`), never shuffled.
+    """
+    origin = F.array(*map(F.lit, (0.0, 0.0, 0.0, 1.0))), F.array(*[F.lit(0.0)] * 3)
+    pose = [F.when(F.col("is_ref"), o).otherwise(F.col(c)).alias(f"_{c}") for o, c in zip(origin, "qt")]
+    own = sensors.select(F.col("rig").alias("_rig"), F.col("camera").alias("_camera"), "has_prior", *pose)
+    placed = images.where("frame is not null and image is not null").join(own, (F.col("rig") == F.col("_rig")) & (F.col("camera") == F.col("_camera")), "left")
+    norm = F.sqrt(F.aggregate("_q", F.lit(0.0), lambda a, x: a + x * x))
+    finite = F.forall(F.concat("_q", "_t"), lambda x: ~F.isnan(x) & (F.abs(x) < float("inf")))
+    sound = F.coalesce(F.col("has_prior") & finite & (F.abs(norm - 1) <= 1e-8), F.lit(False))
+    parts = [*[F.col("_q")[i].alias(f"q{i}") for i in range(4)], *[F.col("_t")[i].alias(f"t{i}") for i in range(3)]]
+    a, b = in_tiles(placed.select(F.col("frame").alias("block"), F.col("image").alias("key"), "rig", "camera", sound.alias("sound"), *parts))
+    a, b = a.alias("a"), b.hint("merge").alias("b")
+    met = (F.col("a.block") == F.col("b.block")) & (F.col("a.i") == F.col("b.i")) & (F.col("a.j") == F.col("b.j"))
+    held = F.col("a.sound") & F.col("b.sound") & (F.col("a.camera") != F.col("b.camera")) & (F.col("a.rig") == F.col("b.rig"))
+    ordered = F.when(F.col("a.key") >= F.col("b.key"), F.lit(False))  # part of the test, as Spark may test parts of a condition in any order
+    ok = ordered.when(F.coalesce(held, F.lit(False)), F.lit(True)).otherwise(F.raise_error(F.lit("a same-frame pair has no fixed sensor poses")).cast("boolean"))
+    side = lambda n, c, m: [F.col(f"{n}.{c}{i}") for i in range(m)]
+    pairs = a.join(b, met).where(ok)
+    return pairs.select(F.col("a.key").alias("first"), F.col("b.key").alias("second"), *_relative(side("a", "q", 4), side("a", "t", 3), side("b", "q", 4), side("b", "t", 3)))
 
 
 def path_up(centres: DataFrame, by: str, x: str, y: str, z: str) -> DataFrame:
