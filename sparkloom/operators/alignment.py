@@ -18,6 +18,7 @@ from pyspark.sql import types as T
 
 E, G = ("ex", "ey", "ez"), ("gx", "gy", "gz")
 EQ, GQ = ("eqx", "eqy", "eqz", "eqw"), ("gqx", "gqy", "gqz", "gqw")
+TASK_ROWS = 20_000
 MOMENTS = ["n", *(f"s{c}" for c in E + G), *(f"c{i}{j}" for i in range(3) for j in range(3)), "sq"]
 
 
@@ -120,9 +121,13 @@ def windowed_errors(rows: DataFrame, by: str, key: str, lengths: list[float], le
 
     Running sums of the moments go over cells of the window's width, so neither a path nor a window is one task: a window is the
     sum up to its end in the last cell it meets, less that before its start in the first, and the sums of the cells from the first on. They are taken about the path's mean, so that they stay small.
+    Paths are dealt out to so many tasks that ``TASK_ROWS`` rows and lengths come to one: each becomes several wide rows there, which Spark does not foresee when it merges small parts.
     """
     have = F.col("ex").isNotNull() & F.col("ey").isNotNull() & F.col("ez").isNotNull()
     named = rows.select(F.col(by).alias("path"), F.col(key).alias("key"), F.col("cum_len").cast("double").alias("at"), *E, *G, *EQ, *GQ, have.alias("have"))
+    usual = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # one more, as an equal number is taken for a shuffle before it, which Spark may merge
+    parts = max(usual + 1, -(-rows.select(by).count() * len(lengths) // TASK_ROWS))
+    named = named.repartition(parts, "path")
     ends = named.groupBy(F.col("path").alias("own")).agg(F.max("at").alias("total"), *[F.avg(F.when(F.col("have"), F.col(c))).alias(f"m{c}") for c in E + G])
     near = named.join(ends, F.col("path") == F.col("own")).select("path", "key", "at", "have", "total", *EQ, *GQ, *[(F.col(c) - F.col(f"m{c}")).alias(c) for c in E + G])
     near = near.withColumn("w", F.explode(F.array(*[F.lit(float(x)) for x in lengths]))).where("w <= total")
